@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import packing, quality, secrets, simhash, suffixes
+from palimpsest.llm import packing, quality, secrets, sharding, simhash, suffixes, toxicity
 from palimpsest.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op3_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_report(table(spark, sf_dir, "documents"))
 
@@ -34,9 +42,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_vector_sharding": op3_vector_sharding,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_secret_scan": op7_secret_scan,
+        "op8_toxic_segments": op8_toxic_segments,
         "op10_quality_rules": op10_quality_rules,
     }
 
