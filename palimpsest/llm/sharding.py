@@ -2,9 +2,10 @@
 
 Groups (rows of equal text) are the items; each is a vector (bytes, tokens, rows). Level 1: groups are dealt to
 buckets by hash, and in each bucket every group goes, largest first, to the local bin whose residual capacity has the
-highest dot product with the group's vector. Level 2: the local bins of all buckets (bounded: 8 x max_buckets) and
-the split parts of oversized groups are placed on the shards by the same rule. Level 1 runs in
-parallel; only bin totals come to the driver.
+highest dot product with the group's vector. Level 2: the local bins of all buckets (at most 8 x 4096) and
+the split parts of oversized groups are placed on the shards by the same rule, and last some 2000 single groups,
+set aside by hash, by their bytes alone, which levels what the bins left uneven. Level 1 runs in parallel;
+only bin totals and the groups set aside come to the driver.
 
 A group over half a shard's capacity in any dimension cannot keep the law; it is split by row key into parts of
 about an eighth of a shard. All other groups stay whole.
@@ -24,19 +25,20 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import checkpointed
 
 SHARDS = 8
-GROUPS_PER_BUCKET, MAX_BUCKETS, ROWS_PER_SALT = 2000, 4096, 50_000
+GROUPS_PER_BUCKET, MAX_BUCKETS, LEVELLERS, ROWS_PER_SALT = 500, 4096, 2000, 50_000
 _DIMENSIONS = ["bytes", "tokens", "rows"]
 _WEIGHTS = np.array([4.0, 1.0, 1.0])  #: in the dot product; the law is on bytes
 
 
-def place(items: np.ndarray, capacity: np.ndarray, bins: int) -> np.ndarray:
-    """Bin of each item, largest first, where the dot product of item and residual capacity is highest; ties to the lower bin."""
-    scale = np.where(capacity > 0, capacity, 1.0)
-    vectors = items / scale
+def place(items: np.ndarray, capacity: np.ndarray, bins: int, levellers: int = 0) -> np.ndarray:
+    """Bin of each item, largest first, where the dot product of item and residual capacity is highest; ties to the
+    lower bin. The last `levellers` items come after all others and look at the first dimension only."""
+    vectors = items / np.where(capacity > 0, capacity, 1.0)
     residual = np.ones((bins, items.shape[1]))
     out = np.zeros(len(items), np.int64)
-    for i in np.lexsort((np.arange(len(items)), -vectors[:, 0])).tolist():
-        k = int(np.argmax(residual @ (vectors[i] * _WEIGHTS)))
+    last = np.arange(len(items)) >= len(items) - levellers
+    for i in np.lexsort((np.arange(len(items)), -vectors[:, 0], last)).tolist():
+        k = int(np.argmax(residual[:, 0] if last[i] else residual @ (vectors[i] * _WEIGHTS)))
         residual[k] -= vectors[i]
         out[i] = k
     return out
@@ -71,14 +73,20 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     parted = rows.join(F.broadcast(wide), ["text_key", "text_crc32"]).withColumn("part", F.pmod(F.xxhash64("row_key"), F.col("parts")))
     part_totals = parted.groupBy("text_key", "text_crc32", "part").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).toPandas()
     buckets = int(np.clip(total["groups"] // GROUPS_PER_BUCKET, 1, MAX_BUCKETS))
-    bins = checkpointed(groups.filter(ratio <= 0.5).withColumn("bucket", F.pmod("text_key", F.lit(buckets))).groupBy("bucket").applyInPandas(_local_bins, "text_key long, text_crc32 long, bytes long, tokens long, rows long, bin long"))
+    aside = F.pmod(F.xxhash64("text_key", "text_crc32"), F.lit(max(1, int(total["groups"]) // LEVELLERS))) == 0
+    narrow = groups.filter(ratio <= 0.5)
+    singles = narrow.filter(aside).toPandas()  # about LEVELLERS rows
+    bins = checkpointed(narrow.filter(~aside).withColumn("bucket", F.pmod("text_key", F.lit(buckets))).groupBy("bucket").applyInPandas(_local_bins, "text_key long, text_crc32 long, bytes long, tokens long, rows long, bin long"))
     bin_totals = bins.groupBy("bin").agg(*(F.sum(c).alias(c) for c in _DIMENSIONS)).toPandas()  # at most shards x MAX_BUCKETS rows
-    items = np.concatenate((part_totals[_DIMENSIONS].to_numpy(float), bin_totals[_DIMENSIONS].to_numpy(float)))
-    placed = place(items, capacity, shards)
-    of_part = spark.createDataFrame([(int(k), int(c), int(p), int(s)) for k, c, p, s in zip(part_totals["text_key"], part_totals["text_crc32"], part_totals["part"], placed, strict=False)], "text_key long, text_crc32 long, part long, shard int")
-    of_bin = spark.createDataFrame([(int(b), int(s)) for b, s in zip(bin_totals["bin"], placed[len(part_totals) :], strict=True)], "bin long, shard int")
+    items = np.concatenate([x[_DIMENSIONS].to_numpy(float) for x in (part_totals, bin_totals, singles)])
+    placed = place(items, capacity, shards, len(singles)).tolist()
+    n, m = len(part_totals), len(part_totals) + len(bin_totals)
+    local = lambda pdf, names, own, ddl: spark.createDataFrame([(*map(int, r), s) for r, s in zip(pdf[names].itertuples(index=False), own, strict=True)], ddl)
+    of_part = local(part_totals, ["text_key", "text_crc32", "part"], placed[:n], "text_key long, text_crc32 long, part long, shard int")
+    of_bin = local(bin_totals, ["bin"], placed[n:m], "bin long, shard int")
+    of_single = local(singles, ["text_key", "text_crc32"], placed[m:], "text_key long, text_crc32 long, shard int")
     names = ["doc_id", "size", "text_crc32", "row_key", "shard"]
-    assigned = bins.join(F.broadcast(of_bin), "bin").select("text_key", "text_crc32", "shard")
+    assigned = bins.join(F.broadcast(of_bin), "bin").select("text_key", "text_crc32", "shard").unionByName(of_single)
     dealt = rows.join(assigned, ["text_key", "text_crc32"]).select(*names).unionByName(parted.join(F.broadcast(of_part), ["text_key", "text_crc32", "part"]).select(*names))
     salts = max(1, int(total["rows"]) // ROWS_PER_SALT // shards)
     dealt = checkpointed(dealt.withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(salts))))
