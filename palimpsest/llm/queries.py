@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import packing, quality, secrets, sharding, simhash, suffixes, toxicity
+from palimpsest.llm import packing, quality, secrets, sentencepieces, sharding, simhash, suffixes, topk, toxicity, urls
 from palimpsest.llm.common import table
 
 
+def op1_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.sampled_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeat_report(table(spark, sf_dir, "documents"))
 
@@ -23,6 +28,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -35,21 +44,80 @@ def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_gumbel_segmentations": op1_gumbel_segmentations,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_vector_sharding": op3_vector_sharding,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op5_bit_sliced_topk": op5_bit_sliced_topk,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_secret_scan": op7_secret_scan,
         "op8_toxic_segments": op8_toxic_segments,
+        "op9_url_filter": op9_url_filter,
         "op10_quality_rules": op10_quality_rules,
+        "pipeline": corpus_pipeline.run,
     }
 
 
+#: Exact integer inner products of quantised vectors; vectors with a null or non-finite component take no part.
+_TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+#: Rules, then decisions of the component reached over canonical links and refreshes.
+_URL_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail, rest FROM p
+), links AS (
+  SELECT host, path, host || tail AS src, unnest([
+    regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)]) AS target
+  FROM h WHERE rest <> '' AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))
+), full_links AS (
+  SELECT src, CASE WHEN strpos(target, '://') > 0 THEN substr(target, strpos(target, '://') + 3) WHEN target LIKE '//%' THEN substr(target, 3)
+    WHEN target LIKE '/%' THEN host || target ELSE host || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || target END AS dst
+  FROM links WHERE target <> ''
+), e AS (
+  SELECT src, translate(regexp_extract(dst, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(dst, '^[^/?#]*([^#]*)', 1) AS dst FROM full_links
+), both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+reach AS (SELECT src AS node, src AS other FROM both_ways UNION SELECT r.node, b.dst FROM reach r JOIN both_ways b ON r.other = b.src),
+nodes AS (SELECT node, other, regexp_extract(other, '^([^/?#]*)', 1) AS host, regexp_extract(other, '^[^/?#]*([^?#]*)', 1) AS path FROM reach),
+rules(rule, verdict, rule_host, rule_path) AS (VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'),
+  ('example.org/en/1', 'block', 'example.org', '/en/1'), ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')),
+node_verdict AS (
+  SELECT node, other, arg_max(verdict, length(rule)) AS verdict FROM nodes JOIN rules
+  ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY node, other
+), shared AS (SELECT node, min(verdict) AS verdict FROM node_verdict GROUP BY node),
+own AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM h JOIN rules
+  ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id
+)
+SELECT h.page_id, h.host, h.path, own.rule, coalesce(own.verdict, shared.verdict, 'allow') AS verdict,
+       own.verdict IS NULL AND shared.verdict IS NOT NULL AS by_alias
+FROM h LEFT JOIN own USING (page_id) LEFT JOIN shared ON shared.node = h.host || h.tail
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_bit_sliced_topk": _TOPK_SQL, "op9_url_filter": _URL_SQL.replace("\\\\", "\\")}
