@@ -120,4 +120,4 @@ FROM h LEFT JOIN own USING (page_id) LEFT JOIN shared ON shared.node = h.host ||
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_bit_sliced_topk": _TOPK_SQL, "op9_url_filter": _URL_SQL.replace("\\\\", "\\")}
+    return {"op5_bit_sliced_topk": _TOPK_SQL, "op9_url_filter": _URL_SQL}
