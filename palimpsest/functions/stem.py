@@ -6,6 +6,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _VOWELS = "aeiou"
 #: Fixed values of the published algorithm.
@@ -81,6 +82,6 @@ def stem(w: str) -> str:
     return w[:-1] if _measure(w) > 1 and _double(w) and w.endswith("l") else w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stemmed(words: pd.Series) -> pd.Series:
     return words.map(stem, na_action="ignore")

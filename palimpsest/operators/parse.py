@@ -10,6 +10,7 @@ from email import policy
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from palimpsest import config
 from palimpsest.functions.text import collapse, strip, word_count
@@ -107,7 +108,7 @@ def _mail(raw: str) -> str:
     return "\n".join([*head, "", body]).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def email_text(raw: pd.Series) -> pd.Series:
     """Header lines, an empty line, and the text part (else the HTML part without tags)."""
     return raw.map(_mail, na_action="ignore")
@@ -136,7 +137,7 @@ def _markdown(text: str) -> str:
     return "\n".join(out).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def markdown_text(text: pd.Series) -> pd.Series:
     """Inline text of blocks, an empty line before headings, fences kept."""
     return text.map(_markdown, na_action="ignore")
@@ -167,7 +168,7 @@ def _page(text: str) -> str:
     return "\n".join(x for x in (" ".join(line.split()) for line in "".join(parser.parts).split("\n")) if x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_blocks(text: pd.Series) -> pd.Series:
     """Text of block elements, one line each, entities resolved."""
     return text.map(_page, na_action="ignore")
