@@ -64,16 +64,17 @@ def phrases(queries: DataFrame, stem: bool = False) -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 20, stem: bool = False) -> DataFrame:
     """query_id, chunk_id, rank (negative; less is better), place (1 to k). Statistics are over all chunks.
 
-    Only postings of query terms are kept before any shuffle on chunks; ties go to the smaller chunk_id.
+    Two passes over the chunks: one for the statistics (one row), one for the query terms' places, which carry
+    their chunk's length; only those are shuffled. Ties go to the smaller chunk_id.
     """
     lists = token_lists(chunks, stem)
     asked = phrases(queries, stem)
-    hits = positions(lists).join(asked, "term").withColumn("start", F.col("position") - F.col("offset"))
-    whole = hits.groupBy("query_id", "phrase", "size", "chunk_id", "start").agg(F.count("*").alias("n")).filter("n = size")
-    tf = whole.groupBy("query_id", "phrase", "chunk_id").agg(F.count("*").alias("tf"))
+    places = lists.select("chunk_id", F.size("terms").cast("long").alias("dl"), F.posexplode("terms").alias("position", "term"))
+    hits = places.join(asked, "term").withColumn("start", F.col("position") - F.col("offset"))
+    whole = hits.groupBy("query_id", "phrase", "size", "chunk_id", "dl", "start").agg(F.count("*").alias("n")).filter("n = size")
+    tf = whole.groupBy("query_id", "phrase", "chunk_id", "dl").agg(F.count("*").alias("tf"))
     n = tf.groupBy("query_id", "phrase").agg(F.count("*").alias("n"))
-    stats = corpus_stats(lists)
-    scored = tf.join(n, ["query_id", "phrase"]).join(lengths(lists), "chunk_id").join(stats)
+    scored = tf.join(n, ["query_id", "phrase"]).join(corpus_stats(lists))
     raw = F.log((F.col("n_chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(F.lit(IDF_FLOOR))
     score = -idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
