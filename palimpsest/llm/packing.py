@@ -135,15 +135,15 @@ def _fillers(counts: np.ndarray, gap: int, size: int):
                     yield a, x, rest - x
 
 
-def pack_lengths(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, how many sequences) patterns for a histogram of lengths below the capacity."""
+def _packed(histogram: dict[int, int], capacity: int, sizes: tuple[int, ...]) -> list[tuple[tuple[int, ...], int]]:
+    """Exact complements of the given sizes, then best fit, as (lengths, how many sequences) patterns."""
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
     patterns: list[tuple[tuple[int, ...], int]] = []
     for longest in range(capacity, 0, -1):
         gap = capacity - longest
-        for size in (1, 2, 3):
+        for size in sizes:
             if not counts[longest] or gap < size:
                 break
             for parts in _fillers(counts, gap, size):
@@ -164,17 +164,26 @@ def pack_lengths(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tu
                 m = min(n, left)
                 if n > m:
                     open_bins[gap].append((parts, n - m))
+                gaps[gap] -= m
             else:
                 gap, parts = capacity, ()
                 m = left if 2 * length > capacity else max(1, left // (capacity // length))
-            if parts:
-                gaps[gap] -= m
             left -= m
             open_bins.setdefault(gap - length, []).append(((*parts, length), m))
             gaps[gap - length] += m
     return patterns + [x for bins in open_bins.values() for x in bins]
 
 
+def pack_lengths(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, how many sequences) patterns for a histogram of lengths below the capacity.
+
+    Triples and pairs spend short lengths that best fit may need more; so the plan with all three sizes is set against
+    those with fewer, and the one with the fewest sequences is taken.
+    """
+    plans = [_packed(histogram, capacity, sizes) for sizes in ((1, 2, 3), (1, 2), (1,))]
+    return min(plans, key=lambda p: sum(m for _, m in p))
+
+
 def interval_table(patterns: list[tuple[tuple[int, ...], int]], base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted first global ranks of intervals, their first sequence and their offset; base: first global rank of each length."""
     nxt, sequence, rows = base.copy(), 0, []

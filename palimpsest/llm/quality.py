@@ -94,20 +94,20 @@ def measure(text: str) -> tuple:
 
 
 _STATS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64())]
-_OUT = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), *_STATS, ("line", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int64()))])
+_OUT = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("host", pa.string()), *_STATS, ("line", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int64()))])
 
 
 def _measured(batches: Batches) -> Batches:
     for b in batches:
         found = [measure(t) for t in texts_of(b.column("text"))]
-        yield rows_to_batch(_OUT, [b.column("doc_id").cast(pa.int64()), b.column("host"), *([x[i] for x in found] for i in range(7))])
+        yield rows_to_batch(_OUT, [b.column("doc_id"), b.column("text_key"), b.column("host"), *([x[i] for x in found] for i in range(7))])
 
 
 def line_report(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """One row per row of docs: doc_id, host, the base counts, base_failed, n_boilerplate_words, n_boilerplate_lines, kept."""
+    """One row per row of docs: doc_id, host, the base counts, base_failed, n_boilerplate_words, n_boilerplate_lines, kept, text_key."""
     small_batches(docs.sparkSession)
-    columns = [docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.coalesce(docs["source"].cast("string"), F.lit("")).alias("host")]
-    stats = docs.select(*columns).mapInArrow(_measured, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line array<long>, line_words array<long>")
+    columns = [docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("text_key"), F.coalesce(docs["source"].cast("string"), F.lit("")).alias("host")]
+    stats = docs.select(*columns).mapInArrow(_measured, "doc_id long, text_key long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line array<long>, line_words array<long>")
     stats = checkpointed(stats.withColumn("row_key", F.monotonically_increasing_id()))
     identity = F.xxhash64(F.array_min("line"), F.array_max("line"))
     hosts = stats.groupBy("host").agg(F.count("*").alias("host_docs"))
@@ -124,10 +124,11 @@ def line_report(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFr
         lost_words.alias("n_boilerplate_words"),
         F.coalesce("lost_lines", F.lit(0)).cast("long").alias("n_boilerplate_lines"),
         (~failed & (F.col("n_words") - lost_words >= rules.min_words)).alias("kept"),
+        "text_key",
     )
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """Rows of docs that the rules keep, with all their columns. doc_id names a row: where rows share one, all go with the worst."""
-    bad = line_report(docs, rules).filter(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    """Rows of docs that the rules keep, with all their columns. Rows of one doc_id and text go together: with the worst of their hosts."""
+    bad = line_report(docs, rules).filter(~F.col("kept")).select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_text")).distinct()
+    return docs.join(bad, (F.xxhash64(docs["text"]) == F.col("_bad_text")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_bad_id")), "left_anti")
