@@ -89,22 +89,26 @@ def sampled_labels(labels: DataFrame, options: ToxicityOptions) -> DataFrame:
     return known.filter(F.crc32(F.col("doc_id").cast("string")) % options.folds != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(options.sample)
 
 
-_SAMPLE = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("text", pa.string()), ("first", pa.int64()), ("second", pa.int64())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("first", pa.int64()), ("second", pa.int64())])
+
+
+def _labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """doc_id, text and the columns of marks for the documents of marks, which are at most `sample` rows of a few numbers."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(marks), "doc_id")
 
 
 def training_documents(docs: DataFrame, labels: DataFrame, options: ToxicityOptions) -> DataFrame:
-    """The sample's (doc_id, toxic, text), near copies thinned."""
+    """(doc_id, kind, part) of the sample, near copies thinned; kind is the label, part 0 to 3. No text is shuffled."""
 
     def signed(batches: Batches) -> Batches:
         for b in batches:
             texts = texts_of(b.column("text"))
-            yield rows_to_batch(_SAMPLE, [b.column("doc_id"), b.column("toxic"), texts, [_signature(t, 1) for t in texts], [_signature(t, 2) for t in texts]])
+            yield rows_to_batch(_SIGNED, [b.column("doc_id"), b.column("toxic"), [_signature(t, 1) for t in texts], [_signature(t, 2) for t in texts]])
 
-    sample = F.broadcast(sampled_labels(labels, options))  # at most `sample` rows of two numbers
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(sample, "doc_id").mapInArrow(signed, "doc_id long, toxic int, text string, first long, second long")
-    least = F.min(F.struct("doc_id", "toxic", "text", "second")).alias("x")
-    once = rows.groupBy("first").agg(least).select("x.*")
-    return once.groupBy("second").agg(F.min(F.struct("doc_id", "toxic", "text")).alias("x")).select("x.*")
+    rows = _labelled(docs, sampled_labels(labels, options)).mapInArrow(signed, "doc_id long, toxic int, first long, second long")
+    once = rows.groupBy("first").agg(F.min(F.struct("doc_id", "toxic", "second")).alias("x")).select("x.*")
+    last = once.groupBy("second").agg(F.min(F.struct("doc_id", "toxic")).alias("x")).select("x.*")
+    return last.groupBy("doc_id").agg(F.max("toxic").alias("kind")).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)))
 
 
 _COUNTS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("n", pa.int64())])
@@ -184,12 +188,15 @@ class ToxicityModel:
         own = tokens(text, self.options.bits)
         return maximal_segments(self.scores[own]), len(own)
 
+    def surprise(self, segments: list[float], n: int) -> tuple[float, int]:
+        """Sum of the surprise of significant segments, and their number."""
+        least = -np.log(self.options.max_evalue)
+        kept = [x for x in (self.rate * s - np.log(self.scale * n) for s in segments) if x >= least]
+        return float(sum(kept)), len(kept)
+
     def evidence(self, text: str) -> tuple[float, int]:
-        """Sum of the surprise of significant passages, and their number."""
         found, n = self.passages(text)
-        least = -np.log(self.options.max_evalue)
-        surprise = [x for x in (self.rate * s - np.log(self.scale * n) for _, _, s in found) if x >= least]
-        return float(sum(surprise)), len(surprise)
+        return self.surprise([s for _, _, s in found], n)
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.intercept + self.slope * np.log1p(evidence))))
@@ -208,35 +215,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
     return float(max(w[0], 0)), float(w[1])
 
 
-_PAIRS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("evidence", pa.float64()), ("n_tokens", pa.int64())])
+_FOUND = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("n_tokens", pa.int64()), ("segments", pa.list_(pa.float64()))])
 
 
 def fit(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = ToxicityOptions()) -> ToxicityModel:
     small_batches(docs.sparkSession)
     bits = options.bits
     corpus, _ = _gathered(docs.select("text").mapInArrow(_counted(bits, 1, False), "bucket long, kind int, n long"), bits, 1)
-    sample = checkpointed(training_documents(docs, labels, options).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4))))
-    held, rows = _gathered(sample.filter("part < 3").select("text", F.col("toxic").alias("kind")).mapInArrow(_counted(bits, 2, True), "bucket long, kind int, n long"), bits, 2)
+    sample = checkpointed(training_documents(docs, labels, options))
+    held, rows = _gathered(_labelled(docs, sample.filter("part < 3")).select("text", "kind").mapInArrow(_counted(bits, 2, True), "bucket long, kind int, n long"), bits, 2)
     scores = token_scores(held, rows, corpus[0], options)
     model = ToxicityModel(scores, solve_lambda(scores, corpus[0]), 1.0, 0.0, 0.0, options)
 
-    def strongest(batches: Batches) -> Batches:
+    def segments(batches: Batches) -> Batches:
         for b in batches:
             found = [model.passages(t) for t in texts_of(b.column("text"))]
-            yield rows_to_batch(_PAIRS, [b.column("doc_id"), b.column("toxic"), [max((s for _, _, s in x), default=0.0) for x, _ in found], [n for _, n in found]])
-
-    clean = sample.filter("toxic = 0").mapInArrow(strongest, "doc_id long, toxic int, evidence double, n_tokens long").agg(F.sum((F.col("evidence") > 0).cast("double")).alias("hits"), F.sum("n_tokens").alias("n"), F.min(F.when(F.col("evidence") > 0, F.col("evidence"))).alias("least")).first()
-    if clean["hits"]:
-        model.scale = float(np.clip(clean["hits"] * np.exp(min(model.rate * clean["least"], 50)) / clean["n"], 1e-3, 1e3))
-
-    def evidence(batches: Batches) -> Batches:
-        for b in batches:
-            found = [model.evidence(t) for t in texts_of(b.column("text"))]
-            yield rows_to_batch(_PAIRS, [b.column("doc_id"), b.column("toxic"), [x for x, _ in found], [n for _, n in found]])
-
-    pairs = sample.filter("part = 3").mapInArrow(evidence, "doc_id long, toxic int, evidence double, n_tokens long").select("toxic", "evidence").toArrow()  # at most the sample
-    y, x = pairs.column("toxic").to_numpy().astype(float), np.log1p(pairs.column("evidence").to_numpy())
-    model.slope, model.intercept = _logistic(x, y) if len(y) else (0.0, -10.0)
+            yield rows_to_batch(_FOUND, [b.column("kind"), b.column("part").cast(pa.int32()), [n for _, n in found], [[s for _, _, s in x] for x, _ in found]])
+
+    found = _labelled(docs, sample).mapInArrow(segments, "kind int, part int, n_tokens long, segments array<double>").toArrow().to_pylist()  # at most the sample
+    clean = [(x["n_tokens"], max(x["segments"], default=0.0)) for x in found if x["kind"] == 0]
+    hits = [s for _, s in clean if s > 0]
+    if hits:
+        model.scale = float(np.clip(len(hits) * np.exp(min(model.rate * min(hits), 50)) / sum(n for n, _ in clean), 1e-3, 1e3))
+    tried = [x for x in found if x["part"] == 3]
+    x = np.log1p(np.array([model.surprise(x["segments"], x["n_tokens"])[0] for x in tried]))
+    model.slope, model.intercept = _logistic(x, np.array([float(x["kind"]) for x in tried])) if tried else (0.0, -10.0)
     return model
 
 
