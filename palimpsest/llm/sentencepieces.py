@@ -35,7 +35,8 @@ from palimpsest.llm.common import GOLDEN, U64, Batches, mix, rows_to_batch, smal
 
 SPACE = "▁"
 _DENSE = 128  #: characters with a row of their own in the transition table
-_PART_CHARS = 600_000
+_PART_CHARS = 1_000_000
+_LOOK = 512  #: places of a path whose sets are looked at first
 
 
 @dataclass(frozen=True)
@@ -113,12 +114,13 @@ class Vocabulary:
 
     def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Next trie node of each; 0 where there is none."""
-        out = self.dense[state, np.where(code < _DENSE, code, 0)]
         far = np.flatnonzero(code >= _DENSE)
-        if len(far):
-            key = state[far].astype(np.int64) * self.span + code[far]
-            at = np.minimum(np.searchsorted(self.rare_key, key), len(self.rare_key) - 1)
-            out[far] = np.where(self.rare_key[at] == key, self.rare_to[at], 0)
+        if not len(far):
+            return self.dense.ravel()[state * _DENSE + code]
+        out = self.dense.ravel()[state * _DENSE + np.where(code < _DENSE, code, 0)]
+        key = state[far].astype(np.int64) * self.span + code[far]
+        at = np.minimum(np.searchsorted(self.rare_key, key), len(self.rare_key) - 1)
+        out[far] = np.where(self.rare_key[at] == key, self.rare_to[at], 0)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -134,48 +136,46 @@ class Lattices:
     """Word lattices of distinct words (each led by one SPACE) and the chance of each edge on the way to the word's end."""
 
     def __init__(self, vocab: Vocabulary, words: list[str]) -> None:
-        text = "".join([SPACE + w for w in words])
+        # A node per character and one after each word; no character has the code 0 of the latter, so walks end there.
+        text = "".join([SPACE + w + "\0" for w in words])
         self.points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = vocab.code[self.points]
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        stop = np.cumsum(sizes)
-        node_shift = np.repeat(np.arange(len(words)), sizes)  # each word has a node more than characters
-        end = np.repeat(stop, sizes).astype(np.int32)
-        n = len(code)
-        at, state = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
+        n = len(self.points)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        self.word_end = np.cumsum(sizes) - 1
+        self.word_start = self.word_end - sizes + 1
+        code = np.zeros(n + vocab.width, np.int32)
+        code[:n] = vocab.code[self.points]
+        code[self.word_end] = 0
+        at = np.ones(n, bool)
+        at[self.word_end] = False
+        at = np.flatnonzero(at).astype(np.int32)
+        state, alone = np.zeros(len(at), np.int32), np.zeros(n, bool)
+        alone[self.word_end] = True
         starts, ends, pieces = [], [], []
-        alone = np.zeros(n, bool)
         for k in range(vocab.width):
-            inside = at + k < end[at]
-            at, state = at[inside], state[inside]
             state = vocab.step(state, code[at + k])
-            at, state = at[state > 0], state[state > 0]
+            on = state > 0
+            at, state = at[on], state[on]
             if not len(at):
                 break
             piece = vocab.piece[state]
             here = piece >= 0
-            starts.append(at[here])
-            ends.append(at[here] + k + 1)
+            own = at[here]
+            starts.append(own)
+            ends.append(own + np.int32(k + 1))
             pieces.append(piece[here])
             if k == 0:
-                alone[at[here]] = True
+                alone[own] = True
         missing = np.flatnonzero(~alone).astype(np.int32)
-        starts.append(missing)
-        ends.append(missing + 1)
-        pieces.append(np.full(len(missing), vocab.spelled, np.int32))
-        start, finish, piece = np.concatenate(starts), np.concatenate(ends), np.concatenate(pieces)
+        start, finish, piece = np.concatenate([*starts, missing]), np.concatenate([*ends, missing + np.int32(1)]), np.concatenate([*pieces, np.full(len(missing), vocab.spelled, np.int32)])
         order = np.argsort(start, kind="stable")
-        start, finish, self.edge_piece = start[order], finish[order], piece[order]
-        self.edge_char = start
-        # nodes: character place + number of the word; a word's last node is its end
-        self.edge_start = start + node_shift[start]
-        self.edge_end = finish + node_shift[start]
-        self.word_start = stop - sizes + np.arange(len(words))
-        self.word_end = stop + np.arange(len(words))
+        self.edge_start, self.edge_end, self.edge_piece = start[order], finish[order], piece[order]
+        self.first = np.zeros(n + 1, np.int32)
+        np.cumsum(np.bincount(self.edge_start, minlength=n), out=self.first[1:])
         weight = vocab.log_weight[self.edge_piece]
-        nodes = n + len(words)
-        beyond = np.zeros(nodes)
-        left = end[start] - start  # characters to the word's end
+        beyond = np.zeros(n)
+        end_of = np.repeat(self.word_end.astype(np.int32), sizes)
+        left = end_of[self.edge_start] - self.edge_start  # characters to the word's end
         by_level = np.argsort(left.astype(np.uint16) if len(left) and left.max() < 1 << 16 else left, kind="stable")
         cuts = np.searchsorted(left[by_level], np.arange(1, int(left.max(initial=0)) + 2))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -189,14 +189,14 @@ class Lattices:
             total = np.add.reduceat(np.exp(value - np.repeat(most, np.diff(np.concatenate((first, [len(e)]))))), first)
             beyond[own[first]] = most + np.log(total)
         self.log_chance = np.minimum(weight + beyond[self.edge_end] - beyond[self.edge_start], 0.0)
-        chance = np.exp(self.log_chance)
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(self.edge_start, minlength=nodes))))
-        head = self.first[self.edge_start]
-        total = np.concatenate(([0.0], np.cumsum(chance)))
-        up_to = total[1:] - total[head]
-        self.single = self.first[self.edge_start + 1] - head == 1
+        degree = np.diff(self.first)
+        self.single = (degree == 1)[self.edge_start]
         self.log_chance[self.single] = 0.0
-        self.border = self.edge_start + np.minimum(up_to / (total[self.first[self.edge_start + 1]] - total[head]), 1.0)
+        self.rest = np.where(self.single, 0.0, -np.expm1(self.log_chance))
+        total = np.concatenate(([0.0], np.cumsum(np.exp(self.log_chance))))
+        low = total[self.first[self.edge_start]]
+        self.up_to = (total[1:] - low) / (total[self.first[self.edge_start + 1]] - low)
+        self.halvings = int(degree.max(initial=1)).bit_length()
 
     def walk(self, node: np.ndarray, last: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sampled edges from each node to its word's last node, end to end, and how many each has; base: random keys."""
@@ -205,15 +205,18 @@ class Lattices:
         now, taken, step = node[live], [], 0
         while len(live):
             u = (mix(base[live] + np.full(1, step, np.uint64) * GOLDEN) >> U64(11)) * 2.0**-53
-            e = np.searchsorted(self.border, now + u, side="right")
-            e = np.minimum(e, self.first[now + 1] - 1)
+            e, high = self.first[now], self.first[now + 1] - 1
+            for _ in range(self.halvings):  # first edge of the node whose share reaches beyond u
+                middle = (e + high) >> 1
+                below = self.up_to[middle] <= u
+                e, high = np.where(below & (e < high), middle + 1, e), np.where(below, high, middle)
             taken.append((live, e))
             count[live] += 1
             now = self.edge_end[e]
             on = now < last[live]
             live, now, step = live[on], now[on], step + 1
         place = np.cumsum(count) - count
-        out = np.zeros(int(count.sum()), np.int64)
+        out = np.zeros(int(count.sum()), np.int32)
         for k, (i, e) in enumerate(taken):
             out[place[i] + k] = e
         return out, count
@@ -244,24 +247,33 @@ def _uniform(key: np.ndarray | np.uint64, *parts: int) -> np.ndarray:
 class _Path:
     """One emitted segmentation of a document: its edges, the perturbed value, and the sets left along it."""
 
-    def __init__(self, lat: Lattices, edges: np.ndarray, word: np.ndarray, value: float, fork: int, barred: list[int], key: np.uint64, number: int) -> None:
+    def __init__(self, lat: Lattices, edges: np.ndarray, word: np.ndarray, value: float, fork: int, barred: list[int], key: np.uint64, number: int, need: int) -> None:
         self.edges, self.word, self.value, self.fork, self.barred = edges, word, value, fork, barred
         log_chance = lat.log_chance[edges]
-        before = np.cumsum(log_chance) - log_chance
-        self.log_prob = float(log_chance.sum())
-        with np.errstate(divide="ignore"):
-            rest = np.log(-np.expm1(log_chance))
-            rest[lat.single[edges]] = -np.inf
-            if fork < len(edges) and barred:
-                left = 1.0 - np.exp(lat.log_chance[barred]).sum()
+        total = np.cumsum(log_chance)
+        self.log_prob = float(total[-1]) if len(total) else 0.0
+        # A set of mass m has the truncated maximum -log(exp(-value) + E / m), E exponential: the larger m / E, the better.
+        self.odds = np.zeros(len(edges))
+        seed = mix(np.array([key, number], np.uint64) * GOLDEN).sum()
+        for at, stop in ((fork, fork + _LOOK), (fork + _LOOK, len(edges))):
+            own = slice(at, stop)
+            mass = np.exp(total[own] - log_chance[own]) * lat.rest[edges[own]]
+            if at == fork and barred and len(edges) > fork:
                 node = lat.edge_start[edges[fork]]
                 more = len(barred) < lat.first[node + 1] - lat.first[node]
-                rest[fork] = np.log(max(left, 1e-300)) if more else -np.inf
-            mass = before + rest
-            mass[:fork] = -np.inf
-            # truncated Gumbel maximum of each set, by an exponential draw
-            draws = -np.log(_uniform(mix(np.array([key, number], np.uint64) * GOLDEN).sum() + np.arange(len(edges), dtype=np.uint64) * GOLDEN, 3))
-            self.best = np.where(np.isneginf(mass), -np.inf, -np.logaddexp(-value, np.log(draws) - mass))
+                mass[0] = max(1.0 - np.exp(lat.log_chance[barred]).sum(), 1e-300) * np.exp(total[fork] - log_chance[fork]) if more else 0.0
+            self.odds[own] = mass / -np.log(_uniform(seed + np.arange(at, at + len(mass), dtype=np.uint64) * GOLDEN, 3))
+            # E is at least 2^-54, so later sets stay under this bound: where it is low, they cannot be needed.
+            if stop >= len(edges) or np.exp(total[stop - 1]) * 2.0**54 < np.partition(self.odds[own], -need)[-need]:
+                break
+
+    def best(self) -> tuple[float, int]:
+        """Perturbed maximum of the best set left, and its place."""
+        if not len(self.odds):
+            return -np.inf, 0
+        j = int(np.argmax(self.odds))
+        odds = self.odds[j]
+        return (float(-np.logaddexp(-self.value, -np.log(odds))), j) if odds > 0 else (-np.inf, j)
 
 
 def sample_documents(vocab: Vocabulary, keys: np.ndarray, texts: list[str], k: int) -> list[tuple[list[tuple[float, float, np.ndarray]], float]]:
@@ -289,17 +301,16 @@ def sample_documents(vocab: Vocabulary, keys: np.ndarray, texts: list[str], k: i
         else:
             node, fresh, forks = lat.word_start[unit].copy(), np.zeros(len(unit), bool), {}
             for d in list(live):
-                best = max(paths[d], key=lambda p: p.best.max(initial=-np.inf))
-                j = int(np.argmax(best.best))
-                value = float(best.best[j])
+                (value, j), best = max(((p.best(), p) for p in paths[d]), key=lambda x: x[0][0])
                 if value == -np.inf:
                     live.remove(d)
                     continue
-                best.best[j] = -np.inf
+                best.odds[j] = 0.0
                 barred = [*best.barred, int(best.edges[j])] if j == best.fork and best.barred and int(best.edges[j]) not in best.barred else [*best.barred] if j == best.fork and best.barred else [int(best.edges[j])]
                 at = int(lat.edge_start[best.edges[j]])
                 options = np.arange(lat.first[at], lat.first[at + 1])
-                options = options[~np.isin(options, barred)]
+                for b in barred:
+                    options = options[options != b]
                 chance = np.cumsum(np.exp(lat.log_chance[options]))
                 pick = min(int(np.searchsorted(chance, _uniform(keys[d], 5, r)[0] * chance[-1], side="right")), len(options) - 1)
                 alternative = int(options[pick])
@@ -315,30 +326,30 @@ def sample_documents(vocab: Vocabulary, keys: np.ndarray, texts: list[str], k: i
             own, at = edges[cut[d] : cut[d + 1]], word[cut[d] : cut[d + 1]]
             if r == 0:
                 value = float(-np.log(-np.log(_uniform(keys[d], 1)[0])))
-                paths[d].append(_Path(lat, own, at, value, 0, [], keys[d], r))
+                paths[d].append(_Path(lat, own, at, value, 0, [], keys[d], r, k + 1))
             else:
                 best, j, value, barred, alternative = forks[d]
                 own = np.concatenate((best.edges[:j], [alternative], own))
                 at = np.concatenate((best.word[: j + 1], at))
-                paths[d].append(_Path(lat, own, at, value, j, barred, keys[d], r))
+                paths[d].append(_Path(lat, own, at, value, j, barred, keys[d], r, k + 1))
     out = []
     for d in range(len(texts)):
         if not sizes[d]:
             out.append(([(0.0, 0.0, np.empty(0, np.int64))], -np.inf))
             continue
-        kappa = max(float(p.best.max(initial=-np.inf)) for p in paths[d])
+        kappa = max(p.best()[0] for p in paths[d])
         out.append(([(p.value, p.log_prob, piece_ids(vocab, lat, p.edges)) for p in paths[d]], kappa))
     return out
 
 
 def piece_ids(vocab: Vocabulary, lat: Lattices, edges: np.ndarray) -> np.ndarray:
-    pieces = lat.edge_piece[edges].astype(np.int64)
+    pieces = lat.edge_piece[edges]
     spelled = np.flatnonzero(pieces == vocab.spelled)
     if not len(spelled):
         return pieces
     parts, at = [], 0
     for i in spelled.tolist():
-        raw = chr(lat.points[lat.edge_char[edges[i]]]).encode("utf-8", "surrogatepass")
+        raw = chr(lat.points[lat.edge_start[edges[i]]]).encode("utf-8", "surrogatepass")
         parts += [pieces[at:i], vocab.byte_ids[list(raw)]]
         at = i + 1
     return np.concatenate([*parts, pieces[at:]])
