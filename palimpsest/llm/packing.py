@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,9 +30,11 @@ from palimpsest.llm.common import Batches, checkpointed, rows_to_batch, small_ba
 CAPACITY, END_ID = 2048, 0
 #: Fixed value: the vocabulary's one special token and its id.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-_UNSAFE = re.compile(r"\s\s|^\s|\s$")
+_UNSAFE = re.compile(r" \s|\s |^\s|\s$")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-CACHE = 250_000
+#: All bytes but those that can be, or begin, white space other than space and line feed.
+_COMMON = bytes(c for c in range(256) if c not in {9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3})
+CACHE = 500_000
 
 
 @lru_cache(maxsize=2)
@@ -46,6 +49,13 @@ def _encoding(ranks_path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _single_spaces(text: str) -> bool:
+    """Whether each space stands between two characters that are not white space."""
+    if text.encode("utf-8", "surrogatepass").translate(None, _COMMON):
+        return not _UNSAFE.search(text)
+    return not (text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text)
+
+
 class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit bytes.
 
@@ -58,12 +68,12 @@ class Encoder:
         self.words: dict[str, bytes] = {}
 
     def _raw(self, text: str) -> bytes:
-        return np.array(self.encode(text), dtype="<u4").tobytes()
+        return array("I", self.encode(text)).tobytes()
 
     def _plain(self, text: str) -> bytes:
         if not text:
             return b""
-        first, *rest = _SAFE_SPACE.split(text) if _UNSAFE.search(text) else text.split(" ")
+        first, *rest = text.split(" ") if _single_spaces(text) else _SAFE_SPACE.split(text)
         words = self.words
         if len(words) > CACHE:
             words.clear()
