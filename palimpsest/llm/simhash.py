@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import GOLDEN, Batches, checkpointed, mix, rows_to_batch, small_batches, texts_of
@@ -98,13 +98,13 @@ def reach_minimum(x: np.ndarray, max_bits: int, least: int) -> np.ndarray:
 
 
 def _spanning_links(f: np.ndarray, max_bits: int, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that span the classes of one posting: a breadth-first walk that leaves found members out."""
-    links, rest = [], f
+    """Places of links that span the classes of one posting: a breadth-first walk that leaves found members out."""
+    links, rest = [], np.arange(len(f))
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            near = reach_minimum(rest ^ at, max_bits, least)
+            near = reach_minimum(f[rest] ^ f[at], max_bits, least)
             if near.any():
                 found, rest = rest[near], rest[~near]
                 links.append((np.full(len(found), at), found))
@@ -125,73 +125,84 @@ _LINKS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _links(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return rows_to_batch(_LINKS, [np.full(len(a), kind, np.int32), np.ascontiguousarray(a).view(np.int64), np.ascontiguousarray(b).view(np.int64)])
+    return rows_to_batch(_LINKS, [np.full(len(a), kind, np.int32), np.ascontiguousarray(a).view(np.int64), b])
 
 
 def posting_links(max_bits: int, dense_run: int, least: int, small_run: int):
-    """Task over rows sorted by (posting, fp). Emits kind 0: linked fingerprints; kind 1: (flipped value, fp) of dense postings."""
+    """Task over (posting, fp, node) rows sorted by (posting, fp). Emits kind 0: linked nodes; kind 1 and more, by
+    sketch: (flipped value, node) of dense postings."""
 
-    def dense(key: int, f: np.ndarray) -> Batches:
-        masks = _flips(TRIPLES[key >> 24], min(max_bits, MAX_BITS) // 2)
+    def dense(key: int, f: np.ndarray, nodes: np.ndarray) -> Batches:
+        sketch, triple = divmod(key >> 24, len(TRIPLES))
+        masks = _flips(TRIPLES[triple], min(max_bits, MAX_BITS) // 2)
         for k in range(0, len(f), 64):
-            part = f[k : k + 64]
-            yield _links(1, (part[:, None] ^ masks[None, :]).ravel(), np.repeat(part, len(masks)))
+            yield _links(1 + sketch, (f[k : k + 64, None] ^ masks[None, :]).ravel(), np.repeat(nodes[k : k + 64], len(masks)))
 
-    def whole(key: np.ndarray, f: np.ndarray) -> Batches:
+    def whole(key: np.ndarray, f: np.ndarray, nodes: np.ndarray) -> Batches:
         cuts = np.flatnonzero(np.diff(key)) + 1
         starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
         sizes = ends - starts
         for i in np.flatnonzero(sizes > small_run).tolist():
+            own = nodes[starts[i] : ends[i]]
             for a, b in _spanning_links(f[starts[i] : ends[i]], max_bits, least):
-                yield _links(0, a, b)
+                yield _links(0, own[a], own[b])
         small = np.repeat((sizes > 1) & (sizes <= small_run), sizes)
-        k, v = key[small], f[small]
+        k, v, n = key[small], f[small], nodes[small]
         for lag in range(1, small_run):
             at = np.flatnonzero(k[lag:] == k[:-lag]) if lag < len(k) else np.empty(0, np.int64)
             if not len(at):
                 break
             at = at[reach_minimum(v[at] ^ v[at + lag], max_bits, least)]
             if len(at):
-                yield _links(0, v[at], v[at + lag])
+                yield _links(0, n[at], n[at + lag])
 
     def run(batches: Batches) -> Batches:
-        keys, fps, hot = np.empty(0, np.int64), np.empty(0, np.uint64), None
+        keys, fps, nodes, hot = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), None
         for b in batches:
             keys = np.concatenate((keys, b.column(0).to_numpy(zero_copy_only=False)))
             fps = np.concatenate((fps, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
+            nodes = np.concatenate((nodes, b.column(2).to_numpy(zero_copy_only=False)))
             if hot is not None:
                 n = int(np.searchsorted(keys, hot, side="right"))
-                yield from dense(hot, fps[:n])
-                keys, fps, hot = keys[n:], fps[n:], hot if n == len(keys) else None
+                yield from dense(hot, fps[:n], nodes[:n])
+                keys, fps, nodes, hot = keys[n:], fps[n:], nodes[n:], hot if n == len(keys) else None
             if not len(keys):
                 continue
             last = int(np.searchsorted(keys, keys[-1]))
             if last:
-                yield from whole(keys[:last], fps[:last])
-                keys, fps = keys[last:], fps[last:]
+                yield from whole(keys[:last], fps[:last], nodes[:last])
+                keys, fps, nodes = keys[last:], fps[last:], nodes[last:]
             if len(keys) > dense_run:
                 hot = int(keys[0])
-                yield from dense(hot, fps)
-                keys, fps = keys[:0], fps[:0]
+                yield from dense(hot, fps, nodes)
+                keys, fps, nodes = keys[:0], fps[:0], nodes[:0]
         if len(keys):
-            yield from whole(keys, fps)
+            yield from whole(keys, fps, nodes)
 
     return run
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, dense_run: int = DENSE_RUN, least: int = MIN_SHARED, small_run: int = SMALL_RUN) -> DataFrame:
-    """(src, dst) links over distinct fingerprints (column fp) whose components are those of all pairs within max_bits.
+def posting_keys(fp: Column, sketch: Column) -> Column:
+    """The postings of a fingerprint: sketch, triple, and the triple's three bytes."""
+    byte = [F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255)) for p in range(BYTES)]
+    first = sketch.cast("long") * (len(TRIPLES) << 24)
+    return F.array(*(first + F.lit(k << 24) + byte[a] * 65536 + byte[b] * 256 + byte[c] for k, (a, b, c) in enumerate(TRIPLES)))
 
-    With other than 4 bits and 4 shared bytes a pair is only found if it meets in a posting.
-    """
-    byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)) for p in range(BYTES)]
-    key = [F.lit(k << 24) + byte[a] * 65536 + byte[b] * 256 + byte[c] for k, (a, b, c) in enumerate(TRIPLES)]
-    postings = fps.select(F.explode(F.array(*key)).alias("posting"), "fp").repartition("posting").sortWithinPartitions("posting", "fp")
-    links = checkpointed(postings.mapInArrow(posting_links(max_bits, dense_run, least, small_run), "kind int, a long, b long"))
+
+def links_of_postings(postings: DataFrame, node: str, max_bits: int, dense_run: int, least: int, small_run: int) -> DataFrame:
+    """(src, dst) links between nodes (a column of postings, besides posting and fp)."""
+    dealt = postings.repartition("posting").sortWithinPartitions("posting", "fp").select("posting", "fp", F.col(node).alias("node"))
+    links = checkpointed(dealt.mapInArrow(posting_links(max_bits, dense_run, least, small_run), "kind int, a long, b long"))
     direct = links.filter("kind = 0").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    flipped = links.filter("kind = 1")
-    least = flipped.groupBy("a").agg(F.min("b").alias("root"))
-    return direct.unionByName(flipped.join(least, "a").filter("b <> root").select(F.col("b").alias("src"), F.col("root").alias("dst")))
+    flipped = links.filter("kind > 0")
+    roots = flipped.groupBy("kind", "a").agg(F.min("b").alias("root"))
+    return direct.unionByName(flipped.join(roots, ["kind", "a"]).filter("b <> root").select(F.col("b").alias("src"), F.col("root").alias("dst")))
+
+
+def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, dense_run: int = DENSE_RUN) -> DataFrame:
+    """(src, dst) links over distinct fingerprints (column fp) whose components are those of all pairs within max_bits."""
+    postings = fps.select(F.explode(posting_keys(F.col("fp"), F.lit(0))).alias("posting"), "fp")
+    return links_of_postings(postings, "fp", max_bits, dense_run, MIN_SHARED, SMALL_RUN)
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS, dense_run: int = DENSE_RUN) -> DataFrame:
@@ -233,28 +244,23 @@ def near_copies(docs: DataFrame, size: int = 5, count: int = SKETCHES, max_share
     """(doc_id, component_id) by similarity of word shingles, 0.8 by default.
 
     At that similarity a pair's fingerprints differ in some 7 to 10 bits, so one fingerprint and 4 bits would miss most.
-    A pair is a candidate if it meets in a posting of any of several independent fingerprints and shares enough bytes
-    there; it is verified by its differing bits over all fingerprints. Classes are connected components of what
-    passes. On the synthetic texts this finds nearly all pairs at 0.8 or more, and few under 0.75.
+    Documents with equal fingerprints throughout are one node, the least of them. A pair of nodes is a candidate if it
+    meets in a posting of any of several independent fingerprints and shares enough bytes there; it is verified by
+    its differing bits over all fingerprints. Classes are connected components of what passes.
     """
     rows = checkpointed(sketches(docs, size, count))
-    edges = None
-    for k in range(count):
-        own = rows.select("doc_id", F.col("fps")[k].alias("fp"))
-        least = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-        same = own.join(least, "fp").filter("doc_id <> least").select(F.col("doc_id").alias("src"), F.col("least").alias("dst"))
-        near = fingerprint_links(least.select("fp"), CANDIDATE_BITS, DENSE_RUN, CANDIDATE_BYTES, 8).distinct()
-        for end in ("src", "dst"):
-            near = near.join(least.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_doc")), end)
-        found = same.unionByName(near.select(F.col("src_doc").alias("src"), F.col("dst_doc").alias("dst")))
-        edges = found if edges is None else edges.unionByName(found)
-    pairs = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-    fps = rows.dropDuplicates(["doc_id"])
+    nodes = checkpointed(rows.groupBy("fps").agg(F.min("doc_id").alias("node")))
+    single = nodes.select("node", F.posexplode("fps").alias("sketch", "fp"))
+    postings = single.select(F.explode(posting_keys(F.col("fp"), F.col("sketch"))).alias("posting"), "fp", "node")
+    links = links_of_postings(postings, "node", CANDIDATE_BITS, DENSE_RUN, CANDIDATE_BYTES, 8)
+    pairs = links.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).filter("src <> dst").distinct()
+    fps = nodes.dropDuplicates(["node"])
     for end in ("src", "dst"):
-        pairs = pairs.join(fps.select(F.col("doc_id").alias(end), F.col("fps").alias(f"{end}_fps")), end)
+        pairs = pairs.join(fps.select(F.col("node").alias(end), F.col("fps").alias(f"{end}_fps")), end)
     differing = F.aggregate(F.zip_with("src_fps", "dst_fps", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
     parts = connected_components(pairs.filter(differing <= int(max_share * 64 * count)).select("src", "dst"))
-    return rows.select("doc_id").join(parts, rows["doc_id"] == parts["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    classes = nodes.join(parts, "node", "left").select("fps", F.coalesce("component", "node").alias("component_id"))
+    return rows.join(classes, "fps").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
