@@ -6,7 +6,7 @@ boilerplate: they are taken out of a document's account, and a document that is
 `min_words` words is rejected as depleted, besides those that fail the fixed base rules.
 
 Copies would make every line of a clean text look like boilerplate. So a line's documents are told apart by
-the smallest and largest line hash of the document: exact copies and nearly all lightly edited copies count as one document.
+the whole set of their line hashes: copies with the same normalised lines count as one document, all others by themselves.
 
 Defined cases. Null or empty text: no words, base_failed. Null source: a host of its own. Repeated rows: each
 row is judged by itself and counts once for its lines. Empty table: no rows. Other columns are ignored by
@@ -109,7 +109,7 @@ def line_report(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFr
     columns = [docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("text_key"), F.coalesce(docs["source"].cast("string"), F.lit("")).alias("host")]
     stats = docs.select(*columns).mapInArrow(_measured, "doc_id long, text_key long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line array<long>, line_words array<long>")
     stats = checkpointed(stats.withColumn("row_key", F.monotonically_increasing_id()))
-    identity = F.xxhash64(F.array_min("line"), F.array_max("line"))
+    identity = F.xxhash64(F.array_sort("line"))  # a document's line hashes are distinct
     hosts = stats.groupBy("host").agg(F.count("*").alias("host_docs"))
     lines = stats.select("row_key", "host", identity.alias("document"), F.explode(F.arrays_zip("line", "line_words")).alias("x")).select("row_key", "host", "document", F.col("x.line").alias("line"), F.col("x.line_words").alias("line_words"))
     # Distinct (host, line, document) combine before the shuffle, so a very common line reaches it once per task and document.

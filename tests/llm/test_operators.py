@@ -427,3 +427,12 @@ def test_boilerplate_is_counted_once_per_content(spark):
     got = {r.doc_id: r for r in quality.line_report(table, quality.QualityRules(line_docs=100)).collect()}
     assert not any(got[i].kept for i in range(60)) and all(got[100 + i].kept and got[100 + i].n_boilerplate_words == 30 for i in range(60))
     assert all(got[200 + i].kept and not got[200 + i].n_boilerplate_words for i in range(150))
+
+
+def test_documents_that_share_most_lines_count_each(spark):
+    rng = np.random.default_rng(12)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    template = "\n".join(words(6) for _ in range(20))
+    table = spark.createDataFrame([(i, template + "\n" + words(12), "h") for i in range(500)], "doc_id long, text string, source string")
+    rows = quality.line_report(table, quality.QualityRules(line_docs=100)).collect()
+    assert len(rows) == 500 and all((r.n_boilerplate_lines, r.n_boilerplate_words, r.kept) == (20, 120, False) for r in rows)
