@@ -218,49 +218,140 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, max_
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of a document, and the share of differing bits over all of them that five-word similarity 0.8 comes to.
-SKETCHES, MAX_SHARE = 8, 0.155
-#: What makes a pair of one fingerprint a candidate: bytes shared, bits differing.
-CANDIDATE_BYTES, CANDIDATE_BITS = 3, 12
-_SKETCHED = pa.schema([("doc_id", pa.int64()), ("fps", pa.list_(pa.int64()))])
+#: Near copies: least similarity of the sets of five-word shingles; bands of minima that make a pair a candidate. A pair
+#: of similarity 0.8 shares no band with a chance of (1 - 0.8 ** 4) ** 24, 3 in a million.
+MIN_SIMILARITY, BANDS, BAND_MINIMA = 0.8, 24, 4
+#: Documents of a posting whose pairs are tested by joins; shingles of a block of a larger posting.
+SMALL_POSTING, BLOCK_SHINGLES = 8, 1 << 21
+_BANDED = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+_PAIRS = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+
+
+def node_of(hashes: np.ndarray) -> int:
+    """Signed 64-bit hash of a set of shingle hashes."""
+    return int(mix(np.array([mix(hashes).sum(dtype=np.uint64)]) + np.full(1, len(hashes), np.uint64) * GOLDEN).view(np.int64)[0])
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key a band of a set of shingle hashes: the minima of the set under BAND_MINIMA multipliers. None for an empty set."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    factors = mix(np.arange(1, BANDS * BAND_MINIMA + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
+    least = np.full(len(factors), np.iinfo(np.uint64).max)
+    for k in range(0, len(hashes), 4096):
+        least = np.minimum(least, np.multiply.outer(factors, hashes[k : k + 4096]).min(axis=1))
+    keys = np.arange(BANDS, dtype=np.uint64) * GOLDEN
+    for minima in least.reshape(BANDS, BAND_MINIMA).T:
+        keys = mix(keys + minima)
+    return keys.view(np.int64)
+
+
+def banded(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, node, size, bands): hash and size of the set of a document's shingles, and its band keys."""
 
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, size)) for t in texts_of(b.column("text"))]
+            yield rows_to_batch(_BANDED, [b.column("doc_id"), [node_of(x) for x in sets], [len(x) for x in sets], [band_keys(x) for x in sets]])
+
+    small_batches(docs.sparkSession)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).filter("doc_id is not null").mapInArrow(run, "doc_id long, node long, size long, bands array<long>")
 
-def sketches(docs: DataFrame, size: int, count: int = SKETCHES) -> DataFrame:
-    """(doc_id, fps): `count` fingerprints of one set of shingle hashes, each under another mixing."""
+
+def shingle_sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of the chosen (node, doc_id); rows of the doc_id with another text give nothing."""
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            out = []
-            for t in texts_of(b.column("text")):
-                hashes = shingle_hashes(t, size)
-                out.append([majority(mix(hashes + np.full(1, k, np.uint64) * GOLDEN)) for k in range(count)])
-            yield rows_to_batch(_SKETCHED, [b.column("doc_id"), out])
+            sets = [np.unique(shingle_hashes(t, size)) for t in texts_of(b.column("text"))]
+            own = [(n, x.view(np.int64)) for n, x in zip(b.column("node").to_pylist(), sets, strict=True) if node_of(x) == n]
+            yield rows_to_batch(_SETS, [[n for n, _ in own], [x for _, x in own]])
+
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    return texts.join(chosen, "doc_id").select("node", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def similar_links(sets: list[np.ndarray], min_similarity: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places of links that span the classes of similar sets, none empty: a walk as in `_spanning_links`, by exact similarity."""
+    sizes = np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    own = [codes[b - n : b] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    links, mark = [], np.zeros(int(codes.max()) + 1, bool)
+    rest, held = np.arange(1, len(sets)), codes[sizes[0] :]
+    queue = [0]
+    while len(rest):
+        if not queue:
+            queue, held, rest = [int(rest[0])], held[sizes[rest[0]] :], rest[1:]
+            continue
+        at = queue.pop()
+        mark[own[at]] = True
+        shared = np.add.reduceat(mark[held], np.cumsum(sizes[rest]) - sizes[rest], dtype=np.int64)
+        mark[own[at]] = False
+        near = shared / (sizes[rest] + sizes[at] - shared) >= min_similarity
+        if near.any():
+            found, held, rest = rest[near], held[np.repeat(~near, sizes[rest])], rest[~near]
+            links.append((np.full(len(found), at), found))
+            queue += found.tolist()
+    return links
 
-    small_batches(docs.sparkSession)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).filter("doc_id is not null").mapInArrow(run, "doc_id long, fps array<long>")
+
+def unit_links(min_similarity: float):
+    """Task over (unit, node, shingles) rows sorted by unit: (src, dst) links that span the classes of each unit."""
+
+    def whole(nodes: list[int], sets: list[np.ndarray]) -> Batches:
+        names = np.array(nodes, np.int64)
+        for a, b in similar_links(sets, min_similarity) if len(nodes) > 1 else []:
+            yield rows_to_batch(_PAIRS, [names[a], names[b]])
+
+    def run(batches: Batches) -> Batches:
+        unit, nodes, sets = None, [], []
+        for b in batches:
+            for u, n, x in zip(b.column("unit").to_pylist(), b.column("node").to_pylist(), b.column("shingles"), strict=True):
+                if u != unit:
+                    yield from whole(nodes, sets)
+                    unit, nodes, sets = u, [], []
+                nodes.append(n)
+                sets.append(x.values.to_numpy(zero_copy_only=False).copy())
+        yield from whole(nodes, sets)
+
+    return run
 
 
-def near_copies(docs: DataFrame, size: int = 5, count: int = SKETCHES, max_share: float = MAX_SHARE) -> DataFrame:
-    """(doc_id, component_id) by similarity of word shingles, 0.8 by default.
+def near_copies(docs: DataFrame, size: int = 5, min_similarity: float = MIN_SIMILARITY, small_posting: int = SMALL_POSTING, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """(doc_id, component_id) by similarity of the sets of word shingles: shared / all of both, 0.8 or more by default.
 
-    At that similarity a pair's fingerprints differ in some 7 to 10 bits, so one fingerprint and 4 bits would miss most.
-    Documents with equal fingerprints throughout are one node, the least of them. A pair of nodes is a candidate if it
-    meets in a posting of any of several independent fingerprints and shares enough bytes there; it is verified by
-    its differing bits over all fingerprints. Classes are connected components of what passes.
+    Documents with equal sets are one node. Nodes that share a band of minima meet in its posting. Every pair of a
+    posting of up to `small_posting` nodes is tested on the shingle sets by joins. The nodes of a larger one are dealt into
+    blocks of about `block` shingles, and each two blocks into a task that emits links which span the similar pairs there.
+    So each pair that meets is decided by its exact similarity at any size of posting. Classes are connected components.
     """
-    rows = checkpointed(sketches(docs, size, count))
-    nodes = checkpointed(rows.groupBy("fps").agg(F.min("doc_id").alias("node")))
-    single = nodes.select("node", F.posexplode("fps").alias("sketch", "fp"))
-    postings = single.select(F.explode(posting_keys(F.col("fp"), F.col("sketch"))).alias("posting"), "fp", "node")
-    links = links_of_postings(postings, "node", CANDIDATE_BITS, DENSE_RUN, CANDIDATE_BYTES, 8)
-    pairs = links.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).filter("src <> dst").distinct()
-    fps = nodes.dropDuplicates(["node"])
+    rows = checkpointed(banded(docs, size))
+    nodes = rows.groupBy("node", "size", "bands").agg(F.min("doc_id").alias("doc_id"))
+    nodes = checkpointed(nodes)
+    postings = nodes.select("node", "size", F.explode("bands").alias("posting"))
+    shared = postings.groupBy("posting").agg(F.count("*").alias("n"), F.sum("size").alias("total")).filter("n > 1")
+    members = checkpointed(postings.join(shared, "posting"))
+    left, right = (members.filter(F.col("n") <= small_posting).select("posting", F.col("node").alias(c), F.col("size").alias(f"{c}_size")) for c in ("src", "dst"))
+    fits = (F.col("src_size") >= F.col("dst_size") * (min_similarity - 1e-6)) & (F.col("dst_size") >= F.col("src_size") * (min_similarity - 1e-6))
+    pairs = checkpointed(left.join(right, "posting").filter((F.col("src") < F.col("dst")) & fits).select("src", "dst").distinct())
+    large = members.filter(F.col("n") > small_posting).select("posting", "node", F.ceil(F.col("total") / block).alias("blocks"))
+    needed = pairs.select(F.explode(F.array("src", "dst")).alias("node")).unionByName(large.select("node")).distinct()
+    sets = checkpointed(shingle_sets(docs, nodes.select("node", "doc_id").join(needed, "node", "left_semi"), size))
     for end in ("src", "dst"):
-        pairs = pairs.join(fps.select(F.col("node").alias(end), F.col("fps").alias(f"{end}_fps")), end)
-    differing = F.aggregate(F.zip_with("src_fps", "dst_fps", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    parts = connected_components(pairs.filter(differing <= int(max_share * 64 * count)).select("src", "dst"))
-    classes = nodes.join(parts, "node", "left").select("fps", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(classes, "fps").select("doc_id", "component_id")
+        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_shingles")), end)
+    both = F.size(F.array_intersect("src_shingles", "dst_shingles"))
+    tested = pairs.filter(both / (F.size("src_shingles") + F.size("dst_shingles") - both) >= min_similarity).select("src", "dst")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    units = large.select("posting", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    units = units.select(F.xxhash64("posting", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "node")
+    dealt = units.join(sets, "node").select("unit", "node", "shingles").repartition("unit").sortWithinPartitions("unit")
+    links = tested.unionByName(dealt.mapInArrow(unit_links(min_similarity), "src long, dst long"))
+    parts = connected_components(links)
+    classes = nodes.select("node", "doc_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.select("doc_id", "node").join(classes.select("node", "component").join(least, "component"), "node").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:

@@ -6,6 +6,8 @@ from collections import Counter
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
+import pytest
 from palimpsest.llm import secrets, simhash
 from tests.conftest import SMALL
 from tests.llm.test_operators import DDL, ODD, plain_quality, without_repeats
@@ -60,3 +62,44 @@ def test_hard_cases(spark):
             assert out.count() >= 0 and (k == 4 or out.columns == docs.columns)
     kept = corpus_pipeline.quality_stage(spark, docs, SMALL)
     assert {r.doc_id for r in kept.collect()} == {50, 51, 52}
+
+
+def exact_classes(texts):
+    """{doc_id: least doc_id} of the components of all pairs whose five-word shingle sets are similar by 0.8 or more."""
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(sorted(texts), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0:
+            root[max(top(i), top(j))] = min(top(i), top(j))
+    return {i: top(i) for i in texts}
+
+
+def edited(rng, words, n):
+    """words with n of them replaced."""
+    out = list(words)
+    for at in rng.choice(len(out), n, replace=False):
+        out[at] = f"e{rng.integers(1 << 40)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK_SHINGLES, 700])
+def test_hot_postings_lose_no_pair(spark, block):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(100)]
+    texts = {i: edited(rng, base, 1 + i % 4) for i in range(120)}
+    # Pairs near each other and far from the rest, which they meet in postings.
+    for k in range(20):
+        odd = edited(rng, base, 6).split(" ")
+        texts |= {1000 + 2 * k: " ".join(odd), 1001 + 2 * k: edited(rng, odd, 1)}
+    want = exact_classes(texts)
+    assert len(set(want.values())) > 10 and all(want[1001 + 2 * k] == want[1000 + 2 * k] for k in range(20))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert dict(simhash.near_copies(docs, small_posting=4, block=block).collect()) == want
+    assert dict(simhash.near_copies(docs, block=block).collect()) == want
+
