@@ -103,3 +103,17 @@ def test_hot_postings_lose_no_pair(spark, block):
     assert dict(simhash.near_copies(docs, small_posting=4, block=block).collect()) == want
     assert dict(simhash.near_copies(docs, block=block).collect()) == want
 
+
+def test_near_copies_like_brute_force(spark):
+    """Pairs at similarities all around 0.8, decided as by comparing all pairs: none missed, none too many."""
+    rng = np.random.default_rng(4)
+    texts, shares = {}, []
+    for k in range(250):
+        words = [f"w{k}x{i}" for i in range(int(rng.integers(60, 200)))]
+        texts |= {2 * k: " ".join(words), 2 * k + 1: edited(rng, words, max(1, round(len(words) * rng.uniform(0.012, 0.035))))}
+        a, b = (set(simhash.shingle_hashes(texts[i], 5).tolist()) for i in (2 * k, 2 * k + 1))
+        shares.append(len(a & b) / len(a | b))
+    assert sum(0.8 <= x < 0.85 for x in shares) > 40 and sum(0.75 <= x < 0.8 for x in shares) > 40
+    want = exact_classes(texts)
+    assert dict(simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()) == want
+
