@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import GOLDEN, Batches, checkpointed, mix, rows_to_batch, small_batches, texts_of
+from palimpsest.llm.common import GOLDEN, Batches, carried, checkpointed, mix, rows_to_batch, slices, texts_of
 from palimpsest.llm.components import connected_components
 
 SHINGLE, SEED, MAX_BITS, BYTES = 4, 42, 4, 8
@@ -84,10 +84,9 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> Data
     """(doc_id, fp) for each row."""
 
     def run(batches: Batches) -> Batches:
-        for b in batches:
+        for b in slices(batches):
             yield rows_to_batch(_ROWS, [b.column("doc_id"), [fingerprint(t, size, seed) for t in texts_of(b.column("text"))]])
 
-    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -223,7 +222,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, max_
 MIN_SIMILARITY, BANDS, BAND_MINIMA = 0.8, 24, 4
 #: Documents of a posting whose pairs are tested by joins; shingles of a block of a larger posting.
 SMALL_POSTING, BLOCK_SHINGLES = 8, 1 << 21
-_BANDED = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_BANDED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 _PAIRS = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
@@ -247,29 +246,35 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+NO_ID = (1 << 63) - 1  #: stands for a null doc_id: the last to stay
+
+
 def banded(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, node, size, bands): hash and size of the set of a document's shingles, and its band keys."""
+    """(doc_id, text_key, node, size, bands) of each row: hash and size of its set of shingles, and its band keys."""
 
     def run(batches: Batches) -> Batches:
-        for b in batches:
+        for b in slices(batches):
             sets = [np.unique(shingle_hashes(t, size)) for t in texts_of(b.column("text"))]
-            yield rows_to_batch(_BANDED, [b.column("doc_id"), [node_of(x) for x in sets], [len(x) for x in sets], [band_keys(x) for x in sets]])
+            yield rows_to_batch(_BANDED, [b.column("doc_id"), b.column("text_key"), [node_of(x) for x in sets], [len(x) for x in sets], [band_keys(x) for x in sets]])
+
+    return _with_keys(docs).mapInArrow(run, "doc_id long, text_key long, node long, size long, bands array<long>")
+
 
-    small_batches(docs.sparkSession)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).filter("doc_id is not null").mapInArrow(run, "doc_id long, node long, size long, bands array<long>")
+def _with_keys(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(docs["text"], F.lit(""))
+    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
 def shingle_sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the chosen (node, doc_id); rows of the doc_id with another text give nothing."""
+    """(node, shingles) of the chosen (node, doc_id, text_key)."""
 
     def run(batches: Batches) -> Batches:
-        for b in batches:
+        for b in slices(batches):
             sets = [np.unique(shingle_hashes(t, size)) for t in texts_of(b.column("text"))]
             own = [(n, x.view(np.int64)) for n, x in zip(b.column("node").to_pylist(), sets, strict=True) if node_of(x) == n]
             yield rows_to_batch(_SETS, [[n for n, _ in own], [x for _, x in own]])
 
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return texts.join(chosen, "doc_id").select("node", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    return _with_keys(docs).join(chosen, ["doc_id", "text_key"]).select("node", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def similar_links(sets: list[np.ndarray], min_similarity: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -307,7 +312,7 @@ def unit_links(min_similarity: float):
 
     def run(batches: Batches) -> Batches:
         unit, nodes, sets = None, [], []
-        for b in batches:
+        for b in slices(batches):
             for u, n, x in zip(b.column("unit").to_pylist(), b.column("node").to_pylist(), b.column("shingles"), strict=True):
                 if u != unit:
                     yield from whole(nodes, sets)
@@ -319,8 +324,10 @@ def unit_links(min_similarity: float):
     return run
 
 
-def near_copies(docs: DataFrame, size: int = 5, min_similarity: float = MIN_SIMILARITY, small_posting: int = SMALL_POSTING, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """(doc_id, component_id) by similarity of the sets of word shingles: shared / all of both, 0.8 or more by default.
+def copy_classes(docs: DataFrame, size: int = 5, min_similarity: float = MIN_SIMILARITY, small_posting: int = SMALL_POSTING, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """(doc_id, text_key, least) of each row, least being the struct(doc_id, text_key) that comes first in its class.
+
+    Two documents are similar by the sets of their word shingles: shared / all of both, 0.8 or more by default.
 
     Documents with equal sets are one node. Nodes that share a band of minima meet in its posting. Every pair of a
     posting of up to `small_posting` nodes is tested on the shingle sets by joins. The nodes of a larger one are dealt into
@@ -328,7 +335,7 @@ def near_copies(docs: DataFrame, size: int = 5, min_similarity: float = MIN_SIMI
     So each pair that meets is decided by its exact similarity at any size of posting. Classes are connected components.
     """
     rows = checkpointed(banded(docs, size))
-    nodes = rows.groupBy("node", "size", "bands").agg(F.min("doc_id").alias("doc_id"))
+    nodes = rows.groupBy("node", "size", "bands").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
     nodes = checkpointed(nodes)
     postings = nodes.select("node", "size", F.explode("bands").alias("posting"))
     shared = postings.groupBy("posting").agg(F.count("*").alias("n"), F.sum("size").alias("total")).filter("n > 1")
@@ -338,7 +345,7 @@ def near_copies(docs: DataFrame, size: int = 5, min_similarity: float = MIN_SIMI
     pairs = checkpointed(left.join(right, "posting").filter((F.col("src") < F.col("dst")) & fits).select("src", "dst").distinct())
     large = members.filter(F.col("n") > small_posting).select("posting", "node", F.ceil(F.col("total") / block).alias("blocks"))
     needed = pairs.select(F.explode(F.array("src", "dst")).alias("node")).unionByName(large.select("node")).distinct()
-    sets = checkpointed(shingle_sets(docs, nodes.select("node", "doc_id").join(needed, "node", "left_semi"), size))
+    sets = checkpointed(shingle_sets(docs, nodes.select("node", "first.*").join(needed, "node", "left_semi"), size))
     for end in ("src", "dst"):
         pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_shingles")), end)
     both = F.size(F.array_intersect("src_shingles", "dst_shingles"))
@@ -349,15 +356,23 @@ def near_copies(docs: DataFrame, size: int = 5, min_similarity: float = MIN_SIMI
     dealt = units.join(sets, "node").select("unit", "node", "shingles").repartition("unit").sortWithinPartitions("unit")
     links = tested.unionByName(dealt.mapInArrow(unit_links(min_similarity), "src long, dst long"))
     parts = connected_components(links)
-    classes = nodes.select("node", "doc_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.select("doc_id", "node").join(classes.select("node", "component").join(least, "component"), "node").select("doc_id", "component_id")
+    classes = nodes.select("node", "first").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = classes.groupBy("component").agg(F.min("first").alias("least"))
+    return rows.select("doc_id", "text_key", "node").join(classes.select("node", "component").join(least, "component"), "node").select("doc_id", "text_key", "least")
+
+
+def near_copies(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, component_id) of each row: the least doc_id of its class of near copies."""
+    named = lambda c: F.nullif(c, F.lit(NO_ID))
+    return copy_classes(docs, **options).select(named(F.col("doc_id")).alias("doc_id"), named(F.col("least.doc_id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs less every row whose doc_id is not the least of its class of near copies, all columns kept.
+    """docs less every row that is not the first of its class of near copies by doc_id, then text; all columns kept.
 
-    Rows that share a doc_id are one document and stay or go together; rows without one stay.
+    Rows of one doc_id with other texts are judged apart; rows equal in both are one document and stay or go together.
+    Rows without a doc_id come last.
     """
-    copies = near_copies(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, docs["doc_id"] == F.col("_copy"), "left_anti")
+    copies = copy_classes(docs, **options).filter(F.struct("doc_id", "text_key") != F.col("least")).select("doc_id", "text_key").distinct()
+    keyed = carried(docs).withColumns({"doc_id": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)), "text_key": F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))})
+    return keyed.join(copies, ["doc_id", "text_key"], "left_anti").select("row.*")
