@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Batches, checkpointed, rows_to_batch, small_batches, texts_of
+from palimpsest.llm.common import Batches, checkpointed, rows_to_batch, slices, texts_of
 
 CAPACITY, END_ID = 2048, 0
 #: Fixed value: the vocabulary's one special token and its id.
@@ -103,12 +103,11 @@ def token_pieces(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY) ->
 
     def run(batches: Batches) -> Batches:
         encoder = Encoder(ranks_path)
-        for b in batches:
+        for b in slices(batches):
             ids = b.column("doc_id").to_pylist()
             rows = [(i, *p) for i, t in zip(ids, texts_of(b.column("text")), strict=True) for p in pieces_of(encoder.ids(t), capacity)]
             yield rows_to_batch(_PIECES, [list(c) for c in zip(*rows, strict=True)] or [[]] * 5)
 
-    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

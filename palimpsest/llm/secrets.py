@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from palimpsest.llm.common import Batches, as_bytes, rows_to_batch, small_batches, texts_of
+from palimpsest.llm.common import Batches, as_bytes, carried, retexted, rows_to_batch, slices, texts_in, texts_of
 
 
 @dataclass(frozen=True)
@@ -138,7 +138,7 @@ _REPORT = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_acces
 
 def _report(batches: Batches) -> Batches:
     n = len(BASE_RULES)
-    for b in batches:
+    for b in slices(batches):
         found = segment_spans(b.column("text"))
         counts = [[sum(k == kind for _, k, _ in x) for x in found] for kind in range(n)]
         base = [hashlib.sha256(join_spans([s for s in x if s[1] < n], RULES).encode()).hexdigest() for x in found]
@@ -147,7 +147,6 @@ def _report(batches: Batches) -> Batches:
 
 def secret_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans; one row per row of docs."""
-    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(_report, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
@@ -163,15 +162,10 @@ def redact(text: str, spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """docs with secrets of every text replaced by markers, and n_chars (where it is a column) made to fit; null stays null."""
-    names = docs.columns
-    small_batches(docs.sparkSession)
 
     def clean(batches: Batches) -> Batches:
-        for b in batches:
-            column = b.column(names.index("text"))
-            found = segment_spans(column)
-            texts = [t and redact(t, x) for t, x in zip(column.to_pylist(), found, strict=True)]
-            out = [pa.array(texts, type=f.type) if f.name == "text" else pa.array([None if t is None else len(t) for t in texts], type=f.type) if f.name == "n_chars" else b.column(i) for i, f in enumerate(b.schema)]
-            yield pa.RecordBatch.from_arrays(out, schema=b.schema)
-
-    return docs.mapInArrow(clean, docs.schema)
+        for b in slices(batches):
+            column = texts_in(b)
+            yield retexted(b, [t and redact(t, x) for t, x in zip(column.to_pylist(), segment_spans(column), strict=True)])
+
+    return carried(docs).mapInArrow(clean, docs.schema)

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from palimpsest.llm.common import GOLDEN, U64, Batches, mix, rows_to_batch, small_batches, texts_of
+from palimpsest.llm.common import GOLDEN, U64, Batches, mix, rows_to_batch, slices, texts_of
 
 SPACE = "▁"
 _DENSE = 128  #: characters with a row of their own in the transition table
@@ -384,7 +384,7 @@ def sampled_segmentations(docs: DataFrame, model_path: str, options: SampleOptio
 
     def run(batches: Batches) -> Batches:
         vocab = vocabulary(model_path, options.weights, options.theta)
-        for b in batches:
+        for b in slices(batches, 400):
             texts, ids = texts_of(b.column("text")), b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
             with np.errstate(over="ignore"):
                 keys = mix(np.ascontiguousarray(ids).view(np.uint64) + U64(options.seed) * GOLDEN)
@@ -399,5 +399,4 @@ def sampled_segmentations(docs: DataFrame, model_path: str, options: SampleOptio
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(np.concatenate(pieces), pa.int32()))
                 yield rows_to_batch(_SAMPLES, [b.column("doc_id").take(pa.array(n)), list(r), list(size), list(log_prob), list(value), list(inclusion), lists, list(crc), list(same)])
 
-    small_batches(docs.sparkSession, 400)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, _SAMPLES_DDL)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import U64, Batches, as_bytes, checkpointed, mix, rows_to_batch, small_batches
+from palimpsest.llm.common import U64, Batches, as_bytes, carried, checkpointed, mix, retexted, rows_to_batch, slices, texts_in
 
 LENGTH, GRAM, CHUNK = 200, 48, 1 << 18
 NO_ID = -(1 << 63)  #: stands for a null doc_id in joins
@@ -136,7 +136,7 @@ def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 def _runs(batches: Batches) -> Batches:
     """Runs of a batch. Run values that repeat within it are decided here: one witness of weight 2 goes on, and
     their windows leave as merged intervals of weight 0, so hot passages and periodic texts shrink before the shuffle."""
-    for b in batches:
+    for b in slices(batches):
         row, start, windows, anchor, run = runs_of(*as_bytes(b.column("text")))
         order = np.lexsort((run, anchor))
         same = (anchor[order[1:]] == anchor[order[:-1]]) & (run[order[1:]] == run[order[:-1]])
@@ -161,7 +161,7 @@ _CONTEXTS = pa.schema([("anchor", pa.int64()), ("weight", pa.int32()), ("doc_id"
 
 def _contexts(batches: Batches) -> Batches:
     """The bytes of each asked run."""
-    for b in batches:
+    for b in slices(batches):
         rows = []
         for i, k, text, asked in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text_key", "text", "asked")), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
@@ -226,7 +226,7 @@ _WINDOWS = pa.schema([("anchor", pa.int64()), ("window", pa.int64()), ("weight",
 
 
 def _each_window(batches: Batches) -> Batches:
-    for b in batches:
+    for b in slices(batches):
         if not b.num_rows:
             continue
         owner, place, wh = _windows_of(b.column("context").to_pylist())
@@ -243,7 +243,6 @@ def repeated_spans(docs: DataFrame, group_limit: int = 20_000) -> tuple[DataFram
 
     Anchors with up to group_limit different runs are settled within a task; larger ones window by window.
     """
-    small_batches(docs.sparkSession)
     keyed = _keyed(docs, F.coalesce(docs["text"], F.lit("")))
     runs = keyed.filter(F.octet_length("text") >= LENGTH).mapInArrow(_runs, _RUNS_DDL)
     parted = runs.withColumn("dealt", F.when(F.col("weight") == 0, F.xxhash64("doc_id", "start")).otherwise(F.col("anchor")))
@@ -287,7 +286,7 @@ _REPORT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_remove
 
 
 def _report(batches: Batches) -> Batches:
-    for b in batches:
+    for b in slices(batches):
         out = []
         for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
@@ -310,15 +309,11 @@ def repeat_report(docs: DataFrame, group_limit: int = 20_000) -> DataFrame:
 def remove_repeats(docs: DataFrame, group_limit: int = 20_000) -> DataFrame:
     """docs with the repeated bytes cut from every text, other columns kept and n_chars (where it is a column) made to fit."""
     _, spans = repeated_spans(docs, group_limit)
-    keyed = docs.withColumn("_doc_id", F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))).withColumn("_text_key", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    found = _by_document(spans).withColumnsRenamed({"doc_id": "_found_id", "text_key": "_found_key", "spans": "_spans"})
-    both = keyed.join(found, (F.col("_text_key") == F.col("_found_key")) & (F.col("_doc_id") == F.col("_found_id")), "left").select(*docs.columns, "_spans")
-    names, schema = docs.columns, docs.schema
+    keyed = carried(docs).withColumns({"doc_id": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)), "text_key": F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))})
 
     def cut(batches: Batches) -> Batches:
-        for b in batches:
-            texts = [t if not s else _kept(t.encode("utf-8", "surrogatepass"), s)[0].decode("utf-8", "ignore") for t, s in zip(b.column(names.index("text")).to_pylist(), b.column(len(names)).to_pylist(), strict=True)]
-            columns = {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if f.name in columns else b.column(i) for i, f in enumerate(b.schema) if i < len(names)], names=names)
+        for b in slices(batches):
+            own = zip(texts_in(b).to_pylist(), b.column("spans").to_pylist(), strict=True)
+            yield retexted(b, [_kept(t.encode("utf-8", "surrogatepass"), s)[0].decode("utf-8", "ignore") if s else t for t, s in own])
 
-    return both.mapInArrow(cut, schema)
+    return keyed.join(_by_document(spans), ["doc_id", "text_key"], "left").select("row", "spans").mapInArrow(cut, docs.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Batches, checkpointed, rows_to_batch, small_batches, texts_of
+from palimpsest.llm.common import Batches, checkpointed, rows_to_batch, slices, texts_of
 
 _WORD_BYTES = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -101,7 +101,7 @@ def training_documents(docs: DataFrame, labels: DataFrame, options: ToxicityOpti
     """(doc_id, kind, part) of the sample, near copies thinned; kind is the label, part 0 to 3. No text is shuffled."""
 
     def signed(batches: Batches) -> Batches:
-        for b in batches:
+        for b in slices(batches):
             texts = texts_of(b.column("text"))
             yield rows_to_batch(_SIGNED, [b.column("doc_id"), b.column("toxic"), [_signature(t, 1) for t in texts], [_signature(t, 2) for t in texts]])
 
@@ -119,7 +119,7 @@ def _counted(bits: int, kinds: int, by_document: bool):
 
     def run(batches: Batches) -> Batches:
         total, rows = np.zeros((kinds, 1 << bits), np.int64), np.zeros(kinds, np.int64)
-        for b in batches:
+        for b in slices(batches):
             kind = b.column("kind").to_pylist() if "kind" in b.schema.names else [0] * b.num_rows
             for t, k in zip(texts_of(b.column("text")), kind, strict=True):
                 own = tokens(t, bits)
@@ -219,7 +219,6 @@ _FOUND = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("n_tokens", pa.
 
 
 def fit(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = ToxicityOptions()) -> ToxicityModel:
-    small_batches(docs.sparkSession)
     bits = options.bits
     corpus, _ = _gathered(docs.select("text").mapInArrow(_counted(bits, 1, False), "bucket long, kind int, n long"), bits, 1)
     sample = checkpointed(training_documents(docs, labels, options))
@@ -228,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = ToxicityO
     model = ToxicityModel(scores, solve_lambda(scores, corpus[0]), 1.0, 0.0, 0.0, options)
 
     def segments(batches: Batches) -> Batches:
-        for b in batches:
+        for b in slices(batches):
             found = [model.passages(t) for t in texts_of(b.column("text"))]
             yield rows_to_batch(_FOUND, [b.column("kind"), b.column("part").cast(pa.int32()), [n for _, n in found], [[s for _, _, s in x] for x, _ in found]])
 
@@ -251,7 +250,7 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, options: ToxicityOptions
     model = fit(docs, labels, options)
 
     def run(batches: Batches) -> Batches:
-        for b in batches:
+        for b in slices(batches):
             found = [model.evidence(t) for t in texts_of(b.column("text"))]
             evidence = np.array([x for x, _ in found])
             score = model.probability(evidence)

@@ -35,6 +35,27 @@ def odd(spark):
     return spark.createDataFrame(ODD, DDL).withColumns({"row_key": F.lit("k"), "text_key": F.lit("t"), "spans": F.lit(1), "salt": F.lit(2), "fp": F.lit(3), "rank": F.lit(4), "kind": F.lit("z"), "host": F.lit("h")})
 
 
+HELPERS = ("row", "text_key", "host", "lost", "kept", "_doc_id", "_text_key", "_spans", "_copy", "_bad_id", "_bad_text", "_found_id", "_found_key", "node", "least", "first", "spans")
+
+
+@pytest.mark.parametrize("keep", [quality.keep_good, simhash.drop_near_copies, suffixes.remove_repeats, secrets.redact_secrets])
+def test_columns_named_as_helpers_are_kept(spark, keep):
+    """Each column comes back as it went in, whatever it is called."""
+    from pyspark.sql import functions as F
+
+    words = " ".join(f"word{i} of a text" for i in range(30))
+    table = spark.createDataFrame([(1, words, "s"), (5, words, "s"), (5, words.replace("word", "other"), "s"), (None, words, None)], "doc_id long, text string, source string").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in HELPERS} | {"a b.c": F.lit(7)})
+    rows = keep(table).collect()
+    assert rows and all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in rows for c in HELPERS) and all(r["a b.c"] == 7 for r in rows)
+
+
+def test_of_near_copies_the_first_stays(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    rows = [(1, a), (5, a), (5, b), (7, b + " more"), (None, a), (None, "alone " + b[::-1]), (9, a), (9, a + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, simhash.drop_near_copies(docs).collect())) == Counter([(1, a), (5, b), (None, "alone " + b[::-1])])
+
+
 @pytest.fixture(scope="module")
 def none(odd):
     return odd.limit(0)
@@ -418,6 +439,46 @@ def test_quality_like_plain_rules(spark, docs, odd, none):
     assert quality.keep_good(odd).columns == odd.columns and {r.doc_id for r in quality.keep_good(odd).collect()} == set()
 
 
+def plain_boilerplate(rows, rules):
+    """(row -> lines to remove) by comparing whole sets of normalised lines."""
+    plain = lambda x: " ".join(re.sub("[0-9]", "0", x.lower()).split())
+    docs = [frozenset(plain(x) for x in (t or "").split("\n") if plain(x)) for _, t, _ in rows]
+    hosts, held = Counter(h or "" for _, _, h in rows), defaultdict(set)
+    for d, (_, _, h) in zip(docs, rows, strict=True):
+        for x in d:
+            held[h or "", x].add(d)
+    limit = lambda h: min(max(rules.line_docs, rules.line_share * hosts[h]), rules.line_docs_most)
+    common = {k for k, v in held.items() if len(v) > limit(k[0])}
+    return [{x for x in d if (h or "", x) in common} for d, (_, _, h) in zip(docs, rows, strict=True)], plain
+
+
+@pytest.mark.parametrize("shared", [5, 12, 40])
+def test_line_frequency_like_brute_force(spark, shared):
+    """Documents with many common lines, copies, copies but for digits and case, one text in two hosts, and one doc_id twice."""
+    rng = np.random.default_rng(shared)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdeéß"), 5)) for _ in range(n))
+    lines = [words(int(rng.integers(1, 9))) for _ in range(shared)]
+    rows = [(i, "\n".join([*rng.permutation(lines)[: int(rng.integers(1, shared + 1))], words(int(rng.integers(5, 40))), "", " page 17 of 20 "]), "h") for i in range(90)]
+    rows += [(300 + i, lines[0].upper() + "\n" + words(30).replace("a", str(i % 10)), "h") for i in range(30)]
+    rows += [(400 + i, rows[i % 3][1], "h") for i in range(60)] + [(500 + i, rows[i][1], "other") for i in range(25)] + [(rows[0][0], words(30), None), (600, None, "h"), (601, "", None), (None, rows[1][1], "h")]
+    rules = quality.QualityRules(line_docs=20, line_share=0.05, line_docs_most=60)
+    lost, plain = plain_boilerplate(rows, rules)
+    want, kept = Counter(), Counter()
+    for (i, t, h), gone in zip(rows, lost, strict=True):
+        q = plain_quality(t or "")
+        own = [x for x in (t or "").split("\n") if plain(x)]
+        n = sum(len(x.split()) for x in own if plain(x) in gone)
+        good = q[0] >= 20 and 100 * q[4] <= 30 * q[0] and q[0] - n >= 20
+        want[i, h or "", n, len(gone), good] += 1
+        if good:
+            left = "\n".join(x for x in t.split("\n") if plain(x) not in gone)
+            kept[i, left, h, len(left)] += 1
+    table = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, source string, n_chars long")
+    got = Counter((r.doc_id, r.host, r.n_boilerplate_words, r.n_boilerplate_lines, r.kept) for r in quality.line_report(table, rules).collect())
+    assert got == want and sum(n for k, n in want.items() if k[3] > 0) > 50
+    assert Counter(map(tuple, quality.keep_good(table, rules).collect())) == kept
+
+
 def test_boilerplate_is_counted_once_per_content(spark):
     rng = np.random.default_rng(11)
     words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
