@@ -3,8 +3,10 @@
 Documents are token sequences that end with id 0; longer ones than the capacity are cut, the first piece taking
 the remainder. Full pieces are sequences of their own. For the rest only the histogram of lengths (fewer entries
 than the capacity) goes to the driver. For each length from the longest, the gap it leaves is looked up among
-available single lengths, then pairs, then triples that sum to it; what fills gaps exactly is consumed as often as
-counts allow, as one pattern with a multiplicity. Residuals are then placed best-fit, longest first. The plan is
+available single lengths; then, again from the longest, among pairs and last among triples that sum to it, large parts
+first. What fills gaps exactly is consumed as often as counts allow, as one pattern with a multiplicity. Residuals
+are then placed best-fit, longest first. Pairs and triples spend short lengths that the residuals may need more: the
+last ones are given back for as long as that saves sequences (a single complement never costs one). The plan is
 a table of (length, first rank, sequence, offset) intervals; pieces find their place by their rank within their length.
 
 Ranks come from counts per (length, salt), so that no task holds all pieces of one common length.
@@ -144,26 +146,30 @@ def _fillers(counts: np.ndarray, gap: int, size: int):
                     yield a, x, rest - x
 
 
-def _packed(histogram: dict[int, int], capacity: int, sizes: tuple[int, ...]) -> list[tuple[tuple[int, ...], int]]:
-    """Exact complements of the given sizes, then best fit, as (lengths, how many sequences) patterns."""
-    counts = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        counts[length] = n
-    patterns: list[tuple[tuple[int, ...], int]] = []
+Patterns = list[tuple[tuple[int, ...], int]]  #: (lengths, how many sequences)
+
+
+def _complements(counts: np.ndarray, capacity: int, size: int) -> Patterns:
+    """Exact complements of `size` lengths for each length from the longest; what they use leaves counts."""
+    patterns: Patterns = []
     for longest in range(capacity, 0, -1):
         gap = capacity - longest
-        for size in sizes:
-            if not counts[longest] or gap < size:
+        if not counts[longest] or gap < size:
+            continue
+        for parts in _fillers(counts, gap, size):
+            # a filler may hold the longest length itself
+            if _usable(counts, (longest, *parts)) > 0:
+                patterns.append(((longest, *parts), _take(counts, (longest, *parts))))
+            if not counts[longest]:
                 break
-            for parts in _fillers(counts, gap, size):
-                # a filler may hold the longest length itself
-                if _usable(counts, (longest, *parts)) > 0:
-                    patterns.append(((longest, *parts), _take(counts, (longest, *parts))))
-                if not counts[longest]:
-                    break
-    open_bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    return patterns
+
+
+def _best_fit(counts: np.ndarray, capacity: int) -> Patterns:
+    """Lengths from the longest, each into the fullest sequence that still holds it."""
+    open_bins: dict[int, Patterns] = {}
     gaps = np.zeros(capacity + 1, np.int64)
-    for length in range(capacity, 0, -1):
+    for length in np.flatnonzero(counts)[::-1].tolist():
         left = int(counts[length])
         while left:
             fitting = np.flatnonzero(gaps[length:])
@@ -180,17 +186,41 @@ def _packed(histogram: dict[int, int], capacity: int, sizes: tuple[int, ...]) ->
             left -= m
             open_bins.setdefault(gap - length, []).append(((*parts, length), m))
             gaps[gap - length] += m
-    return patterns + [x for bins in open_bins.values() for x in bins]
-
+    return [x for bins in open_bins.values() for x in bins]
 
-def pack_lengths(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, how many sequences) patterns for a histogram of lengths below the capacity.
 
-    Triples and pairs spend short lengths that best fit may need more; so the plan with all three sizes is set against
-    those with fewer, and the one with the fewest sequences is taken.
-    """
-    plans = [_packed(histogram, capacity, sizes) for sizes in ((1, 2, 3), (1, 2), (1,))]
-    return min(plans, key=lambda p: sum(m for _, m in p))
+def pack_lengths(histogram: dict[int, int], capacity: int = CAPACITY) -> Patterns:
+    """Patterns for a histogram of lengths below the capacity."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        counts[length] = n
+    singles = _complements(counts, capacity, 1)
+    free = counts.copy()
+    combined = [*_complements(counts, capacity, 2), *_complements(counts, capacity, 3)]
+    number = lambda patterns: sum(m for _, m in patterns)
+
+    def residual(k: int) -> tuple[int, Patterns]:
+        """Sequences of the first k combinations and the rest, and the rest as placed."""
+        left = free.copy()
+        for parts, m in combined[:k]:
+            for p in parts:
+                left[p] -= m
+        rest = _best_fit(left, capacity)
+        return number(combined[:k]) + number(rest), rest
+
+    keep, (best, rest) = len(combined), residual(len(combined))
+    low, high = 0, len(combined)  # fewest combinations, and most, that may still be the ones to keep
+    least, all_back = residual(0)
+    if least < best:
+        keep, best, rest = 0, least, all_back
+        while high - low > 1:
+            k = (low + high) // 2
+            total, placed = residual(k)
+            if total <= best:
+                low, keep, best, rest = k, k, total, placed
+            else:
+                high = k
+    return [*singles, *combined[:keep], *rest]
 
 
 def interval_table(patterns: list[tuple[tuple[int, ...], int]], base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
