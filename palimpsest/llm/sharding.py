@@ -2,12 +2,13 @@
 
 Groups (rows of equal text) are the items; each is a vector (bytes, tokens, rows). Level 1: groups are dealt to
 buckets by hash, and in each bucket every group goes, largest first, to the local bin whose residual capacity has the
-highest dot product with the group's vector. Level 2: the local bins of all buckets (at most 8 x 4096) and
-the split parts of oversized groups are placed on the shards by the same rule, and last some 2000 single groups,
-set aside by hash, by their bytes alone, which levels what the bins left uneven. Level 1 runs in parallel;
-only bin totals and the groups set aside come to the driver.
+highest dot product with the group's vector. Level 2 places, by the same rule: the local bins of all buckets (at most
+32 x 1024), groups of over half a shard, and a share of single groups set aside by hash (an eighth of them, and no more
+than about 2000), which come late as they are small. Last, small items are moved or exchanged between two shards
+for as long as that lessens their weighted squares of residual capacity. Level 1 runs in parallel; only bin totals and the
+groups set aside come to the driver.
 
-A group over half a shard's capacity in any dimension cannot keep the law; it is split by row key into parts of
+A group over a shard's capacity in any dimension cannot keep the law; it is split by row key into parts of
 about an eighth of a shard. All other groups stay whole.
 
 Defined cases. Null or empty text: size 1, crc32 0; all such rows are one group. Repeated rows: rows of one group.
@@ -25,36 +26,64 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import checkpointed
 
 SHARDS = 8
-GROUPS_PER_BUCKET, MAX_BUCKETS, LEVELLERS, ROWS_PER_SALT = 500, 4096, 2000, 50_000
+LOCAL_BINS, GROUPS_PER_BUCKET, MAX_BUCKETS, ASIDE_SHARE, ASIDE_MOST, ROWS_PER_SALT = 32, 500, 1024, 8, 2000, 50_000
 _DIMENSIONS = ["bytes", "tokens", "rows"]
 _WEIGHTS = np.array([4.0, 1.0, 1.0])  #: in the dot product; the law is on bytes
 
 
-def place(items: np.ndarray, capacity: np.ndarray, bins: int, levellers: int = 0) -> np.ndarray:
-    """Bin of each item, largest first, where the dot product of item and residual capacity is highest; ties to the
-    lower bin. The last `levellers` items come after all others and look at the first dimension only."""
+def place(items: np.ndarray, capacity: np.ndarray, bins: int) -> np.ndarray:
+    """Bin of each item, largest first, where the dot product of item and residual capacity is highest; ties to the lower bin."""
     vectors = items / np.where(capacity > 0, capacity, 1.0)
+    weighted = vectors * _WEIGHTS
     residual = np.ones((bins, items.shape[1]))
     out = np.zeros(len(items), np.int64)
-    last = np.arange(len(items)) >= len(items) - levellers
-    for i in np.lexsort((np.arange(len(items)), -vectors[:, 0], last)).tolist():
-        k = int(np.argmax(residual[:, 0] if last[i] else residual @ (vectors[i] * _WEIGHTS)))
+    for i in np.lexsort((np.arange(len(items)), -weighted.sum(axis=1))).tolist():
+        k = int(np.argmax(residual @ weighted[i]))
         residual[k] -= vectors[i]
         out[i] = k
     return out
 
 
+def levelled(items: np.ndarray, placed: np.ndarray, capacity: np.ndarray, bins: int, rounds: int = 2000, smallest: int = 256) -> np.ndarray:
+    """placed after moves and exchanges of the `smallest` items of two bins, the fullest first, that lessen the weighted squares of residuals."""
+    vectors = np.concatenate((items / np.where(capacity > 0, capacity, 1.0), np.zeros((1, items.shape[1]))))  # last: no item, for moves
+    placed, none = placed.copy(), len(items)
+    weight = vectors @ _WEIGHTS
+    used = np.stack([vectors[:none][placed == k].sum(axis=0) for k in range(bins)]) * _WEIGHTS**0.5
+    scaled = vectors * _WEIGHTS**0.5
+    small = [[*sorted(np.flatnonzero(placed == k).tolist(), key=weight.__getitem__)[:smallest], none] for k in range(bins)]
+    for _ in range(rounds):
+        order = np.argsort(-used.sum(axis=1), kind="stable").tolist()
+        for a, b in sorted(((order[i], order[j]) for i in range(bins) for j in range(i + 1, bins)), key=lambda x: -float(((used[x[0]] - used[x[1]]) ** 2).sum())):
+            gap = used[a] - used[b]
+            x, y = scaled[small[a]], scaled[small[b]]
+            moved = x[:, None] - y[None]
+            gain = moved @ gap - (moved**2).sum(axis=2)
+            i, j = np.unravel_index(int(np.argmax(gain)), gain.shape)
+            if gain[i, j] > 1e-12:
+                p, q = small[a][i], small[b][j]
+                used[a] -= moved[i, j]
+                used[b] += moved[i, j]
+                for item, now, then in ((p, a, b), (q, b, a)):
+                    if item != none:
+                        placed[item] = then
+                        small[now].remove(item)
+                        small[then].append(item)
+                break
+        else:
+            break
+    return placed
+
+
 def _local_bins(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["bytes", "text_key", "text_crc32"], ascending=[False, True, True], kind="stable")
     items = pdf[_DIMENSIONS].to_numpy(float)
-    pdf["bin"] = pdf["bucket"] * SHARDS + place(items, items.sum(axis=0) / SHARDS, SHARDS)
+    pdf["bin"] = pdf["bucket"] * LOCAL_BINS + place(items, items.sum(axis=0) / LOCAL_BINS, LOCAL_BINS)
     return pdf[["text_key", "text_crc32", "bytes", "tokens", "rows", "bin"]]
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard; one row per row of docs."""
-    if shards != SHARDS:
-        raise ValueError(f"local bins are made for {SHARDS} shards")
     spark = docs.sparkSession
     text = F.coalesce(docs["text"], F.lit(""))
     rows = checkpointed(
@@ -68,18 +97,18 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     capacity = np.array([float(total[c]) / shards for c in _DIMENSIONS])
     ratio = F.greatest(*(F.col(c) / max(x, 1.0) for c, x in zip(_DIMENSIONS, capacity, strict=True)))
     # Groups over half a shard: fewer than 2 x shards in each dimension, so at most 48 rows.
-    wide = groups.filter(ratio > 0.5).select("text_key", "text_crc32", F.ceil(8 * ratio).cast("long").alias("parts"))
+    wide = groups.filter(ratio > 0.5).select("text_key", "text_crc32", F.when(ratio > 1, F.ceil(8 * ratio)).otherwise(1).cast("long").alias("parts"))
     wide = spark.createDataFrame(wide.collect(), "text_key long, text_crc32 long, parts long")
     parted = rows.join(F.broadcast(wide), ["text_key", "text_crc32"]).withColumn("part", F.pmod(F.xxhash64("row_key"), F.col("parts")))
     part_totals = parted.groupBy("text_key", "text_crc32", "part").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).toPandas()
     buckets = int(np.clip(total["groups"] // GROUPS_PER_BUCKET, 1, MAX_BUCKETS))
-    aside = F.pmod(F.xxhash64("text_key", "text_crc32"), F.lit(max(1, int(total["groups"]) // LEVELLERS))) == 0
+    aside = F.pmod(F.xxhash64("text_key", "text_crc32"), F.lit(max(ASIDE_SHARE, int(total["groups"]) // ASIDE_MOST))) == 0
     narrow = groups.filter(ratio <= 0.5)
-    singles = narrow.filter(aside).toPandas()  # about LEVELLERS rows
+    singles = narrow.filter(aside).toPandas()  # about ASIDE_MOST rows at most
     bins = checkpointed(narrow.filter(~aside).withColumn("bucket", F.pmod("text_key", F.lit(buckets))).groupBy("bucket").applyInPandas(_local_bins, "text_key long, text_crc32 long, bytes long, tokens long, rows long, bin long"))
-    bin_totals = bins.groupBy("bin").agg(*(F.sum(c).alias(c) for c in _DIMENSIONS)).toPandas()  # at most shards x MAX_BUCKETS rows
+    bin_totals = bins.groupBy("bin").agg(*(F.sum(c).alias(c) for c in _DIMENSIONS)).toPandas()  # at most LOCAL_BINS x MAX_BUCKETS rows
     items = np.concatenate([x[_DIMENSIONS].to_numpy(float) for x in (part_totals, bin_totals, singles)])
-    placed = place(items, capacity, shards, len(singles)).tolist()
+    placed = levelled(items, place(items, capacity, shards), capacity, shards).tolist()
     n, m = len(part_totals), len(part_totals) + len(bin_totals)
     local = lambda pdf, names, own, ddl: spark.createDataFrame([(*map(int, r), s) for r, s in zip(pdf[names].itertuples(index=False), own, strict=True)], ddl)
     of_part = local(part_totals, ["text_key", "text_crc32", "part"], placed[:n], "text_key long, text_crc32 long, part long, shard int")
