@@ -1,7 +1,8 @@
 """Secret scans through a trigram inverted index.
 
-Each rule is an OR of AND-lists of literals that every match must hold; the literals' trigrams (over ASCII
-lower case) make a Boolean query. Every Arrow batch of documents is one index segment, as in code search: one
+Each rule's regular expression is parsed, and a Boolean query over trigrams (of ASCII lower case) is derived from the
+tree: parts that match few strings are spelled out and joined with their neighbours, each spelled string asks for all
+its trigrams, sequences ask for all of their parts and branches for one. Every text with a match answers it. Every Arrow batch of documents is one index segment, as in code search: one
 pass over its bytes builds the postings of the needed trigrams (their number is fixed by the rules),
 intersections and unions of postings answer the queries, and only the candidates are run through the regular
 expression. A rule without a mandatory trigram scans every text.
@@ -15,9 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import product
+from re import _constants, _parser  # the standard library's own reading of a pattern
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +30,10 @@ from palimpsest.llm.common import Batches, as_bytes, carried, retexted, rows_to_
 
 @dataclass(frozen=True)
 class Rule:
-    """kind, pattern; need: alternatives of literals that a match must hold; least: characters of `group`."""
+    """kind, pattern; least: characters of `group`."""
 
     kind: str
     pattern: str
-    need: tuple[tuple[str, ...], ...] = ()
     group: int = 0
     least: int = 1
     any_case: bool = False
@@ -40,44 +41,126 @@ class Rule:
 
 #: Fixed values of the base kinds, in the order that their spans are listed at one start.
 BASE_RULES = (
-    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", (("password",), ("passwd",), ("secret",), ("token",), ("api_key",), ("apikey",)), 2, 12, True),
-    Rule("access", r"AKIA[A-Z0-9]+", (("AKIA",),), 0, 18),
-    Rule("hex", r"[0-9a-f]+", (), 0, 16),
+    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
+    Rule("hex", r"[0-9a-f]+", 0, 16),
 )
 #: Publicly documented shapes of further credentials.
 MORE_RULES = (
-    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", (("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",))),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", (("xoxa-",), ("xoxb-",), ("xoxp-",), ("xoxr-",), ("xoxs-",))),
-    Rule("maps", r"AIza[A-Za-z0-9_-]{35}", (("AIza",),)),
-    Rule("model", r"sk-[A-Za-z0-9_-]{32,}", (("sk-",),)),
-    Rule("pay", r"[sr]k_live_[A-Za-z0-9]{16,}", (("k_live_",),)),
-    Rule("web", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", (("eyJ", ".eyJ"),)),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?", (("-----BEGIN ", "PRIVATE KEY-----"),)),
+    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("maps", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("model", r"sk-[A-Za-z0-9_-]{32,}"),
+    Rule("pay", r"[sr]k_live_[A-Za-z0-9]{16,}"),
+    Rule("web", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"),
 )
 RULES = BASE_RULES + MORE_RULES
 BASE_KINDS = tuple(r.kind for r in BASE_RULES)
 
 
 def trigrams(literal: str) -> frozenset[bytes]:
-    raw = literal.encode().lower()
+    raw = literal.encode("utf-8", "surrogatepass").lower()
     return frozenset(raw[i : i + 3] for i in range(len(raw) - 2))
 
 
-def query_of(rule: Rule) -> tuple[frozenset[bytes], ...]:
-    """Disjunction of trigram sets; empty: the rule scans fully."""
-    parts = tuple(frozenset().union(*map(trigrams, literals)) for literals in rule.need)
-    return parts if all(parts) else ()
+#: A query is None (every text answers), a set of trigrams (all of them), or ("all" | "any", queries).
+Query = frozenset | tuple | None
+SPELLED = 64  #: strings that a part of a pattern is spelled out to at most
+
+
+def all_of(*queries: Query) -> Query:
+    own = [q for q in queries if q is not None]
+    return None if not own else own[0] if len(own) == 1 else ("all", tuple(own))
+
+
+def any_of(*queries: Query) -> Query:
+    """Alternatives that ask for more than another one add nothing."""
+    if None in queries:
+        return None
+    own = [q for q in dict.fromkeys(queries) if not (isinstance(q, frozenset) and any(isinstance(o, frozenset) and o < q for o in queries))]
+    return own[0] if len(own) == 1 else ("any", tuple(own))
+
+
+def holding(strings: set[str]) -> Query:
+    """The query of texts that hold one of the strings; one under three bytes asks for nothing."""
+    return any_of(*(trigrams(s) or None for s in sorted(strings)))
+
+
+def _spelled_class(items: list) -> set[str] | None:
+    out: set[str] = set()
+    for kind, value in items:
+        if kind is _constants.LITERAL:
+            out.add(chr(value))
+        elif kind is _constants.RANGE and value[1] - value[0] < SPELLED:
+            out.update(map(chr, range(value[0], value[1] + 1)))
+        else:  # negated, or a category
+            return None
+    return out if len(out) <= SPELLED else None
+
+
+def _of_node(kind, value) -> tuple[set[str] | None, Query]:
+    """The strings that a node of a parsed pattern matches, if they are few, and else the query of texts with a match."""
+    if kind is _constants.LITERAL:
+        return {chr(value)}, None
+    if kind is _constants.IN:
+        return _spelled_class(value), None
+    if kind in (_constants.AT, _constants.ASSERT, _constants.ASSERT_NOT):  # no width; asks for nothing
+        return {""}, None
+    if kind is _constants.SUBPATTERN:
+        return _of_sequence(value[-1])
+    if kind is _constants.ATOMIC_GROUP:
+        return _of_sequence(value)
+    if kind is _constants.BRANCH:
+        found = [_of_sequence(x) for x in value[1]]
+        spelled = set().union(*(x for x, _ in found if x is not None))
+        if len(spelled) <= SPELLED and all(x is not None for x, _ in found):
+            return spelled, None
+        return None, any_of(*(q if x is None else holding(x) for x, q in found))
+    if kind in (_constants.MAX_REPEAT, _constants.MIN_REPEAT, _constants.POSSESSIVE_REPEAT):
+        low, high, inner = value
+        own, query = _of_sequence(inner)
+        if own is not None and high <= SPELLED and sum(len(own) ** k for k in range(low, high + 1)) <= SPELLED:
+            return {"".join(x) for k in range(low, high + 1) for x in product(own, repeat=k)}, None
+        return None, None if not low else query if own is None else holding(own)
+    return None, None
+
+
+def _of_sequence(nodes) -> tuple[set[str] | None, Query]:
+    """As `_of_node`, for nodes in a row: spelled neighbours are joined, so that trigrams run across them."""
+    strings, query, whole = {""}, None, True
+    for kind, value in nodes:
+        own, needed = _of_node(kind, value)
+        if own is not None and len(strings) * len(own) <= SPELLED:
+            strings = {a + b for a in strings for b in own}
+            continue
+        query, whole = all_of(query, holding(strings), needed), False
+        strings = {""} if own is None else own
+    return (strings, None) if whole else (None, all_of(query, holding(strings)))
+
+
+def query_of(rule: Rule) -> Query:
+    """The query that every text with a match of the rule answers; None: the rule scans fully."""
+    strings, query = _of_sequence(_parser.parse(rule.pattern, re.ASCII | (re.IGNORECASE if rule.any_case else 0)))
+    return query if strings is None else holding(strings)
+
+
+def asked_trigrams(query: Query) -> frozenset[bytes]:
+    if query is None:
+        return frozenset()
+    return query if isinstance(query, frozenset) else frozenset().union(*map(asked_trigrams, query[1]))
 
 
 @lru_cache(maxsize=8)
 def _compiled(rules: tuple[Rule, ...]):
     """Patterns, queries, and a table from a trigram's 24 bits to its number (from 1)."""
-    needed = sorted({t for r in rules for part in query_of(r) for t in part})
+    queries = [query_of(r) for r in rules]
+    needed = sorted(frozenset().union(*map(asked_trigrams, queries)))
     number = np.zeros(1 << 24, dtype=np.uint8 if len(needed) < 255 else np.uint16)
     for k, t in enumerate(needed, 1):
         number[int.from_bytes(t, "big")] = k
     patterns = [re.compile(r.pattern, re.ASCII | (re.IGNORECASE if r.any_case else 0)) for r in rules]
-    return patterns, [query_of(r) for r in rules], number, {t: k for k, t in enumerate(needed, 1)}
+    return patterns, queries, number, {t: k for k, t in enumerate(needed, 1)}
 
 
 def postings(raw: np.ndarray, at: np.ndarray, number: np.ndarray) -> dict[int, np.ndarray]:
@@ -95,19 +178,22 @@ def postings(raw: np.ndarray, at: np.ndarray, number: np.ndarray) -> dict[int, n
     return {int(k[0]): r for k, r in zip(np.split(kinds, cuts), np.split(pairs & 0xFFFFFFFF, cuts), strict=True) if len(k)}
 
 
-def candidates(parts: Iterable[frozenset[bytes]], lists: dict[int, np.ndarray], numbers: dict[bytes, int]) -> np.ndarray:
-    """Rows that answer the Boolean query: union over alternatives of the intersected postings, shortest list first."""
+def candidates(query: frozenset | tuple, lists: dict[int, np.ndarray], numbers: dict[bytes, int]) -> np.ndarray:
+    """Rows that answer the query: unions and intersections of postings, shortest list first."""
     none = np.empty(0, np.int64)
-    answers = []
-    for part in parts:
-        own = sorted((lists.get(numbers[t], none) for t in part), key=len)
-        rows = own[0]
-        for other in own[1:]:
-            if not len(rows):
-                break
-            rows = np.intersect1d(rows, other, assume_unique=True)
-        answers.append(rows)
-    return np.unique(np.concatenate(answers)) if answers else none
+    if isinstance(query, frozenset):
+        own = [lists.get(numbers[t], none) for t in query]
+    else:
+        own = [candidates(q, lists, numbers) for q in query[1]]
+        if query[0] == "any":
+            return np.unique(np.concatenate(own))
+    own.sort(key=len)
+    rows = own[0]
+    for other in own[1:]:
+        if not len(rows):
+            break
+        rows = np.intersect1d(rows, other, assume_unique=True)
+    return rows
 
 
 def spans_of(rule: Rule, pattern: re.Pattern, text: str) -> list[tuple[int, int]]:
@@ -121,8 +207,8 @@ def segment_spans(column: pa.Array, rules: tuple[Rule, ...] = RULES) -> list[lis
     texts = texts_of(column)
     lists = postings(*as_bytes(column), number)
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for k, (rule, pattern, parts) in enumerate(zip(rules, patterns, queries, strict=True)):
-        for i in candidates(parts, lists, numbers).tolist() if parts else range(len(texts)):
+    for k, (rule, pattern, query) in enumerate(zip(rules, patterns, queries, strict=True)):
+        for i in range(len(texts)) if query is None else candidates(query, lists, numbers).tolist():
             found[i] += [(a, k, b) for a, b in spans_of(rule, pattern, texts[i])]
     for x in found:
         x.sort()
