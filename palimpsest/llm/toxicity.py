@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
 Fit. A bounded sample of labelled rows outside the held-out fold (`sample` rows, least hash of doc_id first)
-gives the classifier; copies among them are thinned by two MinHash values of word triples, so that a copied text
-does not make its words look toxic. Three quarters give, per hashed token, the documents of either class that hold
+gives the classifier; rows that agree in two MinHash values of word triples, so nearly always copies, count once, so that
+a copied text does not make its words look toxic. Three quarters give, per hashed token, the documents of either class that hold
 it; corpus counts over all documents are the Dirichlet prior. A token scores its log-odds if they are large and
 its likelihood-ratio statistic significant, and minus `drift` otherwise.
 
@@ -12,10 +12,11 @@ sum p exp(lambda s) = 1 over the corpus's token distribution and K is fitted to
 evidence is the sum of lambda S - ln(K n) over significant segments; a logistic curve, fitted on the last
 quarter of the sample, turns it into a probability.
 
-What the driver holds is bounded: 2^bits token counts, the sample's (evidence, label) pairs.
+What the driver holds is bounded: 2^bits token counts, three totals of clean texts, a histogram of evidence by label.
 Defined cases. Null or empty text: no evidence, the score of a text without toxic passages. Repeated rows: each is
-scored. Labels that disagree for a doc_id: the larger counts. Null labels are left out. Empty tables or no usable
-label: every score is the prior 0 (or the share of label 1). Other columns are ignored.
+scored. Labels that disagree for a doc_id: the larger counts. Null labels are left out. If the last quarter of the sample
+lacks a label value, the whole sample fits the curve. Empty tables or no usable label: every score is near 0.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -106,9 +107,8 @@ def training_documents(docs: DataFrame, labels: DataFrame, options: ToxicityOpti
             yield rows_to_batch(_SIGNED, [b.column("doc_id"), b.column("toxic"), [_signature(t, 1) for t in texts], [_signature(t, 2) for t in texts]])
 
     rows = _labelled(docs, sampled_labels(labels, options)).mapInArrow(signed, "doc_id long, toxic int, first long, second long")
-    once = rows.groupBy("first").agg(F.min(F.struct("doc_id", "toxic", "second")).alias("x")).select("x.*")
-    last = once.groupBy("second").agg(F.min(F.struct("doc_id", "toxic")).alias("x")).select("x.*")
-    return last.groupBy("doc_id").agg(F.max("toxic").alias("kind")).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)))
+    once = rows.groupBy("first", "second").agg(F.min(F.struct("doc_id", "toxic")).alias("x")).select("x.*")
+    return once.groupBy("doc_id").agg(F.max("toxic").alias("kind")).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)))
 
 
 _COUNTS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("n", pa.int64())])
@@ -202,13 +202,13 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(self.intercept + self.slope * np.log1p(evidence))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
-    """Slope and intercept by Newton steps with a small ridge on the slope."""
-    w = np.array([0.0, np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))])
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
+    """Slope and intercept of (x, label y) rows that occur n times, by Newton steps with a small ridge on the slope."""
+    w = np.array([0.0, np.log(((n * y).sum() + 0.5) / ((n * (1 - y)).sum() + 0.5))])
     a = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + np.diag([ridge, 1e-3]), a.T @ (y - p) - np.array([ridge * w[0], 0]))
+        step = np.linalg.solve(a.T @ (a * (n * p * (1 - p))[:, None]) + np.diag([ridge, 1e-3]), a.T @ (n * (y - p)) - np.array([ridge * w[0], 0]))
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -216,6 +216,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 
 
 _FOUND = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("n_tokens", pa.int64()), ("segments", pa.list_(pa.float64()))])
+_EVIDENCE = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("evidence", pa.float64())])
+_STEPS = 1000  #: of log evidence in the histogram that the curve is fitted to
 
 
 def fit(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = ToxicityOptions()) -> ToxicityModel:
@@ -224,21 +226,31 @@ def fit(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = ToxicityO
     sample = checkpointed(training_documents(docs, labels, options))
     held, rows = _gathered(_labelled(docs, sample.filter("part < 3")).select("text", "kind").mapInArrow(_counted(bits, 2, True), "bucket long, kind int, n long"), bits, 2)
     scores = token_scores(held, rows, corpus[0], options)
-    model = ToxicityModel(scores, solve_lambda(scores, corpus[0]), 1.0, 0.0, 0.0, options)
+    model = ToxicityModel(scores, solve_lambda(scores, corpus[0]), 1.0, 0.0, -10.0, options)
 
     def segments(batches: Batches) -> Batches:
         for b in slices(batches):
             found = [model.passages(t) for t in texts_of(b.column("text"))]
             yield rows_to_batch(_FOUND, [b.column("kind"), b.column("part").cast(pa.int32()), [n for _, n in found], [[s for _, _, s in x] for x, _ in found]])
 
-    found = _labelled(docs, sample).mapInArrow(segments, "kind int, part int, n_tokens long, segments array<double>").toArrow().to_pylist()  # at most the sample
-    clean = [(x["n_tokens"], max(x["segments"], default=0.0)) for x in found if x["kind"] == 0]
-    hits = [s for _, s in clean if s > 0]
-    if hits:
-        model.scale = float(np.clip(len(hits) * np.exp(min(model.rate * min(hits), 50)) / sum(n for n, _ in clean), 1e-3, 1e3))
-    tried = [x for x in found if x["part"] == 3]
-    x = np.log1p(np.array([model.surprise(x["segments"], x["n_tokens"])[0] for x in tried]))
-    model.slope, model.intercept = _logistic(x, np.array([float(x["kind"]) for x in tried])) if tried else (0.0, -10.0)
+    found = checkpointed(_labelled(docs, sample).mapInArrow(segments, "kind int, part int, n_tokens long, segments array<double>"))
+    best = F.array_max("segments")
+    clean = found.filter("kind = 0").agg(F.count_if(best > 0).alias("hits"), F.min(F.when(best > 0, best)).alias("least"), F.sum("n_tokens").alias("n")).first()
+    if clean["hits"]:
+        model.scale = float(np.clip(clean["hits"] * np.exp(min(model.rate * clean["least"], 50)) / clean["n"], 1e-3, 1e3))
+
+    def surprises(batches: Batches) -> Batches:
+        for b in slices(batches):
+            own = [model.surprise(s, n)[0] for s, n in zip(b.column("segments").to_pylist(), b.column("n_tokens").to_pylist(), strict=True)]
+            yield rows_to_batch(_EVIDENCE, [b.column("kind"), b.column("part"), own])
+
+    evidence = found.mapInArrow(surprises, "kind int, part int, evidence double").withColumn("step", F.round(F.log1p("evidence") * _STEPS).cast("long"))
+    tried = evidence.groupBy("kind", F.col("part") == 3, "step").agg(F.count("*").alias("n")).collect()  # a few bytes for each step and label
+    last = [x for x in tried if x[1]]
+    last = last if len({x["kind"] for x in last}) == 2 else tried
+    if last:
+        x, y, n = (np.array([float(r[c]) for r in last]) for c in ("step", "kind", "n"))
+        model.slope, model.intercept = _logistic(x / _STEPS, y, n)
     return model
 
 
