@@ -13,11 +13,14 @@ to blocks, queries repeated for each candidate block and candidates for each que
 Defined cases. Vectors that are null, empty, or hold null or non-finite components take no part. Vectors of unequal
 length: missing components are 0. Repeated rows are candidates each; a query leaves out every row of its own vec_id;
 a vec_id with several vectors is one query each. Ties go to the smaller vec_id. Fewer rows than k: all of them.
-Null vec_id: a candidate that sorts last, never a query. Other columns are ignored.
+Null vec_id: a candidate that sorts last, never a query. Components whose products could leave 64 bits are added up as
+unbounded integers without an index; a score beyond 64 bits is given as the nearest 64-bit number. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -125,14 +128,27 @@ class BlockIndex:
         return np.flatnonzero(np.unpackbits(chosen.view(np.uint8), bitorder="little")[: len(self.values)])
 
 
-def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    """floor(256 x) of each component, short vectors filled with 0."""
+MOST_SCORE = 2.0**62  #: bound of scores that are added up in 64 bits
+
+
+def _largest(column: pa.ChunkedArray) -> float:
+    return float(np.abs(column.combine_chunks().flatten().to_numpy(zero_copy_only=False)).max(initial=0.0))
+
+
+def _matrix(column: pa.ChunkedArray, dims: int, large: bool = False) -> np.ndarray:
+    """floor(256 x) of each component, short vectors filled with 0; large: as Python integers."""
     lists = column.combine_chunks()
-    flat = np.floor(_SCALE * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if large:
+        numbers = np.empty(len(flat), object)
+        numbers[:] = [p * 256 // q for p, q in map(float.as_integer_ratio, flat.tolist())]
+        flat = numbers
+    else:
+        flat = np.floor(_SCALE * flat).astype(np.int64)
     sizes = lists.value_lengths().to_numpy()
     if (sizes == dims).all():
         return flat.reshape(-1, dims)
-    out = np.zeros((len(sizes), dims), np.int64)
+    out = np.zeros((len(sizes), dims), flat.dtype)
     row = np.repeat(np.arange(len(sizes)), sizes)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
@@ -146,20 +162,28 @@ def _cell(k: int):
         if not candidates.num_rows or not queries.num_rows:
             return _CELL.empty_table()
         dims = max(int(t.column("v").combine_chunks().value_lengths().to_numpy().max()) for t in (candidates, queries))
-        index = BlockIndex(_matrix(candidates.column("v"), dims))
+        large = dims * math.prod(_SCALE * _largest(t.column("v")) + 1 for t in (candidates, queries)) >= MOST_SCORE
+        values = _matrix(candidates.column("v"), dims, large)
+        index = None if large else BlockIndex(values)
         ids = candidates.column("vec_id").fill_null(np.iinfo(np.int64).max).to_numpy()
         order = np.argsort(ids, kind="stable")
         ranked = ids[order]
         out: list[list[np.ndarray]] = [[], [], [], []]
-        for q, key, vector in zip(queries.column("vec_id").to_pylist(), queries.column("query_key").to_pylist(), _matrix(queries.column("v"), dims), strict=True):
+        for q, key, vector in zip(queries.column("vec_id").to_pylist(), queries.column("query_key").to_pylist(), _matrix(queries.column("v"), dims, large), strict=True):
             own = order[np.searchsorted(ranked, q) : np.searchsorted(ranked, q, side="right")]
-            valid = index.all
-            if len(own):
-                valid = valid.copy()
-                np.bitwise_and.at(valid, own >> 6, ~(np.uint64(1) << (own & 63).astype(np.uint64)))
-            rows = index.candidates(vector, valid, k)
-            exact = index.values[rows] @ vector
-            best = np.lexsort((ids[rows], -exact))[:k]
+            if large:
+                rows = np.setdiff1d(np.arange(len(ids)), own)
+                exact = values[rows] @ vector
+                best = np.array(sorted(range(len(rows)), key=lambda i: (-exact[i], ids[rows[i]]))[:k], np.int64)
+                exact = np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in exact], np.int64)
+            else:
+                valid = index.all
+                if len(own):
+                    valid = valid.copy()
+                    np.bitwise_and.at(valid, own >> 6, ~(np.uint64(1) << (own & 63).astype(np.uint64)))
+                rows = index.candidates(vector, valid, k)
+                exact = values[rows] @ vector
+                best = np.lexsort((ids[rows], -exact))[:k]
             for o, x in zip(out, (np.full(len(best), q), np.full(len(best), key), ids[rows][best], exact[best]), strict=True):
                 o.append(x)
         return pa.Table.from_arrays([pa.array(np.concatenate(o), type=f.type) for o, f in zip(out, _CELL, strict=True)], schema=_CELL)
