@@ -82,25 +82,45 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
+def _sql_without_dots(path: str) -> str:
+    """A rooted path less its dot segments."""
+    parts = f"string_split(regexp_replace({path}, '/(\\.\\.?)$', '/\\1/'), '/')[2:]"
+    fold = "lambda own, x: CASE WHEN x[1] = '..' THEN own[1:greatest(len(own) - 1, 0)] WHEN x[1] = '.' THEN own ELSE list_concat(own, x) END"
+    return f"'/' || array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({parts}, lambda x: [x])), {fold}), '/')"
+
+
+_SQL_LINK = "target"
+for _name, _character in urls.REFERENCES:
+    _SQL_LINK = f"replace({_SQL_LINK}, '{_name}', '{_character.replace(chr(39), chr(39) * 2)}')"
+_SQL_LINK = f"trim(regexp_replace({_SQL_LINK}, '#.*$', ''))"
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 #: Rules, then decisions of the component reached over canonical links and refreshes.
-_URL_SQL = r"""
+_URL_SQL = rf"""
 WITH RECURSIVE p AS (
-  SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+  SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
 ), h AS (
-  SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail, rest FROM p
-), links AS (
-  SELECT host, path, host || tail AS src, unnest([
-    regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)]) AS target
-  FROM h WHERE rest <> '' AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))
-), full_links AS (
-  SELECT src, CASE WHEN strpos(target, '://') > 0 THEN substr(target, strpos(target, '://') + 3) WHEN target LIKE '//%' THEN substr(target, 3)
-    WHEN target LIKE '/%' THEN host || target ELSE host || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || target END AS dst
-  FROM links WHERE target <> ''
-), e AS (
-  SELECT src, translate(regexp_extract(dst, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(dst, '^[^/?#]*([^#]*)', 1) AS dst FROM full_links
-), both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+  SELECT page_id, html, rest, {_LOW.format("coalesce(regexp_extract(rest, '^([^/?#]*)', 1), '')")} AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+         regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS query FROM p
+), named AS (SELECT *, CASE WHEN path = '' THEN '/' ELSE path END AS root FROM h),
+links AS (
+  SELECT host, root, host || root || query AS src, unnest([
+    regexp_replace(regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*[\s"'']rel\s*=\s*(?:(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|''(?:[^''>]*\s)?canonical(?:\s[^''>]*)?'')[^>]*>|canonical(?:[\s/][^>]*)?>)'),
+      '(?i)[\s"'']href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["'']|["'']$', '', 'g'),
+    regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*[\s"'']http-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target
+  FROM named WHERE rest IS NOT NULL AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))
+), plain AS (SELECT host, root, src, {_SQL_LINK} AS link FROM links WHERE target <> ''),
+full_links AS (
+  SELECT *, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN substr(link, strpos(link, '://') + 3) WHEN link LIKE '//%' THEN substr(link, 3) END AS far,
+    regexp_extract(link, '^[^?]*') AS near FROM plain WHERE link <> ''
+), ends AS (
+  SELECT src, CASE WHEN far IS NOT NULL THEN {_LOW.format("regexp_extract(far, '^[^/?]*')")} ELSE host END AS dst_host,
+    CASE WHEN far IS NOT NULL THEN CASE WHEN regexp_extract(far, '^[^/?]*([^?]*)', 1) = '' THEN '/' ELSE regexp_extract(far, '^[^/?]*([^?]*)', 1) END
+      WHEN near = '' THEN root WHEN near LIKE '/%' THEN near ELSE regexp_replace(root, '[^/]*$', '') || near END AS dst_path,
+    regexp_extract(link, '\?.*$') AS dst_query
+  FROM full_links WHERE far IS NOT NULL OR NOT regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:')
+), e AS (SELECT src, dst_host || {_sql_without_dots("dst_path")} || dst_query AS dst FROM ends),
+both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 reach AS (SELECT src AS node, src AS other FROM both_ways UNION SELECT r.node, b.dst FROM reach r JOIN both_ways b ON r.other = b.src),
 nodes AS (SELECT node, other, regexp_extract(other, '^([^/?#]*)', 1) AS host, regexp_extract(other, '^[^/?#]*([^?#]*)', 1) AS path FROM reach),
 rules(rule, verdict, rule_host, rule_path) AS (VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'),
@@ -115,7 +135,7 @@ own AS (
 )
 SELECT h.page_id, h.host, h.path, own.rule, coalesce(own.verdict, shared.verdict, 'allow') AS verdict,
        own.verdict IS NULL AND shared.verdict IS NOT NULL AS by_alias
-FROM h LEFT JOIN own USING (page_id) LEFT JOIN shared ON shared.node = h.host || h.tail
+FROM named h LEFT JOIN own USING (page_id) LEFT JOIN shared ON h.rest IS NOT NULL AND shared.node = h.host || h.root || h.query
 """
 
 

@@ -5,7 +5,10 @@ fitting rule decides. Pages that name another address by `<link rel="canonical">
 connected components over these edges carry decisions to members without a rule of their own. A page's
 own rule comes first; in a component, an explicit allow comes before any block; without either, the default is allow.
 
-Addresses are compared by host, path and query, without scheme and fragment. Components are found with distributed
+Links are resolved as RFC 3986 says: absolute, without scheme, without host, query only, or relative to the page's
+folder, dot segments removed; character references of markup are decoded first, and `rel` may list several words. Links
+within the page or to other schemes (`mailto:`) are none. Addresses are compared by host, path (empty: `/`) and query,
+without scheme and fragment. Components are found with distributed
 star rounds; pages without such a link take no part in them.
 
 Defined cases. Null url or one without `://`: host and path empty, no rule, allow. Null html: no link. Repeated
@@ -37,10 +40,12 @@ class UrlRule:
 #: Fixed values.
 RULES = (UrlRule("allow", "org", "/"), UrlRule("block", "example.org", "/es/"), UrlRule("block", "example.org", "/en/1"), UrlRule("allow", "com", "/fr/"), UrlRule("block", "com", "/de/"))
 
-_CANONICAL = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_REFRESH = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_HREF = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_TARGET = r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+_CANONICAL = r"""(?i)<link\b[^>]*[\s"']rel\s*=\s*(?:(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?')[^>]*>|canonical(?:[\s/][^>]*)?>)"""
+_REFRESH = r"""(?i)<meta\b[^>]*[\s"']http-equiv\s*=\s*["']?refresh\b[^>]*>"""
+_HREF = r"""(?i)[\s"']href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_TARGET = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
+#: Character references that addresses hold; the ampersand last.
+REFERENCES = (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
 
 
 def after_scheme(url: Column) -> Column:
@@ -57,9 +62,38 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(after_scheme(url), r"^[^/?#]*([^?#]*)", 1)
 
 
+def query_of(url: Column) -> Column:
+    """The query with its mark; empty where there is none."""
+    return F.regexp_extract(after_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
+
+
+def _rooted(path: Column) -> Column:
+    return F.when(path == "", F.lit("/")).otherwise(path)
+
+
 def address_of(url: Column) -> Column:
     """Host in lower case, path and query; null for a URL without `://`."""
-    return F.when(F.locate("://", url) > 0, F.concat(host_of(url), F.regexp_extract(after_scheme(url), r"^[^/?#]*([^#]*)", 1)))
+    return F.when(F.locate("://", url) > 0, F.concat(host_of(url), _rooted(path_of(url)), query_of(url)))
+
+
+def without_dots(path: Column) -> Column:
+    """A rooted path less its dot segments."""
+    segments = F.split(F.regexp_replace(path, r"/(\.\.?)$", "/$1/"), "/")
+    kept = F.aggregate(F.slice(segments, 2, F.size(segments)), F.array().cast("array<string>"), lambda own, x: F.when(x == "..", F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0)))).when(x == ".", own).otherwise(F.concat(own, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def resolved(url: Column, link: Column) -> Column:
+    """The address that a link on the page of url leads to, as `address_of` gives it; null where it is none."""
+    link = F.trim(F.regexp_replace(link, "#.*$", ""))
+    absolute, schemed = link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:")
+    full = F.when(absolute, link).when(F.startswith(link, F.lit("//")), F.concat(F.lit("x:"), link))
+    own = F.regexp_extract(link, r"^([^?]*)", 1)
+    folder = F.regexp_replace(_rooted(path_of(url)), "[^/]*$", "")
+    path = F.when(own == "", _rooted(path_of(url))).when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(folder, own))
+    here = F.concat(host_of(url), without_dots(path), F.regexp_extract(link, r"^[^?]*(\?.*)", 1))
+    there = F.concat(host_of(full), without_dots(_rooted(path_of(full))), query_of(full))
+    return F.when(full.isNotNull(), there).when((link != "") & ~schemed, here)
 
 
 def fitting_rule(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Column:
@@ -71,16 +105,13 @@ def fitting_rule(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Colu
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(src, dst) addresses: a page and the one that it redirects or canonically links to."""
     linked = pages.select("url", "html").filter(F.col("html").rlike(_CANONICAL) | F.col("html").rlike(_REFRESH))
-    targets = F.array(F.regexp_extract(F.regexp_extract("html", _CANONICAL, 0), _HREF, 1), F.regexp_extract(F.regexp_extract("html", _REFRESH, 0), _TARGET, 1))
-    edges = linked.select(F.col("url"), F.explode(targets).alias("to")).filter("to <> '' and url is not null")
-    base = F.concat(F.lit("x://"), host_of(F.col("url")))
-    full = (
-        F.when(F.locate("://", F.col("to")) > 0, F.col("to"))
-        .when(F.startswith(F.col("to"), F.lit("//")), F.concat(F.lit("x:"), F.col("to")))
-        .when(F.startswith(F.col("to"), F.lit("/")), F.concat(base, F.col("to")))
-        .otherwise(F.concat(base, F.regexp_replace(F.when(path_of(F.col("url")) == "", F.lit("/")).otherwise(path_of(F.col("url"))), "[^/]*$", ""), F.col("to")))
-    )
-    return edges.select(address_of(F.col("url")).alias("src"), address_of(full).alias("dst"))
+    target = F.regexp_replace(F.regexp_extract(F.regexp_extract("html", _CANONICAL, 0), _HREF, 1), "^[\"']|[\"']$", "")
+    targets = F.array(target, F.regexp_extract(F.regexp_extract("html", _REFRESH, 0), _TARGET, 1))
+    link = F.col("link")
+    for name, character in REFERENCES:
+        link = F.replace(link, F.lit(name), F.lit(character))
+    edges = linked.select("url", F.explode(targets).alias("link")).filter("link <> '' and locate('://', url) > 0")
+    return edges.select(address_of(F.col("url")).alias("src"), resolved(F.col("url"), link).alias("dst"))
 
 
 def judge_pages(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
