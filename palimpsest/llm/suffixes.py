@@ -1,18 +1,19 @@
 """Exact repeated-substring removal: suffixes ordered only through their first 200 bytes, most significant digit first.
 
-Every 200-byte window of every text is a depth-limited suffix. All of them cannot be shuffled, so the radix
-passes take long digits first and carry on only with groups that are still undecided:
+Every 200-byte window of every text is a depth-limited suffix, and equal groups after all digits are the repeats.
+All suffixes cannot be shuffled, so two steps before the passes leave out what needs no ordering:
 
-1. Digit 1 is the window's anchor: the smallest hash among its 48-byte grams. Equal windows have equal anchors,
-   and some 76 neighbouring windows share one anchor occurrence, so a pass costs one row for all of them. Windows
-   under an anchor that occurs once are unique and leave.
-2. Digit 2 is the whole run of windows of one anchor occurrence. An equal run elsewhere repeats all its windows;
-   they are decided too. One member of each run value stays as its witness where the anchor has other runs.
-3. Digit 3 is the window itself: the windows of what is left are grouped; groups of two or more are the repeats.
+1. Prefilter. A window's anchor is the smallest hash among its 48-byte grams. Equal windows have equal anchors,
+   and some 76 neighbouring windows share one anchor occurrence, so this costs one row for all of them. Windows
+   under an anchor that occurs once are unique and leave. A clash of hashes only lets more windows through.
+2. Combining. A run is all windows of one anchor occurrence. Runs that agree in anchor and run hash (128 bits) are
+   copies: they are decided, and one witness with their number stays where the anchor has other runs.
 
-Hashes are 64 bits each; windows count as equal if anchor and window hash agree (128 bits). Texts are first made
-distinct with their number of copies, so copies cost nothing; groups are only ever counted, with counts combined
-before the shuffle, and joined back on keys that Spark may split when skewed.
+The windows of the witnesses are then sorted by most-significant-digit passes over their literal bytes: each pass
+splits the groups by the next digit, and groups of one leave after it. Anchors with few different runs are passed over
+in one task, 8 bytes a pass, where groups whose members all agree need no sorting. For anchors with more, the
+windows are rows of their own and a pass is a count of (group, digit), 40 bytes a digit, combined before its shuffle and joined
+back on keys that Spark may split when skewed; so no group is gathered, however common its passage.
 
 Defined cases. Null or empty text and texts under the length: nothing removed. Repeated rows and doc_ids: each row
 is reported, and copies of 200 bytes or more lose everything. Empty table: no rows. `remove_repeats` keeps other
@@ -169,22 +170,43 @@ def _contexts(batches: Batches) -> Batches:
         yield rows_to_batch(_CONTEXTS, [list(c) for c in zip(*rows, strict=True)] or [[]] * 6)
 
 
+DIGIT, ROW_DIGIT, GROUP_LIMIT = 8, 40, 2000  #: bytes of a digit in a task and between tasks; different runs of an anchor in a task
+
+
+def repeated_windows(raw: np.ndarray, at: np.ndarray, group: np.ndarray, weight: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Places in `at` of the windows raw[at : at + length] that their group holds with a weight of two or more.
+
+    Most-significant-digit passes over literal bytes; raw has a digit's bytes beyond the last window.
+    """
+    digits = np.ndarray((len(raw) - DIGIT + 1,), ">u8", raw, strides=(1,))
+    live = np.argsort(group, kind="stable")
+    group = group[live]
+    for d in range(0, length, DIGIT):
+        if not len(live):
+            break
+        digit = digits[at[live] + min(d, length - DIGIT)].astype(np.uint64)
+        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        sizes = np.diff(np.concatenate((first, [len(live)])))
+        mixed = np.logical_or.reduceat(digit != np.repeat(digit[first], sizes), first)
+        if mixed.any():
+            own = np.flatnonzero(np.repeat(mixed, sizes))
+            order = own[np.lexsort((digit[own], group[own]))]
+            live[own], digit[own] = live[order], digit[order]
+            new = np.concatenate(([True], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])))
+            first, group = np.flatnonzero(new), np.cumsum(new)
+            sizes = np.diff(np.concatenate((first, [len(live)])))
+        stay = np.repeat(np.add.reduceat(weight[live], first) >= 2, sizes)
+        live, group = live[stay], group[stay]
+    return live
+
+
 def _windows_of(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context number, place in it, and hash of every window of the contexts."""
+    """The bytes of the contexts end to end, and the context number and the place in it of every window."""
     sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
-    owner, place, hashes = [], [], []
-    part = 0
-    while part < len(contexts):
-        last = part + max(1, int(np.searchsorted(np.cumsum(sizes[part:]), CHUNK)))
-        own = sizes[part:last]
-        prefix = _hasher(CHUNK + max(LENGTH, int(own.max()))).prefix(np.frombuffer(b"".join(contexts[part:last]), np.uint8))
-        n = own - LENGTH + 1
-        at = np.repeat(np.cumsum(own) - own - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        hashes.append(_hasher(CHUNK + max(LENGTH, int(own.max()))).spans(prefix, at, at + LENGTH))
-        owner.append(np.repeat(np.arange(part, last), n))
-        place.append(at - np.repeat(np.cumsum(own) - own, n))
-        part = last
-    return np.concatenate(owner), np.concatenate(place), np.concatenate(hashes)
+    n = sizes - LENGTH + 1
+    owner = np.repeat(np.arange(len(contexts)), n)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.frombuffer(b"".join([*contexts, bytes(DIGIT)]), np.uint8), owner, place
 
 
 _SPANS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("windows", pa.int64())])
@@ -195,15 +217,11 @@ def _same_windows(batches: Batches) -> Batches:
     """Over contexts sorted by anchor: the intervals of windows that their anchor's contexts hold twice."""
 
     def decide(t: pa.Table) -> pa.RecordBatch:
-        owner, place, wh = _windows_of(t.column("context").to_pylist())
+        contexts = t.column("context").to_pylist()
+        raw, owner, place = _windows_of(contexts)
         anchor, weight, start = (t.column(c).to_numpy() for c in ("anchor", "weight", "start"))
-        key = anchor[owner]
-        order = np.lexsort((wh, key))
-        new = np.ones(len(order), bool)
-        new[1:] = (key[order[1:]] != key[order[:-1]]) | (wh[order[1:]] != wh[order[:-1]])
-        first = np.flatnonzero(new)
-        twice = np.repeat(np.add.reduceat(weight[owner][order], first) >= 2, np.diff(np.concatenate((first, [len(order)]))))
-        at = order[twice]
+        begin = np.cumsum([0, *map(len, contexts)])[:-1]
+        at = repeated_windows(raw, begin[owner] + place, np.unique(anchor, return_inverse=True)[1][owner], weight[owner])
         r, s, e = merged(owner[at], start[owner[at]] + place[at], start[owner[at]] + place[at] + 1)
         rows = t.take(pa.array(r))
         return rows_to_batch(_SPANS, [rows.column("doc_id").combine_chunks(), rows.column("text_key").combine_chunks(), s, e - s])
@@ -222,53 +240,47 @@ def _same_windows(batches: Batches) -> Batches:
         yield decide(pa.Table.from_batches(waiting))
 
 
-_WINDOWS = pa.schema([("anchor", pa.int64()), ("window", pa.int64()), ("weight", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64())])
-
-
-def _each_window(batches: Batches) -> Batches:
-    for b in slices(batches):
-        if not b.num_rows:
-            continue
-        owner, place, wh = _windows_of(b.column("context").to_pylist())
-        at = pa.array(owner)
-        yield rows_to_batch(_WINDOWS, [b.column("anchor").take(at), wh.view(np.int64), b.column("weight").take(at), b.column("doc_id").take(at), b.column("text_key").take(at), b.column("start").to_numpy()[owner] + place])
+def _passes(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, text_key, start, windows) of the windows that their anchor's contexts hold twice: a window is a row, a pass a count and a join."""
+    contexts = checkpointed(contexts.withColumn("context_id", F.monotonically_increasing_id()))
+    live = contexts.select("context_id", "context", "weight", F.col("anchor").alias("group"), F.explode(F.sequence(F.lit(0), F.length("context") - length)).alias("at"))
+    for d in range(0, length, ROW_DIGIT):
+        rows = live if d == 0 else live.join(contexts.select("context_id", "context"), "context_id")
+        rows = rows.select("context_id", "weight", "group", "at", F.substring(F.col("context"), F.col("at") + (d + 1), F.lit(ROW_DIGIT)).alias("digit"))
+        groups = rows.groupBy("group", "digit").agg(F.sum("weight").alias("n")).filter("n >= 2").select("group", "digit", F.monotonically_increasing_id().alias("next"))
+        live = checkpointed(rows.join(checkpointed(groups), ["group", "digit"]).select("context_id", "weight", F.col("next").alias("group"), "at"))
+    return live.join(contexts, "context_id").select("doc_id", "text_key", (F.col("start") + F.col("at")).alias("start"), F.lit(1).cast("long").alias("windows"))
 
 
 def _keyed(docs: DataFrame, text: Column) -> DataFrame:
     return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, group_limit: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, text) of the rows, and (doc_id, text_key, start, windows): all windows that start anywhere else too.
 
-    Anchors with up to group_limit different runs are settled within a task; larger ones window by window.
+    Anchors with up to group_limit different runs are passed over within a task, larger ones with a row per window.
     """
     keyed = _keyed(docs, F.coalesce(docs["text"], F.lit("")))
-    runs = keyed.filter(F.octet_length("text") >= LENGTH).mapInArrow(_runs, _RUNS_DDL)
-    parted = runs.withColumn("dealt", F.when(F.col("weight") == 0, F.xxhash64("doc_id", "start")).otherwise(F.col("anchor")))
-    parted = parted.repartition("dealt").sortWithinPartitions("dealt", "anchor", "run", "doc_id", "start")
-    one = "partition by dealt, anchor, run"
-    decided = checkpointed(
-        parted.withColumn("total", F.expr(f"sum(weight) over ({one})"))
-        .withColumn("witness", F.expr(f"row_number() over ({one} order by doc_id, start) = 1"))
-        .withColumn("mixed", F.expr("min(run) over (partition by dealt, anchor) <> max(run) over (partition by dealt, anchor)"))
-        .withColumn("values", F.expr("sum(cast(witness as int)) over (partition by dealt, anchor)"))
-        .select("doc_id", "text_key", "start", "windows", "anchor", "weight", "total", "values",
-                ((F.col("weight") == 0) | (F.col("total") >= 2)).alias("repeated"), ((F.col("weight") > 0) & F.col("mixed") & F.col("witness")).alias("asked"))
-        .filter("repeated or asked")
-    )
-    asked = decided.filter("asked").select("doc_id", "text_key", "values", F.struct("anchor", F.least("total", F.lit(2)).cast("int").alias("weight"), "start", "windows").alias("ask"))
+    runs = checkpointed(keyed.filter(F.octet_length("text") >= LENGTH).mapInArrow(_runs, _RUNS_DDL))
+    # Counts combine before each shuffle, and what is joined back may be split on skewed keys: no anchor is gathered.
+    anchors = runs.filter("weight > 0").groupBy("anchor").agg(F.sum("weight").alias("n")).filter("n >= 2").select("anchor")
+    left = checkpointed(runs.filter("weight > 0").join(anchors, "anchor"))
+    values = checkpointed(left.groupBy("anchor", "run").agg(F.sum("weight").alias("total"), F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("witness")))
+    copied = left.join(values.filter("total >= 2").select("anchor", "run"), ["anchor", "run"])
+    decided = runs.filter("weight = 0").unionByName(copied, allowMissingColumns=True).select("doc_id", "text_key", "start", "windows")
+    different = values.groupBy("anchor").agg(F.count("*").alias("n_values")).filter("n_values > 1")
+    weight = F.least("total", F.lit(2)).cast("int").alias("weight")
+    asked = checkpointed(values.join(different, "anchor").select("witness.doc_id", "witness.text_key", "n_values", F.struct("anchor", weight, "witness.start", "witness.windows").alias("ask")))
 
     def contexts(which: str) -> DataFrame:
         own = asked.filter(which).groupBy("doc_id", "text_key").agg(F.collect_list("ask").alias("asked"))  # at most a document's own runs
         return keyed.join(own, ["doc_id", "text_key"]).mapInArrow(_contexts, "anchor long, weight int, doc_id long, text_key long, start long, context binary")
 
-    near = contexts(f"values <= {group_limit}").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_same_windows, _SPANS_DDL)
-    spans = decided.filter("repeated").select("doc_id", "text_key", "start", "windows").unionByName(near)
-    if decided.filter(f"asked and values > {group_limit}").limit(1).count():
-        windows = checkpointed(contexts(f"values > {group_limit}").mapInArrow(_each_window, "anchor long, window long, weight int, doc_id long, text_key long, start long"))
-        twice = windows.groupBy("anchor", "window").agg(F.sum("weight").alias("n")).filter("n >= 2").select("anchor", "window")
-        spans = spans.unionByName(windows.join(twice, ["anchor", "window"]).select("doc_id", "text_key", "start", F.lit(1).cast("long").alias("windows")))
+    near = contexts(f"n_values <= {group_limit}").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_same_windows, _SPANS_DDL)
+    spans = decided.unionByName(near)
+    if asked.filter(f"n_values > {group_limit}").limit(1).count():
+        spans = spans.unionByName(_passes(contexts(f"n_values > {group_limit}")))
     return keyed, spans
 
 
@@ -299,14 +311,14 @@ def _by_document(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 
-def repeat_report(docs: DataFrame, group_limit: int = 20_000) -> DataFrame:
+def repeat_report(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; one row per row of docs."""
     keyed, spans = repeated_spans(docs, group_limit)
     found = _by_document(spans)
     return keyed.join(found, ["doc_id", "text_key"], "left").mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
-def remove_repeats(docs: DataFrame, group_limit: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """docs with the repeated bytes cut from every text, other columns kept and n_chars (where it is a column) made to fit."""
     _, spans = repeated_spans(docs, group_limit)
     keyed = carried(docs).withColumns({"doc_id": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)), "text_key": F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))})
