@@ -2,7 +2,8 @@
 
 The lattice of a text has all its segmentations into vocabulary pieces; a segmentation's probability is the
 product of its pieces' weights, normalised over the lattice. No piece holds a word border, so the lattice is a
-chain of independent word lattices, which are built once per batch for each distinct word.
+chain of independent word lattices, which are built once per slice of a batch for each distinct word. `encode` and
+`decode` are plain column functions for the model's own segmentation.
 
 Search. Every segmentation's log-probability is perturbed by Gumbel noise; the k highest are a sample without
 replacement. They are found best first, as in A* sampling: the queue holds disjoint sets of segmentations (a prefix of
@@ -15,27 +16,31 @@ All randomness is a hash of the seed, the row key, the number of the sample and
 on how rows are dealt to tasks. The pieces' weights are a parameter: the model's scores (unigram models), or
 1/(rank + 1) for models whose scores are merge ranks.
 
-Defined cases. Null or empty text: one sample without pieces. Fewer than k segmentations: all of them, inclusion
+Defined cases. Null or empty text: one sample without pieces (`encode`, `decode`: null stays null). Null doc_id: a seed of its own. Fewer than k segmentations: all of them, inclusion
 1. Characters outside the vocabulary become byte pieces. U+2581 decodes to a space. Repeated rows: the same samples
 each. Memory grows with the longest text, at least a part of a batch. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from palimpsest.llm.common import GOLDEN, U64, Batches, mix, rows_to_batch, slices, texts_of
 
 SPACE = "▁"
+_SPACE_BYTES = SPACE.encode()
 _DENSE = 128  #: characters with a row of their own in the transition table
-_PART_CHARS = 1_000_000
+_PART_ROWS, _PART_CHARS = 1200, 2_500_000
 _LOOK = 512  #: places of a path whose sets are looked at first
 
 
@@ -62,7 +67,8 @@ class Vocabulary:
         for i in range(n):
             if byte[i]:
                 self.byte_ids[int(names[i][3:5], 16)] = i
-        self.raw = [bytes([int(names[i][3:5], 16)]) if byte[i] else b"" if special[i] else names[i].encode() for i in range(n)]
+        self.raw = np.empty(n, object)
+        self.raw[:] = [bytes([int(names[i][3:5], 16)]) if byte[i] else b"" if special[i] else names[i].encode() for i in range(n)]
         usable = [i for i in range(n) if not special[i] and not byte[i]]
         if any(SPACE in names[i].lstrip(SPACE) for i in usable):
             raise ValueError("a piece crosses a word border")
@@ -123,8 +129,9 @@ class Vocabulary:
         out[far] = np.where(self.rare_key[at] == key, self.rare_to[at], 0)
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")[1:]
+    def decode(self, ids: np.ndarray) -> bytes:
+        """UTF-8 bytes of the text."""
+        return b"".join(self.raw[ids].tolist()).replace(_SPACE_BYTES, b" ")[1:]
 
 
 @lru_cache(maxsize=2)
@@ -250,21 +257,26 @@ class _Path:
     def __init__(self, lat: Lattices, edges: np.ndarray, word: np.ndarray, value: float, fork: int, barred: list[int], key: np.uint64, number: int, need: int) -> None:
         self.edges, self.word, self.value, self.fork, self.barred = edges, word, value, fork, barred
         log_chance = lat.log_chance[edges]
-        total = np.cumsum(log_chance)
-        self.log_prob = float(total[-1]) if len(total) else 0.0
+        self.log_prob = float(log_chance.sum())
         # A set of mass m has the truncated maximum -log(exp(-value) + E / m), E exponential: the larger m / E, the better.
         self.odds = np.zeros(len(edges))
         seed = mix(np.array([key, number], np.uint64) * GOLDEN).sum()
-        for at, stop in ((fork, fork + _LOOK), (fork + _LOOK, len(edges))):
-            own = slice(at, stop)
-            mass = np.exp(total[own] - log_chance[own]) * lat.rest[edges[own]]
-            if at == fork and barred and len(edges) > fork:
+        before = float(log_chance[:fork].sum())
+        for at, stop in ((fork, min(fork + _LOOK, len(edges))), (fork + _LOOK, len(edges))):
+            if at >= stop:
+                break
+            own = log_chance[at:stop]
+            total = before + np.cumsum(own)
+            mass = np.exp(total - own) * lat.rest[edges[at:stop]]
+            if at == fork and barred:
                 node = lat.edge_start[edges[fork]]
                 more = len(barred) < lat.first[node + 1] - lat.first[node]
-                mass[0] = max(1.0 - np.exp(lat.log_chance[barred]).sum(), 1e-300) * np.exp(total[fork] - log_chance[fork]) if more else 0.0
-            self.odds[own] = mass / -np.log(_uniform(seed + np.arange(at, at + len(mass), dtype=np.uint64) * GOLDEN, 3))
+                mass[0] = max(1.0 - np.exp(lat.log_chance[barred]).sum(), 1e-300) * np.exp(before) if more else 0.0
+            odds = mass / -np.log(_uniform(seed + np.arange(at, stop, dtype=np.uint64) * GOLDEN, 3))
+            self.odds[at:stop] = odds
+            before = float(total[-1])
             # E is at least 2^-54, so later sets stay under this bound: where it is low, they cannot be needed.
-            if stop >= len(edges) or np.exp(total[stop - 1]) * 2.0**54 < np.partition(self.odds[own], -need)[-need]:
+            if stop >= len(edges) or (len(odds) >= need and np.exp(before) * 2.0**54 < np.partition(odds, -need)[-need]):
                 break
 
     def best(self) -> tuple[float, int]:
@@ -279,8 +291,8 @@ class _Path:
 def sample_documents(vocab: Vocabulary, keys: np.ndarray, texts: list[str], k: int) -> list[tuple[list[tuple[float, float, np.ndarray]], float]]:
     """For each text: up to k (perturbed value, log probability, piece ids), best first, and kappa (-inf: nothing is left)."""
     split = [words_of(t) if t else [] for t in texts]
-    number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
-    unit = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+    number: defaultdict[str, int] = defaultdict(itertools.count().__next__)  # words in the order that they come in
+    unit = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(split)), np.int64, sum(map(len, split)))
     if not len(unit):
         return [([(0.0, 0.0, np.empty(0, np.int64))], -np.inf) for _ in texts]
     lat = Lattices(vocab, list(number))
@@ -343,16 +355,17 @@ def sample_documents(vocab: Vocabulary, keys: np.ndarray, texts: list[str], k: i
 
 
 def piece_ids(vocab: Vocabulary, lat: Lattices, edges: np.ndarray) -> np.ndarray:
+    """Pieces of a path; a spelled character becomes its bytes."""
     pieces = lat.edge_piece[edges]
-    spelled = np.flatnonzero(pieces == vocab.spelled)
-    if not len(spelled):
+    spelled = pieces == vocab.spelled
+    if not spelled.any():
         return pieces
-    parts, at = [], 0
-    for i in spelled.tolist():
-        raw = chr(lat.points[lat.edge_start[edges[i]]]).encode("utf-8", "surrogatepass")
-        parts += [pieces[at:i], vocab.byte_ids[list(raw)]]
-        at = i + 1
-    return np.concatenate([*parts, pieces[at:]])
+    raw = [chr(c).encode("utf-8", "surrogatepass") for c in lat.points[lat.edge_start[edges[spelled]]].tolist()]
+    sizes = np.ones(len(pieces), np.int64)
+    sizes[spelled] = list(map(len, raw))
+    out = np.repeat(pieces, sizes)
+    out[np.repeat(spelled, sizes)] = vocab.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+    return out
 
 
 def log_inclusion(log_prob: float, kappa: float) -> float:
@@ -379,24 +392,61 @@ def parts_of(texts: list[str], most: int = _PART_CHARS):
         yield start, len(texts)
 
 
+_NO_ID = U64(0x5851F42D4C957F2D)  #: seed of rows without a doc_id, beside those of all numbers
+
+
+def row_keys(ids: pa.Array, seed: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        keys = mix(np.ascontiguousarray(ids.fill_null(0).to_numpy(zero_copy_only=False)).view(np.uint64) + U64(seed) * GOLDEN)
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), mix(keys + _NO_ID), keys)
+
+
 def sampled_segmentations(docs: DataFrame, model_path: str, options: SampleOptions = SampleOptions()) -> DataFrame:
     """doc_id, sample, n_pieces, log_prob, perturbed, log_inclusion, ids, decoded_crc32, round_trip; up to k rows per row of docs."""
 
     def run(batches: Batches) -> Batches:
         vocab = vocabulary(model_path, options.weights, options.theta)
-        for b in slices(batches, 400):
-            texts, ids = texts_of(b.column("text")), b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            with np.errstate(over="ignore"):
-                keys = mix(np.ascontiguousarray(ids).view(np.uint64) + U64(options.seed) * GOLDEN)
+        for b in slices(batches, _PART_ROWS):
+            texts, keys = texts_of(b.column("text")), row_keys(b.column("doc_id"), options.seed)
             for i, j in parts_of(texts):
                 rows, pieces = [], []
                 for n, (samples, kappa) in enumerate(sample_documents(vocab, keys[i:j], texts[i:j], options.k), i):
+                    plain = texts[n].replace(SPACE, " ").encode("utf-8", "surrogatepass")
                     for r, (value, log_prob, own) in enumerate(samples, 1):
-                        decoded = vocab.decode(own.tolist())
-                        rows.append((n, r, len(own), log_prob, value, log_inclusion(log_prob, kappa), zlib.crc32(decoded.encode("utf-8", "surrogatepass")), decoded == texts[n].replace(SPACE, " ")))
+                        decoded = vocab.decode(own)
+                        rows.append((n, r, len(own), log_prob, value, log_inclusion(log_prob, kappa), zlib.crc32(decoded), decoded == plain))
                         pieces.append(own)
                 n, r, size, log_prob, value, inclusion, crc, same = zip(*rows, strict=True)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(np.concatenate(pieces), pa.int32()))
                 yield rows_to_batch(_SAMPLES, [b.column("doc_id").take(pa.array(n)), list(r), list(size), list(log_prob), list(value), list(inclusion), lists, list(crc), list(same)])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, _SAMPLES_DDL)
+
+
+@lru_cache(maxsize=2)
+def _processor(model_path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=model_path)
+
+
+def encode(text: Column, model_path: str) -> Column:
+    """array<int>: the ids of the model's own segmentation of each text."""
+
+    def ids(texts: pd.Series) -> pd.Series:
+        held = texts.notna()
+        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+        out[held] = pd.Series(_processor(model_path).encode(texts[held].tolist(), num_threads=1), index=texts.index[held], dtype=object)
+        return out
+
+    return F.pandas_udf(ids, "array<int>")(text)
+
+
+def decode(ids: Column, model_path: str) -> Column:
+    """string: the text of each list of ids of any segmentation."""
+
+    def texts(lists: pd.Series) -> pd.Series:
+        vocab = vocabulary(model_path, "rank", 1.0)
+        return lists.map(lambda x: None if x is None else vocab.decode(np.asarray(x, np.int64)).decode("utf-8", "replace"))
+
+    return F.pandas_udf(texts, "string")(ids)
