@@ -1,81 +1,186 @@
-"""The document memory as one object: each method returns a DataFrame."""
+"""The document memory as one object over plain Parquet folders: each method returns a DataFrame."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.config import Settings
-from palimpsest.operators import answer, chunk, graph, observe, parse, protect, recall, redact
-from palimpsest.operators.store import SnapshotStore
+from palimpsest.operators import answer, chunk, graph, keyword, observe, parse, protect, recall, redact, vector
+from palimpsest.operators.store import TableFolder, part_of, settled
+
+Embedder = Callable[[pd.Series], pd.Series]
 
 
 class DocumentMemory:
-    def __init__(self, spark: SparkSession, path: str, settings: Settings = Settings()) -> None:
-        self.spark, self.settings, self.store = spark, settings, SnapshotStore(spark, path)
+    """Documents with their chunks, keyword index (postings), vectors and mentions; conversations; embedding models; the log of what was forgotten.
+
+    Tables are dealt by document, the index by term, so that an addition appends, a search reads the parts of its terms and a
+    deletion rewrites the parts that hold its documents. `documents` is written last: a batch whose run failed is not
+    known, its other rows are found by no search, and adding it again replaces them.
+    """
+
+    KEYS = {"documents": "document_id", "chunks": "document_id", "mentions": "document_id", "vectors": "document_id", "postings": "term", "turns": "session_id", "models": "model_id", "forget_log": "document_id"}
+    OF_DOCUMENTS = ("postings", "vectors", "mentions", "chunks", "documents")
+
+    def __init__(self, spark: SparkSession, path: str, settings: Settings = Settings(), model: tuple[str, str] = ("hashing", "1"), embed: Embedder | None = None, extract: Callable[[Column], Column] | None = None, parts: int = 32) -> None:
+        self.spark, self.settings, self.model, self.embed, self.extract = spark, settings, model, embed, extract
+        self.store = TableFolder(spark, path, self.KEYS, parts)
+
+    # Documents
 
-    def add(self, raw: DataFrame) -> int:
-        """Ingest raw rows (document_id, text, source_type, source_path, captured_at, checksum): parse, redact, chunk, extract."""
-        have = self.store.tables()
-        new = protect.first_of_checksum(raw, "document_id", have.get("documents"))
+    def add(self, raw: DataFrame) -> DataFrame:
+        """Ingest raw rows (document_id, text, source_type, source_path, captured_at, checksum): parse, redact, chunk, index, embed, extract.
+
+        Returns the documents added: those whose checksum is new. A text that cannot be parsed is kept as FAILED without chunks.
+        """
+        new = protect.first_of_checksum(raw, "document_id", self.store.read("documents") if self.store.has("documents") else None)
         done = parse.parsed(new).withColumn("clean_content", redact.redact(F.col("clean_content")))
-        docs = done.select("document_id", "source_type", "source_path", "captured_at", "checksum", "content_type", "clean_content", "word_count", F.when(F.col("error_class").isNull(), "INDEXED").otherwise("FAILED").alias("status"), F.when(F.col("error_class").isNull(), 0).otherwise(1).alias("retry_count"))
-        plus = lambda name, df: have[name].unionByName(df) if name in have else df
-        version = self.store.commit({"documents": plus("documents", docs)})
-        fresh = self.store.tables()["documents"].join(have["documents"].select("document_id"), "document_id", "left_anti") if "documents" in have else self.store.tables()["documents"]
-        pieces = chunk.chunks(fresh, "clean_content", "content_type")
-        found = graph.mentions(fresh, "clean_content")
-        self.store.commit({"chunks": plus("chunks", pieces), "mentions": plus("mentions", found)})
-        mentions = self.store.tables()["mentions"]
-        return self.store.commit({"entities": graph.rollup(mentions)}) or version
+        failed = F.col("error_class").isNotNull()
+        docs = settled(done.select("document_id", "source_type", "source_path", "captured_at", "checksum", "content_type", "clean_content", "word_count", F.when(failed, "FAILED").otherwise("INDEXED").alias("status"), F.when(failed, 1).otherwise(0).alias("retry_count")))
+        self._index(docs)
+        self.store.append("documents", docs)
+        return docs
+
+    def _index(self, docs: DataFrame) -> None:
+        """Chunks, postings, vectors and mentions of docs, in place of any that are there."""
+        for name in self.OF_DOCUMENTS[:-1]:
+            self.store.delete(name, "document_id", docs.select("document_id"))
+        pieces = settled(chunk.chunks(docs.filter("status <> 'FAILED'"), "clean_content", "content_type"))
+        self.store.append("chunks", pieces)
+        self.store.append("postings", keyword.postings(pieces))
+        self.store.append("vectors", self._embedded(pieces, *self.model, self.embed))
+        self.store.append("mentions", graph.mentions(docs, "clean_content", self.extract))
+
+    @staticmethod
+    def _embedded(pieces: DataFrame, model: str, version: str, embed: Embedder | None) -> DataFrame:
+        return vector.embedded(pieces, model, version, embed).select(F.col("chunk_id").alias("id"), "document_id", "embedding", "embed_model", "embed_model_version")
+
+    def reindex(self, ids: DataFrame) -> None:
+        """Chunk, index, embed and extract the given documents again."""
+        self._index(settled(self.store.read("documents").join(ids.select("document_id").distinct(), "document_id", "left_semi")))
+
+    def document(self, document_id) -> DataFrame:
+        return recall.document_detail(self.store.read("documents"), self.store.read("chunks"), document_id)
+
+    def timeline(self, **options) -> DataFrame:
+        return recall.timeline(self.store.read("documents"), **options)
+
+    def stats(self) -> DataFrame:
+        t = self.store.tables()
+        turns = t.get("turns", self.spark.createDataFrame([], answer.TURNS_DDL))
+        return observe.stats_overview(t["documents"], t["chunks"], t["vectors"].filter("embedding is not null"), graph.rollup(t["mentions"]), turns, t["mentions"], self._relations())
+
+    def slo_report(self, observations: DataFrame) -> DataFrame:
+        return observe.slo_report(self.spark, observations)
+
+    # Search
+
+    def index_of(self, queries: DataFrame) -> DataFrame:
+        """The stored postings of the queries' terms: the parts of the other terms are not read."""
+        wanted = keyword.phrases(queries).select("term").unionByName(self.spark.createDataFrame([(keyword.LENGTH,)], "term string")).distinct()
+        parts = [r[0] for r in wanted.select(part_of(F.col("term"), self.store.parts)).distinct().collect()]  # at most the number of parts
+        return self.store.scan("postings").filter(F.col("part").isin(parts)).drop("part").join(wanted, "term", "left_semi")
 
     def search(self, queries: DataFrame, as_of: str, k: int | None = None, **filters) -> DataFrame:
+        """Hybrid search of (query_id, query and, if the embedder is not to make it, query_vector)."""
         t = self.store.tables()
-        return recall.hybrid_search(t["documents"], t["chunks"], queries, as_of, t["mentions"], t.get("vectors"), k, settings=self.settings, **filters)
+        if "query_vector" not in queries.columns:
+            made = vector.embedded(queries.withColumn("content", F.col("query")), *self.model, self.embed)
+            queries = made.select(*queries.columns, F.col("embedding").alias("query_vector"))
+        return recall.hybrid_search(t["documents"], t["chunks"], queries, as_of, t["mentions"], t["vectors"], k, settings=self.settings, index=self.index_of(queries), **filters)
 
     def context(self, queries: DataFrame, as_of: str, **filters) -> DataFrame:
         return answer.context_block(answer.within_budget(self.search(queries, as_of, **filters)), queries)
 
-    def timeline(self, **options) -> DataFrame:
-        return recall.timeline(self.store.tables()["documents"], **options)
+    # Conversations
 
-    def document(self, document_id) -> DataFrame:
-        t = self.store.tables()
-        return recall.document_detail(t["documents"], t["chunks"], document_id)
+    def chat(self, asked: DataFrame, as_of: str, generate: Embedder | None = None, **filters) -> DataFrame:
+        """One turn each of (query_id, session_id, query, asked_at): retrieve, fill the context, answer, keep both turns.
 
-    def forget(self, ids: DataFrame, as_of: str) -> DataFrame:
-        """Delete documents from every table in one commit, and log it; returns the verification."""
-        before = self.store.tables()
-        keys = ids.select("document_id").distinct()
-        log = keys.join(before["documents"].select("document_id", "source_type", "source_path"), "document_id", "left").withColumn("forgotten_at", F.lit(as_of))
-        after = protect.forget({k: v for k, v in before.items() if k != "forget_log"}, keys)
-        self.store.commit(after | {"forget_log": before["forget_log"].unionByName(log) if "forget_log" in before else log})
-        return self.verify_forget(keys)
+        Returns query_id, session_id, answer and citations, an array of cards.
+        """
+        turns = self.store.read("turns") if self.store.has("turns") else self.spark.createDataFrame([], answer.TURNS_DDL)
+        found = settled(self.search(asked.select("query_id", "query"), as_of, **filters))
+        said = settled(answer.answers(answer.chat_prompts(asked, found, turns), generate))
+        self.store.append("turns", answer.new_turns(turns, said))
+        cards = answer.citation_cards(found, said).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("citation_index", "chunk_id", "document_id", "snippet", "score"))).alias("citations"))
+        return said.select("query_id", "session_id", "answer").join(cards, "query_id", "left")
 
-    def forget_source(self, source_type: str, as_of: str) -> DataFrame:
-        return self.forget(self.store.tables()["documents"].filter(F.col("source_type") == source_type), as_of)
+    def sessions(self, limit: int = 20) -> DataFrame:
+        return answer.sessions(self.store.read("turns"), limit)
 
-    def verify_forget(self, ids: DataFrame) -> DataFrame:
-        return protect.verify_forgotten({k: v for k, v in self.store.tables().items() if k != "forget_log"}, ids)
+    def history(self, session_id: int, limit: int = 100) -> DataFrame:
+        return answer.history(self.store.read("turns").filter(F.col("session_id") == session_id), limit).orderBy("turn")
+
+    def delete_sessions(self, ids: DataFrame) -> None:
+        self.store.delete("turns", "session_id", ids.select("session_id"))
+
+    def purge_turns(self, as_of: str) -> DataFrame:
+        """Delete turns past retention; returns their keys."""
+        old = settled(protect.expired_turns(self.store.read("turns"), as_of, self.settings).select("session_id", "turn"))
+        sessions = old.select("session_id").distinct()
+        kept = settled(self.store.read("turns").join(sessions, "session_id", "left_semi").join(old, ["session_id", "turn"], "left_anti"))
+        self.store.delete("turns", "session_id", sessions)
+        self.store.append("turns", kept)
+        return old
+
+    # Graph
 
     def entities(self, text: str = "", limit: int = 20) -> DataFrame:
-        rows = self.store.tables()["entities"]
+        rows = graph.rollup(self.store.read("mentions"))
         return graph.search(rows, text, limit=limit) if text else graph.top(rows, limit)
 
-    def relations(self, min_confidence: float | None = None, limit: int = 100) -> DataFrame:
-        found = graph.cooccurrences(self.store.tables()["mentions"], self.settings.relation_confidence if min_confidence is None else min_confidence)
-        return found.orderBy(F.desc("confidence"), "subject", "object").limit(limit)
-
-    def stats(self) -> DataFrame:
-        return observe.count_by_source(self.store.tables()["documents"])
+    def _relations(self, min_confidence: float | None = None) -> DataFrame:
+        found = graph.cooccurrences(self.store.read("mentions"), self.settings.relation_confidence if min_confidence is None else min_confidence)
+        return found.select("subject", F.lit("CO_OCCURS").alias("predicate"), "object", "confidence", "n_documents")
 
-    def slo_report(self, observations: DataFrame) -> DataFrame:
-        return observe.slo_report(self.spark, observations)
+    def relations(self, subject: str | None = None, predicate: str | None = None, object_name: str | None = None, min_confidence: float | None = None, limit: int = 100) -> DataFrame:
+        return graph.relations_like(self._relations(min_confidence), subject, predicate, object_name, limit)
 
-    def reindex(self, ids: DataFrame) -> int:
-        """Chunk and extract the given documents again."""
+    def graph(self) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges."""
         t = self.store.tables()
-        keys = ids.select("document_id").distinct()
-        own = t["documents"].join(keys, "document_id", "left_semi")
-        swap = lambda name, df: t[name].join(keys, "document_id", "left_anti").unionByName(df)
-        return self.store.commit({"chunks": swap("chunks", chunk.chunks(own, "clean_content", "content_type")), "mentions": swap("mentions", graph.mentions(own, "clean_content"))})
+        return graph.nodes(t["documents"], t["chunks"], t["mentions"]), graph.edges(t["chunks"], t["mentions"], self._relations())
+
+    # Forgetting
+
+    def forget(self, ids: DataFrame, as_of: str) -> DataFrame:
+        """Delete documents from every table, the index and the vectors, and log it; returns the verification.
+
+        `documents` comes last, so a run that failed midway can be repeated.
+        """
+        keys = settled(ids.select("document_id").distinct())
+        log = settled(keys.join(self.store.read("documents").select("document_id", "source_type", "source_path"), "document_id", "left").withColumn("forgotten_at", F.lit(as_of)))
+        for name in self.OF_DOCUMENTS:
+            self.store.delete(name, "document_id", keys)
+        self.store.append("forget_log", log)
+        return self.verify_forget(keys)
+
+    def forget_source(self, source_type: str, as_of: str) -> DataFrame:
+        return self.forget(self.store.read("documents").filter(F.col("source_type") == source_type), as_of)
+
+    def verify_forget(self, ids: DataFrame) -> DataFrame:
+        return protect.verify_forgotten({name: self.store.read(name) for name in self.OF_DOCUMENTS if self.store.has(name)}, ids)
+
+    # Models
+
+    def models(self) -> DataFrame:
+        return self.store.read("models") if self.store.has("models") else self.spark.createDataFrame([], "model_id string, name string, version string, path string, registered_at string, is_active boolean")
+
+    def migrate(self, model: str, version: str, as_of: str, embed: Embedder | None = None) -> DataFrame:
+        """Register a model, embed all chunks anew, validate, and only then make its vectors the stored ones and the model active.
+
+        Returns the validation with status COMPLETE or FAILED; after a failure the old vectors and model stay.
+        """
+        self.store.replace("models", vector.registered(self.models(), model, version, f"{self.store.path}/vectors", as_of))
+        fresh = settled(self._embedded(self.store.read("chunks"), model, version, embed))
+        result = settled(vector.validated(self.store.read("chunks"), fresh).withColumn("status", F.when(F.col("valid"), "COMPLETE").otherwise("FAILED")))
+        if result.first()["valid"]:
+            self.store.replace("vectors", fresh)
+            self.store.replace("models", vector.activated(self.models(), f"{model}-{version}"))
+            self.model, self.embed = (model, version), embed
+        return result

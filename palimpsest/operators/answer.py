@@ -77,3 +77,26 @@ def sessions(turns: DataFrame, limit: int = 20) -> DataFrame:
     first = F.min_by("content", F.when(F.col("role") == "user", F.col("turn")))
     out = turns.groupBy("session_id").agg(F.min("created_at").alias("created_at"), F.max("created_at").alias("last_active"), F.count("*").alias("n_turns"), F.substring(first, 1, 100).alias("title"))
     return out.orderBy(F.desc("last_active"), "session_id").limit(limit)
+
+
+TURNS_DDL = "session_id long, turn long, role string, content string, created_at timestamp_ntz"
+
+
+def new_turns(stored: DataFrame, said: DataFrame) -> DataFrame:
+    """The turns that said (session_id, query, answer, asked_at) adds: per row a user's and an assistant's, numbered on from the session's last."""
+    last = stored.groupBy("session_id").agg(F.max("turn").alias("last"))
+    pair = F.array(F.struct(F.lit(1).alias("n"), F.lit("user").alias("role"), F.col("query").alias("content")), F.struct(F.lit(2).alias("n"), F.lit("assistant").alias("role"), F.col("answer").alias("content")))
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("asked_at", "query")) - 1
+    rows = said.withColumn("_place", place).withColumn("x", F.explode(pair)).join(last, "session_id", "left")
+    turn = (F.coalesce("last", F.lit(0)) + 2 * F.col("_place") + F.col("x.n")).cast("long")
+    return rows.select("session_id", turn.alias("turn"), "x.role", "x.content", F.col("asked_at").cast("timestamp_ntz").alias("created_at"))
+
+
+def chat_prompts(asked: DataFrame, results: DataFrame, turns: DataFrame) -> DataFrame:
+    """asked (query_id, session_id, query) with prompt: rules, context of the results within their budget, the session's last turns, the query."""
+    context, past = context_block(within_budget(results), asked), history_block(turns)
+    return asked.join(context, "query_id").join(past, "session_id", "left").withColumn("prompt", prompt(F.col("query"), F.col("context"), F.coalesce("history", F.lit("")))).drop("context", "history")
+
+
+def without_sessions(turns: DataFrame, ids: DataFrame) -> DataFrame:
+    return turns.join(ids.select("session_id").distinct(), "session_id", "left_anti")

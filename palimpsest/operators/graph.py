@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +22,22 @@ def entity_type(label: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv)), label), F.lit("CONCEPT"))
 
 
-def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """document_id, name, captured_at, n (occurrences of word names); one row per document and name."""
-    found = docs.select("document_id", "captured_at", F.explode(entity_names(F.col(text))).alias("name"))
-    return found.withColumn("name", F.trim("name"))
+def mentions(docs: DataFrame, text: str = "text", extract: Callable[[Column], Column] | None = None) -> DataFrame:
+    """document_id, name, captured_at, entity_type; one row per document and entity.
+
+    extract: a column function from text to array<struct<name, label>>, say a Pandas UDF around a model; labels map to entity
+    types. The default takes capitalised words and phrases as concepts.
+    """
+    if extract is None:
+        found = docs.select("document_id", "captured_at", F.explode(entity_names(F.col(text))).alias("name"))
+        return found.select("document_id", F.trim("name").alias("name"), "captured_at", F.lit("CONCEPT").alias("entity_type"))
+    found = docs.select("document_id", "captured_at", F.explode(extract(F.col(text))).alias("entity"))
+    return found.select("document_id", F.trim("entity.name").alias("name"), "captured_at", entity_type(F.col("entity.label")).alias("entity_type")).filter("name <> ''").distinct()
 
 
 def rollup(mention_rows: DataFrame) -> DataFrame:
     """canonical_name, entity_type, first_seen, last_seen, mention_count."""
-    return mention_rows.groupBy(F.col("name").alias("canonical_name"), F.lit("CONCEPT").alias("entity_type")).agg(F.min("captured_at").alias("first_seen"), F.max("captured_at").alias("last_seen"), F.count("*").alias("mention_count"))
+    return mention_rows.groupBy(F.col("name").alias("canonical_name"), "entity_type").agg(F.min("captured_at").alias("first_seen"), F.max("captured_at").alias("last_seen"), F.count("*").alias("mention_count"))
 
 
 def upsert(entities: DataFrame, batch: DataFrame) -> DataFrame:
@@ -62,12 +71,59 @@ def detail(mention_rows: DataFrame, docs: DataFrame, name: str) -> DataFrame:
 
 
 def cooccurrences(mention_rows: DataFrame, min_confidence: float = 0.5, min_documents: int = 2) -> DataFrame:
-    """subject, object, n_documents, confidence: phrases (names of two words or more) and names met in the same document, confidence n / documents of the subject."""
-    phrases = mention_rows.filter(F.contains("name", F.lit(" "))).select("document_id", F.col("name").alias("subject"))
-    pairs = phrases.join(mention_rows.select("document_id", F.col("name").alias("object")), "document_id").filter("subject <> object")
-    both = pairs.groupBy("subject", "object").agg(F.count("*").alias("n_documents"))
-    own = phrases.groupBy("subject").agg(F.count("*").alias("own"))
-    return both.join(own, "subject").withColumn("confidence", F.col("n_documents") / F.col("own")).filter((F.col("confidence") >= min_confidence) & (F.col("n_documents") >= min_documents)).select("subject", "object", "n_documents", "confidence")
+    """subject, object, n_documents, confidence: names met in the same documents, confidence n / documents of the subject.
+
+    A pair within the limits needs an object in min_documents documents and in min_confidence x those of the subject. So names with
+    fewer documents go before pairs are made, and a common subject meets only names that are as common.
+    """
+    own = mention_rows.groupBy("name").agg(F.count("*").alias("own")).filter(F.col("own") >= min_documents)
+    held = mention_rows.select("document_id", "name").join(own, "name")
+    pairs = held.withColumnsRenamed({"name": "subject"}).join(held.select("document_id", F.col("name").alias("object"), F.col("own").alias("_all")), "document_id")
+    fitting = pairs.filter((F.col("subject") != F.col("object")) & (F.col("_all") >= F.col("own") * min_confidence))
+    both = fitting.groupBy("subject", "object", "own").agg(F.count("*").alias("n_documents"))
+    rated = both.withColumn("confidence", F.col("n_documents") / F.col("own"))
+    return rated.filter((F.col("confidence") >= min_confidence) & (F.col("n_documents") >= min_documents)).select("subject", "object", "n_documents", "confidence")
+
+
+def relations_like(relations: DataFrame, subject: str | None = None, predicate: str | None = None, object_name: str | None = None, limit: int = 100) -> DataFrame:
+    """Relations (subject, predicate, object, confidence) that hold the given texts, any case, most confident first; 1 to 100 rows."""
+    for column, text in (("subject", subject), ("predicate", predicate), ("object", object_name)):
+        if text:
+            relations = relations.filter(F.contains(F.lower(column), F.lit(text.lower())))
+    return relations.orderBy(F.desc("confidence"), "subject", "predicate", "object").limit(max(1, min(limit, 100)))
+
+
+def nodes(docs: DataFrame, chunks: DataFrame, mention_rows: DataFrame) -> DataFrame:
+    """kind, id of every node: documents, entities, and the chunks of documents that have an entity."""
+    node = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"))
+    linked = chunks.join(mention_rows.select("document_id").distinct(), "document_id", "left_semi")
+    return node(docs, "Document", "document_id").unionByName(node(linked, "Chunk", "chunk_id")).unionByName(node(mention_rows, "Entity", "name")).distinct()
+
+
+def edges(chunks: DataFrame, mention_rows: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """kind, src, dst, confidence of every edge: MENTIONED_IN (entity to document), CONTAINS (document to chunk, where it has an entity), RELATED_TO."""
+    edge = lambda df, kind, src, dst, weight: df.select(F.lit(kind).alias("kind"), F.col(src).cast("string").alias("src"), F.col(dst).cast("string").alias("dst"), weight.alias("confidence"))
+    one, linked = F.lit(1.0), chunks.join(mention_rows.select("document_id").distinct(), "document_id", "left_semi")
+    out = edge(mention_rows, "MENTIONED_IN", "name", "document_id", one).unionByName(edge(linked, "CONTAINS", "document_id", "chunk_id", one))
+    return (out if relations is None else out.unionByName(edge(relations, "RELATED_TO", "subject", "object", F.col("confidence")))).distinct()
+
+
+def merged_nodes(stored: DataFrame, more: DataFrame) -> DataFrame:
+    """Stored nodes and those of more that are not among them: the first write of a node stays."""
+    return stored.unionByName(more.dropDuplicates(["kind", "id"]).join(stored.select("kind", "id"), ["kind", "id"], "left_anti"))
+
+
+def merged_edges(stored: DataFrame, more: DataFrame) -> DataFrame:
+    """Stored edges and those of more that differ in any property."""
+    return stored.unionByName(more).distinct()
+
+
+def without_documents(edge_rows: DataFrame, chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges less those at the documents and at their chunks."""
+    gone = ids.select(F.col("document_id").cast("string").alias("_end")).unionByName(chunks.join(ids.select("document_id").distinct(), "document_id", "left_semi").select(F.col("chunk_id").cast("string").alias("_end"))).distinct()
+    for end, kinds in (("src", ("CONTAINS",)), ("dst", ("CONTAINS", "MENTIONED_IN"))):
+        edge_rows = edge_rows.join(gone, (F.col(end) == F.col("_end")) & F.col("kind").isin(*kinds), "left_anti")
+    return edge_rows
 
 
 def counts(entities: DataFrame, mention_rows: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -1,44 +1,75 @@
-"""Keyword index and BM25 ranking over chunks, for many queries in one job."""
+"""Keyword index and BM25 ranking over chunks, for many queries in one job.
+
+The index is one table of postings: term, chunk_id, dl (terms of the chunk) and positions, one row per term of a chunk, and
+per chunk one row of the empty term that carries its length. It is built in one pass in Arrow batches without a
+shuffle. Kept in a folder dealt by term, a search reads the parts of its terms only; chunks are added by appending their
+postings and removed with them, so statistics are always those of the chunks that are there.
+"""
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.stem import stemmed
-from palimpsest.functions.text import terms
+from palimpsest.functions.text import ACCENTED, PLAIN, terms
+from palimpsest.operators.store import settled
 
+#: Fixed values of the ranking.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+LENGTH = ""  #: the term of the rows that carry a chunk's length
+_TERM = re.compile("(?:[^\\W_]|[\ue000-\uf8ff\U000f0000-\U000ffffd\U00100000-\U0010fffd])+")
+_FOLDED = str.maketrans(ACCENTED, PLAIN)
 
 
-def token_lists(chunks: DataFrame, stem: bool = False) -> DataFrame:
-    """chunk_id, terms. Stemming works on the distinct vocabulary and joins back."""
-    lists = chunks.select("chunk_id", terms(F.col("content")).alias("terms"))
-    if not stem:
-        return lists
-    words = lists.select("chunk_id", F.posexplode("terms").alias("position", "term"))
-    vocabulary = words.select("term").distinct().withColumn("stem", stemmed("term"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("position", "stem"))), lambda x: x["stem"])
-    return words.join(vocabulary, "term").groupBy("chunk_id").agg(ordered.alias("terms"))
+def terms_of(text: str | None) -> list[str]:
+    """As `functions.text.terms`, of a Python string."""
+    return _TERM.findall(text.lower().translate(_FOLDED)) if text else []
 
 
-def positions(lists: DataFrame) -> DataFrame:
-    """term, chunk_id, position."""
-    return lists.select("chunk_id", F.posexplode("terms").alias("position", "term"))
+_POSTINGS = [("term", pa.string()), ("dl", pa.int64()), ("positions", pa.list_(pa.int32()))]
 
 
-def postings(lists: DataFrame) -> DataFrame:
-    """term, chunk_id, tf."""
-    return positions(lists).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+def postings(chunks: DataFrame, stem: bool = False) -> DataFrame:
+    """The index of chunks (chunk_id, content and, if it is there, document_id). Stemming works on the distinct vocabulary."""
+    keys = [c for c in ("chunk_id", "document_id") if c in chunks.columns]
+    kinds = dict(chunks.dtypes)
+
+    def run(batches):
+        for b in batches:
+            rows, term, dl, places = [], [], [], []
+            for i, text in enumerate(b.column("content").to_pylist()):
+                found: dict[str, list[int]] = {LENGTH: []}
+                own = terms_of(text)
+                for at, t in enumerate(own):
+                    found.setdefault(t, []).append(at)
+                rows += [i] * len(found)
+                dl += [len(own)] * len(found)
+                term += found
+                places += found.values()
+            at = pa.array(rows, pa.int64())
+            columns = [*(b.column(c).take(at) for c in keys), *(pa.array(x, t) for x, (_, t) in zip((term, dl, places), _POSTINGS, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, *(n for n, _ in _POSTINGS)])
+
+    out = chunks.select(*keys, "content").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", term string, dl long, positions array<int>")
+    if not stem:
+        return out
+    vocabulary = out.select("term").distinct().withColumn("stem", F.when(F.col("term") == LENGTH, F.lit(LENGTH)).otherwise(stemmed("term")))
+    same = out.join(vocabulary, "term").groupBy(*keys, F.col("stem").alias("term"), "dl")
+    return same.agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))  # at most a chunk's own terms
 
 
-def lengths(lists: DataFrame) -> DataFrame:
-    return lists.select("chunk_id", F.size("terms").cast("long").alias("dl"))
+def term_counts(index: DataFrame) -> DataFrame:
+    """term, chunk_id, tf."""
+    return index.filter(F.col("term") != LENGTH).select("term", "chunk_id", F.size("positions").cast("long").alias("tf"))
 
 
-def corpus_stats(lists: DataFrame) -> DataFrame:
+def corpus_stats(index: DataFrame) -> DataFrame:
     """One row: n_chunks, avgdl over all chunks."""
-    return lengths(lists).agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
+    return index.filter(F.col("term") == LENGTH).agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
 
 
 def query_words(query: Column) -> Column:
@@ -61,31 +92,45 @@ def phrases(queries: DataFrame, stem: bool = False) -> DataFrame:
     return out.withColumn("term", stemmed("term")) if stem else out
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 20, stem: bool = False) -> DataFrame:
-    """query_id, chunk_id, rank (negative; less is better), place (1 to k). Statistics are over all chunks.
+def ranked(index: DataFrame, queries: DataFrame, k: int = 20, allowed: DataFrame | None = None, stem: bool = False) -> DataFrame:
+    """query_id, chunk_id, rank (negative; less is better), place (1 to k). Ties go to the smaller chunk_id.
 
-    Two passes over the chunks: one for the statistics (one row), one for the query terms' places, which carry
-    their chunk's length; only those are shuffled. Ties go to the smaller chunk_id.
+    index: postings, stored or not (stem: made with stem). allowed: the chunk_ids that may be returned; statistics are
+    over all chunks all the same. Words of one term need no positions; only phrases of several are grouped for them.
     """
-    lists = token_lists(chunks, stem)
     asked = phrases(queries, stem)
-    places = lists.select("chunk_id", F.size("terms").cast("long").alias("dl"), F.posexplode("terms").alias("position", "term"))
-    hits = places.join(asked, "term").withColumn("start", F.col("position") - F.col("offset"))
-    whole = hits.groupBy("query_id", "phrase", "size", "chunk_id", "dl", "start").agg(F.count("*").alias("n")).filter("n = size")
-    tf = whole.groupBy("query_id", "phrase", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    found = index.filter(F.col("term") != LENGTH).join(asked, "term")
+    words = found.filter("size = 1").select("query_id", "phrase", "chunk_id", "dl", F.size("positions").alias("tf"))
+    starts = F.collect_list(F.transform("positions", lambda x: x - F.col("offset"))).alias("starts")  # a phrase's terms at most
+    longer = found.filter("size > 1").groupBy("query_id", "phrase", "size", "chunk_id", "dl").agg(starts).filter(F.size("starts") == F.col("size"))
+    shared = F.aggregate(F.slice("starts", 2, F.size("starts")), F.col("starts")[0], F.array_intersect)
+    tf = words.unionByName(longer.select("query_id", "phrase", "chunk_id", "dl", F.size(shared).alias("tf")).filter("tf > 0"))
     n = tf.groupBy("query_id", "phrase").agg(F.count("*").alias("n"))
-    scored = tf.join(n, ["query_id", "phrase"]).join(corpus_stats(lists))
+    scored = tf.join(n, ["query_id", "phrase"]).join(F.broadcast(corpus_stats(index)))  # one row
     raw = F.log((F.col("n_chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(F.lit(IDF_FLOOR))
     score = -idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     ranks = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(score), 9).alias("rank"))
+    if allowed is not None:
+        ranks = ranks.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id"))
     return ranks.withColumn("place", place).filter(F.col("place") <= k)
 
 
-def normalised(ranked: DataFrame) -> DataFrame:
+def asked_postings(chunks: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
+    """The postings of the queries' terms and of the lengths, settled: one pass over the chunks where no index is kept."""
+    wanted = phrases(queries, stem).select("term").unionByName(queries.sparkSession.createDataFrame([(LENGTH,)], "term string")).distinct()
+    return settled(postings(chunks, stem).join(wanted, "term", "left_semi"))
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, k: int = 20, allowed: DataFrame | None = None, stem: bool = False) -> DataFrame:
+    """As `ranked`, of chunks without an index."""
+    return ranked(asked_postings(chunks, queries, stem), queries, k, allowed, stem)
+
+
+def normalised(ranks: DataFrame) -> DataFrame:
     """query_id, chunk_id, score: best returned row 1, worst 0, all 1 where they are equal."""
     w = Window.partitionBy("query_id")
     low, high = F.min("rank").over(w), F.max("rank").over(w)
     width = F.when(high == low, F.lit(1.0)).otherwise(high - low)
-    return ranked.select("query_id", "chunk_id", (1 - (F.col("rank") - low) / width).alias("score"))
+    return ranks.select("query_id", "chunk_id", (1 - (F.col("rank") - low) / width).alias("score"))

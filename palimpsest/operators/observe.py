@@ -42,14 +42,22 @@ def count_by_source(docs: DataFrame) -> DataFrame:
     return docs.groupBy("source_type").agg(F.count("*").alias("n_documents"))
 
 
-def stats_overview(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, entities: DataFrame, turns: DataFrame) -> DataFrame:
-    """One row of totals; embedded share in percent with one decimal, 0 when empty. docs: with status."""
-    one = docs.agg(F.count("*").alias("documents"), F.count_if(F.col("status").isin("FAILED", "PARSE_FAILED", "FORGET_FAILED")).alias("failed"))
-    two = chunks.join(vectors.select(F.col("id").alias("chunk_id"), F.lit(1).alias("_v")), "chunk_id", "left").agg(F.count("*").alias("chunks"), F.count("_v").alias("embedded_chunks"))
-    three = entities.agg(F.count("*").alias("entities"))
-    four = turns.agg(F.countDistinct("session_id").alias("conversations"))
-    pct = F.coalesce(F.round(F.try_divide(F.lit(100.0) * F.col("embedded_chunks"), F.col("chunks")), 1), F.lit(0.0))
-    return one.join(two).join(three).join(four).withColumn("embedding_coverage_pct", pct)  # one-row frames
+def stats_overview(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, entities: DataFrame, turns: DataFrame, mention_rows: DataFrame | None = None, relations: DataFrame | None = None) -> DataFrame:
+    """One row of totals, of documents by source, and of the shares of chunks with a vector and of documents with an entity, in percent with one decimal, 0 when empty. docs: with status."""
+    share = lambda n, of: F.coalesce(F.round(F.try_divide(F.lit(100.0) * F.col(n), F.col(of)), 1), F.lit(0.0))
+    held = chunks.join(vectors.select(F.col("id").alias("chunk_id"), F.lit(1).alias("_v")), "chunk_id", "left")
+    by_source = docs.groupBy("source_type").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_type", "n")))).alias("by_source"))  # a row per source
+    totals = [
+        docs.agg(F.count("*").alias("documents"), F.count_if(F.col("status").isin("FAILED", "PARSE_FAILED", "FORGET_FAILED")).alias("failed")), by_source,
+        held.agg(F.count("*").alias("chunks"), F.count("_v").alias("embedded_chunks")), entities.agg(F.count("*").alias("entities")), turns.agg(F.countDistinct("session_id").alias("conversations")),
+    ]
+    totals += [] if mention_rows is None else [mention_rows.join(docs.select("document_id"), "document_id", "left_semi").agg(F.countDistinct("document_id").alias("linked_documents"))]
+    totals += [] if relations is None else [relations.agg(F.count("*").alias("relations"))]
+    out = totals[0]
+    for one in totals[1:]:
+        out = out.join(F.broadcast(one))  # one row each
+    out = out.withColumn("embedding_coverage_pct", share("embedded_chunks", "chunks"))
+    return out if mention_rows is None else out.withColumn("graph_coverage_pct", share("linked_documents", "documents"))
 
 
 def health(checks: DataFrame) -> DataFrame:

@@ -95,16 +95,23 @@ def line_count(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
 
 
+def _content(part) -> str:
+    """Text of a part. Without a transfer encoding it is the characters as they stand."""
+    if str(part.get("Content-Transfer-Encoding", "8bit")).strip().lower() in ("7bit", "8bit", "binary"):
+        return part.get_payload()
+    return part.get_payload(decode=True).decode(part.get_content_charset() or "utf-8", "replace")
+
+
 def _mail(raw: str) -> str:
     message = email.message_from_string(raw, policy=policy.default)
     head = [f"{k}: {message[k]}" for k in ("Subject", "From", "To", "Date") if message[k]]
     parts = [p for p in message.walk() if not p.is_multipart()]
     chosen = next((p for p in parts if p.get_content_type() == "text/plain"), None)
     if chosen is not None:
-        body = chosen.get_payload(decode=True).decode(chosen.get_content_charset() or "utf-8", "replace")
+        body = _content(chosen)
     else:
         page = next((p for p in parts if p.get_content_type() == "text/html"), None)
-        body = " ".join(re.sub(r"<[^>]+>", " ", page.get_payload(decode=True).decode(page.get_content_charset() or "utf-8", "replace")).split()) if page else ""
+        body = " ".join(re.sub(r"<[^>]+>", " ", _content(page)).split()) if page else ""
     return "\n".join([*head, "", body]).strip()
 
 

@@ -1,61 +1,99 @@
-"""Versioned snapshots of the memory's tables: Parquet directories and one manifest a version.
+"""Tables of the memory: plain Parquet folders that Spark appends to, and rewrites by part.
 
-A commit writes the changed tables to new directories and then the manifest; readers pin a version. Paths go
-through Hadoop's file system API, so any store that Spark reaches will do.
+Rows are partitioned by `part`, a hash of their key, so an append touches no other file and a deletion rewrites only the
+parts that hold the keys. Each write of a part is Spark's own dynamic overwrite. Paths go through Hadoop's file
+system API, so any store that Spark reaches will do; one writer at a time is assumed, as Parquet folders have no locks.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
+import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FORMAT = 1
+PARTS = 32
 
 
-class SnapshotStore:
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names. Only a session on this machine alone may get one of its own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as it is now, written to the shared checkpoint folder, for several readers."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def part_of(key: Column, parts: int = PARTS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+class TableFolder:
+    """Named tables under a path, each partitioned by the hash of its key column."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: dict[str, str], parts: int = PARTS) -> None:
+        self.spark, self.path, self.keys, self.parts = spark, path.rstrip("/"), keys, parts
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _path(self, name: str):
+    def _at(self, name: str):
         return self._hadoop.Path(f"{self.path}/{name}".rstrip("/"))
 
-    def versions(self) -> list[int]:
-        folder = self._path("manifests")
-        if not self._fs.exists(folder):
-            return []
-        return sorted(int(s.getPath().getName()[:-5]) for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
-
-    def manifest(self, version: int | None = None) -> dict:
-        known = self.versions()
-        if not known:
-            return {"format": FORMAT, "version": 0, "tables": {}}
-        text = self.spark.read.text(f"{self.path}/manifests/{version or known[-1]}.json", wholetext=True).first()[0]
-        found = json.loads(text)
-        if found["format"] > FORMAT:
-            raise ValueError(f"store format {found['format']} is newer than {FORMAT}")
-        return found
-
-    def tables(self, version: int | None = None) -> dict[str, DataFrame]:
-        return {name: self.spark.read.parquet(where) for name, where in self.manifest(version)["tables"].items()}
-
-    def commit(self, changed: dict[str, DataFrame]) -> int:
-        """Write the changed tables and a manifest that points to them and to the unchanged ones; all or nothing for readers."""
-        base = self.manifest()
-        version, tables = base["version"] + 1, dict(base["tables"])
-        for name, df in changed.items():
-            tables[name] = f"{self.path}/data/{name}-{version}-{uuid.uuid4()}"
-            df.write.parquet(tables[name])
-        text = json.dumps({"format": FORMAT, "version": version, "tables": tables}, sort_keys=True)
-        target = self._path(f"manifests/{version}.json")
-        draft = self._path(f"manifests/.{version}-{uuid.uuid4()}")
-        out = self._fs.create(draft, False)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
-            self._fs.delete(draft, False)
-            raise RuntimeError(f"version {version} was committed by another writer")
-        return version
+    def has(self, name: str) -> bool:
+        return self._fs.exists(self._at(f"{name}/_SUCCESS"))
+
+    def scan(self, name: str) -> DataFrame:
+        """The rows with their part. The schema is kept beside, as a table without rows has no file to tell it."""
+        schema = self.spark.read.parquet(f"{self.path}/_schemas/{name}").schema
+        return self.spark.read.schema(schema.add("part", "integer")).parquet(f"{self.path}/{name}")
+
+    def read(self, name: str) -> DataFrame:
+        return self.scan(name).drop("part")
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: self.read(name) for name in self.keys if self.has(name)}
+
+    def _dealt(self, name: str, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("part", part_of(F.col(self.keys[name]), self.parts))
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        if not self.has(name):
+            rows.limit(0).write.mode("overwrite").parquet(f"{self.path}/_schemas/{name}")
+        self._dealt(name, rows).write.mode("append").partitionBy("part").parquet(f"{self.path}/{name}")
+
+    def delete(self, name: str, column: str, keys: DataFrame) -> None:
+        """Remove the rows whose `column` is among the keys; only the parts that hold such rows are written again."""
+        if not self.has(name):
+            return
+        rows = self.scan(name)
+        wanted = keys.select(F.col(keys.columns[0]).alias(column)).distinct()
+        parts = [r["part"] for r in rows.join(wanted, column, "left_semi").select("part").distinct().collect()]  # at most the table's parts
+        if parts:
+            self._swap(name, parts, rows.filter(F.col("part").isin(parts)).join(wanted, column, "left_anti").drop("part"))
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """The whole table anew."""
+        if self.has(name):
+            self._swap(name, list(range(self.parts)), rows)
+        else:
+            self.append(name, rows)
+
+    def upsert(self, name: str, column: str, rows: DataFrame) -> None:
+        """Rows take the place of those with the same key."""
+        rows = settled(rows)
+        self.delete(name, column, rows.select(column))
+        self.append(name, rows)
+
+    def _swap(self, name: str, parts: list[int], rows: DataFrame) -> None:
+        after = settled(self._dealt(name, rows))  # a folder cannot be read while it is overwritten
+        after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/{name}")
+        for gone in set(parts) - {r["part"] for r in after.select("part").distinct().collect()}:
+            self._fs.delete(self._at(f"{name}/part={gone}"), True)

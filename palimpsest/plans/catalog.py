@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,9 +12,9 @@ from palimpsest import config
 from palimpsest.config import Settings
 from palimpsest.functions import text as tx
 from palimpsest.operators import answer, chunk, graph, keyword, observe, parse, protect, recall, redact, vector
+from palimpsest.operators.store import checkpoint_folder, settled
 from palimpsest.plans import oracle
-from palimpsest.plans.oracle import QUERIES
-from palimpsest.sources import capture
+from palimpsest.sources import capture, files
 from palimpsest.sources.corpus import AS_OF, corpus, table
 from palimpsest.streaming import ingest
 
@@ -37,11 +36,17 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, q) for i, q, _ in QUERIES], "query_id long, query string")
-    vectors = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < len(QUERIES)).select((F.col("vec_id") + 1).alias("query_id"), F.col("embedding").alias("query_vector"))
+    """The query set: each benchmark text whose id is divisible by 20, with the vector of that id where there is one."""
+    rows = table(spark, sf_dir, "benchmark").filter(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return rows.join(vectors, "query_id", "left")
 
 
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector whose id is divisible by 20."""
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit(":0")).alias("id"), "embedding", F.col("label").cast("long").alias("label"))
 
@@ -61,7 +66,8 @@ def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return recall.hybrid_search(corpus(spark, sf_dir), _chunks(spark, sf_dir), _asked(spark, sf_dir), AS_OF, _mentions(spark, sf_dir), _vectors(spark, sf_dir), **options)
+    pieces, rows = settled(_chunks(spark, sf_dir)), settled(_mentions(spark, sf_dir))  # read more than once
+    return recall.hybrid_search(corpus(spark, sf_dir), pieces, _asked(spark, sf_dir), AS_OF, rows, _vectors(spark, sf_dir), **options)
 
 
 def _result(rows: DataFrame) -> DataFrame:
@@ -233,12 +239,12 @@ def chunk_stats(spark, sf_dir):
 
 @query
 def token_postings(spark, sf_dir):
-    return keyword.postings(keyword.token_lists(_chunks(spark, sf_dir)))
+    return keyword.term_counts(keyword.postings(_chunks(spark, sf_dir)))
 
 
 @query
 def corpus_stats(spark, sf_dir):
-    return keyword.corpus_stats(keyword.token_lists(_chunks(spark, sf_dir))).select("n_chunks", F.round("avgdl", 6).alias("avgdl"))
+    return keyword.corpus_stats(keyword.postings(_chunks(spark, sf_dir))).select("n_chunks", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query
@@ -259,14 +265,13 @@ def keyword_norm(spark, sf_dir):
 
 @query
 def phrase_search(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "anly-hend"), (2, "of-the")], "query_id long, query string")
-    return keyword.bm25(_chunks(spark, sf_dir), rows, 50).select("query_id", "chunk_id", F.round("rank", 6).alias("rank"))
+    pairs = F.regexp_replace("query", "([A-Za-z]+) ([A-Za-z]+)", "$1-$2")
+    return keyword.bm25(_chunks(spark, sf_dir), _asked(spark, sf_dir).withColumn("query", pairs), 50).select("query_id", "chunk_id", F.round("rank", 6).alias("rank"))
 
 
 @query
 def bm25_stemmed(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "onlying tions edsed")], "query_id long, query string")
-    return keyword.bm25(_chunks(spark, sf_dir), rows, 20, stem=True)
+    return keyword.bm25(_chunks(spark, sf_dir), _asked(spark, sf_dir), 20, stem=True).select("query_id", "chunk_id", F.round("rank", 6).alias("rank"))
 
 
 # Vectors
@@ -274,20 +279,17 @@ def bm25_stemmed(spark, sf_dir):
 
 @query
 def cosine_topk(spark, sf_dir):
-    asked = _asked(spark, sf_dir).filter("query_vector is not null").select("query_id", "query_vector")
-    return vector.nearest(_vectors(spark, sf_dir), asked).select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("place").cast("long").alias("place"))
+    return vector.nearest(_vectors(spark, sf_dir), _asked_vectors(spark, sf_dir)).select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("place").cast("long").alias("place"))
 
 
 @query
 def vector_where(spark, sf_dir):
-    asked = _asked(spark, sf_dir).filter("query_vector is not null").select("query_id", "query_vector")
-    return vector.nearest(_vectors(spark, sf_dir), asked, 10, F.col("label") == 1).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+    return vector.nearest(_vectors(spark, sf_dir), _asked_vectors(spark, sf_dir), 10, F.col("label") == 1).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
 @query
 def lsh_topk(spark, sf_dir):
-    asked = _asked(spark, sf_dir).filter("query_vector is not null").select("query_id", "query_vector")
-    return vector.lsh_nearest(_vectors(spark, sf_dir), asked, 10)
+    return vector.lsh_nearest(_vectors(spark, sf_dir), _asked_vectors(spark, sf_dir), 10)
 
 
 @query
@@ -330,20 +332,46 @@ def entity_top(spark, sf_dir):
     return graph.top(graph.rollup(_mentions(spark, sf_dir))).select("canonical_name", "mention_count")
 
 
-def _names(spark):
-    return spark.createDataFrame([(i, n) for i, _, names in QUERIES for n in names], "query_id long, name string")
+def _names(spark, sf_dir):
+    """The names of the query set."""
+    return _asked(spark, sf_dir).select("query_id", F.explode(graph.entity_names(F.col("query"))).alias("name"))
 
 
 @query
 def graph_neighbors(spark, sf_dir):
-    return graph.neighbours(_names(spark), _mentions(spark, sf_dir))
+    return graph.neighbours(_names(spark, sf_dir), _mentions(spark, sf_dir))
 
 
 @query
 def graph_2hop(spark, sf_dir):
-    rare = _mentions(spark, sf_dir).filter(F.contains("name", F.lit(" ")))
-    seeds = rare.filter(F.col("document_id") % 100 == 38).select(F.col("document_id").alias("query_id"), "name")
-    return graph.neighbours(seeds, rare, 2)
+    rows = settled(_mentions(spark, sf_dir))
+    seeds = rows.filter(F.col("document_id") % 20 == 0).select(F.col("document_id").alias("query_id"), "name")
+    return graph.neighbours(seeds, rows, 2)
+
+
+@query
+def graph_nodes(spark, sf_dir):
+    return graph.nodes(corpus(spark, sf_dir), _chunks(spark, sf_dir), _mentions(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query
+def graph_edges(spark, sf_dir):
+    rows = settled(_mentions(spark, sf_dir))
+    found = graph.edges(_chunks(spark, sf_dir), rows, graph.cooccurrences(rows))
+    return found.groupBy("kind", "src").agg(F.count("*").alias("n"), F.min("dst").alias("least"), F.round(F.sum("confidence"), 4).alias("confidence"))
+
+
+@query
+def graph_forget(spark, sf_dir):
+    rows, pieces = settled(_mentions(spark, sf_dir)), settled(_chunks(spark, sf_dir))
+    gone = corpus(spark, sf_dir).filter("source_type = 'browser'")
+    return graph.without_documents(graph.edges(pieces, rows), pieces, gone).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query
+def relation_filter(spark, sf_dir):
+    found = graph.cooccurrences(_mentions(spark, sf_dir)).withColumn("predicate", F.lit("CO_OCCURS"))
+    return graph.relations_like(found, "th", "occur", "AN", 40).select("subject", "predicate", "object", F.round("confidence", 6).alias("confidence"))
 
 
 @query
@@ -353,7 +381,7 @@ def entity_detail(spark, sf_dir):
 
 @query
 def relations_cooccur(spark, sf_dir):
-    return graph.cooccurrences(_mentions(spark, sf_dir)).select("subject", "object", "n_documents", F.round("confidence", 6).alias("confidence"))
+    return graph.cooccurrences(settled(_mentions(spark, sf_dir))).select("subject", "object", "n_documents", F.round("confidence", 6).alias("confidence"))
 
 
 @query
@@ -385,6 +413,17 @@ def hybrid_search_prefilter(spark, sf_dir):
     return _result(_search(spark, sf_dir, k=50, source_type="browser", after="2024-01-02", before="2024-02-01", prefilter=True))
 
 
+@query
+def search_projection(spark, sf_dir):
+    return recall.projected(_search(spark, sf_dir))
+
+
+@query
+def timeline_status(spark, sf_dir):
+    docs = corpus(spark, sf_dir).withColumn("status", F.when(F.col("document_id") % 11 == 0, "FAILED").otherwise("INDEXED"))
+    return recall.timeline(docs, 300, 2, after="2024-01-02", status="FAILED").select("document_id", _time("captured_at"))
+
+
 @query
 def timeline_page(spark, sf_dir):
     return recall.timeline(corpus(spark, sf_dir), 25, 10, "browser", "2024-01-02", "2024-02-01").select("document_id", "source_type", "source_path", _time("captured_at"))
@@ -426,7 +465,7 @@ def citation_extract(spark, sf_dir):
 
 @query
 def citation_cards(spark, sf_dir):
-    said = spark.createDataFrame([(i, "As said [Source 1], [Source 3] and [Source 99].") for i, _, _ in QUERIES], "query_id long, answer string")
+    said = _asked(spark, sf_dir).select("query_id", F.lit("As said [Source 1], [Source 3] and [Source 99].").alias("answer"))
     return answer.citation_cards(_search(spark, sf_dir), said)
 
 
@@ -436,6 +475,20 @@ def chat_answers(spark, sf_dir):
     return answer.answers(context.select("query_id", answer.prompt(F.col("query"), F.col("context")).alias("prompt"))).select("query_id", "answer")
 
 
+@query
+def chat_turns(spark, sf_dir):
+    """A turn more in each session whose id is divisible by 20."""
+    turns = _turns(spark, sf_dir)
+    said = turns.filter("session_id % 20 = 0 and turn = 0").select("session_id", F.col("content").alias("query"), F.lit("Noted.").alias("answer"), F.lit("2025-01-01 00:00:00").alias("asked_at"))
+    return answer.new_turns(turns, said).select("session_id", "turn", "role", "content", _time("created_at"))
+
+
+@query
+def session_delete(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    return answer.without_sessions(turns, turns.filter("session_id % 20 = 0")).groupBy("session_id").agg(F.count("*").alias("n_turns"))
+
+
 @query
 def session_list(spark, sf_dir):
     return answer.sessions(_turns(spark, sf_dir)).select("session_id", _time("created_at"), _time("last_active"), "n_turns", "title")
@@ -501,7 +554,68 @@ def expired_turns(spark, sf_dir):
 @query
 def stats_overview(spark, sf_dir):
     docs = corpus(spark, sf_dir).withColumn("status", F.when(F.col("document_id") % 11 == 0, "FAILED").otherwise("INDEXED"))
-    return observe.stats_overview(docs, _chunks(spark, sf_dir), _vectors(spark, sf_dir), graph.rollup(_mentions(spark, sf_dir)), _turns(spark, sf_dir))
+    rows = settled(_mentions(spark, sf_dir))
+    out = observe.stats_overview(docs, _chunks(spark, sf_dir), _vectors(spark, sf_dir), graph.rollup(rows), _turns(spark, sf_dir), rows, graph.cooccurrences(rows))
+    return out.withColumn("by_source", F.array_join(F.transform(F.map_entries("by_source"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ","))
+
+
+@query
+def health_check(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("store")).agg((F.max("value") < 400).alias("ok"))
+    return observe.health(rows).select("healthy", F.array_join("failing", ",").alias("failing"))
+
+
+@query
+def throughput_check(spark, sf_dir):
+    rows = observe.percentiles(_observations(spark, sf_dir))
+    return rows.select("metric", observe.throughput_violated(F.col("p50") * 50).alias("violated"))
+
+
+@query
+def model_registry(spark, sf_dir):
+    """One model per source of the documents, the second registered twice, the last made active."""
+    empty = spark.createDataFrame([], "model_id string, name string, version string, path string, registered_at string, is_active boolean")
+    models = empty
+    for name, version in (("hashing", "1"), ("hashing", "2"), ("hashing", "2"), ("other", "1")):
+        models = vector.registered(models, name, version, f"vectors/{name}-{version}", AS_OF)
+    return vector.activated(models, "hashing-2").select("model_id", "path", "is_active")
+
+
+@query
+def migration_check(spark, sf_dir):
+    return vector.validated(_chunks(spark, sf_dir), _vectors(spark, sf_dir))
+
+
+@query
+def file_admission(spark, sf_dir):
+    """Paths of documents as files, with sizes and hidden folders from their ids."""
+    prefix = F.element_at(F.array(*map(F.lit, ("home/", "home/.git/", ".cache/x/", "home/.config/", "a/node_modules/"))), (F.col("document_id") % 5 + 1).cast("int"))
+    ending = F.element_at(F.array(*map(F.lit, ("", ".swp", ".tmp", ".md"))), (F.col("document_id") % 4 + 1).cast("int"))
+    size = F.when(F.col("document_id") % 7 == 0, F.lit(0)).when(F.col("document_id") % 9 == 0, F.lit(60 << 20)).otherwise(F.length("text"))
+    path = F.concat(prefix, F.col("document_id").cast("string"), ending)
+    return corpus(spark, sf_dir).select("document_id", files.admitted(path, size).alias("admitted"))
+
+
+@query
+def file_documents(spark, sf_dir):
+    rows = corpus(spark, sf_dir).select(F.concat(F.lit("notes/"), "source_path").alias("path"), F.col("captured_at").alias("modificationTime"), F.octet_length("text").cast("long").alias("length"), F.col("text").cast("binary").alias("content"))
+    return files.raw_documents(rows).select("checksum", "source_type", F.length("raw_bytes").alias("n_bytes"), F.col("source_metadata")["size"].alias("size"), "priority")
+
+
+@query
+def browser_visits(spark, sf_dir):
+    """Visits after a cursor: two browsers, each with a cursor of its own."""
+    urls = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", parse.html_title(F.col("html")).alias("title"))
+    visits = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 300).alias("url"), F.col("ts").alias("visit_time"))
+    chrome, firefox = (capture.new_visits(visits.filter(F.col("id") % 2 == k), urls, after).withColumn("browser", F.lit(name)) for k, after, name in ((0, 100, "chrome"), (1, 700, "firefox")))
+    return chrome.unionByName(firefox).select("browser", "visit_id", "url", "title")
+
+
+@query
+def parse_dispatch(spark, sf_dir):
+    """All content types through the dispatch."""
+    rows = corpus(spark, sf_dir).select("document_id", "text", "source_path")
+    return parse.parsed(rows).select("document_id", "content_type", F.md5("clean_content").alias("digest"), "word_count", "error_class")
 
 
 @query
@@ -528,8 +642,7 @@ def slo_report(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="streams")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4()}"
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4()}"
 
 
 def _stream(spark, sf_dir, name: str) -> DataFrame:
@@ -551,7 +664,7 @@ def _finished(stream: DataFrame, folder: str) -> DataFrame:
 def stream_ingest(spark, sf_dir):
     docs = _stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("arrival"), "text", F.sha2("text", 256).alias("checksum"), (F.col("doc_id") % 4).alias("priority"))
     folder = _folder(spark)
-    ingest.ingest(docs, folder, f"{folder}/state", capacity=500).awaitTermination()
+    ingest.ingest(docs, folder, f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/documents").select("arrival", "checksum", "priority")
 
 

@@ -5,10 +5,6 @@ from __future__ import annotations
 from palimpsest import config
 from palimpsest.functions.text import ACCENTED, PLAIN
 
-#: (query_id, query, capitalised names) of the search queries.
-QUERIES = ((1, "Enti heon was", ("Enti",)), (2, "anly-hend wherer", ()), (3, "Enti NOT Erst (der)", ("Enti", "Erst")))
-_TERMS = "(1,0,0,1,'enti'),(1,1,0,1,'heon'),(1,2,0,1,'was'),(2,0,0,2,'anly'),(2,0,1,2,'hend'),(2,1,0,1,'wherer'),(3,0,0,1,'enti'),(3,1,0,1,'erst'),(3,2,0,1,'der')"
-_NAMES = "(1,'Enti'),(3,'Enti'),(3,'Erst')"
 STATES = ("INDEXED", "EMBEDDED", "FAILED", "PARSE_FAILED", "PENDING", "PARSED", "ABANDONED", "FORGET_FAILED")
 MORE_DOMAINS = ("*.example.net", "blog.*", "thther.example.org")
 
@@ -47,26 +43,35 @@ _CHUNKS = _CORPUS + ",\n" + _fold(_PARAS, 1600, 200)
 _LISTS = rf"""lists AS (SELECT chunk_id, document_id, regexp_extract_all(translate(lower(content), '{ACCENTED}', '{PLAIN}'), '[\p{{L}}\p{{N}}\p{{Co}}]+') AS terms FROM chunks)"""
 
 
-def _bm25(terms: str, k: int, chunks: str = "chunks") -> str:
-    lists = _LISTS.replace("FROM chunks", f"FROM {chunks}")
-    return f"""{lists},
+_WORDS = r"""list_filter(string_split_regex(regexp_replace(regexp_replace({t}, '[*?(){{}}\[\]^:=!@#%&\\~]', ' ', 'g'), '(?i)\b(AND|OR|NOT|NEAR)\b', ' ', 'g'), '[ \t\n\r\x0B\x0C]+'), lambda x: x <> '')[1:20]"""
+
+
+def _bm25(k: int, only: str = "chunks", query: str = "text") -> str:
+    """CTEs up to bm25 and norm of the query set; statistics over all chunks, hits from `only`."""
+    return rf"""{_LISTS},
 places AS (SELECT chunk_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS position FROM lists),
-asked AS (SELECT CAST(query_id AS BIGINT) AS query_id, phrase, part, size, term FROM (VALUES {terms}) v(query_id, phrase, part, size, term)),
+asked_words AS (SELECT query_id, generate_subscripts(ws, 1) - 1 AS phrase, unnest(ws) AS word FROM (SELECT item_id AS query_id, {_WORDS.format(t=query)} AS ws FROM benchmark WHERE item_id % 20 = 0)),
+asked AS (SELECT query_id, phrase, generate_subscripts(ps, 1) - 1 AS part, len(ps) AS size, unnest(ps) AS term FROM (SELECT query_id, phrase, regexp_extract_all(translate(lower(word), '{ACCENTED}', '{PLAIN}'), '[\p{{L}}\p{{N}}\p{{Co}}]+') AS ps FROM asked_words)),
 whole AS (SELECT query_id, phrase, size, chunk_id, position - part AS at FROM places JOIN asked USING (term) GROUP BY ALL HAVING count(*) = size),
 tf AS (SELECT query_id, phrase, chunk_id, count(*) AS tf FROM whole GROUP BY ALL),
 df AS (SELECT query_id, phrase, count(*) AS n FROM tf GROUP BY ALL),
 st AS (SELECT count(*) AS nn, avg(len(terms)) AS avgdl FROM lists),
 ranks AS (
   SELECT query_id, chunk_id, round(sum(-(CASE WHEN ln((nn - n + 0.5) / (n + 0.5)) > 0 THEN ln((nn - n + 0.5) / (n + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(terms) / avgdl))), 9) AS rank
-  FROM tf JOIN df USING (query_id, phrase) JOIN lists USING (chunk_id), st GROUP BY ALL),
+  FROM tf JOIN df USING (query_id, phrase) JOIN lists USING (chunk_id), st WHERE chunk_id IN (SELECT chunk_id FROM {only}) GROUP BY ALL),
 bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS place FROM ranks) WHERE place <= {k}),
 norm AS (SELECT query_id, chunk_id, 1 - (rank - min(rank) OVER w) / CASE WHEN max(rank) OVER w = min(rank) OVER w THEN 1.0 ELSE max(rank) OVER w - min(rank) OVER w END AS score FROM bm25 WINDOW w AS (PARTITION BY query_id))"""
 
 
-_COSINE = """asked_vectors AS (SELECT vec_id + 1 AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < 3),
+def _cosine(asked: str) -> str:
+    return f"""asked_vectors AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE {asked}),
 sims AS (SELECT query_id, CAST(vec_id AS VARCHAR) || ':0' AS id, label, greatest(0.0, round(list_dot_product(CAST(embedding AS DOUBLE[]), qv) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(qv, qv))), 9)) AS similarity FROM embeddings, asked_vectors)"""
+
+
+_COSINE = _cosine("vec_id % 20 = 0")
 _NAME_LIST = r"list_distinct(list_concat(regexp_extract_all({t}, '\b([A-Z][a-z]+(?:[ \t\n\r]+[A-Z][a-z]+)+)\b', 1), regexp_extract_all({t}, '\b([A-Z][a-z]+)\b', 1)))"
 _MENTIONS = f"mentions AS (SELECT document_id, captured_at, unnest({_NAME_LIST.format(t='text')}) AS name FROM corpus)"
+_NAMES = f"names AS (SELECT item_id AS query_id, unnest({_NAME_LIST.format(t='text')}) AS name FROM benchmark WHERE item_id % 20 = 0)"
 _ENTITIES = _CORPUS + ",\n" + _MENTIONS + ",\nentities AS (SELECT name AS canonical_name, 'CONCEPT' AS entity_type, min(captured_at) AS first_seen, max(captured_at) AS last_seen, count(*) AS mention_count FROM mentions GROUP BY name)"
 _TIME = "strftime({c}, '%Y-%m-%d %H:%M:%S') AS {n}"
 
@@ -81,11 +86,11 @@ def _hybrid(k: int, where: str = "true", prefilter: bool = False) -> str:
     own = f"own_chunks AS (SELECT c.* FROM chunks c JOIN corpus d USING (document_id) WHERE {where}),\n" if prefilter else ""
     vectors = "sims JOIN own_chunks ON id = chunk_id" if prefilter else "sims"
     return f"""{_CHUNKS},
-{own}{_bm25(_TERMS, k, chunks)},
-{_COSINE},
+{own}{_bm25(k, chunks)},
+{_cosine("vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 20 = 0)")},
 near AS (SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS place FROM {vectors}),
 {_MENTIONS},
-names(query_id, name) AS (VALUES {_NAMES}),
+{_NAMES},
 signals AS (
   SELECT query_id, chunk_id, 'keyword' AS signal, score FROM norm
   UNION ALL SELECT query_id, id, 'vector', similarity FROM near WHERE place <= {k}
@@ -137,6 +142,7 @@ _LANGS = "CASE " + " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in ends)}) T
 _COLLAPSE = r"trim(regexp_replace({x}, '[ \t\n\r\x0B\x0C]+', ' ', 'g'))"
 _TITLE = _COLLAPSE.format(x="regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
 _BODY = _COLLAPSE.format(x="regexp_replace(html, '<[^>]+>', ' ', 'g')")
+_RELATIONS = "own AS (SELECT name, count(*) AS own FROM mentions GROUP BY name), relations AS (SELECT subject, object, n_documents, n_documents / own AS confidence FROM (SELECT a.name AS subject, b.name AS object, count(*) AS n_documents FROM mentions a JOIN mentions b USING (document_id) WHERE a.name <> b.name GROUP BY ALL) p JOIN own ON name = subject WHERE n_documents >= 2 AND n_documents / own >= 0.5)"
 _FORGOTTEN = "UNION ALL".join(f" SELECT '{n}' AS table_name, count(*) AS n_rows FROM {t} WHERE NOT ({{cond}}) " for n, t in (("chunks", "chunks"), ("documents", "corpus"), ("mentions", "mentions")))
 
 
@@ -188,9 +194,9 @@ SELECT document_id, position, run, round(sum(-k / length(run) * log2(k / length(
         "corpus_stats": f"{w}{_CHUNKS}, {_LISTS} SELECT count(*) AS n_chunks, round(avg(len(terms)), 6) AS avgdl FROM lists",
         "fts_sanitise": r"""WITH t AS (SELECT item_id, list_filter(string_split_regex(regexp_replace(regexp_replace(text || ' AND (x:y) "q" not near*', '[*?(){}\[\]^:=!@#%&\\~]', ' ', 'g'), '(?i)\b(AND|OR|NOT|NEAR)\b', ' ', 'g'), '[ \t\n\r\x0B\x0C]+'), lambda x: x <> '')[1:20] AS ws FROM benchmark)
 SELECT item_id, CASE WHEN len(ws) > 0 THEN array_to_string(list_transform(ws, lambda x: '"' || replace(x, '"', '""') || '"'), ' OR ') ELSE '""' END AS expression FROM t""",
-        "bm25_topk": f"{w}{_CHUNKS}, {_bm25(_TERMS, 20)} SELECT query_id, chunk_id, round(rank, 6) AS rank, place FROM bm25",
-        "keyword_norm": f"{w}{_CHUNKS}, {_bm25(_TERMS, 20)} SELECT query_id, chunk_id, round(score, 6) AS score FROM norm",
-        "phrase_search": f"{w}{_CHUNKS}, " + _bm25("(1,0,0,2,'anly'),(1,0,1,2,'hend'),(2,0,0,2,'of'),(2,0,1,2,'the')", 50) + " SELECT query_id, chunk_id, round(rank, 6) AS rank FROM bm25",
+        "bm25_topk": f"{w}{_CHUNKS}, {_bm25(20)} SELECT query_id, chunk_id, round(rank, 6) AS rank, place FROM bm25",
+        "keyword_norm": f"{w}{_CHUNKS}, {_bm25(20)} SELECT query_id, chunk_id, round(score, 6) AS score FROM norm",
+        "phrase_search": f"{w}{_CHUNKS}, " + _bm25(50, query="regexp_replace(text, '([A-Za-z]+) ([A-Za-z]+)', '\\1-\\2', 'g')") + " SELECT query_id, chunk_id, round(rank, 6) AS rank FROM bm25",
         "cosine_topk": f"WITH {_COSINE} SELECT query_id, id, round(similarity, 6) AS similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS place FROM sims) WHERE place <= 20",
         "vector_where": f"WITH {_COSINE} SELECT query_id, id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS place FROM sims WHERE label = 1) WHERE place <= 10",
         "migration_progress": f"{w}{_CHUNKS}, t AS (SELECT count(*) AS total_chunks, count(v.id) AS migrated_chunks FROM chunks LEFT JOIN (SELECT DISTINCT CAST(vec_id AS VARCHAR) || ':0' AS id FROM embeddings) v ON id = chunk_id) SELECT total_chunks, migrated_chunks, CASE WHEN total_chunks = 0 THEN 0.0 ELSE round(100.0 * migrated_chunks / total_chunks, 1) END AS progress_pct, CASE WHEN total_chunks = migrated_chunks THEN 'COMPLETE' ELSE 'IN_PROGRESS' END AS status FROM t",
@@ -199,10 +205,14 @@ SELECT item_id, CASE WHEN len(ws) > 0 THEN array_to_string(list_transform(ws, la
         "entity_upsert": f"{w}{_ENTITIES} SELECT canonical_name, entity_type, {_time('first_seen')}, {_time('last_seen')}, mention_count FROM entities",
         "entity_search": f"{w}{_ENTITIES} SELECT canonical_name, entity_type, mention_count FROM entities WHERE contains(lower(canonical_name), 'tion') ORDER BY canonical_name LIMIT 50",
         "entity_top": f"{w}{_ENTITIES} SELECT canonical_name, mention_count FROM entities ORDER BY mention_count DESC, canonical_name LIMIT 20",
-        "graph_neighbors": f"{w}{_CORPUS}, {_MENTIONS}, names(query_id, name) AS (VALUES {_NAMES}) SELECT DISTINCT CAST(query_id AS BIGINT) AS query_id, document_id FROM names JOIN mentions USING (name)",
-        "graph_2hop": f"{w}{_CORPUS}, {_MENTIONS}, m AS (SELECT document_id, name FROM mentions WHERE contains(name, ' ')), h1 AS (SELECT DISTINCT s.document_id AS query_id, m.document_id FROM m s JOIN m USING (name) WHERE s.document_id % 100 = 38) SELECT query_id, document_id FROM h1 UNION SELECT h1.query_id, b.document_id FROM h1 JOIN m a USING (document_id) JOIN m b ON a.name = b.name",
+        "graph_neighbors": f"{w}{_CORPUS}, {_MENTIONS}, {_NAMES} SELECT DISTINCT query_id, document_id FROM names JOIN mentions USING (name)",
+        "graph_2hop": f"{w}{_CORPUS}, {_MENTIONS}, h1 AS (SELECT DISTINCT s.document_id AS query_id, m.document_id FROM mentions s JOIN mentions m USING (name) WHERE s.document_id % 20 = 0), n2 AS (SELECT DISTINCT query_id, name FROM h1 JOIN mentions USING (document_id)) SELECT query_id, document_id FROM h1 UNION SELECT query_id, document_id FROM n2 JOIN mentions USING (name)",
+        "graph_nodes": f"{memory} SELECT 'Document' AS kind, count(*) AS n FROM corpus UNION ALL SELECT 'Chunk', count(*) FROM chunks WHERE document_id IN (SELECT document_id FROM mentions) UNION ALL SELECT 'Entity', count(DISTINCT name) FROM mentions",
+        "graph_edges": f"{memory}, {_RELATIONS}, e AS (SELECT DISTINCT 'MENTIONED_IN' AS kind, name AS src, CAST(document_id AS VARCHAR) AS dst, CAST(1 AS DOUBLE) AS confidence FROM mentions UNION ALL SELECT 'CONTAINS', CAST(document_id AS VARCHAR), chunk_id, CAST(1 AS DOUBLE) FROM chunks WHERE document_id IN (SELECT document_id FROM mentions) UNION ALL SELECT 'RELATED_TO', subject, object, confidence FROM relations) SELECT kind, src, count(*) AS n, min(dst) AS least, round(sum(CAST(confidence AS DOUBLE)), 4) AS confidence FROM e GROUP BY kind, src",
+        "graph_forget": f"{memory} SELECT 'MENTIONED_IN' AS kind, count(*) AS n FROM mentions WHERE NOT ({browser}) UNION ALL SELECT 'CONTAINS', count(*) FROM chunks WHERE NOT ({browser}) AND document_id IN (SELECT document_id FROM mentions)",
+        "relation_filter": f"{w}{_CORPUS}, {_MENTIONS}, {_RELATIONS} SELECT subject, 'CO_OCCURS' AS predicate, object, round(confidence, 6) AS confidence FROM relations WHERE contains(lower(subject), 'th') AND contains(lower(object), 'an') ORDER BY confidence DESC, subject, object LIMIT 40",
         "entity_detail": f"{w}{_CORPUS}, {_MENTIONS} SELECT name, document_id, source_type, source_path, {_time('c.captured_at')} FROM mentions JOIN corpus c USING (document_id) WHERE name = 'Enti'",
-        "relations_cooccur": f"{w}{_CORPUS}, {_MENTIONS}, p AS (SELECT document_id, name AS subject FROM mentions WHERE contains(name, ' ')), o AS (SELECT subject, count(*) AS own FROM p GROUP BY subject), b AS (SELECT subject, m.name AS object, count(*) AS n_documents FROM p JOIN mentions m USING (document_id) WHERE subject <> m.name GROUP BY ALL) SELECT subject, object, n_documents, round(n_documents / own, 6) AS confidence FROM b JOIN o USING (subject) WHERE n_documents / own >= 0.5 AND n_documents >= 2",
+        "relations_cooccur": f"{w}{_CORPUS}, {_MENTIONS}, {_RELATIONS} SELECT subject, object, n_documents, round(confidence, 6) AS confidence FROM relations",
         "graph_counts": f"{memory} SELECT (SELECT count(DISTINCT name) FROM mentions) AS n_entities, (SELECT count(*) FROM mentions) AS n_mentions, (SELECT count(*) FROM corpus) AS n_documents, (SELECT count(*) FROM chunks) AS n_chunks",
         "temporal_decay": f"{w}{_CORPUS} SELECT document_id, round(exp(-0.005 * (epoch({_AS_OF}) - epoch(captured_at)) / 86400.0), 6) AS score FROM corpus",
         "hybrid_search": f"{search} {_RESULT}",
@@ -224,7 +234,21 @@ SELECT item_id, CASE WHEN len(ws) > 0 THEN array_to_string(list_transform(ws, la
         "purge_raw": f"{w}{_CORPUS} SELECT document_id, captured_at < TIMESTAMP '2024-01-13 12:00:00' AS purged, CASE WHEN captured_at < TIMESTAMP '2024-01-13 12:00:00' THEN '2024-01-20 12:00:00' END AS raw_purged_at FROM corpus",
         "retry_state": "SELECT doc_id AS document_id, CASE WHEN doc_id % 3 <> 0 THEN 'PARSED' WHEN doc_id % 6 + 1 >= 5 THEN 'ABANDONED' ELSE 'FAILED' END AS status, CAST(doc_id % 6 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS retry_count FROM documents",
         "expired_turns": f"WITH {_TURNS} SELECT session_id, turn FROM turns WHERE created_at < TIMESTAMP '2024-01-04 00:00:00'",
-        "stats_overview": f"{memory}, {_TURNS}, a AS (SELECT count(*) AS documents, count(*) FILTER (document_id % 11 = 0) AS failed FROM corpus), b AS (SELECT count(*) AS chunks, count(v.id) AS embedded_chunks FROM chunks LEFT JOIN (SELECT CAST(vec_id AS VARCHAR) || ':0' AS id FROM embeddings) v ON id = chunk_id) SELECT documents, failed, chunks, embedded_chunks, (SELECT count(DISTINCT name) FROM mentions) AS entities, (SELECT count(DISTINCT session_id) FROM turns) AS conversations, CASE WHEN chunks = 0 THEN 0.0 ELSE round(100.0 * embedded_chunks / chunks, 1) END AS embedding_coverage_pct FROM a, b",
+        "stats_overview": f"{memory}, {_TURNS}, {_RELATIONS}, a AS (SELECT count(*) AS documents, count(*) FILTER (document_id % 11 = 0) AS failed FROM corpus), b AS (SELECT count(*) AS chunks, count(v.id) AS embedded_chunks FROM chunks LEFT JOIN (SELECT CAST(vec_id AS VARCHAR) || ':0' AS id FROM embeddings) v ON id = chunk_id), c AS (SELECT count(DISTINCT document_id) AS linked_documents, count(DISTINCT name) AS entities FROM mentions) SELECT documents, failed, chunks, embedded_chunks, entities, linked_documents, (SELECT count(*) FROM relations) AS relations, (SELECT count(DISTINCT session_id) FROM turns) AS conversations, (SELECT string_agg(source_type || ':' || n, ',' ORDER BY source_type) FROM (SELECT source_type, count(*) AS n FROM corpus GROUP BY source_type)) AS by_source, CASE WHEN chunks = 0 THEN 0.0 ELSE round(100.0 * embedded_chunks / chunks, 1) END AS embedding_coverage_pct, CASE WHEN documents = 0 THEN 0.0 ELSE round(100.0 * linked_documents / documents, 1) END AS graph_coverage_pct FROM a, b, c",
+        "health_check": "WITH t AS (SELECT event_type, max(value) < 400 AS ok FROM events GROUP BY event_type) SELECT bool_and(ok) AS healthy, coalesce(string_agg(event_type, ',' ORDER BY event_type) FILTER (NOT ok), '') AS failing FROM t",
+        "throughput_check": f"WITH {_RANKS} SELECT metric, p50 * 50 > 0 AND 60000.0 / (p50 * 50) < 10 AS violated FROM ranked",
+        "model_registry": "SELECT * FROM (VALUES ('hashing-1', 'vectors/hashing-1', false), ('hashing-2', 'vectors/hashing-2', true), ('other-1', 'vectors/other-1', false)) v(model_id, path, is_active)",
+        "migration_check": f"{w}{_CHUNKS}, t AS (SELECT count(*) AS chunks, count(id) AS vectors, count(*) FILTER (id IS NULL) AS missing, CAST(0 AS BIGINT) AS empty FROM chunks LEFT JOIN (SELECT CAST(vec_id AS VARCHAR) || ':0' AS id FROM embeddings) v ON id = chunk_id) SELECT *, missing = 0 AS valid FROM t",
+        "file_admission": f"{w}{_CORPUS}, t AS (SELECT document_id, ['home/', 'home/.git/', '.cache/x/', 'home/.config/', 'a/node_modules/'][document_id % 5 + 1] || CAST(document_id AS VARCHAR) || ['', '.swp', '.tmp', '.md'][document_id % 4 + 1] AS path, CASE WHEN document_id % 7 = 0 THEN 0 WHEN document_id % 9 = 0 THEN 62914560 ELSE length(text) END AS size FROM corpus) SELECT document_id, size > 0 AND size <= {config.MAX_FILE_BYTES} AND document_id % 5 NOT IN (1, 2) AND document_id % 4 NOT IN (1, 2) AS admitted FROM t",
+        "file_documents": "SELECT DISTINCT sha256(text) AS checksum, 'filesystem' AS source_type, strlen(text) AS n_bytes, CAST(strlen(text) AS VARCHAR) AS size, CAST(2 AS INTEGER) AS priority FROM documents WHERE strlen(text) > 0",
+        "browser_visits": f"WITH u AS (SELECT page_id, url, {_TITLE} AS title FROM pages WHERE starts_with(url, 'http')), v AS (SELECT event_id AS visit_id, event_id % 2 AS b, url, title FROM events JOIN u ON user_id % 300 = page_id) SELECT 'chrome' AS browser, visit_id, url, title FROM (SELECT * FROM v WHERE b = 0 AND visit_id > 100 ORDER BY visit_id LIMIT 200) UNION ALL SELECT 'firefox', visit_id, url, title FROM (SELECT * FROM v WHERE b = 1 AND visit_id > 700 ORDER BY visit_id LIMIT 200)",
+        "email_parse": f"SELECT doc_id AS document_id, rtrim('Subject: note ' || doc_id || chr(10) || 'From: a@example.org' || chr(10) || 'Date: Mon, 01 Jan 2024 00:00:00 +0000' || chr(10) || chr(10) || text, {_WHITE}) AS clean_content FROM documents",
+        "search_projection": f"{search} SELECT query_id, citation_index, chunk_id, document_id, source_type, source_path, strftime(captured_at, '%Y-%m-%d') AS captured, round(combined_score, 4) AS score, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS snippet FROM results",
+        "timeline_status": f"{w}{_CORPUS} SELECT document_id, {_time('captured_at')} FROM (SELECT * FROM corpus WHERE document_id % 11 = 0 AND captured_at >= TIMESTAMP '2024-01-02' ORDER BY captured_at DESC, document_id LIMIT 200 OFFSET 2)",
+        "chat_turns": f"WITH {_TURNS}, l AS (SELECT session_id, max(turn) AS last, arg_min(content, turn) AS query FROM turns WHERE session_id % 20 = 0 GROUP BY session_id HAVING min(turn) = 0) SELECT session_id, last + 1 AS turn, 'user' AS role, query AS content, '2025-01-01 00:00:00' AS created_at FROM l UNION ALL SELECT session_id, last + 2, 'assistant', 'Noted.', '2025-01-01 00:00:00' FROM l",
+        "session_delete": f"WITH {_TURNS} SELECT session_id, count(*) AS n_turns FROM turns WHERE session_id % 20 <> 0 GROUP BY session_id",
+        "stream_ingest": "SELECT min(doc_id) AS arrival, sha256(text) AS checksum, min(doc_id) % 4 AS priority FROM documents GROUP BY sha256(text)",
+        "stream_metrics": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY date_trunc('day', ts), event_type HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)",
         "count_by_source": f"{w}{_CORPUS} SELECT source_type, count(*) AS n_documents FROM corpus GROUP BY source_type",
         "latency_percentiles": f"WITH {_RANKS} SELECT * FROM ranked",
         "metric_gauges": f"WITH {_OBSERVED} SELECT metric, round(sum(value), 4) AS counter, round(arg_max(value, (ts, seq)), 6) AS gauge FROM observed GROUP BY metric",

@@ -1,4 +1,4 @@
-"""File scans: batch and streaming reads of raw bytes, with the admission rule as a column."""
+"""File scans: batch and streaming reads of raw bytes, with the admission rule as a column. Spark lists no files below hidden folders."""
 
 from __future__ import annotations
 

@@ -5,16 +5,24 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 _DDL = "path string, history string"
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
-        self.path = path
+    """Bytes start to end of a file; end None: to its end."""
+
+    def __init__(self, path: str, start: int = 0, end: int | None = None) -> None:
+        super().__init__((path, start, end))
+        self.path, self.start, self.end = path, start, end
+
+
+def _read(part: _Part) -> Iterator[tuple]:
+    with open(part.path, "rb") as f:
+        f.seek(part.start)
+        yield part.path, f.read(-1 if part.end is None else part.end - part.start).decode("utf-8", "replace")
 
 
 class _Reader(DataSourceReader):
@@ -25,12 +33,25 @@ class _Reader(DataSourceReader):
         return [_Part(p) for p in self.paths]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        with open(partition.path, encoding="utf-8", errors="replace") as f:
-            yield partition.path, f.read()
+        yield from _read(partition)
+
+
+def _whole_lines(path: str, start: int) -> int:
+    """The end of the last whole line of a file, found from its end in small steps; start where there is none after it."""
+    at = os.path.getsize(path)
+    with open(path, "rb") as f:
+        while at > start:
+            low = max(start, at - 4096)
+            f.seek(low)
+            found = f.read(at - low).rfind(b"\n")
+            if found >= 0:
+                return low + found + 1
+            at = low
+    return start
 
 
-class _Tail(SimpleDataSourceStreamReader):
-    """Offsets are bytes per file; a file that shrank is read from its start."""
+class _Tail(DataSourceStreamReader):
+    """Offsets are bytes per file at ends of lines, so no command is torn; a file that shrank is read from its start. Only offsets are made in the driver, tasks read the bytes."""
 
     def __init__(self, paths: list[str]) -> None:
         self.paths = paths
@@ -38,26 +59,18 @@ class _Tail(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return dict.fromkeys(self.paths, 0)
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, end = [], {}
-        for p in self.paths:
-            size, at = os.path.getsize(p) if os.path.exists(p) else 0, start.get(p, 0)
-            at = 0 if size < at else at
-            if size > at:
-                with open(p, "rb") as f:
-                    f.seek(at)
-                    rows.append((p, f.read(size - at).decode("utf-8", "replace")))
-            end[p] = size
-        return iter(rows), end
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        for p in self.paths:
-            a, b = start.get(p, 0), end.get(p, 0)
-            a = 0 if b < a else a
-            if b > a:
-                with open(p, "rb") as f:
-                    f.seek(a)
-                    yield p, f.read(b - a).decode("utf-8", "replace")
+    def latestOffset(self) -> dict:
+        return {p: _whole_lines(p, 0) if os.path.exists(p) else 0 for p in self.paths}
+
+    def partitions(self, start: dict, end: dict) -> list[_Part]:
+        spans = [(p, 0 if end.get(p, 0) < start.get(p, 0) else start.get(p, 0), end.get(p, 0)) for p in self.paths]
+        return [_Part(p, a, b) for p, a, b in spans if b > a]
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        yield from _read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class HistorySource(DataSource):
@@ -76,5 +89,5 @@ class HistorySource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self._paths())
 
-    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return _Tail(self._paths())

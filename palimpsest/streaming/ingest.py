@@ -1,12 +1,13 @@
-"""Structured Streaming ingestion: bounded admission, deduplication, dead letters, daily metrics."""
+"""Structured Streaming ingestion: deduplication, dead letters, daily metrics, and a bounded queue as an option."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from palimpsest.operators import protect
@@ -54,23 +55,35 @@ def daily_metrics(events: DataFrame, time: str = "ts", delay: str = "1 day") ->
     return out.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, capacity: int = 500, available_now: bool = True) -> StreamingQuery:
-    """Write new raw documents to path/documents and dropped ones to path/dropped; each batch is admitted, made distinct and matched against the store by checksum.
+def faulty(rows: DataFrame, content: str = "text", check: Callable[[Column], Column] | None = None) -> DataFrame:
+    """rows with error: null where the row can be kept, else why not. check: a column function that gives an error for a content."""
+    error = F.when(F.col("checksum").isNull() | F.col(content).isNull(), F.lit("no content"))
+    return rows.withColumn("error", error if check is None else F.coalesce(error, check(F.col(content))))
 
-    Output of a batch goes to a directory of its id, so a batch that is run again overwrites its own rows.
+
+def ingest(stream: DataFrame, path: str, checkpoint: str, capacity: int | None = None, available_now: bool = True, content: str = "text", check: Callable[[Column], Column] | None = None) -> StreamingQuery:
+    """Write new raw documents to path/documents, once per checksum, and rows that fail to path/dead_letters with their error.
+
+    Every row is admitted: what is not read yet stays in the source, whose rate limits (maxFilesPerTrigger, maxBytesPerTrigger) are the
+    back-pressure. With a capacity, only the first rows of each batch by arrival are, and the rest goes to path/dropped,
+    as a queue of that size would do. A batch's rows are the partition of its id, so a batch that runs again takes the place of its own.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = admit(batch.persist(), capacity=capacity)
-        known = None
-        earlier = [f"{path}/documents/batch={i}" for i in range(batch_id)]
-        if earlier:
-            known = spark.read.option("basePath", f"{path}/documents").option("ignoreMissingFiles", True).parquet(*earlier)
-        kept = protect.first_of_checksum(rows.filter("admitted").drop("admitted"), "arrival", known)
-        kept.orderBy("priority", "arrival").write.mode("overwrite").parquet(f"{path}/documents/batch={batch_id}")
-        rows.filter("not admitted").drop("admitted").write.mode("overwrite").parquet(f"{path}/dropped/batch={batch_id}")
-        batch.unpersist()
+        save = lambda df, name: df.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/{name}")
+        rows = faulty(batch, content, check)
+        if capacity is not None:
+            rows = admit(rows, capacity=capacity)
+            save(rows.filter("not admitted").drop("admitted", "error"), "dropped")
+            rows = rows.filter("admitted").drop("admitted")
+        save(rows.filter("error is not null"), "dead_letters")
+        # The schema is that of the stream, so the first batch needs no listing of a folder that is not there.
+        stored = spark.read.schema(T.StructType([*rows.drop("error").schema, T.StructField("batch", T.LongType())])).option("ignoreMissingFiles", True)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/documents")
+        there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+        known = stored.parquet(f"{path}/documents").filter(F.col("batch") < batch_id) if there else None
+        save(protect.first_of_checksum(rows.filter("error is null").drop("error"), "arrival", known), "documents")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
