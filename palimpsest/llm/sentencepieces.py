@@ -40,7 +40,7 @@ from palimpsest.llm.common import GOLDEN, U64, Batches, mix, rows_to_batch, slic
 SPACE = "▁"
 _SPACE_BYTES = SPACE.encode()
 _DENSE = 128  #: characters with a row of their own in the transition table
-_PART_ROWS, _PART_CHARS = 1200, 2_500_000
+_PART_ROWS, _PART_CHARS = 800, 1_500_000
 _LOOK = 512  #: places of a path whose sets are looked at first
 
 
