@@ -262,13 +262,16 @@ def repeated_spans(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> tuple[Dat
     Anchors with up to group_limit different runs are passed over within a task, larger ones with a row per window.
     """
     keyed = _keyed(docs, F.coalesce(docs["text"], F.lit("")))
-    runs = checkpointed(keyed.filter(F.octet_length("text") >= LENGTH).mapInArrow(_runs, _RUNS_DDL))
+    # Runs are made twice, as a copy of them would take more room than the texts. Their parts of weight 0 are decided already and dealt by themselves.
+    runs = keyed.filter(F.octet_length("text") >= LENGTH).mapInArrow(_runs, _RUNS_DDL)
+    runs = runs.withColumn("anchor", F.when(F.col("weight") == 0, F.xxhash64("doc_id", "start")).otherwise(F.col("anchor")))
     # Counts combine before each shuffle, and what is joined back may be split on skewed keys: no anchor is gathered.
-    anchors = runs.filter("weight > 0").groupBy("anchor").agg(F.sum("weight").alias("n")).filter("n >= 2").select("anchor")
-    left = checkpointed(runs.filter("weight > 0").join(anchors, "anchor"))
+    anchors = runs.filter("weight > 0").groupBy("anchor").agg(F.sum("weight").alias("n")).filter("n >= 2").select("anchor", F.lit(True).alias("shared"))
+    every = checkpointed(runs.join(anchors, "anchor", "left").filter("shared or weight = 0").drop("shared"))
+    left = every.filter("weight > 0")
     values = checkpointed(left.groupBy("anchor", "run").agg(F.sum("weight").alias("total"), F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("witness")))
     copied = left.join(values.filter("total >= 2").select("anchor", "run"), ["anchor", "run"])
-    decided = runs.filter("weight = 0").unionByName(copied, allowMissingColumns=True).select("doc_id", "text_key", "start", "windows")
+    decided = every.filter("weight = 0").unionByName(copied).select("doc_id", "text_key", "start", "windows")
     different = values.groupBy("anchor").agg(F.count("*").alias("n_values")).filter("n_values > 1")
     weight = F.least("total", F.lit(2)).cast("int").alias("weight")
     asked = checkpointed(values.join(different, "anchor").select("witness.doc_id", "witness.text_key", "n_values", F.struct("anchor", weight, "witness.start", "witness.windows").alias("ask")))
