@@ -120,22 +120,11 @@ def _flips(triple: tuple[int, ...], radius: int) -> np.ndarray:
     return np.array(masks, np.uint64)
 
 
-_LINKS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-
-
-def _links(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return rows_to_batch(_LINKS, [np.full(len(a), kind, np.int32), np.ascontiguousarray(a).view(np.int64), b])
-
+_PAIRS = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
-def posting_links(max_bits: int, dense_run: int, least: int, small_run: int):
-    """Task over (posting, fp, node) rows sorted by (posting, fp). Emits kind 0: linked nodes; kind 1 and more, by
-    sketch: (flipped value, node) of dense postings."""
 
-    def dense(key: int, f: np.ndarray, nodes: np.ndarray) -> Batches:
-        sketch, triple = divmod(key >> 24, len(TRIPLES))
-        masks = _flips(TRIPLES[triple], min(max_bits, MAX_BITS) // 2)
-        for k in range(0, len(f), 64):
-            yield _links(1 + sketch, (f[k : k + 64, None] ^ masks[None, :]).ravel(), np.repeat(nodes[k : k + 64], len(masks)))
+def posting_links(max_bits: int, least: int, small_run: int):
+    """Task over (posting, fp, node) rows sorted by (posting, fp): (src, dst) nodes that span the classes of each posting."""
 
     def whole(key: np.ndarray, f: np.ndarray, nodes: np.ndarray) -> Batches:
         cuts = np.flatnonzero(np.diff(key)) + 1
@@ -144,7 +133,7 @@ def posting_links(max_bits: int, dense_run: int, least: int, small_run: int):
         for i in np.flatnonzero(sizes > small_run).tolist():
             own = nodes[starts[i] : ends[i]]
             for a, b in _spanning_links(f[starts[i] : ends[i]], max_bits, least):
-                yield _links(0, own[a], own[b])
+                yield rows_to_batch(_PAIRS, [own[a], own[b]])
         small = np.repeat((sizes > 1) & (sizes <= small_run), sizes)
         k, v, n = key[small], f[small], nodes[small]
         for lag in range(1, small_run):
@@ -153,61 +142,70 @@ def posting_links(max_bits: int, dense_run: int, least: int, small_run: int):
                 break
             at = at[reach_minimum(v[at] ^ v[at + lag], max_bits, least)]
             if len(at):
-                yield _links(0, n[at], n[at + lag])
+                yield rows_to_batch(_PAIRS, [n[at], n[at + lag]])
 
     def run(batches: Batches) -> Batches:
-        keys, fps, nodes, hot = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), None
+        keys, fps, nodes = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
         for b in batches:
             keys = np.concatenate((keys, b.column(0).to_numpy(zero_copy_only=False)))
             fps = np.concatenate((fps, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
             nodes = np.concatenate((nodes, b.column(2).to_numpy(zero_copy_only=False)))
-            if hot is not None:
-                n = int(np.searchsorted(keys, hot, side="right"))
-                yield from dense(hot, fps[:n], nodes[:n])
-                keys, fps, nodes, hot = keys[n:], fps[n:], nodes[n:], hot if n == len(keys) else None
-            if not len(keys):
-                continue
-            last = int(np.searchsorted(keys, keys[-1]))
+            last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             if last:
                 yield from whole(keys[:last], fps[:last], nodes[:last])
                 keys, fps, nodes = keys[last:], fps[last:], nodes[last:]
-            if len(keys) > dense_run:
-                hot = int(keys[0])
-                yield from dense(hot, fps, nodes)
-                keys, fps, nodes = keys[:0], fps[:0], nodes[:0]
         if len(keys):
             yield from whole(keys, fps, nodes)
 
     return run
 
 
-def posting_keys(fp: Column, sketch: Column) -> Column:
-    """The postings of a fingerprint: sketch, triple, and the triple's three bytes."""
-    byte = [F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255)) for p in range(BYTES)]
-    first = sketch.cast("long") * (len(TRIPLES) << 24)
-    return F.array(*(first + F.lit(k << 24) + byte[a] * 65536 + byte[b] * 256 + byte[c] for k, (a, b, c) in enumerate(TRIPLES)))
+_FLIPPED = pa.schema([("posting", pa.int64()), ("value", pa.int64()), ("node", pa.int64())])
+
 
+def flipped_values(radius: int):
+    """Task over (posting, fp, node) rows in any order: each row's values at up to `radius` flipped bits outside the shared bytes."""
+    masks = [_flips(t, radius) for t in TRIPLES]
 
-def links_of_postings(postings: DataFrame, node: str, max_bits: int, dense_run: int, least: int, small_run: int) -> DataFrame:
-    """(src, dst) links between nodes (a column of postings, besides posting and fp)."""
-    dealt = postings.repartition("posting").sortWithinPartitions("posting", "fp").select("posting", "fp", F.col(node).alias("node"))
-    links = checkpointed(dealt.mapInArrow(posting_links(max_bits, dense_run, least, small_run), "kind int, a long, b long"))
-    direct = links.filter("kind = 0").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    flipped = links.filter("kind > 0")
-    roots = flipped.groupBy("kind", "a").agg(F.min("b").alias("root"))
-    return direct.unionByName(flipped.join(roots, ["kind", "a"]).filter("b <> root").select(F.col("b").alias("src"), F.col("root").alias("dst")))
+    def run(batches: Batches) -> Batches:
+        for b in slices(batches, 256):
+            keys, fps = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for triple in np.unique(keys >> 24).tolist():
+                own = np.flatnonzero(keys >> 24 == triple)
+                values = (fps[own, None].view(np.uint64) ^ masks[triple][None, :]).ravel().view(np.int64)
+                at = pa.array(np.repeat(own, len(masks[triple])))
+                yield rows_to_batch(_FLIPPED, [b.column(0).take(at), values, b.column(2).take(at)])
+
+    return run
+
+
+def posting_keys(fp: Column) -> Column:
+    """The postings of a fingerprint: triple, and the triple's three bytes."""
+    byte = [F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255)) for p in range(BYTES)]
+    return F.array(*(F.lit(k << 24).cast("long") + byte[a] * 65536 + byte[b] * 256 + byte[c] for k, (a, b, c) in enumerate(TRIPLES)))
 
 
 def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, dense_run: int = DENSE_RUN) -> DataFrame:
-    """(src, dst) links over distinct fingerprints (column fp) whose components are those of all pairs within max_bits."""
-    postings = fps.select(F.explode(posting_keys(F.col("fp"), F.lit(0))).alias("posting"), "fp")
-    return links_of_postings(postings, "fp", max_bits, dense_run, MIN_SHARED, SMALL_RUN)
+    """(src, dst) links over distinct fingerprints (column fp) whose components are those of all pairs within max_bits.
+
+    Postings of up to dense_run fingerprints are walked through in a task. The members of larger ones stay where they are: each
+    emits its flipped values, and the least member of each value is linked with the others; counts and minima combine before their shuffle.
+    """
+    postings = fps.select(F.explode(posting_keys(F.col("fp"))).alias("posting"), "fp")
+    sizes = postings.groupBy("posting").agg(F.count("*").alias("n")).filter("n > 1")
+    members = checkpointed(postings.join(sizes, "posting").select("posting", "fp", "n"))
+    walked = members.filter(F.col("n") <= dense_run).repartition("posting").sortWithinPartitions("posting", "fp").select("posting", "fp", F.col("fp").alias("node"))
+    links = walked.mapInArrow(posting_links(max_bits, MIN_SHARED, SMALL_RUN), "src long, dst long")
+    dense = members.filter(F.col("n") > dense_run).select("posting", "fp", F.col("fp").alias("node"))
+    flipped = dense.mapInArrow(flipped_values(max_bits // 2), "posting long, value long, node long")
+    roots = flipped.groupBy("posting", "value").agg(F.min("node").alias("root"))
+    return links.unionByName(flipped.join(roots, ["posting", "value"]).filter("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS, dense_run: int = DENSE_RUN) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id; one row per row of docs."""
-    if not 0 <= max_bits <= MAX_BITS:
-        raise ValueError(f"max_bits is 0 to {MAX_BITS}: the position triples are made for {MIN_SHARED} shared bytes")
+    if max_bits not in range(0, MAX_BITS + 1, 2):
+        raise ValueError(f"max_bits is even and at most {MAX_BITS}: the position triples are made for {MIN_SHARED} shared bytes, the flips for two equal halves")
     rows = checkpointed(fingerprints(docs, size, seed))
     distinct = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     parts = connected_components(fingerprint_links(distinct.select("fp"), max_bits, dense_run)).withColumnRenamed("node", "fp")
@@ -224,7 +222,6 @@ MIN_SIMILARITY, BANDS, BAND_MINIMA = 0.8, 24, 4
 SMALL_POSTING, BLOCK_SHINGLES = 8, 1 << 21
 _BANDED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-_PAIRS = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
 
 def node_of(hashes: np.ndarray) -> int:
