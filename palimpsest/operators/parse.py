@@ -5,6 +5,7 @@ from __future__ import annotations
 import email
 import html.parser
 import re
+from collections.abc import Callable
 from email import policy
 
 import pandas as pd
@@ -85,8 +86,12 @@ def code_docs(text: Column, lang: Column) -> Column:
     return F.when(lang == "python", found(r'(?s)"""(.*?)"""')).otherwise(found(r"(?s)/\*\*?(.*?)\*/"))
 
 
-def code_text(text: Column, lang: Column) -> Column:
-    docs, symbols = code_docs(text, lang), code_symbols(text, lang)
+Finder = Callable[[Column, Column], Column]
+
+
+def code_text(text: Column, lang: Column, symbols_of: Finder = code_symbols, docs_of: Finder = code_docs) -> Column:
+    """Documentation, symbols and the code. The finders are column functions of text and language to array<string>, say Pandas UDFs around a syntax parser."""
+    docs, symbols = docs_of(text, lang), symbols_of(text, lang)
     part = lambda title, xs: F.when(F.size(xs) > 0, F.concat(F.lit(f"## {title}\n"), F.array_join(xs, "\n")))
     return F.concat_ws("\n\n", part("Documentation", docs), part("Symbols", symbols), text)
 
@@ -181,10 +186,10 @@ def html_blocks(text: pd.Series) -> pd.Series:
     return text.map(_page, na_action="ignore")
 
 
-def parsed(docs: DataFrame, path: str = "source_path", text: str = "text") -> DataFrame:
+def parsed(docs: DataFrame, path: str = "source_path", text: str = "text", symbols_of: Finder = code_symbols, docs_of: Finder = code_docs) -> DataFrame:
     """docs with content_type, clean_content (null where blank), word_count, char_count and error_class."""
     name, t = file_name(F.col(path)), F.col(text)
     kind = F.col("content_type")
-    clean = F.when(kind == "html", html_article(t)).when(kind == "code", code_text(t, language(name))).when(kind == "pdf", pdf_clean(t)).when(kind == "email", email_text(t)).when(kind == "markdown", markdown_text(t)).otherwise(plain(t))
+    clean = F.when(kind == "html", html_article(t)).when(kind == "code", code_text(t, language(name), symbols_of, docs_of)).when(kind == "pdf", pdf_clean(t)).when(kind == "email", email_text(t)).when(kind == "markdown", markdown_text(t)).otherwise(plain(t))
     out = docs.withColumn("content_type", content_type(name, t)).withColumn("clean_content", F.when(F.length(strip(clean)) > 0, clean))
     return out.withColumns({"word_count": word_count(F.col("clean_content")), "char_count": F.length("clean_content").cast("long"), "error_class": F.when(F.col("clean_content").isNull(), F.lit("EMPTY"))})

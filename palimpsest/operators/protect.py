@@ -28,6 +28,12 @@ def failed(docs: DataFrame, ids: DataFrame, max_retries: int = 5) -> DataFrame:
     return hit.withColumn("status", status).withColumn("retry_count", more).drop("_hit")
 
 
+def with_status(docs: DataFrame, changes: DataFrame) -> DataFrame:
+    """docs with the last status of each document in changes (document_id, status, changed_at); others keep theirs."""
+    last = changes.groupBy("document_id").agg(F.max_by("status", F.struct("changed_at", "status")).alias("_new"))
+    return docs.join(last, "document_id", "left").withColumn("status", F.coalesce("_new", "status")).drop("_new")
+
+
 def purge_raw(docs: DataFrame, as_of: str, settings: Settings = Settings(), by_date: bool = False) -> DataFrame:
     """docs with raw content older than the retention days set to null and stamped; by_date: whole days only."""
     now = F.lit(as_of).cast("timestamp_ntz")

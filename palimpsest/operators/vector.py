@@ -134,6 +134,12 @@ def embedded(chunks: DataFrame, model: str, version: str, embed: Callable[[pd.Se
     return chunks.withColumn("embedding", run("content")).withColumns({"embed_model": F.lit(model), "embed_model_version": F.lit(version)})
 
 
+def linked(chunks: DataFrame, vectors: DataFrame, as_of: str) -> DataFrame:
+    """chunks with vector_id and embedded_at; null where there is no vector."""
+    have = vectors.filter("embedding is not null").select(F.col("id").alias("chunk_id"), F.col("id").alias("vector_id"), F.lit(as_of).cast("timestamp_ntz").alias("embedded_at"))
+    return chunks.join(have, "chunk_id", "left")
+
+
 def migration_progress(chunks: DataFrame, vectors: DataFrame, id_column: str = "chunk_id") -> DataFrame:
     """One row: total_chunks, migrated_chunks, progress_pct (0 when empty), status."""
     done = chunks.join(vectors.select(F.col("id").alias("_id")).distinct(), F.col(id_column) == F.col("_id"), "left")

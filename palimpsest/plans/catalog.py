@@ -543,6 +543,19 @@ def retry_state(spark, sf_dir):
     return protect.failed(rows, rows.filter(F.col("document_id") % 3 == 0)).select("document_id", "status", "retry_count")
 
 
+@query
+def status_update(spark, sf_dir):
+    """Each event changes the status of a document: the last one counts."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit("PENDING").alias("status"))
+    changes = table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.upper("event_type").alias("status"), F.struct("ts", "event_id").alias("changed_at"))
+    return protect.with_status(docs, changes)
+
+
+@query
+def chunk_vectors(spark, sf_dir):
+    return vector.linked(_chunks(spark, sf_dir), _vectors(spark, sf_dir), AS_OF).select("chunk_id", "vector_id", _time("embedded_at"))
+
+
 @query
 def expired_turns(spark, sf_dir):
     return protect.expired_turns(_turns(spark, sf_dir), "2025-01-03 00:00:00").select("session_id", "turn")

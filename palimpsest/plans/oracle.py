@@ -233,6 +233,8 @@ SELECT item_id, CASE WHEN len(ws) > 0 THEN array_to_string(list_transform(ws, la
         "orphan_entities": f"{w}{_CORPUS}, {_MENTIONS} SELECT name AS canonical_name FROM mentions GROUP BY name HAVING count(*) FILTER (document_id % 4 <> 1) = 0",
         "purge_raw": f"{w}{_CORPUS} SELECT document_id, captured_at < TIMESTAMP '2024-01-13 12:00:00' AS purged, CASE WHEN captured_at < TIMESTAMP '2024-01-13 12:00:00' THEN '2024-01-20 12:00:00' END AS raw_purged_at FROM corpus",
         "retry_state": "SELECT doc_id AS document_id, CASE WHEN doc_id % 3 <> 0 THEN 'PARSED' WHEN doc_id % 6 + 1 >= 5 THEN 'ABANDONED' ELSE 'FAILED' END AS status, CAST(doc_id % 6 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS retry_count FROM documents",
+        "status_update": "SELECT doc_id AS document_id, coalesce(s, 'PENDING') AS status FROM documents LEFT JOIN (SELECT user_id, arg_max(upper(event_type), (ts, event_id)) AS s FROM events GROUP BY user_id) ON user_id = doc_id",
+        "chunk_vectors": f"{w}{_CHUNKS} SELECT chunk_id, id AS vector_id, CASE WHEN id IS NOT NULL THEN '2025-01-01 00:00:00' END AS embedded_at FROM chunks LEFT JOIN (SELECT CAST(vec_id AS VARCHAR) || ':0' AS id FROM embeddings) v ON id = chunk_id",
         "expired_turns": f"WITH {_TURNS} SELECT session_id, turn FROM turns WHERE created_at < TIMESTAMP '2024-01-04 00:00:00'",
         "stats_overview": f"{memory}, {_TURNS}, {_RELATIONS}, a AS (SELECT count(*) AS documents, count(*) FILTER (document_id % 11 = 0) AS failed FROM corpus), b AS (SELECT count(*) AS chunks, count(v.id) AS embedded_chunks FROM chunks LEFT JOIN (SELECT CAST(vec_id AS VARCHAR) || ':0' AS id FROM embeddings) v ON id = chunk_id), c AS (SELECT count(DISTINCT document_id) AS linked_documents, count(DISTINCT name) AS entities FROM mentions) SELECT documents, failed, chunks, embedded_chunks, entities, linked_documents, (SELECT count(*) FROM relations) AS relations, (SELECT count(DISTINCT session_id) FROM turns) AS conversations, (SELECT string_agg(source_type || ':' || n, ',' ORDER BY source_type) FROM (SELECT source_type, count(*) AS n FROM corpus GROUP BY source_type)) AS by_source, CASE WHEN chunks = 0 THEN 0.0 ELSE round(100.0 * embedded_chunks / chunks, 1) END AS embedding_coverage_pct, CASE WHEN documents = 0 THEN 0.0 ELSE round(100.0 * linked_documents / documents, 1) END AS graph_coverage_pct FROM a, b, c",
         "health_check": "WITH t AS (SELECT event_type, max(value) < 400 AS ok FROM events GROUP BY event_type) SELECT bool_and(ok) AS healthy, coalesce(string_agg(event_type, ',' ORDER BY event_type) FILTER (NOT ok), '') AS failing FROM t",

@@ -21,12 +21,14 @@ def admitted(path: Column, length: Column) -> Column:
 
 
 def raw_documents(files: DataFrame) -> DataFrame:
-    """Admitted files as raw documents, one per content in the batch."""
+    """Admitted files as raw documents, one per content in the batch, or in a stream within an hour of watermark."""
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.filter(admitted(F.col("path"), F.col("length"))).select(
         F.lit("filesystem").alias("source_type"), F.col("path").alias("source_path"), F.col("content").alias("raw_bytes"), F.col("modificationTime").alias("captured_at"), F.sha2("content", 256).alias("checksum"),
         F.create_map(F.lit("filename"), name, F.lit("extension"), F.regexp_extract(name, r"(\.[^.]+)$", 1), F.lit("size"), F.col("length").cast("string")).alias("source_metadata"), F.lit(2).alias("priority"),
     )
+    if rows.isStreaming:
+        return rows.withWatermark("captured_at", "1 hour").dropDuplicatesWithinWatermark(["checksum"])
     return rows.dropDuplicates(["checksum"])
 
 

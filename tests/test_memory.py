@@ -176,6 +176,15 @@ def test_dispatch_parses_each_kind(spark):
     assert all((r.digest is None) == (r.error_class == "EMPTY") for r in rows)
 
 
+def test_code_finders_are_pluggable(spark):
+    @F.pandas_udf("array<string>")
+    def last_words(t: pd.Series, lang: pd.Series) -> pd.Series:
+        return t.map(lambda x: x.split()[-1:])
+
+    rows = spark.createDataFrame([("a/b.py", "def f(): pass end")], "source_path string, text string")
+    assert "## Symbols\nend" in parse.parsed(rows, symbols_of=last_words).first().clean_content
+
+
 def test_answers_quote_the_first_source(spark):
     prompts = spark.createDataFrame([(1, "x\n[Source 1] (captured: a, from: b)\nfirst text\nmore"), (2, "nothing")], "query_id long, prompt string")
     assert {r.query_id: r.answer for r in answer.answers(prompts).collect()} == {1: "first text [Source 1]", 2: answer.NO_CONTEXT}
