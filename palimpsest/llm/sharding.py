@@ -2,8 +2,8 @@
 
 Groups (rows of equal text) are the items; each is a vector (bytes, tokens, rows). Level 1: groups are dealt to
 buckets by hash, and in each bucket every group goes, largest first, to the local bin whose residual capacity has the
-highest dot product with the group's vector. Level 2 places, by the same rule: the local bins of all buckets (at most
-32 x 1024), groups of over half a shard, and a share of single groups set aside by hash (an eighth of them, and no more
+highest dot product with the group's vector. Level 2 places, by the same rule: the local bins of all buckets (32 a bucket
+up to 2048 buckets, fewer beyond, at most 65,536), groups of over half a shard, and a share of single groups set aside by hash (an eighth of them, and no more
 than about 2000), which come late as they are small. Last, small items are moved or exchanged between two shards
 for as long as that lessens their weighted squares of residual capacity. Level 1 runs in parallel; only bin totals and the
 groups set aside come to the driver.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import checkpointed
 
 SHARDS = 8
-LOCAL_BINS, GROUPS_PER_BUCKET, MAX_BUCKETS, ASIDE_SHARE, ASIDE_MOST, ROWS_PER_SALT = 32, 500, 1024, 8, 2000, 50_000
+LOCAL_BINS, MOST_BINS, GROUPS_PER_BUCKET, MAX_BUCKETS, ASIDE_SHARE, ASIDE_MOST, ROWS_PER_SALT = 32, 65_536, 500, 8192, 8, 2000, 50_000
 _DIMENSIONS = ["bytes", "tokens", "rows"]
 _WEIGHTS = np.array([4.0, 1.0, 1.0])  #: in the dot product; the law is on bytes
 
@@ -75,11 +75,14 @@ def levelled(items: np.ndarray, placed: np.ndarray, capacity: np.ndarray, bins:
     return placed
 
 
-def _local_bins(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["bytes", "text_key", "text_crc32"], ascending=[False, True, True], kind="stable")
-    items = pdf[_DIMENSIONS].to_numpy(float)
-    pdf["bin"] = pdf["bucket"] * LOCAL_BINS + place(items, items.sum(axis=0) / LOCAL_BINS, LOCAL_BINS)
-    return pdf[["text_key", "text_crc32", "bytes", "tokens", "rows", "bin"]]
+def _local_bins(bins: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bytes", "text_key", "text_crc32"], ascending=[False, True, True], kind="stable")
+        items = pdf[_DIMENSIONS].to_numpy(float)
+        pdf["bin"] = pdf["bucket"] * bins + place(items, items.sum(axis=0) / bins, bins)
+        return pdf[["text_key", "text_crc32", "bytes", "tokens", "rows", "bin"]]
+
+    return run
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -105,8 +108,8 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     aside = F.pmod(F.xxhash64("text_key", "text_crc32"), F.lit(max(ASIDE_SHARE, int(total["groups"]) // ASIDE_MOST))) == 0
     narrow = groups.filter(ratio <= 0.5)
     singles = narrow.filter(aside).toPandas()  # about ASIDE_MOST rows at most
-    bins = checkpointed(narrow.filter(~aside).withColumn("bucket", F.pmod("text_key", F.lit(buckets))).groupBy("bucket").applyInPandas(_local_bins, "text_key long, text_crc32 long, bytes long, tokens long, rows long, bin long"))
-    bin_totals = bins.groupBy("bin").agg(*(F.sum(c).alias(c) for c in _DIMENSIONS)).toPandas()  # at most LOCAL_BINS x MAX_BUCKETS rows
+    bins = checkpointed(narrow.filter(~aside).withColumn("bucket", F.pmod("text_key", F.lit(buckets))).groupBy("bucket").applyInPandas(_local_bins(min(LOCAL_BINS, MOST_BINS // buckets)), "text_key long, text_crc32 long, bytes long, tokens long, rows long, bin long"))
+    bin_totals = bins.groupBy("bin").agg(*(F.sum(c).alias(c) for c in _DIMENSIONS)).toPandas()  # at most MOST_BINS rows
     items = np.concatenate([x[_DIMENSIONS].to_numpy(float) for x in (part_totals, bin_totals, singles)])
     placed = levelled(items, place(items, capacity, shards), capacity, shards).tolist()
     n, m = len(part_totals), len(part_totals) + len(bin_totals)
