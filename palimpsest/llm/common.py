@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores even where they are one file of one row group; scans with a part per core stay as they are."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def slices(batches: Batches, rows: int = 1000, most: int = 16 << 20) -> Batches:
     """The batches in slices of at most `rows` rows and about `most` bytes, so that what a task holds besides a batch is bounded."""
     for b in batches:

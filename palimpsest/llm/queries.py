@@ -9,23 +9,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import packing, quality, secrets, sentencepieces, sharding, simhash, suffixes, topk, toxicity, urls
-from palimpsest.llm.common import table
+from palimpsest.llm.common import documents, table
 
 
 def op1_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepieces.sampled_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepieces.sampled_segmentations(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeat_report(table(spark, sf_dir, "documents"))
+    return suffixes.repeat_report(documents(spark, sf_dir))
 
 
 def op3_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_rows(table(spark, sf_dir, "documents"))
+    return sharding.shard_rows(documents(spark, sf_dir))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op5_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,15 +33,15 @@ def op5_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.best_fit_packing(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_report(table(spark, sf_dir, "documents"))
+    return secrets.secret_report(documents(spark, sf_dir))
 
 
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.toxicity_report(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.line_report(table(spark, sf_dir, "documents"))
+    return quality.line_report(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
