@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.store import settled
+
 #: Entity type by label; others are concepts.
 LABELS = {"PERSON": "PERSON", "ORG": "ORG", "GPE": "PLACE", "LOC": "PLACE"}
 _PHRASE = r"(?<![A-Za-z0-9_])([A-Z][a-z]+(?:[ \t\n\r]+[A-Z][a-z]+)+)(?![A-Za-z0-9_])"
@@ -58,10 +60,13 @@ def top(entities: DataFrame, limit: int = 20) -> DataFrame:
 
 def neighbours(names: DataFrame, mention_rows: DataFrame, hops: int = 1) -> DataFrame:
     """Distinct (query_id, document_id) of documents that mention the names (query_id, name); more hops go over shared names."""
-    reached = names.join(mention_rows, "name").select("query_id", "document_id").distinct()
+    links = mention_rows.select("document_id", "name")
+    reached = names.join(links, "name").select("query_id", "document_id").distinct()
+    if hops > 1:  # a name of one document leads nowhere else
+        links = settled(links.join(links.groupBy("name").agg(F.count("*").alias("_n")).filter("_n > 1").select("name"), "name", "left_semi"))
     for _ in range(hops - 1):
-        further = reached.join(mention_rows, "document_id").select("query_id", "name").distinct()
-        reached = reached.unionByName(further.join(mention_rows, "name").select("query_id", "document_id")).distinct()
+        further = reached.join(links, "document_id").select("query_id", "name").distinct()
+        reached = reached.unionByName(further.join(links, "name").select("query_id", "document_id")).distinct()
     return reached
 
 

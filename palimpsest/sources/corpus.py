@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with a partition per core at least: a file of few row groups would keep the other cores idle. Scans of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def captured(docs: DataFrame) -> DataFrame:
     """document_id, text, lang, source, source_type, source_path, captured_at, checksum, body (paragraphs apart)."""
     kind = F.element_at(F.array(*map(F.lit, ("filesystem", "browser", "terminal", "clipboard"))), (F.col("doc_id") % 4 + 1).cast("int"))
@@ -23,7 +29,7 @@ def captured(docs: DataFrame) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return captured(table(spark, sf_dir, "documents"))
+    return captured(spread(table(spark, sf_dir, "documents")))
 
 
 AS_OF = "2025-01-01 00:00:00"
