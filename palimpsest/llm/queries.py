@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import packing, quality, secrets, sentencepieces, sharding, simhash, suffixes, topk, toxicity, urls
+from palimpsest.llm import divergence, interactions, mixing, packing, quality, secrets, sentencepieces, sharding, simhash, suffixes, topk, toxicity, urls
 from palimpsest.llm.common import documents, table
 
 
@@ -52,6 +52,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_report(documents(spark, sf_dir))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(documents(spark, sf_dir))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_report(documents(spark, sf_dir))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.interaction_report(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_gumbel_segmentations": op1_gumbel_segmentations,
@@ -64,6 +76,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxic_segments": op8_toxic_segments,
         "op9_url_filter": op9_url_filter,
         "op10_quality_rules": op10_quality_rules,
+        "op11_source_mix": op11_source_mix,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_filter_interactions": op13_filter_interactions,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -140,4 +155,4 @@ FROM named h LEFT JOIN own USING (page_id) LEFT JOIN shared ON h.rest IS NOT NUL
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_bit_sliced_topk": _TOPK_SQL, "op9_url_filter": _URL_SQL}
+    return {"op5_bit_sliced_topk": _TOPK_SQL, "op9_url_filter": _URL_SQL, "op11_source_mix": mixing.SQL, "op12_source_divergence": divergence.SQL, "op13_filter_interactions": interactions.SQL}
