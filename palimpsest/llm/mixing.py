@@ -109,18 +109,18 @@ def mixed(docs: DataFrame, calibrated: bool = True) -> DataFrame:
     units = _units(docs)
     bars = _small(_bars(units, calibrated)).alias("s")
     source, doc_id = F.col("row.source").cast("string"), F.col("row.doc_id").cast("long")
-    keyed = carried(docs).withColumns({"key": _key(F.col("row.text")), "of": source, "id": doc_id})
-    same = F.expr("of <=> u.source and id <=> u.doc_id and key = u.key")
+    keyed = carried(docs).withColumns({"text_key": _key(F.col("row.text")), "of": source, "id": doc_id})
+    same = F.expr("of <=> u.source and id <=> u.doc_id and text_key = u.key")
     twice, many = checkpointed(units.filter("n > 1").select("source", "doc_id", "key")), None
     if twice.limit(1).count():
         totals = _rows(units.filter("n > 1")).alias("r").join(bars, F.expr("r.source <=> s.source")).withColumn("copies", _copies())
         totals = totals.groupBy("r.source", "r.doc_id", "r.key").agg(F.sum("copies").alias("copies"))
         # One row stands for the rows that agree; candidates combine before the shuffle. Its copies unfold by runs, dealt out.
-        stands = keyed.join(_small(twice).alias("u"), same, "left_semi").groupBy("of", "id", "key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        stands = keyed.join(_small(twice).alias("u"), same, "left_semi").groupBy("of", "id", "text_key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
         runs = stands.join(totals.alias("u"), same).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("copies") / RUN)))).withColumn("copies", F.least(F.col("copies") - F.col("run") * RUN, F.lit(RUN)))
         many = runs.select("row", "copies").filter("copies > 0")
         keyed = keyed.join(_small(twice).alias("u"), same, "left_anti")
-    once = keyed.withColumn("draw", _draw(F.col("id"), F.col("key"), F.lit(0))).join(bars, F.expr("of <=> s.source")).select("row", _copies().alias("copies"))
+    once = keyed.withColumn("draw", _draw(F.col("id"), F.col("text_key"), F.lit(0))).join(bars, F.expr("of <=> s.source")).select("row", _copies().alias("copies"))
     every = once if many is None else once.unionByName(many)
     return every.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
