@@ -15,6 +15,9 @@ in one task, 8 bytes a pass, where groups whose members all agree need no sortin
 windows are rows of their own and a pass is a count of (group, digit), 40 bytes a digit, combined before its shuffle and joined
 back on keys that Spark may split when skewed; so no group is gathered, however common its passage.
 
+Rows that repeat both doc_id and text are one text with a weight: all of their windows start elsewhere too, so they are
+decided as a whole, one of them stands for all in the steps above, and spans meet rows only at the end.
+
 Defined cases. Null or empty text and texts under the length: nothing removed. Repeated rows and doc_ids: each row
 is reported, and copies of 200 bytes or more lose everything. Empty table: no rows. `remove_repeats` keeps other
 columns; in it bytes cut from a character leave the rest of the text decoded with incomplete characters left out.
@@ -26,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import U64, Batches, as_bytes, carried, checkpointed, mix, retexted, rows_to_batch, slices, texts_in
@@ -147,7 +150,7 @@ def _runs(batches: Batches) -> Batches:
         twice[1:] |= same
         twice[:-1] |= same
         keep, local = order[head], order[twice]
-        weight = np.where(twice[head], 2, 1).astype(np.int32)
+        weight = np.where(twice[head] | (b.column("copies").to_numpy()[row[keep]] > 1), 2, 1).astype(np.int32)
         r, s, e = merged(row[local], start[local], start[local] + windows[local])
         ids, keys = b.column("doc_id"), b.column("text_key").to_numpy(zero_copy_only=False)
         nothing = np.zeros(len(r), np.int64)
@@ -249,19 +252,42 @@ def _passes(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
         rows = rows.select("context_id", "weight", "group", "at", F.substring(F.col("context"), F.col("at") + (d + 1), F.lit(ROW_DIGIT)).alias("digit"))
         groups = rows.groupBy("group", "digit").agg(F.sum("weight").alias("n")).filter("n >= 2").select("group", "digit", F.monotonically_increasing_id().alias("next"))
         live = checkpointed(rows.join(checkpointed(groups), ["group", "digit"]).select("context_id", "weight", F.col("next").alias("group"), "at"))
-    return live.join(contexts, "context_id").select("doc_id", "text_key", (F.col("start") + F.col("at")).alias("start"), F.lit(1).cast("long").alias("windows"))
+    # A context is one run, so it has few windows; neighbours among them become one interval.
+    island = F.col("at") - F.row_number().over(Window.partitionBy("context_id").orderBy("at"))
+    runs = live.withColumn("island", island).groupBy("context_id", "island").agg(F.min("at").alias("at"), F.count("*").alias("windows"))
+    return runs.join(contexts, "context_id").select("doc_id", "text_key", (F.col("start") + F.col("at")).alias("start"), "windows")
 
 
 def _keyed(docs: DataFrame, text: Column) -> DataFrame:
     return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
+_ROW = ["doc_id", "text_key"]
+FEW = 50_000  #: repeated rows' keys that are broadcast
+
+
+def _distinct(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows, one for all that agree in doc_id and text, with copies (1 or 2); the spans of those that do, if any. Only keys are counted."""
+    check, size = F.xxhash64(F.lit(1), "text"), F.octet_length("text")
+    counts = keyed.groupBy(*_ROW).agg(F.count("*").alias("n"), F.min(check).alias("low"), F.max(check).alias("high"), F.max(size).alias("size"))
+    again = checkpointed(counts.filter("n > 1 and low = high").select(*_ROW, "size"))
+    n = again.count()
+    if not n:
+        return keyed.withColumn("copies", F.lit(1)), None
+    keys = F.broadcast(again.select(*_ROW)) if n <= FEW else again.select(*_ROW)
+    alone = keyed.join(keys, _ROW, "left_anti").withColumn("copies", F.lit(1))
+    one = keyed.join(keys, _ROW, "left_semi").dropDuplicates(_ROW).withColumn("copies", F.lit(2))
+    whole = again.filter(F.col("size") >= LENGTH).select(*_ROW, F.lit(0).cast("long").alias("start"), (F.col("size") - LENGTH + 1).cast("long").alias("windows"))
+    return alone.unionByName(one), whole
+
+
 def repeated_spans(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, text) of the rows, and (doc_id, text_key, start, windows): all windows that start anywhere else too.
 
     Anchors with up to group_limit different runs are passed over within a task, larger ones with a row per window.
     """
-    keyed = _keyed(docs, F.coalesce(docs["text"], F.lit("")))
+    rows = _keyed(docs, F.coalesce(docs["text"], F.lit("")))
+    keyed, whole = _distinct(rows)
     # Runs are made twice, as a copy of them would take more room than the texts. Their parts of weight 0 are decided already and dealt by themselves.
     runs = keyed.filter(F.octet_length("text") >= LENGTH).mapInArrow(_runs, _RUNS_DDL)
     runs = runs.withColumn("anchor", F.when(F.col("weight") == 0, F.xxhash64("doc_id", "start")).otherwise(F.col("anchor")))
@@ -284,7 +310,7 @@ def repeated_spans(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> tuple[Dat
     spans = decided.unionByName(near)
     if asked.filter(f"n_values > {group_limit}").limit(1).count():
         spans = spans.unionByName(_passes(contexts(f"n_values > {group_limit}")))
-    return keyed, spans
+    return rows, spans if whole is None else spans.join(whole.select(*_ROW), _ROW, "left_anti").unionByName(whole)
 
 
 def _kept(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int]:

@@ -667,3 +667,69 @@ def test_documents_that_share_most_lines_count_each(spark):
     table = spark.createDataFrame([(i, template + "\n" + words(12), "h") for i in range(500)], "doc_id long, text string, source string")
     rows = quality.line_report(table, quality.QualityRules(line_docs=100)).collect()
     assert len(rows) == 500 and all((r.n_boilerplate_lines, r.n_boilerplate_words, r.kept) == (20, 120, False) for r in rows)
+
+
+# Long and repeated inputs
+
+
+@pytest.mark.parametrize("group_limit", [2000, 1])
+def test_rows_repeated_under_one_id_are_one_text(spark, group_limit):
+    """Against brute force, with a passage of the repeated text in others, and short repeated rows beside it."""
+    rng = np.random.default_rng(3)
+    long, other = ("".join(rng.choice(list("abcdefgh "), 900)) for _ in range(2))
+    rows = [*((None, long) for _ in range(60)), *((7, "short text") for _ in range(5)), (1, other + long[100:400]), (2, "x" * 50 + other[:250]), (None, other[300:]), *((3, other) for _ in range(3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((i, *x[:4]) for (i, _), x in zip(rows, without_repeats([t.encode() for _, t in rows]), strict=True))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeat_report(docs, group_limit).collect()) == want
+    left = Counter((r.doc_id, len(r.text.encode())) for r in suffixes.remove_repeats(docs, group_limit).collect())
+    assert left == Counter({(i, n - lost): 0 for i, n, lost, _, _ in want}) + Counter([(i, n - lost) for (i, n, lost, _, _), k in want.items() for _ in range(k)])
+
+
+def test_many_repeated_rows_take_no_longer_than_many_copies(spark):
+    import time
+
+    text, took = " ".join(f"w{i * 7919 % 10007}" for i in range(1400)), {}
+    for name in ("warm", "distinct", "null"):
+        docs = spark.createDataFrame([(i if name != "null" else None, text) for i in range(3000)], "doc_id long, text string")
+        began = time.time()
+        assert suffixes.repeat_report(docs).agg({"n_removed": "sum"}).first()[0] == 3000 * len(text)
+        took[name] = time.time() - began
+    assert took["null"] < 2 * took["distinct"] + 5
+
+
+def test_web_spans_are_those_of_the_pattern():
+    rule = next(r for r in secrets.RULES if r.kind == "web")
+    rng = np.random.default_rng(5)
+    parts = ["eyJ", "eyJabcdefgh", ".", ".", "ab", "eyJeyJ", "zzzzzzzz", " ", "-", "eyJ12345678.eyJ12345678.12345678"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts, rng.integers(1, 14)))
+        assert secrets.web_spans(text) == [m.span() for m in re.finditer(rule.pattern, text)], text
+
+
+ADVERSE = {
+    "assign": ["token" + " " * 1_000_000, "token" * 200_000, "token=" * 160_000, "password\"" * 100_000], "access": ["AKIA" * 250_000, "AKIA " * 200_000], "hex": ["0123456789abcde " * 60_000, "f" * 1_000_000],
+    "forge": ["ghp_" * 250_000, "ghp_" + "a" * 30 + "ghp_" * 240_000], "chat": ["xoxb-" * 200_000, "xoxb-a " * 140_000], "maps": ["AIza" * 250_000], "model": ["sk-" * 330_000, "sk-a " * 200_000], "pay": ["sk_live_" * 120_000],
+    "web": ["eyJ" * 330_000, "eyJabcdefgh" * 90_000, "eyJabcdefgh." * 80_000, "a" * 1_000_000], "pem": ["-----BEGIN " + "A " * 500_000, "-----BEGIN " * 90_000, "-----BEGIN " + "A" * 1_000_000, "-----BEGIN PRIVATE KEY-----" + "-----END " * 100_000],
+}
+
+
+@pytest.mark.parametrize("kind", [r.kind for r in secrets.RULES])
+def test_each_rule_is_linear_on_adverse_texts(kind):
+    """About 1 MB each, made so that starts of matches are many or matches break off late."""
+    import time
+
+    rule, pattern = next((r, p) for r, p in zip(secrets.RULES, secrets._compiled(secrets.RULES)[0], strict=True) if r.kind == kind)
+    for text in ADVERSE[kind]:
+        began = time.time()
+        secrets.spans_of(rule, pattern, text)
+        assert time.time() - began < 2, text[:40]
+
+
+def test_a_hosts_documents_are_counted_as_those_of_a_line(spark):
+    """Copies count once on both sides: a host of very many copies gets no limit that its lines cannot reach."""
+    line = "the very same line of many words stands in each of these documents of the host"
+    letters = "abcdefghijklmnopqrstuvwxyzäöüé"
+    own = [(i, f"{line}\nown words " + " ".join(letters[i] * 3 + x for x in letters), "h") for i in range(30)]
+    copies = [(1000 + i, "a text that was copied " + " ".join(letters), "h") for i in range(4000)]
+    rows = quality.line_report(spark.createDataFrame(own + copies, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id for r in rows if r.n_boilerplate_lines} == set(range(30))
