@@ -7,6 +7,7 @@ words is rejected as depleted, besides those that fail the fixed base rules.
 
 Copies would make every line of a clean text look like boilerplate. So a line's documents are told apart by
 the whole set of their line hashes: copies with the same normalised lines count as one document, all others by themselves.
+A host's documents, of which the limit is a share, are counted alike.
 
 Defined cases. Null or empty text: no words, base_failed. Null source: a host of its own. Repeated rows: each
 row is judged by itself; with equal texts in one host they count once for their lines. Verdict and removed lines depend
@@ -133,7 +134,7 @@ def _stats(docs: DataFrame) -> DataFrame:
 def _lost_lines(stats: DataFrame, rules: QualityRules) -> DataFrame:
     """(row_key, line, line_words) for each boilerplate line of each row."""
     identity = F.xxhash64(F.array_sort("line"))  # a document's line hashes are distinct
-    hosts = stats.groupBy("host").agg(F.count("*").alias("host_docs"))
+    hosts = stats.select("host", identity.alias("document")).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     lines = stats.select("row_key", "host", identity.alias("document"), F.explode(F.arrays_zip("line", "line_words")).alias("x")).select("row_key", "host", "document", F.col("x.line").alias("line"), F.col("x.line_words").alias("line_words"))
     # Distinct (host, line, document) combine before the shuffle, so a very common line reaches it once per task and document.
     frequency = lines.select("host", "line", "document").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs"))
