@@ -20,10 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SPREAD_BYTES = 1 << 30  #: a table of up to so many bytes may be dealt anew
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, over all cores even where they are one file of one row group; scans with a part per core stay as they are."""
+    """The documents; where they are few bytes in fewer row groups than there are cores, dealt over the cores. Larger tables are never shuffled for this."""
     docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+    small = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() <= SPREAD_BYTES
+    return docs.repartition(cores) if small and docs.rdd.getNumPartitions() < cores else docs
 
 
 def slices(batches: Batches, rows: int = 1000, most: int = 16 << 20) -> Batches:
