@@ -10,10 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SPREAD_BYTES = 1 << 30  #: a scan of up to so many bytes may be dealt anew
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A scan with a partition per core at least: a file of few row groups would keep the other cores idle. Scans of many files stay as they are."""
+    """A scan of few bytes in few row groups, which would keep most cores idle, dealt over the cores. Larger scans are never shuffled for this."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if df.isStreaming or df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() > SPREAD_BYTES:
+        return df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def captured(docs: DataFrame) -> DataFrame:
