@@ -26,7 +26,7 @@ SPREAD_BYTES = 1 << 30  #: a table of up to so many bytes may be dealt anew
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents; where they are few bytes in fewer row groups than there are cores, dealt over the cores. Larger tables are never shuffled for this."""
     docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
-    small = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() <= SPREAD_BYTES
+    small = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SPREAD_BYTES
     return docs.repartition(cores) if small and docs.rdd.getNumPartitions() < cores else docs
 
 

@@ -16,7 +16,7 @@ SPREAD_BYTES = 1 << 30  #: a scan of up to so many bytes may be dealt anew
 def spread(df: DataFrame) -> DataFrame:
     """A scan of few bytes in few row groups, which would keep most cores idle, dealt over the cores. Larger scans are never shuffled for this."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() > SPREAD_BYTES:
+    if df.isStreaming or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
         return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
