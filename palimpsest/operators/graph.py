@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.store import settled
@@ -90,6 +90,44 @@ def cooccurrences(mention_rows: DataFrame, min_confidence: float = 0.5, min_docu
     return rated.filter((F.col("confidence") >= min_confidence) & (F.col("n_documents") >= min_documents)).select("subject", "object", "n_documents", "confidence")
 
 
+def name_deltas(mention_rows: DataFrame, sign: int = 1) -> DataFrame:
+    """name, entity_type, n, first_seen, last_seen, reset: what the given mentions add to the counts, or (sign -1) take from them."""
+    rows = mention_rows.groupBy("name", "entity_type").agg((F.lit(sign) * F.count("*")).alias("n"), F.min("captured_at").alias("first_seen"), F.max("captured_at").alias("last_seen"))
+    return rows.withColumn("reset", F.lit(False))
+
+
+def pair_deltas(mention_rows: DataFrame, sign: int = 1) -> DataFrame:
+    """low, high, n of each two names of a document. Each document's pairs add up in the tasks before they are shuffled."""
+    own = mention_rows.select("document_id", "name")
+    pairs = own.withColumnRenamed("name", "low").join(own.withColumnRenamed("name", "high"), "document_id").filter("low < high")
+    return pairs.groupBy("low", "high").agg((F.lit(sign) * F.count("*")).alias("n"))
+
+
+def entities_of(deltas: DataFrame) -> DataFrame:
+    """As `rollup`, from name deltas with the number of their change (at). The times of a name count from its last reset on."""
+    last = F.max(F.when(F.col("reset"), F.col("at"))).over(Window.partitionBy("name", "entity_type"))
+    fresh = deltas.withColumn("last", F.coalesce(last, F.lit(0))).withColumn("counts", (F.col("at") >= F.col("last")) & (F.col("n") >= 0))
+    times = [F.min(F.when(F.col("counts"), F.col("first_seen"))).alias("first_seen"), F.max(F.when(F.col("counts"), F.col("last_seen"))).alias("last_seen")]
+    return fresh.groupBy(F.col("name").alias("canonical_name"), "entity_type").agg(*times, F.sum("n").alias("mention_count")).filter("mention_count > 0")
+
+
+def resets(entities: DataFrame, gone: DataFrame, left: DataFrame) -> DataFrame:
+    """Name deltas with the times of names whose first or last mention is among the gone ones, from the mentions left. entities: before they went."""
+    touched = gone.select(F.col("name").alias("canonical_name"), "entity_type", F.col("first_seen").alias("_first"), F.col("last_seen").alias("_last"), "n")
+    ends = entities.join(touched, ["canonical_name", "entity_type"]).filter((F.col("mention_count") + F.col("n") > 0) & ((F.col("_first") <= F.col("first_seen")) | (F.col("_last") >= F.col("last_seen"))))
+    again = left.join(ends.select(F.col("canonical_name").alias("name"), "entity_type"), ["name", "entity_type"], "left_semi")
+    return name_deltas(again).withColumns({"n": F.lit(0).cast("long"), "reset": F.lit(True)})
+
+
+def relations_of(names: DataFrame, pairs: DataFrame, min_confidence: float = 0.5, min_documents: int = 2) -> DataFrame:
+    """As `cooccurrences`, from name and pair deltas."""
+    own = names.groupBy("name").agg(F.sum("n").alias("own"))
+    both = pairs.groupBy("low", "high").agg(F.sum("n").alias("n_documents")).filter(F.col("n_documents") >= min_documents)
+    ways = both.select("n_documents", F.explode(F.array(F.struct(F.col("low").alias("subject"), F.col("high").alias("object")), F.struct(F.col("high").alias("subject"), F.col("low").alias("object")))).alias("way"))
+    rated = ways.select("way.subject", "way.object", "n_documents").join(own, F.col("subject") == F.col("name")).withColumn("confidence", F.col("n_documents") / F.col("own"))
+    return rated.filter(F.col("confidence") >= min_confidence).select("subject", "object", "n_documents", "confidence")
+
+
 def relations_like(relations: DataFrame, subject: str | None = None, predicate: str | None = None, object_name: str | None = None, limit: int = 100) -> DataFrame:
     """Relations (subject, predicate, object, confidence) that hold the given texts, any case, most confident first; 1 to 100 rows."""
     for column, text in (("subject", subject), ("predicate", predicate), ("object", object_name)):

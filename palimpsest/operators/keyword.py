@@ -20,6 +20,7 @@ from palimpsest.operators.store import settled
 
 #: Fixed values of the ranking.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+ASKED = 20_000  #: different terms of queries that are sent to the tasks
 LENGTH = ""  #: the term of the rows that carry a chunk's length
 _TERM = re.compile("(?:[^\\W_]|[\ue000-\uf8ff\U000f0000-\U000ffffd\U00100000-\U0010fffd])+")
 _FOLDED = str.maketrans(ACCENTED, PLAIN)
@@ -33,8 +34,11 @@ def terms_of(text: str | None) -> list[str]:
 _POSTINGS = [("term", pa.string()), ("dl", pa.int64()), ("positions", pa.list_(pa.int32()))]
 
 
-def postings(chunks: DataFrame, stem: bool = False) -> DataFrame:
-    """The index of chunks (chunk_id, content and, if it is there, document_id). Stemming works on the distinct vocabulary."""
+def postings(chunks: DataFrame, stem: bool = False, only: frozenset[str] | None = None) -> DataFrame:
+    """The index of chunks (chunk_id, content and, if it is there, document_id). Stemming works on the distinct vocabulary.
+
+    only: the terms to keep besides the lengths, so that no others leave the tasks.
+    """
     keys = [c for c in ("chunk_id", "document_id") if c in chunks.columns]
     kinds = dict(chunks.dtypes)
 
@@ -45,7 +49,8 @@ def postings(chunks: DataFrame, stem: bool = False) -> DataFrame:
                 found: dict[str, list[int]] = {LENGTH: []}
                 own = terms_of(text)
                 for at, t in enumerate(own):
-                    found.setdefault(t, []).append(at)
+                    if only is None or t in only:
+                        found.setdefault(t, []).append(at)
                 rows += [i] * len(found)
                 dl += [len(own)] * len(found)
                 term += found
@@ -118,9 +123,16 @@ def ranked(index: DataFrame, queries: DataFrame, k: int = 20, allowed: DataFrame
 
 
 def asked_postings(chunks: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
-    """The postings of the queries' terms and of the lengths, settled: one pass over the chunks where no index is kept."""
-    wanted = phrases(queries, stem).select("term").unionByName(queries.sparkSession.createDataFrame([(LENGTH,)], "term string")).distinct()
-    return settled(postings(chunks, stem).join(wanted, "term", "left_semi"))
+    """The postings of the queries' terms and of the lengths, settled: one pass over the chunks where no index is kept.
+
+    Up to ASKED different terms go to the tasks, which keep no others; more (and stems, which need the vocabulary) are joined after.
+    """
+    wanted = phrases(queries, stem).select("term").distinct()
+    if not stem:
+        few = [r[0] for r in wanted.limit(ASKED + 1).collect()]
+        if len(few) <= ASKED:
+            return settled(postings(chunks, only=frozenset(few)))
+    return settled(postings(chunks, stem).join(wanted.unionByName(queries.sparkSession.createDataFrame([(LENGTH,)], "term string")), "term", "left_semi"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 20, allowed: DataFrame | None = None, stem: bool = False) -> DataFrame:

@@ -1,7 +1,8 @@
 """Tables of the memory: plain Parquet folders that Spark appends to, and rewrites by part.
 
 Rows are partitioned by `part`, a hash of their key, so an append touches no other file and a deletion rewrites only the
-parts that hold the keys. Each write of a part is Spark's own dynamic overwrite. Paths go through Hadoop's file
+parts that hold the keys. Parts that are written again are first written beside the table, and then put in place by Spark's
+dynamic overwrite: a run that is lost in between is finished when the folder is opened next. Paths go through Hadoop's file
 system API, so any store that Spark reaches will do; one writer at a time is assumed, as Parquet folders have no locks.
 """
 
@@ -43,6 +44,8 @@ class TableFolder:
         self.spark, self.path, self.keys, self.parts = spark, path.rstrip("/"), keys, parts
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for name in [f.getPath().getName() for f in self._fs.listStatus(self._at("_beside"))] if self._fs.exists(self._at("_beside")) else []:
+            self._finish(name)
 
     def _at(self, name: str):
         return self._hadoop.Path(f"{self.path}/{name}".rstrip("/"))
@@ -62,7 +65,7 @@ class TableFolder:
         return {name: self.read(name) for name in self.keys if self.has(name)}
 
     def _dealt(self, name: str, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("part", part_of(F.col(self.keys[name]), self.parts))
+        return rows.withColumn("part", part_of(F.col(self.keys.get(name, "document_id")), self.parts))
 
     def append(self, name: str, rows: DataFrame) -> None:
         if not self.has(name):
@@ -92,8 +95,23 @@ class TableFolder:
         self.delete(name, column, rows.select(column))
         self.append(name, rows)
 
+    def drop(self, name: str) -> None:
+        """The table with its schema."""
+        for folder in (name, f"_schemas/{name}"):
+            self._fs.delete(self._at(folder), True)
+
     def _swap(self, name: str, parts: list[int], rows: DataFrame) -> None:
-        after = settled(self._dealt(name, rows))  # a folder cannot be read while it is overwritten
-        after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/{name}")
-        for gone in set(parts) - {r["part"] for r in after.select("part").distinct().collect()}:
-            self._fs.delete(self._at(f"{name}/part={gone}"), True)
+        self.spark.createDataFrame([(p,) for p in parts], "part int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_beside/{name}/parts")
+        self._dealt(name, rows).write.mode("overwrite").parquet(f"{self.path}/_beside/{name}/rows")
+        self._finish(name)
+
+    def _finish(self, name: str) -> None:
+        """Put the parts that were written beside the table in place; nothing happens if they are not whole. May be repeated."""
+        beside = f"_beside/{name}"
+        if self.has(f"{beside}/parts") and self.has(f"{beside}/rows"):
+            after = self.spark.read.parquet(f"{self.path}/{beside}/rows")
+            after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/{name}")
+            there = {r["part"] for r in after.select("part").distinct().collect()}
+            for gone in {r["part"] for r in self.spark.read.parquet(f"{self.path}/{beside}/parts").collect()} - there:  # at most the table's parts
+                self._fs.delete(self._at(f"{name}/part={gone}"), True)
+        self._fs.delete(self._at(beside), True)

@@ -148,22 +148,14 @@ def migration_progress(chunks: DataFrame, vectors: DataFrame, id_column: str = "
     return out.withColumn("progress_pct", pct).withColumn("status", F.when(F.col("migrated_chunks") == F.col("total_chunks"), "COMPLETE").otherwise("IN_PROGRESS"))
 
 
-def migrate(chunks: DataFrame, path: str, model: str, version: str, embed: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
-    """Re-embed all chunks into a new directory of (model, version); returns what was written, to be checked and made active."""
-    target = f"{path}/{model}-{version}"
-    embedded(chunks, model, version, embed).withColumn("id", F.col("chunk_id")).write.mode("overwrite").parquet(target)
-    return chunks.sparkSession.read.parquet(target)
+def registry(log: DataFrame) -> DataFrame:
+    """model_id, name, version, path, registered_at, status, is_active from the log of what happened to models (at, model_id, name, version, path, status, noted_at).
 
-
-def registered(models: DataFrame, name: str, version: str, path: str, as_of: str) -> DataFrame:
-    """The registry (model_id, name, version, path, registered_at, is_active) with one more model, not active; one that is known is kept."""
-    row = models.sparkSession.range(1).select(F.lit(f"{name}-{version}").alias("model_id"), F.lit(name).alias("name"), F.lit(version).alias("version"), F.lit(path).alias("path"), F.lit(as_of).alias("registered_at"), F.lit(False).alias("is_active"))
-    return models.unionByName(row.join(models.select("model_id"), "model_id", "left_anti"))
-
-
-def activated(models: DataFrame, model_id: str) -> DataFrame:
-    """The registry with exactly this model active."""
-    return models.withColumn("is_active", F.col("model_id") == model_id)
+    The log only grows, so one appended row switches the active model: it is the one that became ACTIVE last.
+    """
+    rows = log.groupBy("model_id", "name", "version").agg(F.max_by("path", "at").alias("path"), F.min("noted_at").alias("registered_at"), F.max_by("status", "at").alias("status"))
+    active = log.filter("status = 'ACTIVE'").agg(F.max_by("model_id", "at").alias("active"))  # one row
+    return rows.join(F.broadcast(active)).withColumn("is_active", F.coalesce(F.col("model_id") == F.col("active"), F.lit(False))).drop("active")
 
 
 def validated(chunks: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from palimpsest import config
 from palimpsest.config import Settings
 from palimpsest.functions import text as tx
 from palimpsest.operators import answer, chunk, graph, keyword, observe, parse, protect, recall, redact, vector
+from palimpsest.operators.index import KeywordIndex
 from palimpsest.operators.store import checkpoint_folder, settled
 from palimpsest.plans import oracle
 from palimpsest.sources import capture, files
@@ -274,6 +275,49 @@ def bm25_stemmed(spark, sf_dir):
     return keyword.bm25(_chunks(spark, sf_dir), _asked(spark, sf_dir), 20, stem=True).select("query_id", "chunk_id", F.round("rank", 6).alias("rank"))
 
 
+_STANDING: dict[tuple[str, str], dict] = {}
+
+
+def standing(spark: SparkSession, sf_dir: str) -> dict:
+    """The tables as a memory keeps them, built once for a session and a folder: chunks, mentions, vectors and the keyword index.
+
+    The index has had additions, deletions and a compaction: documents in three batches, a tenth of them deleted and added again.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STANDING:
+        path, out = f"{checkpoint_folder(spark)}/standing-{uuid.uuid4()}", {}
+        for name, rows in (("docs", corpus(spark, sf_dir).select("document_id", "source_type", "source_path", "captured_at")), ("chunks", _chunks(spark, sf_dir)), ("mentions", _mentions(spark, sf_dir)), ("vectors", _vectors(spark, sf_dir))):
+            rows.write.parquet(f"{path}/{name}")
+            out[name] = spark.read.parquet(f"{path}/{name}")
+        index, rest = KeywordIndex(spark, f"{path}/index"), F.pmod("document_id", F.lit(10))
+        first, second, third = (index.append(out["chunks"].filter(batch)) for batch in (rest < 5, rest == 5, rest > 5))
+        index.forget(out["chunks"].filter(rest == 7).withColumn("segment", F.lit(third).cast("long")))
+        index.compact([first, second])
+        index.append(out["chunks"].filter(rest == 7))
+        _STANDING[key] = out | {"index": index}
+    return _STANDING[key]
+
+
+@query
+def stored_bm25(spark, sf_dir):
+    """As bm25_topk, from the stored index."""
+    return standing(spark, sf_dir)["index"].search(_asked(spark, sf_dir)).select("query_id", "chunk_id", F.round("rank", 6).alias("rank"), F.col("place").cast("long").alias("place"))
+
+
+@query
+def stored_phrases(spark, sf_dir):
+    """As phrase_search, from the stored index."""
+    pairs = F.regexp_replace("query", "([A-Za-z]+) ([A-Za-z]+)", "$1-$2")
+    return standing(spark, sf_dir)["index"].search(_asked(spark, sf_dir).withColumn("query", pairs), 50).select("query_id", "chunk_id", F.round("rank", 6).alias("rank"))
+
+
+@query
+def stored_hybrid(spark, sf_dir):
+    """As hybrid_search, from stored tables."""
+    t = standing(spark, sf_dir)
+    return _result(recall.hybrid_search(t["docs"], t["chunks"], _asked(spark, sf_dir), AS_OF, t["mentions"], t["vectors"], ranked=t["index"].search))
+
+
 # Vectors
 
 
@@ -337,6 +381,30 @@ def _names(spark, sf_dir):
     return _asked(spark, sf_dir).select("query_id", F.explode(graph.entity_names(F.col("query"))).alias("name"))
 
 
+def _differences(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Name and pair deltas of three changes over all documents: two additions, and a deletion of the ids that leave 2 when divided by 5."""
+    rows = settled(_mentions(spark, sf_dir))
+    fifth = F.pmod("document_id", F.lit(5))
+    gone, left = rows.filter(fifth == 2), rows.filter(fifth != 2)
+    two = [rows.filter(fifth < 3), rows.filter(fifth >= 3)]
+    names = settled(graph.name_deltas(two[0]).withColumn("at", F.lit(1)).unionByName(graph.name_deltas(two[1]).withColumn("at", F.lit(2))))
+    less = settled(graph.name_deltas(gone, -1))
+    names = names.unionByName(less.unionByName(graph.resets(graph.entities_of(names), less, left)).withColumn("at", F.lit(3)))
+    return names, graph.pair_deltas(two[0]).unionByName(graph.pair_deltas(two[1])).unionByName(graph.pair_deltas(gone, -1))
+
+
+@query
+def stored_entities(spark, sf_dir):
+    """Entities after additions and a deletion, from counts kept by difference."""
+    return graph.entities_of(_differences(spark, sf_dir)[0]).select("canonical_name", "entity_type", _time("first_seen"), _time("last_seen"), "mention_count")
+
+
+@query
+def stored_relations(spark, sf_dir):
+    """Relations after additions and a deletion, from counts kept by difference."""
+    return graph.relations_of(*_differences(spark, sf_dir)).select("subject", "object", "n_documents", F.round("confidence", 6).alias("confidence"))
+
+
 @query
 def graph_neighbors(spark, sf_dir):
     return graph.neighbours(_names(spark, sf_dir), _mentions(spark, sf_dir))
@@ -586,12 +654,11 @@ def throughput_check(spark, sf_dir):
 
 @query
 def model_registry(spark, sf_dir):
-    """One model per source of the documents, the second registered twice, the last made active."""
-    empty = spark.createDataFrame([], "model_id string, name string, version string, path string, registered_at string, is_active boolean")
-    models = empty
-    for name, version in (("hashing", "1"), ("hashing", "2"), ("hashing", "2"), ("other", "1")):
-        models = vector.registered(models, name, version, f"vectors/{name}-{version}", AS_OF)
-    return vector.activated(models, "hashing-2").select("model_id", "path", "is_active")
+    """The registry from a log: each event is a status that one of three versions of a model, named as its type, took."""
+    status = F.element_at(F.array(*map(F.lit, ("RUNNING", "COMPLETE", "ACTIVE", "FAILED", "CANCELLED"))), (F.pmod("event_id", F.lit(5)) + 1).cast("int"))
+    version = F.pmod("user_id", F.lit(3)).cast("string")
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("at"), F.concat_ws("-", "event_type", version).alias("model_id"), F.col("event_type").alias("name"), version.alias("version"), F.concat(F.lit("vectors-"), "event_type").alias("path"), status.alias("status"), F.date_format("ts", "yyyy-MM-dd").alias("noted_at"))
+    return vector.registry(log)
 
 
 @query

@@ -151,7 +151,7 @@ def statements() -> dict[str, str]:
     memory = w + _CHUNKS + ",\n" + _MENTIONS
     browser = "document_id % 4 = 1"
     search = w + _hybrid(20)
-    return {
+    out = {
         "doc_dedup": f"{w}{_CORPUS} SELECT min(document_id) AS document_id, checksum FROM corpus GROUP BY checksum",
         "dedup_decision": "WITH t AS (SELECT doc_id, " + "[" + ", ".join(f"'{s}'" for s in STATES) + "][doc_id % 9 + 1] AS status, doc_id % 7 AS r FROM documents) SELECT doc_id AS document_id, status, CASE WHEN status IS NULL THEN 'NEW' WHEN status IN ('INDEXED', 'EMBEDDED') THEN 'SKIP' WHEN status IN ('FAILED', 'PARSE_FAILED') THEN CASE WHEN r >= 5 THEN 'SKIP' ELSE 'RERUN_CLEAN' END ELSE 'RERUN' END AS decision FROM t",
         "browser_allowed": "WITH t AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages) SELECT page_id, host FROM t WHERE NOT (" + " OR ".join(map(_domain_test, config.EXCLUDED_DOMAINS + MORE_DOMAINS)) + ")",
@@ -202,6 +202,8 @@ SELECT item_id, CASE WHEN len(ws) > 0 THEN array_to_string(list_transform(ws, la
         "migration_progress": f"{w}{_CHUNKS}, t AS (SELECT count(*) AS total_chunks, count(v.id) AS migrated_chunks FROM chunks LEFT JOIN (SELECT DISTINCT CAST(vec_id AS VARCHAR) || ':0' AS id FROM embeddings) v ON id = chunk_id) SELECT total_chunks, migrated_chunks, CASE WHEN total_chunks = 0 THEN 0.0 ELSE round(100.0 * migrated_chunks / total_chunks, 1) END AS progress_pct, CASE WHEN total_chunks = migrated_chunks THEN 'COMPLETE' ELSE 'IN_PROGRESS' END AS status FROM t",
         "query_entities": f"SELECT item_id, unnest({_NAME_LIST.format(t='text')}) AS name FROM benchmark",
         "entity_rollup": f"{w}{_ENTITIES} SELECT canonical_name, entity_type, {_time('first_seen')}, {_time('last_seen')}, mention_count FROM entities",
+        "stored_entities": f"{w}{_ENTITIES.replace('FROM mentions GROUP', 'FROM mentions WHERE document_id % 5 <> 2 GROUP')} SELECT canonical_name, entity_type, {_time('first_seen')}, {_time('last_seen')}, mention_count FROM entities",
+        "stored_relations": f"{w}{_CORPUS}, {_MENTIONS.replace('FROM corpus', 'FROM corpus WHERE document_id % 5 <> 2')}, {_RELATIONS} SELECT subject, object, n_documents, round(confidence, 6) AS confidence FROM relations",
         "entity_upsert": f"{w}{_ENTITIES} SELECT canonical_name, entity_type, {_time('first_seen')}, {_time('last_seen')}, mention_count FROM entities",
         "entity_search": f"{w}{_ENTITIES} SELECT canonical_name, entity_type, mention_count FROM entities WHERE contains(lower(canonical_name), 'tion') ORDER BY canonical_name LIMIT 50",
         "entity_top": f"{w}{_ENTITIES} SELECT canonical_name, mention_count FROM entities ORDER BY mention_count DESC, canonical_name LIMIT 20",
@@ -239,7 +241,7 @@ SELECT item_id, CASE WHEN len(ws) > 0 THEN array_to_string(list_transform(ws, la
         "stats_overview": f"{memory}, {_TURNS}, {_RELATIONS}, a AS (SELECT count(*) AS documents, count(*) FILTER (document_id % 11 = 0) AS failed FROM corpus), b AS (SELECT count(*) AS chunks, count(v.id) AS embedded_chunks FROM chunks LEFT JOIN (SELECT CAST(vec_id AS VARCHAR) || ':0' AS id FROM embeddings) v ON id = chunk_id), c AS (SELECT count(DISTINCT document_id) AS linked_documents, count(DISTINCT name) AS entities FROM mentions) SELECT documents, failed, chunks, embedded_chunks, entities, linked_documents, (SELECT count(*) FROM relations) AS relations, (SELECT count(DISTINCT session_id) FROM turns) AS conversations, (SELECT string_agg(source_type || ':' || n, ',' ORDER BY source_type) FROM (SELECT source_type, count(*) AS n FROM corpus GROUP BY source_type)) AS by_source, CASE WHEN chunks = 0 THEN 0.0 ELSE round(100.0 * embedded_chunks / chunks, 1) END AS embedding_coverage_pct, CASE WHEN documents = 0 THEN 0.0 ELSE round(100.0 * linked_documents / documents, 1) END AS graph_coverage_pct FROM a, b, c",
         "health_check": "WITH t AS (SELECT event_type, max(value) < 400 AS ok FROM events GROUP BY event_type) SELECT bool_and(ok) AS healthy, coalesce(string_agg(event_type, ',' ORDER BY event_type) FILTER (NOT ok), '') AS failing FROM t",
         "throughput_check": f"WITH {_RANKS} SELECT metric, p50 * 50 > 0 AND 60000.0 / (p50 * 50) < 10 AS violated FROM ranked",
-        "model_registry": "SELECT * FROM (VALUES ('hashing-1', 'vectors/hashing-1', false), ('hashing-2', 'vectors/hashing-2', true), ('other-1', 'vectors/other-1', false)) v(model_id, path, is_active)",
+        "model_registry": "WITH l AS (SELECT event_id, event_type AS name, CAST(user_id % 3 AS VARCHAR) AS version, event_type || '-' || (user_id % 3) AS model_id, ['RUNNING', 'COMPLETE', 'ACTIVE', 'FAILED', 'CANCELLED'][event_id % 5 + 1] AS status, strftime(ts, '%Y-%m-%d') AS noted_at FROM events) SELECT model_id, name, version, 'vectors-' || name AS path, min(noted_at) AS registered_at, arg_max(status, event_id) AS status, coalesce(model_id = (SELECT arg_max(model_id, event_id) FROM l WHERE status = 'ACTIVE'), false) AS is_active FROM l GROUP BY model_id, name, version",
         "migration_check": f"{w}{_CHUNKS}, t AS (SELECT count(*) AS chunks, count(id) AS vectors, count(*) FILTER (id IS NULL) AS missing, CAST(0 AS BIGINT) AS empty FROM chunks LEFT JOIN (SELECT CAST(vec_id AS VARCHAR) || ':0' AS id FROM embeddings) v ON id = chunk_id) SELECT *, missing = 0 AS valid FROM t",
         "file_admission": f"{w}{_CORPUS}, t AS (SELECT document_id, ['home/', 'home/.git/', '.cache/x/', 'home/.config/', 'a/node_modules/'][document_id % 5 + 1] || CAST(document_id AS VARCHAR) || ['', '.swp', '.tmp', '.md'][document_id % 4 + 1] AS path, CASE WHEN document_id % 7 = 0 THEN 0 WHEN document_id % 9 = 0 THEN 62914560 ELSE length(text) END AS size FROM corpus) SELECT document_id, size > 0 AND size <= {config.MAX_FILE_BYTES} AND document_id % 5 NOT IN (1, 2) AND document_id % 4 NOT IN (1, 2) AS admitted FROM t",
         "file_documents": "SELECT DISTINCT sha256(text) AS checksum, 'filesystem' AS source_type, strlen(text) AS n_bytes, CAST(strlen(text) AS VARCHAR) AS size, CAST(2 AS INTEGER) AS priority FROM documents WHERE strlen(text) > 0",
@@ -257,3 +259,4 @@ SELECT item_id, CASE WHEN len(ws) > 0 THEN array_to_string(list_transform(ws, la
         "slo_report": f"WITH {_RANKS}, slos(slo, metric, target, alert_threshold) AS (VALUES " + ", ".join(f"('{a}', '{b}', CAST({c} AS DOUBLE), CAST({d} AS DOUBLE))" for a, b, c, d in config.SLOS) + ") SELECT slo, metric, target, alert_threshold, round(p95, 2) AS p95, coalesce(p95 <= alert_threshold, true) AS passed FROM slos LEFT JOIN ranked USING (metric)",
         "stream_dedup": "SELECT DISTINCT sha256(text) AS checksum FROM documents",
     }
+    return out | {f"stored_{name}": out[same] for name, same in (("bm25", "bm25_topk"), ("phrases", "phrase_search"), ("hybrid", "hybrid_search"))}

@@ -212,7 +212,7 @@ def test_memory_end_to_end(spark, tmp_path):
     memory = DocumentMemory(spark, f"file://{tmp_path}/store", parts=4)
     assert memory.add(raw(spark)).count() == 5 and memory.add(raw(spark, 3)).count() == 0
     before = counted(memory)
-    assert before["documents"] == 5 and before["vectors"] == before["chunks"] and before["postings"] > before["chunks"]
+    assert before["documents"] == 5 and memory.vectors().count() == before["chunks"] == memory.index.lengths().count() == memory.index.totals()[0]
     queries = spark.createDataFrame([(1, "Gamma number")], "query_id long, query string")
     found = memory.search(queries, "2025-01-01").orderBy("citation_index").collect()
     assert [r.citation_index for r in found] == list(range(1, 6)) and all(r.graph_score == 0.8 and r.vector_score > 0 and r.keyword_score >= 0 for r in found)
@@ -234,9 +234,9 @@ def test_forgetting_reaches_index_and_vectors(spark, tmp_path):
     assert {r.source_type for r in memory.timeline().collect()} == {"terminal"}
     left = {r.document_id for r in memory.store.read("documents").collect()}
     assert all({r.document_id for r in memory.store.read(name).select("document_id").collect()} <= left for name in memory.OF_DOCUMENTS)
-    stats = keyword.corpus_stats(memory.store.read("postings")).first()
-    assert stats.n_chunks == memory.store.read("chunks").count() and memory.store.read("forget_log").count() == 5 - len(left)
-    assert all(r.verified for r in memory.forget(memory.store.read("documents"), "2025-01-01").collect()) and set(counted(memory)[n] for n in memory.OF_DOCUMENTS) == {0}
+    assert {r.document_id for r in memory.index.lengths().collect()} <= left and {r.document_id for r in memory.vectors().collect()} <= left
+    assert memory.index.totals()[0] == memory.store.read("chunks").count() and memory.store.read("forget_log").count() == 5 - len(left)
+    assert all(r.verified for r in memory.forget(memory.store.read("documents"), "2025-01-01").collect()) and set(counted(memory)[n] for n in memory.OF_DOCUMENTS) == {0} and memory.index.totals() == (0, 0) and memory.entities().count() == 0
     assert memory.add(raw(spark)).count() == 5
 
 
@@ -283,12 +283,91 @@ def test_migration(spark, tmp_path):
         raise OSError("no model")
 
     assert memory.migrate("bad", "1", "2025-01-01", broken).first().status == "FAILED"
-    assert {r.embed_model for r in memory.store.read("vectors").collect()} == {"hashing"} and not any(r.is_active for r in memory.models().collect())
+    assert {r.embed_model for r in memory.vectors().collect()} == {"hashing"} and not any(r.is_active for r in memory.models().collect())
     assert memory.migrate("wide", "2", "2025-01-02", vector.hashing_embedder(128)).first().status == "COMPLETE"
-    assert {len(r.embedding) for r in memory.store.read("vectors").collect()} == {128} and {r.model_id for r in memory.models().filter("is_active").collect()} == {"wide-2"}
+    assert {len(r.embedding) for r in memory.vectors().collect()} == {128} and {r.model_id for r in memory.models().filter("is_active").collect()} == {"wide-2"}
     assert memory.search(spark.createDataFrame([(1, "Gamma")], "query_id long, query string"), "2025-01-01").count() == 5
 
 
+def test_a_reopened_memory_takes_the_active_model(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    memory = DocumentMemory(spark, path, parts=4)
+    memory.add(raw(spark, 4))
+    assert memory.migrate("other", "2", "2025-01-02", vector.hashing_embedder(32)).first().status == "COMPLETE"
+    again, queries = DocumentMemory(spark, path, parts=4, embed=vector.hashing_embedder(32)), spark.createDataFrame([(1, "Gamma number")], "query_id long, query string")
+    assert again.model == ("other", "2") and all(r.vector_score > 0 for r in again.search(queries, "2025-01-01").collect())
+    with pytest.raises(ValueError, match="open the memory with its function"):
+        DocumentMemory(spark, path, parts=4).search(queries, "2025-01-01")
+    with pytest.raises(ValueError, match="length 32"):
+        DocumentMemory(spark, path, parts=4).search(queries.withColumn("query_vector", F.array(*map(F.lit, [0.5] * 64))), "2025-01-01")
+    again.add(raw(spark))
+    assert again.vectors().count() == again.store.read("chunks").count() == 5 and {len(r.embedding) for r in again.vectors().collect()} == {32}
+
+
+def test_a_migration_is_cancelled_and_resumed(spark, tmp_path):
+    memory = DocumentMemory(spark, f"file://{tmp_path}/store", parts=8)
+    memory.add(raw(spark))
+    embed, total = vector.hashing_embedder(16), memory.store.read("chunks").count()
+    append, steps = memory.store.append, []
+
+    def killed(name, rows):
+        if name.startswith("vectors-new"):
+            steps.append(rows.count())
+            if sum(steps) > 2:
+                raise OSError("killed")
+        append(name, rows)
+
+    memory.store.append = killed
+    with pytest.raises(OSError, match="killed"):
+        memory.migrate("new", "1", "2025-01-02", embed)
+    memory.store.append = append
+    done = memory.migration("new", "1").first()
+    assert 0 < done.migrated_chunks < total and done.status == "IN_PROGRESS" and memory.model == ("hashing", "1")
+
+    def cancelling(name, rows):
+        append(name, rows)
+        if name.startswith("vectors-new"):
+            memory.cancel_migration("new", "1", "2025-01-02")
+
+    memory.store.append = cancelling
+    assert memory.migrate("new", "1", "2025-01-02", embed).first().status == "CANCELLED"
+    memory.store.append = append
+    assert memory.model == ("hashing", "1") and DocumentMemory(spark, memory.store.path, parts=8).model == ("hashing", "1")
+    made = []
+    memory.store.append = lambda name, rows: (made.append(rows.count()) if name.startswith("vectors-new") else None, append(name, rows))
+    assert memory.migrate("new", "1", "2025-01-03", embed).first().status == "COMPLETE"
+    assert sum(made) < total and memory.vectors().select("id").distinct().count() == memory.vectors().count() == total
+    assert {(r.model_id, r.status, r.is_active) for r in memory.models().collect()} == {("new-1", "ACTIVE", True)}
+
+
+def test_counts_by_difference_equal_a_roll_up(spark, tmp_path):
+    memory = DocumentMemory(spark, f"file://{tmp_path}/store", parts=4)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    ids = lambda *i: spark.createDataFrame([(x,) for x in i], memory.store.read("documents").select("document_id").schema)
+    all_ids = [r.document_id for r in raw(spark, 12).select("document_id").collect()]
+    for change in (lambda: memory.add(raw(spark, 5)), lambda: memory.add(raw(spark, 12)), lambda: memory.forget(ids(*all_ids[:2]), "2025-01-01"), lambda: memory.add(raw(spark, 3)), lambda: memory.reindex(ids(all_ids[4])), lambda: memory.forget(ids(all_ids[0], all_ids[-1]), "2025-01-01"), memory.compact, lambda: memory.forget(ids(all_ids[6]), "2025-01-01")):
+        change()
+        mentions = memory.store.read("mentions")
+        names = ["canonical_name", "entity_type", "first_seen", "last_seen", "mention_count"]
+        assert rows(memory._names().select(*names)) == rows(graph.rollup(mentions).select(*names))
+        pair = ["subject", "object", "n_documents", "confidence"]
+        assert rows(memory._relations().select(*pair)) == rows(graph.cooccurrences(mentions, memory.settings.relation_confidence).select(*pair))
+        assert memory.index.totals()[0] == memory.store.read("chunks").count()
+
+
+def test_parts_written_beside_are_put_in_place_at_the_next_opening(spark, tmp_path, monkeypatch):
+    from palimpsest.operators.store import TableFolder
+
+    folder = TableFolder(spark, f"file://{tmp_path}/t", {"x": "k"}, 4)
+    folder.append("x", spark.range(100).withColumnRenamed("id", "k"))
+    monkeypatch.setattr(TableFolder, "_finish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        folder.delete("x", "k", spark.range(50).withColumnRenamed("id", "k"))
+    monkeypatch.undo()
+    assert folder.read("x").count() == 100
+    assert sorted(r.k for r in TableFolder(spark, f"file://{tmp_path}/t", {"x": "k"}, 4).read("x").collect()) == list(range(50, 100))
+
+
 def test_extractors_are_pluggable(spark):
     @F.pandas_udf("array<struct<name: string, label: string>>")
     def people(t: pd.Series) -> pd.Series:
