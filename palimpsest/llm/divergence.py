@@ -8,7 +8,7 @@
    floored (p - q)^2 / (p + q). Over all V terms, the sum for two sources is that of two sources without terms, plus what
    each one's own terms change (by its counts' histogram), plus what the terms of both change (the join on the term).
 
-The sketch is `depth` rows of 2^width_bits counters (8 MB a task by default, 64 times less as the bits that are sent back
+The sketch is `depth` rows of 2^width_bits counters (16 MB a task by default, 32 times less as the bits that are sent back
 to the tasks), whatever the size of the input; more distinct terms than it can tell apart only let more terms through.
 
 Defined cases. Null text, lang and source: ''. Texts without a term, groups and languages without kept terms: the pairs
@@ -17,10 +17,9 @@ of their sources are there, with 0 where V is 0. Repeated rows count by themselv
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,40 +27,70 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import GOLDEN, U64, Batches, as_bytes, checkpointed, mix, rows_to_batch, slices
 
 MIN_DOCS, TOP, WIDTH_BITS, DEPTH = 10, 10, 20, 4
-BLOCK, PIECE, MERGERS = 4096, 4 << 20, 16  #: counters of a block that is merged; bytes of a text split at once; tasks for a block in the first merge
+BLOCK, PIECE, MERGERS = 4096, 8 << 20, 16  #: counters of a block that is merged; bytes of texts split at once; tasks for a block in the first merge
 GROUPS = 50_000  #: groups that are broadcast
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def counted(raw: bytes) -> Counter:
-    """Occurrences of each term of a text in UTF-8; a long text is split piece by piece."""
-    plain, found, at = raw.translate(_FOLD), Counter(), 0
-    while at < len(plain):
-        cut = plain.find(b" ", at + PIECE)
-        cut = len(plain) if cut < 0 else cut
-        found.update(plain[at:cut].split())
-        at = cut
-    return found
-
-
-def _slice(b: pa.RecordBatch, keys: list[str]) -> tuple[list[tuple], list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def cuts_of(plain: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of parts of up to about PIECE bytes, cut at spaces, of the rows of a folded text buffer, and the row of each part."""
+    long = np.flatnonzero(np.diff(at) > PIECE)
+    if not len(long):
+        return at, np.arange(len(at) - 1)
+    more = []
+    for i in long.tolist():
+        cut = int(at[i]) + PIECE
+        while cut < at[i + 1] and (cut := plain.find(b" ", cut, int(at[i + 1]))) >= 0:
+            more.append(cut)
+            cut += PIECE
+    own = np.sort(np.concatenate((at, np.array(more, np.int64))))
+    return own, np.searchsorted(at, own[:-1], side="right") - 1
+
+
+def counted(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of the rows of a buffer in UTF-8, and for each (row, term) the row, the term's place and its occurrences."""
+    plain = data.tobytes().translate(_FOLD)
+    own, rows = cuts_of(plain, at)
+    found: list[tuple[np.ndarray, ...]] = []
+    terms: list[pa.Array] = []
+    first = 0
+    while first < len(rows):  # a long text goes part by part
+        last = max(first + 1, int(np.searchsorted(own, own[first] + PIECE, side="right")) - 1)
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(own[first : last + 1].astype(np.int64)), pa.py_buffer(plain)])
+        parts = pc.ascii_split_whitespace(column.cast(pa.large_string()))
+        coded = parts.flatten().dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        cell, n = np.unique(rows[first + pc.list_parent_indices(parts).to_numpy()] * size + coded.indices.to_numpy(), return_counts=True)
+        terms.append(coded.dictionary)
+        found.append((*np.divmod(cell, size), n))
+        first = last
+    if len(terms) > 1:  # parts of one text may share terms
+        names = pa.concat_arrays(terms).dictionary_encode()
+        place = np.split(names.indices.to_numpy().astype(np.int64), np.cumsum([len(t) for t in terms])[:-1])
+        row, term, n = (np.concatenate(x) for x in zip(*((r, p[t], n) for (r, t, n), p in zip(found, place, strict=True)), strict=True))
+        cell, back = np.unique(row * len(names.dictionary) + term, return_inverse=True)
+        terms, found = [names.dictionary], [(*np.divmod(cell, len(names.dictionary)), np.bincount(back, n, len(cell)).astype(np.int64))]
+    if not terms:
+        return pa.array([], pa.large_string()), *(np.empty(0, np.int64),) * 3
+    (names,), ((row, term, n),) = terms, found
+    there = np.asarray(pc.not_equal(names, ""))[term]  # the split gives empty strings at the ends of a text
+    return names, row[there], term[there], n[there]
+
+
+def _slice(b: pa.RecordBatch, keys: list[str]) -> tuple[list[tuple], pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Groups and terms of a slice, and for each (group, term) their numbers, occurrences and documents."""
-    data, at = as_bytes(b.column("text"))
     groups: dict[tuple, int] = {}
-    owner = [groups.setdefault(k, len(groups)) for k in zip(*(b.column(c).to_pylist() for c in keys), strict=True)]
-    found = [counted(data[i:j].tobytes()) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-    own = pa.array([t for c in found for t in c], pa.binary()).dictionary_encode()
-    n = np.fromiter((x for c in found for x in c.values()), np.int64, len(own))
-    code = np.repeat(np.array(owner, np.int64), [len(c) for c in found]) * max(1, len(own.dictionary)) + own.indices.to_numpy().astype(np.int64)
-    cell, back = np.unique(code, return_inverse=True)
-    group, term = np.divmod(cell, max(1, len(own.dictionary)))
-    return list(groups), own.dictionary.to_pylist(), group, term, np.bincount(back, n, len(cell)).astype(np.int64), np.bincount(back, minlength=len(cell))
+    owner = np.array([groups.setdefault(k, len(groups)) for k in zip(*(b.column(c).to_pylist() for c in keys), strict=True)], np.int64)
+    names, row, term, n = counted(*as_bytes(b.column("text")))
+    size = max(1, len(names))
+    cell, back = np.unique(owner[row] * size + term, return_inverse=True) if len(row) else (np.empty(0, np.int64),) * 2
+    return list(groups), names, *np.divmod(cell, size), np.bincount(back, n, len(cell)).astype(np.int64), np.bincount(back, minlength=len(cell))
 
 
-def _hashes(langs: list[str], terms: list[bytes], lang: np.ndarray, term: np.ndarray) -> np.ndarray:
+def _hashes(langs: list[str], terms: pa.Array, lang: np.ndarray, term: np.ndarray) -> np.ndarray:
     """64-bit hashes of (language, term)."""
     of_lang = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 1) for x in langs], np.uint64)
-    of_term = np.array([xxhash.xxh64_intdigest(t) for t in terms], np.uint64)
+    of_term = np.fromiter(map(xxhash.xxh64_intdigest, terms.cast(pa.large_binary()).to_pylist()), np.uint64, len(terms))
     return mix(of_lang[lang] * GOLDEN + of_term[term]) if len(term) else np.empty(0, np.uint64)
 
 
@@ -95,14 +124,13 @@ def _sent(blocks: dict[int, np.ndarray]) -> Batches:
 
 def _sketched(least: int, width_bits: int, depth: int):
     def run(batches: Batches) -> Batches:
-        sketch = np.zeros((depth, 1 << width_bits), np.uint16)
-        for b in slices(batches, most=PIECE):
+        sketch = np.zeros((depth, 1 << width_bits), np.uint32)  # a task has fewer rows than would overflow it
+        for b in slices(batches, rows=1 << 20, most=PIECE):
             langs, terms, group, term, _, docs = _slice(b, ["lang"])
             h = _hashes([x[0] for x in langs], terms, group, term)
             for d in range(depth):
-                at, back = np.unique(places(h, d, width_bits), return_inverse=True)
-                sketch[d, at] = np.minimum(sketch[d, at] + np.bincount(back, docs, len(at)).astype(np.int64), least)
-        blocks = sketch.reshape(-1, BLOCK)
+                np.add.at(sketch[d], places(h, d, width_bits), docs.astype(np.uint32))
+        blocks = np.minimum(sketch, least).astype(np.uint16).reshape(-1, BLOCK)
         yield from _sent({k: blocks[k] for k in np.flatnonzero(blocks.any(axis=1)).tolist()})
 
     return run
@@ -138,15 +166,16 @@ def _survivors(bits: bytes, width_bits: int, depth: int):
 
     def run(batches: Batches) -> Batches:
         there = np.frombuffer(bits, np.uint8)
-        for b in slices(batches, most=PIECE):
+        for b in slices(batches, rows=1 << 20, most=PIECE):
             groups, terms, group, term, n, docs = _slice(b, ["lang", "source"])
             h = _hashes([g[0] for g in groups], terms, group, term)
             stay = np.ones(len(h), bool)
             for d in range(depth):
                 at = places(h, d, width_bits) + (d << width_bits)
                 stay &= (there[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-            group, term = group[stay], term[stay]
-            yield rows_to_batch(_COUNTS, [[groups[i][0] for i in group], [groups[i][1] for i in group], pa.array(terms, pa.binary()).take(pa.array(term)).cast(pa.string()), n[stay], docs[stay]])
+            group, term = pa.array(group[stay]), pa.array(term[stay])
+            langs, sources = (pa.array([g[i] for g in groups], pa.string()) for i in (0, 1))
+            yield rows_to_batch(_COUNTS, [langs.take(group), sources.take(group), terms.take(term).cast(pa.string()), n[stay], docs[stay]])
 
     return run
 

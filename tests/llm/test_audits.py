@@ -8,6 +8,7 @@ from itertools import permutations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from palimpsest.llm import divergence, interactions, mixing, queries
 from tests.conftest import SMALL
@@ -132,15 +133,21 @@ def test_mixed_gives_the_rows_of_the_report(spark, hard, monkeypatch):
 # 12
 
 
+def terms_in(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    names, _, term, n = divergence.counted(data, np.array([0, len(data)]))
+    return dict(zip(names.take(pa.array(term)).to_pylist(), n.tolist(), strict=True))
+
+
 def test_sketch_never_underestimates_and_filters(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("lang", "text")
     df = Counter()
     for r in docs.collect():
-        df.update((r.lang, t) for t in divergence.counted(r.text.encode()))
+        df.update((r.lang, t) for t in terms_in(r.text))
     for bits in (12, 20):
         sketch = divergence.sketch_of(docs, 10, bits)
         langs, terms = zip(*df, strict=True)
-        h = divergence._hashes(list(langs), [*terms], np.arange(len(df)), np.arange(len(df)))
+        h = divergence._hashes(list(langs), pa.array(terms, pa.large_string()), np.arange(len(df)), np.arange(len(df)))
         estimate = np.min([sketch[d, divergence.places(h, d, bits)] for d in range(divergence.DEPTH)], axis=0)
         assert (estimate >= np.minimum(list(df.values()), 10)).all()
     assert (estimate == np.minimum(list(df.values()), 10)).mean() > 0.99  # wide enough to tell the terms apart
@@ -155,14 +162,21 @@ def test_a_saturated_sketch_changes_no_result(spark):
 def test_terms_of_a_text():
     text = "Straße ÉTÉ don't x1y�2 日本　語 A_b \U0001f600! " * 3
     want = Counter(re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text))
-    assert {t.decode(): n for t, n in divergence.counted(text.encode()).items()} == want
+    assert terms_in(text) == want and terms_in("") == terms_in(" 1 ") == {}
 
 
 def test_a_long_text_is_counted_piece_by_piece(monkeypatch):
-    text = ("alpha beta-" * 3000 + "x" * 5000).encode()
-    want = divergence.counted(text)
-    monkeypatch.setattr(divergence, "PIECE", 1000)
-    assert divergence.counted(text) == want
+    texts = ["alpha beta-" * 300 + "x" * 5000 + " beta", "", "gamma beta", "d " * 3000]
+    data, at = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    want = [terms_in(t) for t in texts]
+    for piece in (1000, 64):
+        monkeypatch.setattr(divergence, "PIECE", piece)
+        names, row, term, n = divergence.counted(data, at)
+        got = [{} for _ in texts]
+        for r, t, k in zip(row.tolist(), names.take(pa.array(term)).to_pylist(), n.tolist(), strict=True):
+            assert t not in got[r]
+            got[r][t] = k
+        assert got == want
 
 
 # 13
