@@ -1,16 +1,17 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
 Fit. A bounded sample of labelled rows outside the held-out fold (`sample` rows, least hash of doc_id first)
-gives the classifier; rows that agree in two MinHash values of word triples, so nearly always copies, count once, so that
-a copied text does not make its words look toxic. Three quarters give, per hashed token, the documents of either class that hold
+gives the classifier; rows that agree in two MinHash values of word triples, so nearly always copies, share a weight of one, so that
+a copied text does not make its words look toxic, whatever their labels. Three quarters give, per hashed token, the documents of either class that hold
 it; corpus counts over all documents are the Dirichlet prior. A token scores its log-odds if they are large and
 its likelihood-ratio statistic significant, and minus `drift` otherwise.
 
 Score. One linear pass over a text's tokens finds all maximal scoring segments: every toxic passage. For segments
 of score S in n tokens the expected number by chance is K n exp(-lambda S) (extreme-value law); lambda solves
 sum p exp(lambda s) = 1 over the corpus's token distribution and K is fitted to clean documents. A document's
-evidence is the sum of lambda S - ln(K n) over significant segments; a logistic curve, fitted on the last
-quarter of the sample, turns it into a probability.
+evidence is the sum of lambda S - ln(K n) over significant segments. Below significance it is graded: by the surprise of
+the best segment, and without any by the mean log-odds of the tokens, each below all evidence of the kind before. A
+logistic curve, fitted on the last quarter of the sample, turns it into a probability.
 
 What the driver holds is bounded: 2^bits token counts, three totals of clean texts, a histogram of evidence by label.
 Defined cases. Null or empty text: no evidence, the score of a text without toxic passages. Repeated rows: each is
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import Batches, checkpointed, rows_to_batch, slices, texts_of
 
+FAINT = 0.05  #: evidence without a significant segment is below twice this, and so far from that of one, which is -ln(max_evalue) or more
 _WORD_BYTES = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
@@ -99,33 +101,35 @@ def _labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def training_documents(docs: DataFrame, labels: DataFrame, options: ToxicityOptions) -> DataFrame:
-    """(doc_id, kind, part) of the sample, near copies thinned; kind is the label, part 0 to 3. No text is shuffled."""
+    """(doc_id, kind, part, weight) of the sample; kind is the label, part 0 to 3, the weights of near copies add up to 1. No text is shuffled."""
 
     def signed(batches: Batches) -> Batches:
         for b in slices(batches):
             texts = texts_of(b.column("text"))
             yield rows_to_batch(_SIGNED, [b.column("doc_id"), b.column("toxic"), [_signature(t, 1) for t in texts], [_signature(t, 2) for t in texts]])
 
-    rows = _labelled(docs, sampled_labels(labels, options)).mapInArrow(signed, "doc_id long, toxic int, first long, second long")
-    once = rows.groupBy("first", "second").agg(F.min(F.struct("doc_id", "toxic")).alias("x")).select("x.*")
-    return once.groupBy("doc_id").agg(F.max("toxic").alias("kind")).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)))
+    rows = checkpointed(_labelled(docs, sampled_labels(labels, options)).mapInArrow(signed, "doc_id long, toxic int, first long, second long"))
+    copies = rows.groupBy("first", "second").agg(F.count("*").alias("copies"))
+    once = rows.join(copies, ["first", "second"]).groupBy("doc_id").agg(F.max("toxic").alias("kind"), F.min(1 / F.col("copies")).alias("weight"))
+    return once.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)))
 
 
-_COUNTS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("n", pa.int64())])
+_COUNTS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("n", pa.float64())])
 
 
 def _counted(bits: int, kinds: int, by_document: bool):
-    """Task: totals of buckets per kind (column kind, 0 where absent); bucket -1 counts rows."""
+    """Task: totals of buckets per kind (column kind, 0 where absent), rows by their weight (1 where absent); bucket -1 counts rows."""
 
     def run(batches: Batches) -> Batches:
-        total, rows = np.zeros((kinds, 1 << bits), np.int64), np.zeros(kinds, np.int64)
+        total, rows = np.zeros((kinds, 1 << bits)), np.zeros(kinds)
         for b in slices(batches):
             kind = b.column("kind").to_pylist() if "kind" in b.schema.names else [0] * b.num_rows
-            for t, k in zip(texts_of(b.column("text")), kind, strict=True):
+            weight = b.column("weight").to_pylist() if "weight" in b.schema.names else [1.0] * b.num_rows
+            for t, k, w in zip(texts_of(b.column("text")), kind, weight, strict=True):
                 own = tokens(t, bits)
-                rows[k] += 1
+                rows[k] += w
                 if by_document:
-                    total[k, np.unique(own)] += 1
+                    total[k, np.unique(own)] += w
                 else:
                     np.add.at(total[k], own, 1)
         for k in range(kinds):
@@ -145,8 +149,8 @@ def _gathered(df: DataFrame, bits: int, kinds: int) -> tuple[np.ndarray, np.ndar
     return total, rows
 
 
-def token_scores(held: np.ndarray, rows: np.ndarray, corpus: np.ndarray, options: ToxicityOptions) -> np.ndarray:
-    """Score of each bucket from documents of class 0 and 1 that hold it, with a Dirichlet prior in proportion to the corpus."""
+def token_scores(held: np.ndarray, rows: np.ndarray, corpus: np.ndarray, options: ToxicityOptions) -> tuple[np.ndarray, np.ndarray]:
+    """Score of each bucket from documents of class 0 and 1 that hold it, with a Dirichlet prior in proportion to the corpus; and its plain log-odds."""
     prior = options.prior_strength * corpus / max(corpus.sum(), 1.0) * max(np.count_nonzero(corpus), 1)
     prior = np.clip(prior, 0.01, 50.0)
     share = (held + prior) / (rows[:, None] + 2 * prior + 1e-9)
@@ -156,7 +160,7 @@ def token_scores(held: np.ndarray, rows: np.ndarray, corpus: np.ndarray, options
     expected = np.maximum(rows[:, None] * both / n, 1e-12)
     statistic = 2 * np.where(held > 0, held * np.log(np.maximum(held, 1e-12) / expected), 0).sum(axis=0)
     telling = (odds >= options.min_log_odds) & (statistic >= options.min_statistic)
-    return np.where(telling, odds, -options.drift).astype(np.float32)
+    return np.where(telling, odds, -options.drift).astype(np.float32), np.clip(odds, -5, 5).astype(np.float32)
 
 
 def solve_lambda(scores: np.ndarray, corpus: np.ndarray) -> float:
@@ -178,25 +182,33 @@ def solve_lambda(scores: np.ndarray, corpus: np.ndarray) -> float:
 @dataclass
 class ToxicityModel:
     scores: np.ndarray
+    odds: np.ndarray
     rate: float
     scale: float
     slope: float
     intercept: float
     options: ToxicityOptions
 
-    def passages(self, text: str) -> tuple[list[tuple[int, int, float]], int]:
+    def passages(self, text: str) -> tuple[list[tuple[int, int, float]], int, float]:
+        """Segments, tokens, and the mean log-odds of the tokens."""
         own = tokens(text, self.options.bits)
-        return maximal_segments(self.scores[own]), len(own)
-
-    def surprise(self, segments: list[float], n: int) -> tuple[float, int]:
-        """Sum of the surprise of significant segments, and their number."""
-        least = -np.log(self.options.max_evalue)
-        kept = [x for x in (self.rate * s - np.log(self.scale * n) for s in segments) if x >= least]
-        return float(sum(kept)), len(kept)
+        return maximal_segments(self.scores[own]), len(own), float(self.odds[own].mean()) if len(own) else 0.0
+
+    def surprise(self, segments: list[float], n: int, mean_odds: float) -> tuple[float, int]:
+        """Evidence, and the number of significant segments."""
+        least = float(-np.log(self.options.max_evalue))
+        found = [self.rate * s - np.log(self.scale * n) for s in segments]
+        kept = [x for x in found if x >= least]
+        if kept:
+            return float(sum(kept)), len(kept)
+        grade = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        if found:
+            return float(FAINT * (1 + grade(max(found) - least))), 0
+        return float(FAINT * grade(mean_odds)) if n else 0.0, 0
 
     def evidence(self, text: str) -> tuple[float, int]:
-        found, n = self.passages(text)
-        return self.surprise([s for _, _, s in found], n)
+        found, n, mean_odds = self.passages(text)
+        return self.surprise([s for _, _, s in found], n, mean_odds)
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.intercept + self.slope * np.log1p(evidence))))
@@ -215,37 +227,37 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -
     return float(max(w[0], 0)), float(w[1])
 
 
-_FOUND = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("n_tokens", pa.int64()), ("segments", pa.list_(pa.float64()))])
-_EVIDENCE = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("evidence", pa.float64())])
+_FOUND = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("weight", pa.float64()), ("n_tokens", pa.int64()), ("mean_odds", pa.float64()), ("segments", pa.list_(pa.float64()))])
+_EVIDENCE = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("weight", pa.float64()), ("evidence", pa.float64())])
 _STEPS = 1000  #: of log evidence in the histogram that the curve is fitted to
 
 
 def fit(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = ToxicityOptions()) -> ToxicityModel:
     bits = options.bits
-    corpus, _ = _gathered(docs.select("text").mapInArrow(_counted(bits, 1, False), "bucket long, kind int, n long"), bits, 1)
+    corpus, _ = _gathered(docs.select("text").mapInArrow(_counted(bits, 1, False), "bucket long, kind int, n double"), bits, 1)
     sample = checkpointed(training_documents(docs, labels, options))
-    held, rows = _gathered(_labelled(docs, sample.filter("part < 3")).select("text", "kind").mapInArrow(_counted(bits, 2, True), "bucket long, kind int, n long"), bits, 2)
-    scores = token_scores(held, rows, corpus[0], options)
-    model = ToxicityModel(scores, solve_lambda(scores, corpus[0]), 1.0, 0.0, -10.0, options)
+    held, rows = _gathered(_labelled(docs, sample.filter("part < 3")).select("text", "kind", "weight").mapInArrow(_counted(bits, 2, True), "bucket long, kind int, n double"), bits, 2)
+    scores, odds = token_scores(held, rows, corpus[0], options)
+    model = ToxicityModel(scores, odds, solve_lambda(scores, corpus[0]), 1.0, 0.0, -10.0, options)
 
     def segments(batches: Batches) -> Batches:
         for b in slices(batches):
             found = [model.passages(t) for t in texts_of(b.column("text"))]
-            yield rows_to_batch(_FOUND, [b.column("kind"), b.column("part").cast(pa.int32()), [n for _, n in found], [[s for _, _, s in x] for x, _ in found]])
+            yield rows_to_batch(_FOUND, [b.column("kind"), b.column("part").cast(pa.int32()), b.column("weight"), [n for _, n, _ in found], [m for _, _, m in found], [[s for _, _, s in x] for x, _, _ in found]])
 
-    found = checkpointed(_labelled(docs, sample).mapInArrow(segments, "kind int, part int, n_tokens long, segments array<double>"))
+    found = checkpointed(_labelled(docs, sample).mapInArrow(segments, "kind int, part int, weight double, n_tokens long, mean_odds double, segments array<double>"))
     best = F.array_max("segments")
-    clean = found.filter("kind = 0").agg(F.count_if(best > 0).alias("hits"), F.min(F.when(best > 0, best)).alias("least"), F.sum("n_tokens").alias("n")).first()
+    clean = found.filter("kind = 0").agg(F.sum(F.when(best > 0, F.col("weight"))).alias("hits"), F.min(F.when(best > 0, best)).alias("least"), F.sum(F.col("n_tokens") * F.col("weight")).alias("n")).first()
     if clean["hits"]:
         model.scale = float(np.clip(clean["hits"] * np.exp(min(model.rate * clean["least"], 50)) / clean["n"], 1e-3, 1e3))
 
     def surprises(batches: Batches) -> Batches:
         for b in slices(batches):
-            own = [model.surprise(s, n)[0] for s, n in zip(b.column("segments").to_pylist(), b.column("n_tokens").to_pylist(), strict=True)]
-            yield rows_to_batch(_EVIDENCE, [b.column("kind"), b.column("part"), own])
+            own = [model.surprise(*x)[0] for x in zip(*(b.column(c).to_pylist() for c in ("segments", "n_tokens", "mean_odds")), strict=True)]
+            yield rows_to_batch(_EVIDENCE, [b.column("kind"), b.column("part"), b.column("weight"), own])
 
-    evidence = found.mapInArrow(surprises, "kind int, part int, evidence double").withColumn("step", F.round(F.log1p("evidence") * _STEPS).cast("long"))
-    tried = evidence.groupBy("kind", F.col("part") == 3, "step").agg(F.count("*").alias("n")).collect()  # a few bytes for each step and label
+    evidence = found.mapInArrow(surprises, "kind int, part int, weight double, evidence double").withColumn("step", F.round(F.log1p("evidence") * _STEPS).cast("long"))
+    tried = evidence.groupBy("kind", F.col("part") == 3, "step").agg(F.sum("weight").alias("n")).collect()  # a few bytes for each step and label
     last = [x for x in tried if x[1]]
     last = last if len({x["kind"] for x in last}) == 2 else tried
     if last:

@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType
 
 from palimpsest import config
 from palimpsest.functions.text import collapse, strip, word_count
+from palimpsest.operators.article import article_text
 
 
 def _by_extension(table: dict[str, tuple[str, ...]]) -> Column:
@@ -61,7 +62,7 @@ def html_text(text: Column) -> Column:
 
 
 def html_article(text: Column) -> Column:
-    """As html_text, with scripts, styles, comments and navigation removed first."""
+    """As html_text, with scripts, styles, comments and navigation removed first: the fall-back where a page has no article."""
     return html_text(F.regexp_replace(text, r"(?is)<(script|style|nav|header|footer|aside)\b.*?</\1>|<!--.*?-->", " "))
 
 
@@ -190,6 +191,6 @@ def parsed(docs: DataFrame, path: str = "source_path", text: str = "text", symbo
     """docs with content_type, clean_content (null where blank), word_count, char_count and error_class."""
     name, t = file_name(F.col(path)), F.col(text)
     kind = F.col("content_type")
-    clean = F.when(kind == "html", html_article(t)).when(kind == "code", code_text(t, language(name), symbols_of, docs_of)).when(kind == "pdf", pdf_clean(t)).when(kind == "email", email_text(t)).when(kind == "markdown", markdown_text(t)).otherwise(plain(t))
+    clean = F.when(kind == "html", F.coalesce(F.nullif(article_text(t), F.lit("")), html_article(t))).when(kind == "code", code_text(t, language(name), symbols_of, docs_of)).when(kind == "pdf", pdf_clean(t)).when(kind == "email", email_text(t)).when(kind == "markdown", markdown_text(t)).otherwise(plain(t))
     out = docs.withColumn("content_type", content_type(name, t)).withColumn("clean_content", F.when(F.length(strip(clean)) > 0, clean))
     return out.withColumns({"word_count": word_count(F.col("clean_content")), "char_count": F.length("clean_content").cast("long"), "error_class": F.when(F.col("clean_content").isNull(), F.lit("EMPTY"))})

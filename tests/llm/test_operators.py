@@ -522,11 +522,42 @@ def test_toxic_passages_are_found(spark, odd, none):
     held = got[got.held_out]
     assert ((held.doc_id % 5 == 0) == (held.predicted == 1)).mean() > 0.97 and got.score.between(0, 1).all()
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in zip(got.doc_id, got.held_out, strict=True))
+    assert got.evidence[got.n_passages == 0].max() <= 2 * toxicity.FAINT < got.evidence[got.n_passages > 0].min()
+    assert got.score[got.predicted == 0].nunique() > 0.9 * (got.predicted == 0).sum()  # graded below significance too
     hard = toxicity.toxicity_report(odd, marks.limit(0)).toPandas()
     assert len(hard) == len(ODD) and hard.score.between(0, 1).all()
     assert toxicity.toxicity_report(none, marks).count() == 0
 
 
+def test_near_copies_share_a_weight(spark):
+    """Whatever their labels: thirty copies of one clean text weigh as one document."""
+    text = "a clean text of some length that was copied many times over in the sample"
+    rows = [*((i, text) for i in range(30)), *((100 + i, " ".join(f"{x}{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for x in ("one", "two", "three", "four", "five"))) for i in range(40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 30 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    options = toxicity.ToxicityOptions()
+    sample = toxicity.training_documents(docs, marks, options).collect()
+    used = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(r.doc_id for r in sample) == used and abs(sum(r.weight for r in sample if r.doc_id < 30) - 1) < 1e-9
+    assert all(r.weight == 1 for r in sample if r.doc_id >= 100)
+
+
+@pytest.mark.parametrize(("up", "gain"), [(0.2, 1), (0.4, 1), (0.1, 2)])
+def test_lambda_and_scale_are_those_of_the_walk(up, gain):
+    """Steps of +gain with probability up and -1 otherwise: lambda solves up e^(lambda gain) + (1 - up) e^(-lambda) = 1 (for gain 1 it is
+    ln((1 - up) / up)), and chance texts have about as many significant segments as the law says."""
+    scores, corpus = np.array([gain, -1.0]), np.array([up, 1 - up]) * 1000
+    rate = toxicity.solve_lambda(scores, corpus)
+    assert abs(up * np.exp(rate * gain) + (1 - up) * np.exp(-rate) - 1) < 1e-6
+    if gain == 1:
+        assert abs(rate - np.log((1 - up) / up)) < 1e-6
+    rng, n, texts = np.random.default_rng(4), 400, 400
+    best = [max((s for _, _, s in toxicity.maximal_segments(np.where(rng.random(n) < up, gain, -1.0))), default=0.0) for _ in range(texts)]
+    at = np.quantile(best, 0.7)  # the share above a high score falls by e^-lambda for each unit of score
+    share = [np.mean(np.array(best) >= at + k * gain) for k in (0, 1)]
+    assert abs(share[1] / share[0] - np.exp(-rate * gain)) < 0.2
+
+
 # 9
 
 
