@@ -335,7 +335,9 @@ def copy_classes(docs: DataFrame, size: int = 5, min_similarity: float = MIN_SIM
     nodes = rows.groupBy("node", "size", "bands").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
     nodes = checkpointed(nodes)
     postings = nodes.select("node", "size", F.explode("bands").alias("posting"))
-    shared = postings.groupBy("posting").agg(F.count("*").alias("n"), F.sum("size").alias("total")).filter("n > 1")
+    shared = postings.groupBy("posting").agg(F.count("*").alias("n"), F.sum("size").alias("total"), *(F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"of_{k}") for k in (0, 1))).filter("n > 1")
+    # Copies meet in up to all of their bands: of postings with the same nodes (by 128 bits) one is enough.
+    shared = shared.groupBy("n", "total", "of_0", "of_1").agg(F.min("posting").alias("posting")).select("posting", "n", "total")
     members = checkpointed(postings.join(shared, "posting"))
     left, right = (members.filter(F.col("n") <= small_posting).select("posting", F.col("node").alias(c), F.col("size").alias(f"{c}_size")) for c in ("src", "dst"))
     fits = (F.col("src_size") >= F.col("dst_size") * (min_similarity - 1e-6)) & (F.col("dst_size") >= F.col("src_size") * (min_similarity - 1e-6))
