@@ -25,13 +25,13 @@ from __future__ import annotations
 
 import itertools
 import zlib
-from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +68,7 @@ class Vocabulary:
             if byte[i]:
                 self.byte_ids[int(names[i][3:5], 16)] = i
         self.raw = np.empty(n, object)
-        self.raw[:] = [bytes([int(names[i][3:5], 16)]) if byte[i] else b"" if special[i] else names[i].encode() for i in range(n)]
+        self.raw[:] = [bytes([int(names[i][3:5], 16)]) if byte[i] else b"" if special[i] else names[i].encode().replace(_SPACE_BYTES, b" ") for i in range(n)]
         usable = [i for i in range(n) if not special[i] and not byte[i]]
         if any(SPACE in names[i].lstrip(SPACE) for i in usable):
             raise ValueError("a piece crosses a word border")
@@ -105,6 +105,7 @@ class Vocabulary:
                 at = nodes[at][k]
             piece[at] = i
         self.piece = np.array(piece, np.int32)
+        self.marked = SPACE in (names[i] for i in usable)  # else a mark may be spelled in bytes
         self.dense = np.zeros((len(nodes), _DENSE), np.int32)
         rare = []
         self.span = len(count) + 1
@@ -131,7 +132,8 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 bytes of the text."""
-        return b"".join(self.raw[ids].tolist()).replace(_SPACE_BYTES, b" ")[1:]
+        out = b"".join(self.raw[ids].tolist())
+        return out[1:] if self.marked else out.replace(_SPACE_BYTES, b" ")[1:]
 
 
 @lru_cache(maxsize=2)
@@ -244,6 +246,22 @@ def words_of(text: str) -> list[str]:
     return [*out, SPACE * (marks - 1)] if marks else out
 
 
+def numbered(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The words of each text as places in a list of different words: words of each text, places end to end, the list."""
+    plain = np.array([not t or not (SPACE in t or "  " in t or t[0] == " " or t[-1] == " ") for t in texts])  # no word has marks of its own
+    split = pc.split_pattern(pa.array([t for t, p in zip(texts, plain.tolist(), strict=True) if p], pa.large_string()), " ")
+    marked = [words_of(t) for t, p in zip(texts, plain.tolist(), strict=True) if not p]
+    coded = pa.concat_arrays([split.flatten(), pa.array(list(itertools.chain.from_iterable(marked)), pa.large_string())]).dictionary_encode()
+    sizes = np.empty(len(texts), np.int64)
+    sizes[plain], sizes[~plain] = pc.list_value_length(split).to_numpy(zero_copy_only=False), list(map(len, marked))
+    code, of_plain = coded.indices.to_numpy().astype(np.int64), np.repeat(plain, sizes)
+    unit = np.empty(len(code), np.int64)
+    unit[of_plain], unit[~of_plain] = np.split(code, [int(of_plain.sum())])
+    held = np.repeat([bool(t) for t in texts], sizes)  # an empty text has no words, though a split gives it one
+    sizes[[not t for t in texts]] = 0
+    return sizes, unit[held], coded.dictionary.to_pylist()
+
+
 def _uniform(key: np.ndarray | np.uint64, *parts: int) -> np.ndarray:
     x = np.atleast_1d(np.asarray(key, np.uint64))
     for p in parts:
@@ -254,13 +272,12 @@ def _uniform(key: np.ndarray | np.uint64, *parts: int) -> np.ndarray:
 class _Path:
     """One emitted segmentation of a document: its edges, the perturbed value, and the sets left along it."""
 
-    def __init__(self, lat: Lattices, edges: np.ndarray, word: np.ndarray, value: float, fork: int, barred: list[int], key: np.uint64, number: int, need: int) -> None:
+    def __init__(self, lat: Lattices, edges: np.ndarray, word: np.ndarray, value: float, fork: int, barred: list[int], seed: np.uint64, need: int) -> None:
         self.edges, self.word, self.value, self.fork, self.barred = edges, word, value, fork, barred
         log_chance = lat.log_chance[edges]
         self.log_prob = float(log_chance.sum())
         # A set of mass m has the truncated maximum -log(exp(-value) + E / m), E exponential: the larger m / E, the better.
         self.odds = np.zeros(len(edges))
-        seed = mix(np.array([key, number], np.uint64) * GOLDEN).sum()
         before = float(log_chance[:fork].sum())
         for at, stop in ((fork, min(fork + _LOOK, len(edges))), (fork + _LOOK, len(edges))):
             if at >= stop:
@@ -290,13 +307,10 @@ class _Path:
 
 def sample_documents(vocab: Vocabulary, keys: np.ndarray, texts: list[str], k: int) -> list[tuple[list[tuple[float, float, np.ndarray]], float]]:
     """For each text: up to k (perturbed value, log probability, piece ids), best first, and kappa (-inf: nothing is left)."""
-    split = [words_of(t) if t else [] for t in texts]
-    number: defaultdict[str, int] = defaultdict(itertools.count().__next__)  # words in the order that they come in
-    unit = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(split)), np.int64, sum(map(len, split)))
+    sizes, unit, words = numbered(texts)
     if not len(unit):
         return [([(0.0, 0.0, np.empty(0, np.int64))], -np.inf) for _ in texts]
-    lat = Lattices(vocab, list(number))
-    sizes = np.array([len(ws) for ws in split])
+    lat = Lattices(vocab, words)
     doc = np.repeat(np.arange(len(texts)), sizes)
     begin = np.cumsum(sizes) - sizes
     place = np.arange(len(unit)) - begin[doc]
@@ -308,6 +322,8 @@ def sample_documents(vocab: Vocabulary, keys: np.ndarray, texts: list[str], k: i
     for r in range(k):
         with np.errstate(over="ignore"):
             base = mix(word_key + U64(r + 1))
+            seeds = mix(keys * GOLDEN) + mix(np.full(1, r, np.uint64) * GOLDEN)
+        drawn = _uniform(keys, 5, r) if r else -np.log(-np.log(_uniform(keys, 1)))
         if r == 0:
             node, fresh, forks = lat.word_start[unit], np.ones(len(unit), bool), {}
         else:
@@ -324,7 +340,7 @@ def sample_documents(vocab: Vocabulary, keys: np.ndarray, texts: list[str], k: i
                 for b in barred:
                     options = options[options != b]
                 chance = np.cumsum(np.exp(lat.log_chance[options]))
-                pick = min(int(np.searchsorted(chance, _uniform(keys[d], 5, r)[0] * chance[-1], side="right")), len(options) - 1)
+                pick = min(int(np.searchsorted(chance, drawn[d] * chance[-1], side="right")), len(options) - 1)
                 alternative = int(options[pick])
                 w = int(begin[d] + best.word[j])
                 fresh[w : begin[d] + sizes[d]] = True
@@ -337,35 +353,37 @@ def sample_documents(vocab: Vocabulary, keys: np.ndarray, texts: list[str], k: i
         for d in live:
             own, at = edges[cut[d] : cut[d + 1]], word[cut[d] : cut[d + 1]]
             if r == 0:
-                value = float(-np.log(-np.log(_uniform(keys[d], 1)[0])))
-                paths[d].append(_Path(lat, own, at, value, 0, [], keys[d], r, k + 1))
+                paths[d].append(_Path(lat, own, at, float(drawn[d]), 0, [], seeds[d], k + 1))
             else:
                 best, j, value, barred, alternative = forks[d]
                 own = np.concatenate((best.edges[:j], [alternative], own))
                 at = np.concatenate((best.word[: j + 1], at))
-                paths[d].append(_Path(lat, own, at, value, j, barred, keys[d], r, k + 1))
+                paths[d].append(_Path(lat, own, at, value, j, barred, seeds[d], k + 1))
+    ids = iter(piece_ids(vocab, lat, [p.edges for own in paths for p in own]))
     out = []
     for d in range(len(texts)):
         if not sizes[d]:
             out.append(([(0.0, 0.0, np.empty(0, np.int64))], -np.inf))
             continue
         kappa = max(p.best()[0] for p in paths[d])
-        out.append(([(p.value, p.log_prob, piece_ids(vocab, lat, p.edges)) for p in paths[d]], kappa))
+        out.append(([(p.value, p.log_prob, next(ids)) for p in paths[d]], kappa))
     return out
 
 
-def piece_ids(vocab: Vocabulary, lat: Lattices, edges: np.ndarray) -> np.ndarray:
-    """Pieces of a path; a spelled character becomes its bytes."""
+def piece_ids(vocab: Vocabulary, lat: Lattices, paths: list[np.ndarray]) -> list[np.ndarray]:
+    """Pieces of each path; a spelled character becomes its bytes."""
+    edges = np.concatenate(paths)
+    ends = np.cumsum(list(map(len, paths)))
     pieces = lat.edge_piece[edges]
     spelled = pieces == vocab.spelled
     if not spelled.any():
-        return pieces
+        return np.split(pieces, ends[:-1])
     raw = [chr(c).encode("utf-8", "surrogatepass") for c in lat.points[lat.edge_start[edges[spelled]]].tolist()]
     sizes = np.ones(len(pieces), np.int64)
     sizes[spelled] = list(map(len, raw))
     out = np.repeat(pieces, sizes)
     out[np.repeat(spelled, sizes)] = vocab.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-    return out
+    return np.split(out, np.cumsum(sizes)[ends - 1][:-1])
 
 
 def log_inclusion(log_prob: float, kappa: float) -> float:
