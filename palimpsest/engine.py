@@ -110,6 +110,18 @@ class DocumentMemory:
     def document(self, document_id) -> DataFrame:
         return recall.document_detail(self.store.read("documents"), self.store.read("chunks"), document_id)
 
+    def document_of(self, checksum: str) -> DataFrame:
+        """The document with this checksum."""
+        return self.store.read("documents").filter(F.col("checksum") == checksum)
+
+    def chunk(self, chunk_id: str) -> DataFrame:
+        """One chunk with the source of its document."""
+        return self.store.read("chunks").filter(F.col("chunk_id") == chunk_id).drop("segment").join(self.store.read("documents").select("document_id", "source_type", "source_path", "captured_at"), "document_id", "left")
+
+    def active_model(self) -> DataFrame:
+        """The registry's row of the active model; no row as long as no migration made one active."""
+        return self.models().filter("is_active")
+
     def timeline(self, **options) -> DataFrame:
         return recall.timeline(self.store.read("documents"), **options)
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,10 +13,26 @@ from palimpsest import config
 from palimpsest.functions.text import entropy
 
 
+#: Strings that every match of a pattern holds; without it a text need not be scanned.
+HELD = {"openai_key": "sk-", "github_pat": "ghp_", "aws_access_key": "AKIA", "private_key_header": "-----BEGIN ", "bearer_token": "Bearer ", "db_connection_string": "://"}
+
+
+def _bound(text: Column, step: Callable[[Column], Column]) -> Column:
+    """step(text), the text being worked out once however often step names it."""
+    return F.element_at(F.transform(F.array(text), step), 1)
+
+
+def _where_held(held: str, pattern: str, marker: str) -> Callable[[Column], Column]:
+    return lambda t: F.when(F.contains(t, F.lit(held)), F.regexp_replace(t, pattern, marker)).otherwise(t)
+
+
 def redact_patterns(text: Column) -> Column:
     """Each pattern on the output of the one before."""
-    for _, pattern, marker in config.REDACTION_PATTERNS:
-        text = F.regexp_replace(text, pattern, marker)
+    for name, pattern, marker in config.REDACTION_PATTERNS:
+        if name in HELD:
+            text = _bound(text, _where_held(HELD[name], pattern, marker))
+        else:
+            text = F.regexp_replace(text, pattern, marker)
     return text
 
 
@@ -40,7 +60,11 @@ def redact_entropy(text: Column) -> Column:
             told = told | F.contains(context, F.lit(word))
         return F.when((at > 0) & (entropy(run) >= config.ENTROPY_THRESHOLD) & told, F.replace(so_far, run, F.lit(config.ENTROPY_MARKER))).otherwise(so_far)
 
-    return F.aggregate(entropy_runs(text), text, step)
+    def told_at_all(t: Column) -> Column:
+        low = F.lower(t)
+        return reduce(operator.or_, (F.contains(low, F.lit(word)) for word in config.ENTROPY_INDICATORS))
+
+    return _bound(text, lambda t: F.when(told_at_all(t), F.aggregate(entropy_runs(t), t, step)).otherwise(t))
 
 
 def redact(text: Column) -> Column:

@@ -748,6 +748,15 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(f"{folder}/documents").select("arrival", "checksum", "priority")
 
 
+@query
+def stream_seen_state(spark, sf_dir):
+    """As stream_ingest, the checksums seen being state of the query."""
+    docs = _stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("arrival"), "text", F.sha2("text", 256).alias("checksum"), (F.col("doc_id") % 4).alias("priority"))
+    folder = _folder(spark)
+    ingest.ingest(docs, folder, f"{folder}/state", as_state=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/documents").select("arrival", "checksum", "priority")
+
+
 @query
 def stream_dedup(spark, sf_dir):
     docs = _stream(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("checksum"), F.lit(AS_OF).cast("timestamp").alias("captured_at"))

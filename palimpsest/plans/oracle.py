@@ -259,4 +259,5 @@ SELECT item_id, CASE WHEN len(ws) > 0 THEN array_to_string(list_transform(ws, la
         "slo_report": f"WITH {_RANKS}, slos(slo, metric, target, alert_threshold) AS (VALUES " + ", ".join(f"('{a}', '{b}', CAST({c} AS DOUBLE), CAST({d} AS DOUBLE))" for a, b, c, d in config.SLOS) + ") SELECT slo, metric, target, alert_threshold, round(p95, 2) AS p95, coalesce(p95 <= alert_threshold, true) AS passed FROM slos LEFT JOIN ranked USING (metric)",
         "stream_dedup": "SELECT DISTINCT sha256(text) AS checksum FROM documents",
     }
+    out["stream_seen_state"] = out["stream_ingest"]
     return out | {f"stored_{name}": out[same] for name, same in (("bm25", "bm25_topk"), ("phrases", "phrase_search"), ("hybrid", "hybrid_search"))}

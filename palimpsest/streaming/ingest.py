@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from palimpsest.operators import protect
 
@@ -61,23 +63,77 @@ def faulty(rows: DataFrame, content: str = "text", check: Callable[[Column], Col
     return rows.withColumn("error", error if check is None else F.coalesce(error, check(F.col(content))))
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, capacity: int | None = None, available_now: bool = True, content: str = "text", check: Callable[[Column], Column] | None = None) -> StreamingQuery:
+class _FirstSeen(StatefulProcessor):
+    """Of the rows of a checksum the first by arrival, if the checksum is not in the state; rows with an error pass."""
+
+    def __init__(self, forget_after: timedelta | None) -> None:
+        self.forget_after = forget_after
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        ttl = None if self.forget_after is None else int(self.forget_after.total_seconds() * 1000)
+        self.seen = handle.getValueState("seen", "arrival long", ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        first = None
+        for row in rows:
+            if row["error"] is not None:
+                yield row
+            elif first is None or row["arrival"] < first["arrival"]:
+                first = row
+        if first is not None and not self.seen.exists():
+            self.seen.update((first["arrival"],))
+            yield first
+
+    def close(self) -> None:
+        pass
+
+
+FAILED_KEYS = 64  #: keys over which rows with an error are dealt
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def first_seen(rows: DataFrame, forget_after: timedelta | None = None) -> DataFrame:
+    """Rows (arrival, checksum, error, ...) whose checksum the stream has not seen, or not for the given time; rows with an error pass.
+
+    The checksums are keyed state of the query, so a batch costs what its own rows cost, however much is stored, and a restart
+    goes on with the state of the last batch. Needs RocksDB as the session's state store.
+    """
+    failed = F.concat(F.lit("failed-"), F.pmod(F.xxhash64("arrival"), F.lit(FAILED_KEYS)).cast("string"))
+    keyed = rows.withColumn("seen_key", F.when(F.col("error").isNull(), F.col("checksum")).otherwise(failed))
+    out = keyed.groupBy("seen_key").transformWithState(_FirstSeen(forget_after), keyed.schema, "append", "None" if forget_after is None else "ProcessingTime")
+    return out.drop("seen_key")
+
+
+def ingest(
+    stream: DataFrame, path: str, checkpoint: str, capacity: int | None = None, available_now: bool = True, content: str = "text", check: Callable[[Column], Column] | None = None,
+    as_state: bool = False, forget_after: timedelta | None = None,
+) -> StreamingQuery:
     """Write new raw documents to path/documents, once per checksum, and rows that fail to path/dead_letters with their error.
 
     Every row is admitted: what is not read yet stays in the source, whose rate limits (maxFilesPerTrigger, maxBytesPerTrigger) are the
     back-pressure. With a capacity, only the first rows of each batch by arrival are, and the rest goes to path/dropped,
     as a queue of that size would do. A batch's rows are the partition of its id, so a batch that runs again takes the place of its own.
+
+    as_state: the checksums seen are state of the query (see `first_seen`; forget_after bounds it), and no batch reads the
+    stored documents. Otherwise each batch is set against them, so that other writers' documents count too.
     """
+    if forget_after is not None and available_now:
+        raise ValueError("state with a time to live keeps a query going, so it takes available_now=False")
+    if as_state and capacity is not None:
+        raise ValueError("a capacity drops rows before they are seen, so it goes with stored checksums only")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         save = lambda df, name: df.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/{name}")
-        rows = faulty(batch, content, check)
+        rows = batch if as_state else faulty(batch, content, check)
         if capacity is not None:
             rows = admit(rows, capacity=capacity)
             save(rows.filter("not admitted").drop("admitted", "error"), "dropped")
             rows = rows.filter("admitted").drop("admitted")
         save(rows.filter("error is not null"), "dead_letters")
+        if as_state:
+            save(rows.filter("error is null").drop("error"), "documents")
+            return
         # The schema is that of the stream, so the first batch needs no listing of a folder that is not there.
         stored = spark.read.schema(T.StructType([*rows.drop("error").schema, T.StructField("batch", T.LongType())])).option("ignoreMissingFiles", True)
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/documents")
@@ -85,5 +141,14 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, capacity: int | None =
         known = stored.parquet(f"{path}/documents").filter(F.col("batch") < batch_id) if there else None
         save(protect.first_of_checksum(rows.filter("error is null").drop("error"), "arrival", known), "documents")
 
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key, None)
+    if as_state:
+        conf.set(key, ROCKSDB)  # a query keeps the settings that it was started with
+    try:
+        rows = first_seen(faulty(stream, content, check), forget_after) if as_state else stream
+        writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
+    finally:
+        if as_state:
+            conf.unset(key) if before is None else conf.set(key, before)

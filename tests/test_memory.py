@@ -225,6 +225,9 @@ def test_memory_end_to_end(spark, tmp_path):
     nodes, edges = memory.graph()
     assert {r.kind for r in nodes.collect()} == {"Document", "Chunk", "Entity"} and {r.kind for r in edges.collect()} == {"MENTIONED_IN", "CONTAINS", "RELATED_TO"}
     assert memory.entities().count() > 0
+    one = memory.document_of("c2").first()
+    assert one.document_id == 2 and memory.document_of("none").count() == 0 and memory.active_model().count() == 0
+    assert memory.chunk(memory.store.read("chunks").filter("document_id = 2").first().chunk_id).first().source_path == one.source_path
 
 
 def test_forgetting_reaches_index_and_vectors(spark, tmp_path):
@@ -401,6 +404,50 @@ def test_stream_ingest_keeps_each_content_once(spark, tmp_path, capacity):
         assert sorted(r.error for r in spark.read.parquet(f"{tmp_path}/out/dead_letters").collect()) == ["no content"] * 2 + ["parse failed"] * 2
 
 
+def test_checksums_seen_are_state_of_the_stream(spark, tmp_path):
+    """A restart goes on with them, and no batch looks at what is stored: it may even be gone."""
+    source, ddl = f"{tmp_path}/in", "arrival long, text string, checksum string, priority int"
+
+    def run(rows, out, **options):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(source)
+        ingest.ingest(stream, f"{tmp_path}/{out}", f"{tmp_path}/state", as_state=True, **options).awaitTermination()
+        return [sorted(r.arrival for r in spark.read.parquet(f"{tmp_path}/{out}/{name}").collect()) for name in ("documents", "dead_letters")]
+
+    assert run([(3, "t1", "c1", 0), (1, "t1", "c1", 0), (2, "t2", "c2", 1), (4, None, "c3", 1), (5, None, None, 1)], "one") == [[1, 2], [4, 5]]
+    assert run([(6, "t1", "c1", 0), (7, "t3", "c3", 0), (8, None, "c3", 0), (9, "t3", "c3", 0)], "two") == [[7], [8]]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ingest.ROCKSDB
+    with pytest.raises(ValueError, match="capacity"):
+        ingest.ingest(spark.readStream.schema(ddl).parquet(source), f"{tmp_path}/no", f"{tmp_path}/no-state", capacity=5, as_state=True)
+
+
+def test_checksums_are_forgotten_after_their_time(spark, tmp_path):
+    import time
+
+    source, ddl, out = f"{tmp_path}/in", "arrival long, checksum string, error string", f"{tmp_path}/out"
+    add = lambda k: spark.createDataFrame([(k, "c1", None)], ddl).coalesce(1).write.mode("append").parquet(source)
+    seen = lambda: sorted(r.arrival for r in spark.read.schema(ddl).parquet(out).collect()) if (tmp_path / "out").exists() else []
+    add(0)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ingest.ROCKSDB)
+    rows = ingest.first_seen(spark.readStream.schema(ddl).parquet(source), dt.timedelta(seconds=3))
+    query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="1 second").start()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    try:
+        for k, want in ((1, [0]), (2, [0, 2])):
+            until = time.time() + 30
+            while seen() != want and time.time() < until:
+                time.sleep(0.5)
+            assert seen() == want
+            if k == 1:
+                time.sleep(4)
+                add(2)
+    finally:
+        query.stop()
+    with pytest.raises(ValueError, match="available_now"):
+        ingest.ingest(spark.readStream.schema(ddl).parquet(source), out, f"{tmp_path}/no", as_state=True, forget_after=dt.timedelta(seconds=1))
+
+
 def test_repeats_are_left_out_of_a_stream(spark, tmp_path):
     spark.createDataFrame([("s", i, c) for i, c in enumerate("aabba")], "k string, i int, c string").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("k string, i int, c string").parquet(f"{tmp_path}/in")
