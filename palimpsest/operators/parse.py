@@ -127,24 +127,43 @@ def email_text(raw: pd.Series) -> pd.Series:
     return raw.map(_mail, na_action="ignore")
 
 
-_INLINE = ((re.compile(r"!?\[([^\]]*)\]\([^)]*\)"), r"\1"), (re.compile(r"(\*\*|__|\*|_|~~)(?=\S)(.+?)(?<=\S)\1"), r"\2"))
+_INLINE = (
+    (re.compile(r"!?\[([^\]]*)\]\([^)]*\)"), r"\1"), (re.compile(r"!?\[([^\]]+)\]\[[^\]]*\]"), r"\1"),
+    (re.compile(r"(\*\*|__|\*|_|~~)(?=\S)(.+?)(?<=\S)\1"), r"\2"),
+)
+_FENCE, _HEADING, _UNDERLINE = re.compile(r"\s*(`{3,}|~{3,})(.*)$"), re.compile(r"\s*#{1,6}\s+"), re.compile(r"\s{0,3}(=+|-+)\s*$")
+_MARK, _TARGET = re.compile(r"\s*(#{1,6}\s+|>\s?|[-*+]\s+|\d+\.\s+)"), re.compile(r"\s{0,3}\[[^\]]+\]:\s+\S")
+_RULER = re.compile(r"\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
 
 
 def _markdown(text: str) -> str:
-    out, fenced = [], False
-    for line in text.split("\n"):
-        if line.lstrip().startswith("```"):
-            fenced = not fenced
+    lines, out, fence, table = text.split("\n"), [], "", False
+    skip = False
+    for i, line in enumerate(lines):
+        after = lines[i + 1] if i + 1 < len(lines) else ""
+        mark = _FENCE.match(line)
+        if mark and not fence:
+            fence = mark[1]
             out.append(line.strip())
-        elif fenced:
+        elif mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not mark[2].strip():
+            fence = ""
+            out.append(line.strip())
+        elif fence:  # other fences inside a longer one are text
             out.append(line)
+        elif skip:  # the line under a heading or the head of a table
+            skip = False
+        elif not line.strip() or _TARGET.match(line):
+            table = False
         else:
-            heading = re.match(r"#{1,6}\s+(.*)", line)
-            if heading:
+            underlined = bool(_UNDERLINE.match(after)) and not _MARK.match(line) and "|" not in line
+            if "|" in line and "|" in after and _RULER.match(after):
+                table = skip = True
+            elif _HEADING.match(line) or underlined:
                 out.append("")
+                skip = underlined
             for pattern, new in _INLINE:
                 line = pattern.sub(new, line)
-            line = re.sub(r"^\s*(#{1,6}\s+|>\s?|[-*+]\s+|\d+\.\s+)", "", line)
+            line = " | ".join(x.strip() for x in line.strip().strip("|").split("|")) if table and "|" in line else _MARK.sub("", line, count=1) if _MARK.match(line) else line
             if line.strip():
                 out.append(line.strip())
     return "\n".join(out).strip()
@@ -152,7 +171,7 @@ def _markdown(text: str) -> str:
 
 @F.pandas_udf(StringType())
 def markdown_text(text: pd.Series) -> pd.Series:
-    """Inline text of blocks, an empty line before headings, fences kept."""
+    """Inline text of blocks: an empty line before headings of either form, fences kept, table rows with bars between cells, link targets left out."""
     return text.map(_markdown, na_action="ignore")
 
 

@@ -247,6 +247,7 @@ SELECT item_id, CASE WHEN len(ws) > 0 THEN array_to_string(list_transform(ws, la
         "file_documents": "SELECT DISTINCT sha256(text) AS checksum, 'filesystem' AS source_type, strlen(text) AS n_bytes, CAST(strlen(text) AS VARCHAR) AS size, CAST(2 AS INTEGER) AS priority FROM documents WHERE strlen(text) > 0",
         "browser_visits": f"WITH u AS (SELECT page_id, url, {_TITLE} AS title FROM pages WHERE starts_with(url, 'http')), v AS (SELECT event_id AS visit_id, event_id % 2 AS b, url, title FROM events JOIN u ON user_id % 300 = page_id) SELECT 'chrome' AS browser, visit_id, url, title FROM (SELECT * FROM v WHERE b = 0 AND visit_id > 100 ORDER BY visit_id LIMIT 200) UNION ALL SELECT 'firefox', visit_id, url, title FROM (SELECT * FROM v WHERE b = 1 AND visit_id > 700 ORDER BY visit_id LIMIT 200)",
         "email_parse": f"SELECT doc_id AS document_id, rtrim('Subject: note ' || doc_id || chr(10) || 'From: a@example.org' || chr(10) || 'Date: Mon, 01 Jan 2024 00:00:00 +0000' || chr(10) || chr(10) || text, {_WHITE}) AS clean_content FROM documents",
+        "chat_answers": f"{search} SELECT query_id, substr(string_split(content, chr(10))[1], 1, 200) || ' [Source 1]' AS answer FROM results WHERE citation_index = 1",
         "search_projection": f"{search} SELECT query_id, citation_index, chunk_id, document_id, source_type, source_path, strftime(captured_at, '%Y-%m-%d') AS captured, round(combined_score, 4) AS score, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS snippet FROM results",
         "timeline_status": f"{w}{_CORPUS} SELECT document_id, {_time('captured_at')} FROM (SELECT * FROM corpus WHERE document_id % 11 = 0 AND captured_at >= TIMESTAMP '2024-01-02' ORDER BY captured_at DESC, document_id LIMIT 200 OFFSET 2)",
         "chat_turns": f"WITH {_TURNS}, l AS (SELECT session_id, max(turn) AS last, arg_min(content, turn) AS query FROM turns WHERE session_id % 20 = 0 GROUP BY session_id HAVING min(turn) = 0) SELECT session_id, last + 1 AS turn, 'user' AS role, query AS content, '2025-01-01 00:00:00' AS created_at FROM l UNION ALL SELECT session_id, last + 2, 'assistant', 'Noted.', '2025-01-01 00:00:00' FROM l",

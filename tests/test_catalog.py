@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -37,3 +40,16 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(_QUERIES) - set(_SQL)))
 def test_runs(spark, name):
     assert _QUERIES[name](spark, SMALL).count() > 0
+
+
+def test_vectors_of_all_chunks(spark):
+    """embed_chunks over its whole table against a plain version."""
+    chunks = {r.chunk_id: r.content for r in catalog._chunks(spark, SMALL).collect()}
+    got = _QUERIES["embed_chunks"](spark, SMALL).collect()
+    assert {r.chunk_id for r in got} == set(chunks) and len(got) == len(chunks)
+    for r in got:
+        v = np.zeros(64)
+        for word in chunks[r.chunk_id].lower().split():
+            h = zlib.crc32(word.encode())
+            v[h % 64] += 1 if h >= 1 << 31 else -1
+        assert np.allclose(r.embedding, v / (np.linalg.norm(v) or 1), atol=1e-6)

@@ -168,6 +168,23 @@ def test_markdown_and_mail(spark):
     assert one(parse.email_text, "Subject: s\nContent-Transfer-Encoding: base64\nContent-Type: text/plain; charset=utf-8\n\nw6k=") == "Subject: s\n\né"
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Title\n=====\ntext\n\nPart\n---\nmore", "Title\ntext\n\nPart\nmore"),
+        ("see [the page][p] and ![a picture](x.png)\n\n[p]: http://example.org \"t\"\n", "see the page and a picture"),
+        ("| a | **b** |\n|:--|---|\n| 1 | [2](x) |\n\nend | of it", "a | b\n1 | 2\nend | of it"),
+        ("````\n```\n# inner\n```\n````\n# After", "````\n```\n# inner\n```\n````\n\nAfter"),
+        ("~~~ py\nx = *y*\n```\n~~~\n> said *so*\n1. one", "~~~ py\nx = *y*\n```\n~~~\nsaid so\none"),
+        ("- item\n---\nrest", "item\n---\nrest"),
+        ("", ""),
+        ("```\nnever closed", "```\nnever closed"),
+    ],
+)
+def test_blocks_of_markdown(text, want):
+    assert parse._markdown(text) == want
+
+
 def test_dispatch_parses_each_kind(spark):
     from palimpsest.plans import catalog
 
