@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus-scale operators and their query modules.
+"""Training-data operators: thirteen corpus-scale operators and their query modules.
 
 Nothing else in the library imports this subpackage.
 """
