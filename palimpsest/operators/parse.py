@@ -8,12 +8,11 @@ import re
 from collections.abc import Callable
 from email import policy
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from palimpsest import config
+from palimpsest.functions.arrow import of_texts
 from palimpsest.functions.text import collapse, strip, word_count
 from palimpsest.operators.article import article_text
 
@@ -121,10 +120,12 @@ def _mail(raw: str) -> str:
     return "\n".join([*head, "", body]).strip()
 
 
-@F.pandas_udf(StringType())
-def email_text(raw: pd.Series) -> pd.Series:
+_email_text = of_texts(_mail)
+
+
+def email_text(text: Column) -> Column:
     """Header lines, an empty line, and the text part (else the HTML part without tags)."""
-    return raw.map(_mail, na_action="ignore")
+    return _email_text(text)
 
 
 _INLINE = (
@@ -169,10 +170,12 @@ def _markdown(text: str) -> str:
     return "\n".join(out).strip()
 
 
-@F.pandas_udf(StringType())
-def markdown_text(text: pd.Series) -> pd.Series:
+_markdown_text = of_texts(_markdown)
+
+
+def markdown_text(text: Column) -> Column:
     """Inline text of blocks: an empty line before headings of either form, fences kept, table rows with bars between cells, link targets left out."""
-    return text.map(_markdown, na_action="ignore")
+    return _markdown_text(text)
 
 
 class _Article(html.parser.HTMLParser):
@@ -200,16 +203,19 @@ def _page(text: str) -> str:
     return "\n".join(x for x in (" ".join(line.split()) for line in "".join(parser.parts).split("\n")) if x)
 
 
-@F.pandas_udf(StringType())
-def html_blocks(text: pd.Series) -> pd.Series:
+_html_blocks = of_texts(_page)
+
+
+def html_blocks(text: Column) -> Column:
     """Text of block elements, one line each, entities resolved."""
-    return text.map(_page, na_action="ignore")
+    return _html_blocks(text)
 
 
 def parsed(docs: DataFrame, path: str = "source_path", text: str = "text", symbols_of: Finder = code_symbols, docs_of: Finder = code_docs) -> DataFrame:
     """docs with content_type, clean_content (null where blank), word_count, char_count and error_class."""
     name, t = file_name(F.col(path)), F.col(text)
     kind = F.col("content_type")
-    clean = F.when(kind == "html", F.coalesce(F.nullif(article_text(t), F.lit("")), html_article(t))).when(kind == "code", code_text(t, language(name), symbols_of, docs_of)).when(kind == "pdf", pdf_clean(t)).when(kind == "email", email_text(t)).when(kind == "markdown", markdown_text(t)).otherwise(plain(t))
+    own = lambda k: F.when(kind == k, t)  # noqa: E731 - Python functions are run on every row, whatever the branch: others are null to them
+    clean = F.when(kind == "html", F.coalesce(F.nullif(article_text(own("html")), F.lit("")), html_article(t))).when(kind == "code", code_text(t, language(name), symbols_of, docs_of)).when(kind == "pdf", pdf_clean(t)).when(kind == "email", email_text(own("email"))).when(kind == "markdown", markdown_text(own("markdown"))).otherwise(plain(t))
     out = docs.withColumn("content_type", content_type(name, t)).withColumn("clean_content", F.when(F.length(strip(clean)) > 0, clean))
     return out.withColumns({"word_count": word_count(F.col("clean_content")), "char_count": F.length("clean_content").cast("long"), "error_class": F.when(F.col("clean_content").isNull(), F.lit("EMPTY"))})

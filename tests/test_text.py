@@ -93,3 +93,21 @@ def test_ranks_like_an_embedded_index(spark, query):
     chunks = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts, 1)], "chunk_id string, content string")
     asked = spark.createDataFrame([(1, query)], "query_id long, query string")
     assert {r.chunk_id: round(r["rank"], 6) for r in keyword.bm25(chunks, asked, stem=True).collect()} == want
+
+
+def test_texts_are_worked_on_in_slices(spark):
+    """Python functions see a few hundred rows of a batch at a time, or a megabyte, and give every row."""
+    import pandas as pd
+    import pyarrow as pa
+    from palimpsest.functions.arrow import BYTES, ROWS, of_texts, slices
+    from palimpsest.operators import vector
+
+    batch = pa.RecordBatch.from_pydict({"t": [str(i) * (1 + 5000 * (i % 700 == 0)) for i in range(2000)] + ["x" * (2 * BYTES), None, ""]})
+    parts = list(slices([batch]))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict() and max(p.num_rows for p in parts) <= ROWS
+    assert all(p.nbytes <= BYTES or p.num_rows == 1 for p in parts)
+    rows = spark.range(5000).coalesce(1).selectExpr("id", "if(id % 7 = 0, null, cast(id as string)) as content")
+    got = rows.select("id", of_texts(lambda t: t + "!")("content").alias("t")).collect()
+    assert [r.t for r in got] == [None if r.id % 7 == 0 else f"{r.id}!" for r in got] and len(got) == 5000
+    sizes = vector.embedded(rows, "m", "1", lambda t: pd.Series([[float(len(t))]] * len(t))).select("embedding").collect()
+    assert len(sizes) == 5000 and max(r.embedding[0] for r in sizes) <= ROWS
