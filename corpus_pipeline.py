@@ -27,7 +27,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (five-word shingles, similarity 0.8 or more): the least doc_id, then text."""
+    """One document of each class of near copies (five-word shingles, similarity 0.8 or more): the least doc_id, then text. Candidates by SimHash and its byte-position index, completed by minima, each decided exactly."""
     return simhash.drop_near_copies(docs)
 
 

@@ -220,7 +220,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, max_
 MIN_SIMILARITY, BANDS, BAND_MINIMA = 0.8, 24, 4
 #: Documents of a posting whose pairs are tested by joins; shingles of a block of a larger posting.
 SMALL_POSTING, BLOCK_SHINGLES = 8, 1 << 21
-_BANDED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
+#: Words of 64 bits that tell which documents may be among chosen ones: the most rows of a broadcast.
+FILTER_WORDS = 1 << 18
+_BANDED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
@@ -247,14 +249,14 @@ NO_ID = (1 << 63) - 1  #: stands for a null doc_id: the last to stay
 
 
 def banded(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_key, node, size, bands) of each row: hash and size of its set of shingles, and its band keys."""
+    """(doc_id, text_key, node, size, fp, bands) of each row: hash, size and SimHash of its set of shingles, and its band keys."""
 
     def run(batches: Batches) -> Batches:
         for b in slices(batches):
             sets = [np.unique(shingle_hashes(t, size)) for t in texts_of(b.column("text"))]
-            yield rows_to_batch(_BANDED, [b.column("doc_id"), b.column("text_key"), [node_of(x) for x in sets], [len(x) for x in sets], [band_keys(x) for x in sets]])
+            yield rows_to_batch(_BANDED, [b.column("doc_id"), b.column("text_key"), [node_of(x) for x in sets], [len(x) for x in sets], [majority(x) for x in sets], [band_keys(x) for x in sets]])
 
-    return _with_keys(docs).mapInArrow(run, "doc_id long, text_key long, node long, size long, bands array<long>")
+    return _with_keys(docs).mapInArrow(run, "doc_id long, text_key long, node long, size long, fp long, bands array<long>")
 
 
 def _with_keys(docs: DataFrame) -> DataFrame:
@@ -262,6 +264,27 @@ def _with_keys(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
+def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows with `marked`: false only where (doc_id, text_key) is none of the keys, so that the others need no shuffle to be told apart."""
+    hashed = F.xxhash64("doc_id", "text_key")
+    word, bit = hashed.bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("_word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(xxhash64(doc_id, text_key), 40) & 63 as int))")
+    bits = keys.select(word, bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    found = rows.withColumn("_word", word).join(F.broadcast(bits), "_word", "left")  # FILTER_WORDS rows at most
+    return found.withColumn("marked", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
+
+
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """(src, dst) candidates among nodes (node, size, fp): links of the byte-position index that span all fingerprints within MAX_BITS, and nodes of one fingerprint."""
+    own = nodes.filter("size > 0").select("node", "fp")
+    heads = checkpointed(own.groupBy("fp").agg(F.min("node").alias("head")))
+    links = fingerprint_links(heads.select("fp"))
+    for end in ("src", "dst"):
+        links = links.join(heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_node")), end)
+    same = own.join(heads, "fp").filter("node <> head").select(F.col("node").alias("src_node"), F.col("head").alias("dst_node"))
+    both = links.select("src_node", "dst_node").unionByName(same)
+    return both.select(F.least("src_node", "dst_node").alias("src"), F.greatest("src_node", "dst_node").alias("dst"))
+
+
 def shingle_sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
     """(node, shingles) of the chosen (node, doc_id, text_key)."""
 
@@ -271,7 +294,7 @@ def shingle_sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
             own = [(n, x.view(np.int64)) for n, x in zip(b.column("node").to_pylist(), sets, strict=True) if node_of(x) == n]
             yield rows_to_batch(_SETS, [[n for n, _ in own], [x for _, x in own]])
 
-    return _with_keys(docs).join(chosen, ["doc_id", "text_key"]).select("node", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    return _marked(_with_keys(docs), chosen).filter("marked").join(chosen, ["doc_id", "text_key"]).select("node", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def similar_links(sets: list[np.ndarray], min_similarity: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -326,13 +349,15 @@ def copy_classes(docs: DataFrame, size: int = 5, min_similarity: float = MIN_SIM
 
     Two documents are similar by the sets of their word shingles: shared / all of both, 0.8 or more by default.
 
-    Documents with equal sets are one node. Nodes that share a band of minima meet in its posting. Every pair of a
+    Documents with equal sets are one node. Candidates come first from the SimHash of the sets, through the byte-position
+    index with its count filter; as 64 bits cannot guarantee a similarity of 0.8 (such sets differ by 10 bits on average), bands
+    of minima complete them. All are decided by the exact similarity. Nodes that share a band of minima meet in its posting. Every pair of a
     posting of up to `small_posting` nodes is tested on the shingle sets by joins. The nodes of a larger one are dealt into
     blocks of about `block` shingles, and each two blocks into a task that emits links which span the similar pairs there.
     So each pair that meets is decided by its exact similarity at any size of posting. Classes are connected components.
     """
     rows = checkpointed(banded(docs, size))
-    nodes = rows.groupBy("node", "size", "bands").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    nodes = rows.groupBy("node", "size", "fp", "bands").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
     nodes = checkpointed(nodes)
     postings = nodes.select("node", "size", F.explode("bands").alias("posting"))
     shared = postings.groupBy("posting").agg(F.count("*").alias("n"), F.sum("size").alias("total"), *(F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"of_{k}") for k in (0, 1))).filter("n > 1")
@@ -341,10 +366,11 @@ def copy_classes(docs: DataFrame, size: int = 5, min_similarity: float = MIN_SIM
     members = checkpointed(postings.join(shared, "posting"))
     left, right = (members.filter(F.col("n") <= small_posting).select("posting", F.col("node").alias(c), F.col("size").alias(f"{c}_size")) for c in ("src", "dst"))
     fits = (F.col("src_size") >= F.col("dst_size") * (min_similarity - 1e-6)) & (F.col("dst_size") >= F.col("src_size") * (min_similarity - 1e-6))
-    pairs = checkpointed(left.join(right, "posting").filter((F.col("src") < F.col("dst")) & fits).select("src", "dst").distinct())
+    banded_pairs = left.join(right, "posting").filter((F.col("src") < F.col("dst")) & fits).select("src", "dst")
+    pairs = checkpointed(simhash_pairs(nodes).unionByName(banded_pairs).distinct())
     large = members.filter(F.col("n") > small_posting).select("posting", "node", F.ceil(F.col("total") / block).alias("blocks"))
     needed = pairs.select(F.explode(F.array("src", "dst")).alias("node")).unionByName(large.select("node")).distinct()
-    sets = checkpointed(shingle_sets(docs, nodes.select("node", "first.*").join(needed, "node", "left_semi"), size))
+    sets = checkpointed(shingle_sets(docs, checkpointed(nodes.select("node", "first.*").join(needed, "node", "left_semi")), size))
     for end in ("src", "dst"):
         pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_shingles")), end)
     both = F.size(F.array_intersect("src_shingles", "dst_shingles"))
@@ -372,6 +398,8 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     Rows of one doc_id with other texts are judged apart; rows equal in both are one document and stay or go together.
     Rows without a doc_id come last.
     """
-    copies = copy_classes(docs, **options).filter(F.struct("doc_id", "text_key") != F.col("least")).select("doc_id", "text_key").distinct()
+    copies = checkpointed(copy_classes(docs, **options).filter(F.struct("doc_id", "text_key") != F.col("least")).select("doc_id", "text_key").distinct())
     keyed = carried(docs).withColumns({"doc_id": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)), "text_key": F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))})
-    return keyed.join(copies, ["doc_id", "text_key"], "left_anti").select("row.*")
+    marked = _marked(keyed, copies)
+    left = marked.filter("marked").join(copies, ["doc_id", "text_key"], "left_anti")
+    return marked.filter("not marked").select("row.*").unionByName(left.select("row.*"))

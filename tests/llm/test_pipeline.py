@@ -117,3 +117,34 @@ def test_near_copies_like_brute_force(spark):
     want = exact_classes(texts)
     assert dict(simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()) == want
 
+
+
+def test_simhash_finds_candidates_of_the_stage(spark):
+    """The stage's fingerprints go through the byte-position index: its candidates span all sets within 4 bits, no band of minima being asked."""
+    rng = np.random.default_rng(5)
+    texts = {}
+    for k in range(40):
+        words = [f"w{k}x{i}" for i in range(400)]
+        texts |= {3 * k: " ".join(words), 3 * k + 1: edited(rng, words, 1), 3 * k + 2: edited(rng, words, 2)}
+    docs = spark.createDataFrame([*texts.items(), (1000, ""), (1001, " ")], "doc_id long, text string")
+    rows = {r.node: r.fp for r in simhash.banded(docs, 5).collect() if r["size"]}
+    got = {frozenset(p) for p in simhash.simhash_pairs(simhash.banded(docs, 5).select("node", "size", "fp").distinct()).collect()}
+    want = [(a, b) for a, b in combinations(rows, 2) if bin((rows[a] ^ rows[b]) & (1 << 64) - 1).count("1") <= 4]
+    root = {n: n for n in rows}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for pair in got:
+        a, b = map(top, pair)
+        root[a] = b
+    assert len(want) > 40 and all(top(a) == top(b) for a, b in want)
+
+
+def test_only_marked_texts_are_shuffled(spark):
+    docs = spark.createDataFrame([(i, i % 7) for i in range(3000)], "doc_id long, text_key long")
+    keys = docs.filter("doc_id % 100 = 0")
+    marked = {r.doc_id for r in simhash._marked(docs, keys).filter("marked").collect()}
+    assert {i for i in range(0, 3000, 100)} <= marked and len(marked) < 60
