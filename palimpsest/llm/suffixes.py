@@ -12,7 +12,7 @@ All suffixes cannot be shuffled, so two steps before the passes leave out what n
 The windows of the witnesses are then sorted by most-significant-digit passes over their literal bytes: each pass
 splits the groups by the next digit, and groups of one leave after it. Anchors with few different runs are passed over
 in one task, 8 bytes a pass, where groups whose members all agree need no sorting. For anchors with more, the
-windows are rows of their own and a pass is a count of (group, digit), 40 bytes a digit, combined before its shuffle and joined
+windows are rows of their own and a pass is a count of (group, digit), 100 bytes a digit, combined before its shuffle and joined
 back on keys that Spark may split when skewed; so no group is gathered, however common its passage.
 
 Rows that repeat both doc_id and text are one text with a weight: all of their windows start elsewhere too, so they are
@@ -173,7 +173,7 @@ def _contexts(batches: Batches) -> Batches:
         yield rows_to_batch(_CONTEXTS, [list(c) for c in zip(*rows, strict=True)] or [[]] * 6)
 
 
-DIGIT, ROW_DIGIT, GROUP_LIMIT = 8, 40, 2000  #: bytes of a digit in a task and between tasks; different runs of an anchor in a task
+DIGIT, ROW_DIGIT, GROUP_LIMIT = 8, 100, 2000  #: bytes of a digit in a task and between tasks; different runs of an anchor in a task
 
 
 def repeated_windows(raw: np.ndarray, at: np.ndarray, group: np.ndarray, weight: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -244,14 +244,18 @@ def _same_windows(batches: Batches) -> Batches:
 
 
 def _passes(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, text_key, start, windows) of the windows that their anchor's contexts hold twice: a window is a row, a pass a count and a join."""
+    """(doc_id, text_key, start, windows) of the windows that their anchor's contexts hold twice: a window is a row, a pass a count and a join.
+
+    The next group of a window is named by its least window, so that a pass is one job and its counts are written nowhere.
+    """
     contexts = checkpointed(contexts.withColumn("context_id", F.monotonically_increasing_id()))
+    window = F.col("context_id") * length + F.col("at")  # a context is one run, so it has fewer windows than `length`
     live = contexts.select("context_id", "context", "weight", F.col("anchor").alias("group"), F.explode(F.sequence(F.lit(0), F.length("context") - length)).alias("at"))
     for d in range(0, length, ROW_DIGIT):
         rows = live if d == 0 else live.join(contexts.select("context_id", "context"), "context_id")
-        rows = rows.select("context_id", "weight", "group", "at", F.substring(F.col("context"), F.col("at") + (d + 1), F.lit(ROW_DIGIT)).alias("digit"))
-        groups = rows.groupBy("group", "digit").agg(F.sum("weight").alias("n")).filter("n >= 2").select("group", "digit", F.monotonically_increasing_id().alias("next"))
-        live = checkpointed(rows.join(checkpointed(groups), ["group", "digit"]).select("context_id", "weight", F.col("next").alias("group"), "at"))
+        rows = rows.select("context_id", "weight", "group", "at", F.substring(F.col("context"), F.col("at") + (d + 1), F.lit(min(ROW_DIGIT, length - d))).alias("digit"))
+        groups = rows.groupBy("group", "digit").agg(F.sum("weight").alias("n"), F.min(window).alias("next")).filter("n >= 2").select("group", "digit", "next")
+        live = checkpointed(rows.join(groups, ["group", "digit"]).select("context_id", "weight", F.col("next").alias("group"), "at"))
     # A context is one run, so it has few windows; neighbours among them become one interval.
     island = F.col("at") - F.row_number().over(Window.partitionBy("context_id").orderBy("at"))
     runs = live.withColumn("island", island).groupBy("context_id", "island").agg(F.min("at").alias("at"), F.count("*").alias("windows"))

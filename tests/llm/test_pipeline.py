@@ -148,3 +148,19 @@ def test_only_marked_texts_are_shuffled(spark):
     keys = docs.filter("doc_id % 100 = 0")
     marked = {r.doc_id for r in simhash._marked(docs, keys).filter("marked").collect()}
     assert {i for i in range(0, 3000, 100)} <= marked and len(marked) < 60
+
+
+def test_rounds_and_passes_are_few(spark, monkeypatch):
+    """Copies written in between: a round that changes nothing and a copy of each pass's counts filled the disk of small inputs with many partitions."""
+    from palimpsest.llm import components, suffixes
+
+    written = []
+    for module in (components, suffixes):
+        monkeypatch.setattr(module, "checkpointed", lambda df, f=module.checkpointed: written.append(1) or f(df))
+    stars = spark.createDataFrame([(1, 2), (3, 1), (1, 2), (8, 9), (None, 4), (5, 5)], "src long, dst long")
+    assert {(r.node, r.component) for r in components.connected_components(stars).collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)} and len(written) == 1
+    text = "".join(chr(97 + i % 26) + str(i) for i in range(90))
+    rows = [(7, 1, 1, 1, 10, text[:202].encode()), (7, 1, 2, 2, 0, b"#" + text[:202].encode()), (8, 1, 3, 3, 0, text[:202].encode()), (8, 1, 4, 4, 0, text[:120].encode() + b"#" + text[121:202].encode())]
+    written.clear()
+    found = suffixes._passes(spark.createDataFrame(rows, "anchor long, weight int, doc_id long, text_key long, start long, context binary")).collect()
+    assert {tuple(r) for r in found} == {(1, 1, 10, 3), (2, 2, 1, 3)} and len(written) <= 3
