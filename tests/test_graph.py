@@ -24,3 +24,24 @@ def test_pairs_are_shuffled_as_numbers(spark):
 def test_changes_are_added_up_by_their_reader(spark):
     rows = spark.createDataFrame([(1, "A"), (1, "B"), (2, "A"), (2, "B")], "document_id long, name string")
     assert sorted(map(tuple, graph.pair_deltas(rows, -1, summed=False).collect())) == [("A", "B", -1)] * 2
+
+
+def test_more_hops_handle_queries_as_bits(spark):
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(d), f"N{n}") for d, n in zip(rng.integers(0, 2500, 6000), rng.integers(0, 3000, 6000), strict=True)})
+    links = spark.createDataFrame([*rows, (None, "N1"), (5, None)], "document_id long, name string").repartition(5)
+    held, by_name = {}, {}
+    for d, n in rows:
+        held.setdefault(d, set()).add(n)
+        by_name.setdefault(n, set()).add(d)
+    by_name["N1"].add(None)  # reached, but leads nowhere
+    seeds = [(d if d else None, n) for d, n in rows if d < 1500]  # more queries than a row holds bits
+    names = spark.createDataFrame(seeds, "query_id long, name string")
+    first = {(q, d) for q, n in seeds for d in by_name[n]}
+    further = lambda pairs: pairs | {(q, e) for q, d in pairs for n in held.get(d, ()) for e in by_name[n]}
+    assert len({q for q, _ in seeds}) > 1024
+    two = graph.neighbours(names, links, 2)
+    got = [tuple(r) for r in two.collect()]
+    assert len(got) == len(set(got)) and set(got) == further(first)
+    assert "bit_or" in two._jdf.queryExecution().executedPlan().toString()
+    assert graph.neighbours(names, links, 1).count() == len(first)
