@@ -45,3 +45,25 @@ def test_more_hops_handle_queries_as_bits(spark):
     assert len(got) == len(set(got)) and set(got) == further(first)
     assert "bit_or" in two._jdf.queryExecution().executedPlan().toString()
     assert graph.neighbours(names, links, 1).count() == len(first)
+
+
+def _rows_shuffled(spark) -> int:
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_no_hop_shuffles_pairs_of_query_and_document(spark):
+    links = spark.createDataFrame([(d, n) for d in range(400) for n in ("Common", f"Own{d // 2}")], "document_id long, name string").repartition(4)
+    seeds = links.withColumnRenamed("document_id", "query_id")
+    before = _rows_shuffled(spark)
+    assert graph.neighbours(seeds, links, 2).count() == 400 * 400
+    assert _rows_shuffled(spark) - before < 20_000
+
+
+def test_hops_with_no_queries_or_links_and_with_names_as_ids(spark):
+    links = spark.createDataFrame([("a", "X"), ("b", "X"), ("b", "Y"), ("c", "Y"), ("c", "Z"), ("d", "Z")], "document_id string, name string")
+    seeds = spark.createDataFrame([("q", "X"), ("r", "none")], "query_id string, name string")
+    reached = lambda hops: sorted(map(tuple, graph.neighbours(seeds, links, hops).collect()))
+    assert reached(2) == [("q", d) for d in "abc"] and reached(3) == [("q", d) for d in "abcd"]
+    assert graph.neighbours(seeds.limit(0), links, 2).collect() == graph.neighbours(seeds, links.limit(0), 2).collect() == []
