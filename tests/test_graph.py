@@ -7,6 +7,7 @@ from itertools import permutations
 
 import numpy as np
 from palimpsest.operators import graph
+from pyspark.sql import functions as F
 
 
 def test_pairs_are_shuffled_as_numbers(spark):
@@ -67,3 +68,19 @@ def test_hops_with_no_queries_or_links_and_with_names_as_ids(spark):
     reached = lambda hops: sorted(map(tuple, graph.neighbours(seeds, links, hops).collect()))
     assert reached(2) == [("q", d) for d in "abc"] and reached(3) == [("q", d) for d in "abcd"]
     assert graph.neighbours(seeds.limit(0), links, 2).collect() == graph.neighbours(seeds, links.limit(0), 2).collect() == []
+
+
+def test_changes_add_up_by_numbers_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(d), f"N{min(int(n), 40)}") for d, n in zip(rng.integers(0, 90, 900), rng.zipf(1.4, 900), strict=True)})
+    added = spark.createDataFrame([*rows, (None, "N1"), *((d, f"Own{d}") for d in range(90))], "document_id long, name string").withColumns({"captured_at": F.lit(None).cast("timestamp"), "entity_type": F.lit("CONCEPT")})
+    changes = [(added.filter("document_id < 50"), 1), (added.filter("document_id >= 50 or document_id is null"), 1), (added.filter("document_id % 5 = 2"), -1)]
+    left = added.filter("document_id % 5 <> 2 or document_id is null")
+    told = lambda df: {(r.subject, r.object, r.n_documents, round(r.confidence, 9)) for r in df.collect()}
+    want = told(graph.cooccurrences(left))
+    monkeypatch.setattr(graph, "TASK_PAIRS", 300)  # several slices
+    found = graph.relations_after(changes)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert want and told(found) == want
+    assert plan.count("Aggregate [_groupingexpression") > 1 and "Aggregate [low" not in plan
+    assert graph.relations_after([(added.limit(0), 1)]).collect() == []
